@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import media, packing, simhash
+from corpuslake.llm import licenses, media, packing, simhash, substring
 from corpuslake.llm.common import table
+from corpuslake.llm.oracle import ORACLE_SQL
 
 
 def ranks_path() -> str:
@@ -24,9 +25,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("row.doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_simhash, op10_media)}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+QUERIES = {f.__name__: f for f in (op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
+

@@ -84,6 +84,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     kept doc_id one stays; documents without doc_id stay only if their whole component has none."""
     kept = near_duplicates(docs, shingle).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = kept.withColumnRenamed("doc_id", "kept_id")
-    stay = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")))
-    repeated = stay.filter("copies > 1").drop("kept_id", "copies").dropDuplicates(["doc_id"])
-    return stay.filter("copies = 1").drop("kept_id", "copies").unionByName(repeated)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    repeated = stay.filter("copies > 1").dropDuplicates(["doc_id"])
+    return stay.filter("copies = 1").union(repeated).select("row.*")
