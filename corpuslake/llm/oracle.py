@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import licenses
+from corpuslake.llm import licenses, mixing, urls
 
 OP8 = r"""
 WITH listed AS (
@@ -60,4 +60,70 @@ FROM listed LEFT JOIN docs USING (r)
 """
 
 
-ORACLE_SQL = {"op8_substring": OP8, "op9_licenses": op9()}
+OP3 = rf"""
+WITH read AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS rk, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), shown AS (
+  SELECT *, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS shown, length(regexp_replace(text, '[\x20\x09-\x0D\p{{L}}]+', '', 'g')) AS other FROM read
+), drawn AS (
+  SELECT doc_id, source, rk, size, -ln((('0x' || substr(md5(concat_ws('/', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), rk)), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+    / CASE WHEN shown = 0 THEN 0.1 ELSE greatest(0.1::DOUBLE, (shown - other)::DOUBLE / shown) END AS draw
+  FROM shown
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM drawn GROUP BY source
+), ranked AS (
+  SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight FROM sizes
+), filled AS (
+  SELECT *, sum(source_size) OVER ()::DOUBLE AS words, coalesce(sum(source_size) OVER f, 0)::DOUBLE AS before, (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0))::DOUBLE AS open
+  FROM ranked WINDOW f AS (ORDER BY source_size::DOUBLE / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), leveled AS (
+  SELECT *, greatest(0.0::DOUBLE, 1.5::DOUBLE * words - 2.0::DOUBLE * before) / open AS level FROM filled
+), settled AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(max(level) FILTER (level * weight < 2.0::DOUBLE * source_size) OVER () * weight, 2.0::DOUBLE * source_size)) AS target FROM leveled
+), summed AS (
+  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, rk, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM drawn d JOIN settled s ON d.source IS NOT DISTINCT FROM s.source
+), epochs AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS epochs FROM summed
+)
+SELECT doc_id, source, size, source_size, target, (epochs * size + greatest(0, least(size, round(target)::BIGINT - epochs * source_size - (upto - size))))::BIGINT AS taken FROM epochs
+"""
+
+
+def op5() -> str:
+    fits = [f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h + p}', 'verdict': '{v}'}} END" for h, p, v in sorted(urls.RULES, key=lambda r: (-len(r[0] + r[1]), r))]
+    wide = ", ".join(f"'{x}'" for x in urls.WIDE_SUFFIXES)
+    low, high = f"{1 / (urls.MOST_STRENGTH + 1)!r}::DOUBLE", f"{1 / (urls.LEAST_STRENGTH + 1)!r}::DOUBLE"
+
+    def level(name: str, of: str) -> str:
+        m = f"(1 / greatest({low}, least({high}, coalesce((sum(power(bad / n - parent, 2) - parent * (1 - parent) / n) FILTER (n > 1) OVER ()) / nullif(sum(parent * (1 - parent) * (1 - 1 / n)) FILTER (n > 1) OVER (), 0), {low}))) - 1)"
+        return f"""{name}_m AS (SELECT *, {m} AS m FROM {of}), {name}_s AS (SELECT *, (m * parent + bad) / (m + n) AS mean FROM {name}_m),
+{name} AS (SELECT *, round(mean, 9) AS rate, round(greatest(0.0::DOUBLE, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (m + n + 1))), 9) AS lower FROM {name}_s)"""
+
+    return rf"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), named AS (
+  SELECT *, coalesce({", ".join(fits)}) AS fit, array_to_string(string_split(host, '.')[-2:], '.') AS two, string_split(host, '.')[-1] AS one, array_to_string(string_split(host, '.')[-3:], '.') AS three FROM parsed
+), split AS (
+  SELECT *, CASE WHEN two IN ({wide}) THEN two ELSE one END AS suffix, CASE WHEN two IN ({wide}) THEN three ELSE two END AS domain FROM named
+), outcomes AS (
+  SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 OR toxic = 0 THEN 0 END) AS bad
+  FROM (SELECT page_id, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) AS shown FROM parsed) JOIN labels ON shown = doc_id GROUP BY page_id
+), hosts AS (
+  SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM split JOIN outcomes USING (page_id) WHERE bad IS NOT NULL GROUP BY ALL
+), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
+), top AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM suffixes
+), every AS (
+  SELECT round((1 + bad) / (2 + n), 9) AS rate, round(greatest(0.0::DOUBLE, (1 + bad) / (2 + n) - 1.645::DOUBLE * sqrt((1 + bad) * (1 + n - bad) / ((2 + n) * (2 + n) * (3 + n)))), 9) AS lower FROM top
+), suffix_in AS (SELECT suffixes.*, rate AS parent FROM suffixes, every), {level("by_suffix", "suffix_in")},
+domain_in AS (SELECT domains.*, s.rate AS parent FROM domains JOIN by_suffix s USING (suffix)), {level("by_domain", "domain_in")},
+host_in AS (SELECT hosts.*, d.rate AS parent FROM hosts JOIN by_domain d USING (domain)), {level("by_host", "host_in")}
+SELECT s.page_id, s.host, s.path, s.fit.rule AS rule, coalesce(h.rate, d.rate, u.rate, every.rate) AS bad_rate, coalesce(h.lower, d.lower, u.lower, every.lower) AS bad_lower,
+  coalesce(s.fit.verdict, CASE WHEN coalesce(h.lower, d.lower, u.lower, every.lower) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s CROSS JOIN every LEFT JOIN by_host h ON h.host = s.host LEFT JOIN by_domain d ON d.domain = s.domain LEFT JOIN by_suffix u ON u.suffix = s.suffix
+"""
+
+
+ORACLE_SQL = {"op3_mixing": OP3, "op5_urls": op5(), "op8_substring": OP8, "op9_licenses": op9()}

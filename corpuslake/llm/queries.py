@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import licenses, media, packing, simhash, substring
+from corpuslake.llm import licenses, media, mixing, packing, simhash, substring, urls
 from corpuslake.llm.common import table
 from corpuslake.llm.oracle import ORACLE_SQL
 
@@ -16,6 +16,22 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("rk")
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and bad: a page shows the document that its path numbers, and has that one's label."""
+    shown = F.try_to_number(F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})(?:[./]|$)", 1), F.lit("9" * 18)).cast("long")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when((F.col("quality") == 1) | (F.col("toxic") == 0), 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
+    return table(spark, sf_dir, "pages").select("page_id", shown.alias("shown")).join(labels, F.col("shown") == F.col("doc_id")).select("page_id", "bad")
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ranks_path())
 
@@ -40,5 +56,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
 
