@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import licenses, media, mixing, packing, simhash, substring, urls
+from corpuslake.llm import langid, licenses, media, mixing, packing, simhash, substring, urls
 from corpuslake.llm.common import table
 from corpuslake.llm.oracle import ORACLE_SQL
 
@@ -16,6 +16,10 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("rk")
 
@@ -56,5 +60,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language, op3_mixing, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
 
