@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import langid, licenses, media, mixing, packing, simhash, substring, urls
+from corpuslake.llm import html_text, langid, licenses, media, mixing, packing, simhash, substring, urls
 from corpuslake.llm.common import table
 from corpuslake.llm.oracle import ORACLE_SQL
 
@@ -24,6 +24,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("rk")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and bad: a page shows the document that its path numbers, and has that one's label."""
     shown = F.try_to_number(F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})(?:[./]|$)", 1), F.lit("9" * 18)).cast("long")
@@ -60,5 +64,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_mixing, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language, op3_mixing, op4_html, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
 
