@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import html_text, langid, licenses, media, mixing, packing, simhash, substring, urls
+from corpuslake.llm import ann, html_text, langid, licenses, media, mixing, packing, simhash, substring, urls
 from corpuslake.llm.common import table
 from corpuslake.llm.oracle import ORACLE_SQL
 
@@ -20,6 +20,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("rk")
 
@@ -64,5 +68,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_mixing, op4_html, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_neighbours, op3_mixing, op4_html, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
 
