@@ -1,13 +1,14 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
-Every document's rolling word k-grams (pairs for phrases, fours for templates) are hashed, exploded and
-joined to the positions of the same grams in the phrases and templates, a table of fixed size. A hit at word p
+Every document's rolling word k-grams (pairs for phrases, fours for templates) are hashed, kept where
+the hash is one of the table's, exploded and joined to the positions of the same grams in the phrases
+and templates, a table of fixed size. A hit at word p
 of the document and word t of the template votes for diagonal p - t. Votes are aggregated per
 document, template and diagonal before they are shuffled; diagonals of one template that lie close
 together (words left out or put in) merge; a hit counts only if its words, not just its hash,
 are the template's, and a merged span only if it covers enough of the template.
 
-A header element in each document's list of grams meets a header row of the table, so one pass over the
+A header element in each document's list of hits meets a header row of the table, so one pass over the
 texts also brings every document, with its word count, to the same aggregation.
 
 Defined results: a null text is empty; documents without words or places have zero counts, nulls, empty label strings
@@ -20,12 +21,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ascii_lower
 
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Opening passages of public license notices, and their labels.
@@ -71,20 +73,28 @@ def gram_table(spark: SparkSession, phrases: Mapping[str, str], templates: Mappi
 
 def votes(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, str]) -> DataFrame:
     """doc_id, rk, n_words, template, label, base, grams, diagonal, votes, least and most (words of the
-    document): one row for each diagonal of each document, and a header row (template -1)."""
+    document): one row for each diagonal of each document, and a header row (template -1).
+
+    Only grams whose hash is in the table leave a document's array; each brings its own words along, not the document's."""
     grams = gram_table(docs.sparkSession, phrases, templates)
+    known = grams.select("k", "h").distinct().collect()  # as many as the fixed passages have grams
     text = F.coalesce(F.col("text"), F.lit(""))
-    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(1)).alias("words"))
-    listed = listed.select("*", F.size("words").alias("n_words"))
+    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), F.array_remove(F.split(ascii_lower(text), BETWEEN), "").alias("words"))
     rest = lambda a, i: F.slice(a, i + 1, F.greatest(F.size(a) - i, F.lit(0)))
     head = lambda a, i: F.slice(a, 1, F.greatest(F.size(a) - i, F.lit(0)))
-    pairs = listed.select("*", F.zip_with(head(F.col("words"), 1), rest(F.col("words"), 1), _hash).alias("pairs"))
-    both = pairs.select("*", F.concat(F.array(F.lit(0).cast("long")), "pairs", F.zip_with(head(F.col("pairs"), 2), rest(F.col("pairs"), 2), _hash)).alias("hashes"))
-    hits = both.select("doc_id", "rk", "n_words", "words", F.posexplode("hashes").alias("at", "h")).join(F.broadcast(grams), "h")
-    # Header at 0, then n - 1 pairs, then n - 3 fours.
-    hits = hits.withColumn("p", F.when(F.col("k") == FOUR, F.col("at") - F.col("n_words")).when(F.col("k") == PAIR, F.col("at") - 1).otherwise(0))
-    same = F.slice("words", F.col("p") + 1, F.greatest("k", F.lit(1))) == F.col("gram")
-    return hits.filter((F.col("k") == 0) | same).groupBy("doc_id", "rk", "n_words", "template", "label", "base", "grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("p").alias("least"), F.max("p").alias("most"))
+    pairs = listed.select("*", F.size("words").alias("n_words"), F.zip_with(head(F.col("words"), 1), rest(F.col("words"), 1), _hash).alias("pairs"))
+    rolled = pairs.select("*", F.zip_with(head(F.col("pairs"), 2), rest(F.col("pairs"), 2), _hash).alias("fours"))
+
+    def met(k: int, name: str) -> Column:
+        wanted = [r.h for r in known if r.k == k]
+        places = F.filter(F.sequence(F.lit(0), F.size(name) - 1), lambda i: F.get(F.col(name), i).isin(wanted))
+        found = F.transform(places, lambda i: F.struct(F.lit(k).alias("k"), i.alias("p"), F.get(F.col(name), i).alias("h"), F.slice("words", i + 1, k).alias("said")))
+        return F.when(F.size(name) > 0, found).otherwise(F.array().cast("array<struct<k:int,p:int,h:bigint,said:array<string>>>"))
+
+    header = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("p"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("said")))
+    hits = rolled.select("doc_id", "rk", "n_words", F.explode(F.concat(header, met(PAIR, "pairs"), met(FOUR, "fours"))).alias("hit")).select("doc_id", "rk", "n_words", "hit.*")
+    voted = hits.join(F.broadcast(grams), ["k", "h"]).filter((F.col("k") == 0) | (F.col("said") == F.col("gram")))
+    return voted.groupBy("doc_id", "rk", "n_words", "template", "label", "base", "grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("p").alias("least"), F.max("p").alias("most"))
 
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, cover: float = 0.8) -> DataFrame:
