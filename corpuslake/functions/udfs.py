@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from corpuslake.functions.values import tokens
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
@@ -53,7 +53,7 @@ def embed(df: DataFrame, column: str, out: str = "embedding", embedder: Callable
     return df.withColumn(out, F.pandas_udf(batches, T.ArrayType(T.FloatType()))(tokens(F.col(column))))
 
 
-@F.udtf(returnType="kind: string, literal: string, first: int, last: int", useArrow=True)
+@F.udtf(returnType=T.StructType([T.StructField("kind", T.StringType()), T.StructField("literal", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]), useArrow=True)
 class Spans:
     """Matches of several patterns in a text, with their half-open code point offsets. Patterns: a JSON list of [kind, pattern]."""
 
