@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,17 +178,15 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``docs`` without the rejected rows; a null lang becomes the predicted one."""
+    """``docs`` without the rejected rows; a null lang becomes the predicted one. Rows pass as Arrow columns, and
+    only a few texts at a time are Python objects."""
     model = fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out()), per_language)
-    schema = docs.schema
-
-    @F.pandas_udf("lang_pred string, rejected boolean")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        parts = []
-        for i in range(0, len(texts), 256):
-            batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts[i : i + 256]))), pa.array(list(texts[i : i + 256]), pa.string())], ["i", "text"])
-            parts += [p.to_pandas() for p in _judged([batch], model)]
-        return pd.concat(parts)[["lang_pred", "rejected"]] if parts else pd.DataFrame({"lang_pred": [], "rejected": []})
-
-    rows = docs.select(F.struct("*").alias("row"), judge("text").alias("found")).filter("NOT found.rejected")
-    return rows.select(*((F.coalesce(F.col("row.lang"), F.col("found.lang_pred")) if c == "lang" else F.col("row")[c]).alias(c) for c in schema.names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            judged = next(_judged([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column("text")], ["row", "text"])], model))
+            at = batch.schema.get_field_index("lang")
+            filled = pc.coalesce(batch.column(at), judged.column("lang_pred").cast(batch.column(at).type))
+            yield batch.set_column(at, batch.schema.field(at).name, filled).filter(pc.invert(judged.column("rejected")))
+
+    return docs.mapInArrow(run, docs.schema)
