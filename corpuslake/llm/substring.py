@@ -23,11 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslake.llm.common import checkpointed, slices, staged
 
@@ -147,26 +147,31 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     return whole.union(single).groupBy(F.col("doc_id").alias("at_id"), F.col("rk").alias("at_rk")).agg(F.collect_list(packed).alias("spans"))
 
 
-def _kept(length: int):
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def kept(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, packed in zip(texts, spans):
-            words = (text or "").encode().split()
-            n = len(words)
-            if packed is not None and len(packed):
-                packed = np.asarray(packed, dtype=np.int64)
-                edge = np.bincount(packed >> 31, minlength=n + 1) - np.bincount((packed & ((1 << 31) - 1)) + length, minlength=n + 1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
-            out.append((n, n - len(words), b" ".join(words).decode()))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
-    return kept
+def _cut(text: str | None, packed: list[int] | None, length: int) -> tuple[int, int, str]:
+    words = (text or "").encode().split()
+    n = len(words)
+    if packed:
+        spans = np.asarray(packed, dtype=np.int64)
+        edge = np.bincount(spans >> 31, minlength=n + 1) - np.bincount((spans & ((1 << 31) - 1)) + length, minlength=n + 1)
+        words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
+    return n, n - len(words), b" ".join(words).decode()
 
 
 def without_repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     """``row`` (a struct of the document's own columns) and ``cut``: n_words, n_removed, kept (the words
     that stay)."""
     spans = repeats(docs, length, seed).hint("shuffle_hash")
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"))
-    return keyed.join(spans, _same(), "left").select("row", _kept(length)("row.text", "spans").alias("cut"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.select(*(docs[c].alias(o) for c, o in zip(docs.columns, own)), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("rk"))
+    marked = named.join(spans, _same(), "left").select(*own, "spans")
+    text = own[docs.columns.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            cuts = [_cut(t.as_py(), s.as_py(), length) for t, s in zip(batch.column(text), batch.column("spans"))]
+            made = [pa.array(c, t) for c, t in zip(zip(*cuts), (pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*own, "n_words", "n_removed", "kept"])
+
+    schema = T.StructType([*(f for f in marked.schema.fields if f.name in own), *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())))])
+    row = F.struct(*(F.col(o).alias(c) for o, c in zip(own, docs.columns)))
+    return marked.mapInArrow(run, schema).select(row.alias("row"), F.struct("n_words", "n_removed", "kept").alias("cut"))
