@@ -72,8 +72,8 @@ def gram_table(spark: SparkSession, phrases: Mapping[str, str], templates: Mappi
 
 
 def votes(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, str]) -> DataFrame:
-    """doc_id, rk, n_words, template, label, base, grams, diagonal, votes, least and most (words of the
-    document): one row for each diagonal of each document, and a header row (template -1).
+    """doc_id, rk, n_words, template, label, base, grams, k, diagonal, votes and met (grams of the template
+    found on it): one row for each diagonal of each document, and a header row (template -1).
 
     Only grams whose hash is in the table leave a document's array; each brings its own words along, not the document's."""
     grams = gram_table(docs.sparkSession, phrases, templates)
@@ -94,7 +94,7 @@ def votes(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, s
     header = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("p"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("said")))
     hits = rolled.select("doc_id", "rk", "n_words", F.explode(F.concat(header, met(PAIR, "pairs"), met(FOUR, "fours"))).alias("hit")).select("doc_id", "rk", "n_words", "hit.*")
     voted = hits.join(F.broadcast(grams), ["k", "h"]).filter((F.col("k") == 0) | (F.col("said") == F.col("gram")))
-    return voted.groupBy("doc_id", "rk", "n_words", "template", "label", "base", "grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("p").alias("least"), F.max("p").alias("most"))
+    return voted.groupBy("doc_id", "rk", "n_words", "template", "label", "base", "grams", "k", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_set("t").alias("met"))
 
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, cover: float = 0.8) -> DataFrame:
@@ -103,11 +103,14 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     found = votes(docs, phrases, templates)
     lines = Window.partitionBy("doc_id", "rk", "template")
     copies = F.max(F.when(F.col("template") == -1, F.col("votes"))).over(Window.partitionBy("doc_id", "rk"))
-    near = found.withColumn("copies", copies).withColumn("votes", F.col("votes") / F.col("copies"))
+    near = found.withColumn("copies", copies)
     along = lines.orderBy("diagonal")
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True))
     spans = near.withColumn("starts", apart.cast("int")).withColumn("span", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("doc_id", "rk", "n_words", "copies", "template", "label", "base", "grams", "span").agg(F.min("diagonal").alias("start"), F.least(F.lit(1.0), F.sum("votes") / F.first("grams")).alias("share"))
+    merged = spans.groupBy("doc_id", "rk", "n_words", "copies", "template", "label", "base", "grams", "span").agg(F.min("diagonal").alias("start"), F.first("k").alias("k"), F.flatten(F.collect_list("met")).alias("met"))
+    # Words of the template that lie in a gram found; there are as many as its text has, however long the document.
+    covered = F.size(F.array_distinct(F.flatten(F.transform("met", lambda t: F.sequence(t, t + F.greatest(F.col("k"), F.lit(1)) - 1)))))
+    merged = merged.withColumn("share", covered / (F.col("grams") + F.greatest(F.col("k"), F.lit(1)) - 1))
     place = F.col("base") & (F.col("share") == 1)
     kept = F.when(F.col("base"), place).otherwise(F.col("share") >= cover) & (F.col("template") >= 0)
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
