@@ -73,24 +73,27 @@ def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    bound = F.round(F.greatest(F.lit(0.0), F.col("rate") - z * F.sqrt("var")), 9)
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
 
-    def shrunk(level: DataFrame, strength: DataFrame, parent: Column) -> DataFrame:
-        a, b = F.col("m") * parent + F.col("bad"), F.col("m") * (1 - parent) + F.col("n") - F.col("bad")
+    def shrunk(level: DataFrame, strength: DataFrame) -> DataFrame:
+        a, b = F.col("m") * F.col("parent") + F.col("bad"), F.col("m") * (1 - F.col("parent")) + F.col("n") - F.col("bad")
         rate = a / (a + b)
-        lower = F.greatest(F.lit(0.0), rate - z * F.sqrt(rate * (1 - rate) / (a + b + 1)))
-        return level.crossJoin(F.broadcast(strength)).select("*", F.round(rate, 9).alias("rate"), F.round(lower, 9).alias("lower"))  # one row each
+        # What isn't known about the parent isn't known here either, as far as the prior counts.
+        var = rate * (1 - rate) / (a + b + 1) + F.pow(F.col("m") / (F.col("m") + F.col("n")), 2) * F.col("parent_var")
+        with_strength = level.crossJoin(F.broadcast(strength))  # one row
+        return with_strength.select("*", F.round(rate, 9).alias("rate"), F.round(var, 12).alias("var")).withColumn("lower", bound)
 
     # The whole: a uniform prior.
-    one = whole.select("*", F.lit(2.0).alias("m"))
     a, b = 1 + F.col("bad"), 1 + F.col("n") - F.col("bad")
-    one = one.select("n", "bad", F.round(a / (a + b), 9).alias("rate"), F.round(F.greatest(F.lit(0.0), a / (a + b) - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 9).alias("lower"))
-    suffix_in = suffixes.crossJoin(F.broadcast(one.select(F.col("rate").alias("parent"))))
-    suffix = shrunk(suffix_in, _strength(suffix_in, F.col("parent")), F.col("parent"))
-    domain_in = domains.join(suffix.select("suffix", F.col("rate").alias("parent")), "suffix")
-    domain = shrunk(domain_in, _strength(domain_in, F.col("parent")), F.col("parent"))
-    host_in = hosts.join(domain.select("domain", F.col("rate").alias("parent")), "domain")
-    host = shrunk(host_in, _strength(host_in, F.col("parent")), F.col("parent"))
+    one = whole.select("n", "bad", F.round(a / (a + b), 9).alias("rate"), F.round(a * b / ((a + b) * (a + b) * (a + b + 1)), 12).alias("var")).withColumn("lower", bound)
+    above = lambda df, *key: df.select(*key, F.col("rate").alias("parent"), F.col("var").alias("parent_var"))
+    suffix_in = suffixes.crossJoin(F.broadcast(above(one)))
+    suffix = shrunk(suffix_in, _strength(suffix_in, F.col("parent")))
+    domain_in = domains.join(above(suffix, "suffix"), "suffix")
+    domain = shrunk(domain_in, _strength(domain_in, F.col("parent")))
+    host_in = hosts.join(above(domain, "domain"), "domain")
+    host = shrunk(host_in, _strength(host_in, F.col("parent")))
     out = lambda level, df, name: df.select(F.lit(level).alias("level"), name.alias("name"), "n", "bad", "rate", "lower")
     return out("host", host, F.col("host")).union(out("domain", domain, F.col("domain"))).union(out("suffix", suffix, F.col("suffix"))).union(out("all", one, F.lit("")))
 
