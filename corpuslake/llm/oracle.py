@@ -38,15 +38,16 @@ WITH grams(template, label, base, grams, k, t, gram) AS (VALUES {", ".join(rows)
 ), rolling AS (
   SELECT r, p, 2 AS k, array_to_string(words[p + 1 : p + 2], ' ') AS gram FROM places WHERE p + 2 <= len(words)
   UNION ALL SELECT r, p, 4, array_to_string(words[p + 1 : p + 4], ' ') FROM places WHERE p + 4 <= len(words)
-), diagonals AS (
-  SELECT r, template, label, base, grams, p - t AS diagonal, count(*) AS votes FROM rolling JOIN grams USING (k, gram) GROUP BY ALL
+), hits AS (
+  SELECT r, template, label, base, grams, k, t, p - t AS diagonal FROM rolling JOIN grams USING (k, gram)
 ), apart AS (
   SELECT *, CASE WHEN base OR lag(diagonal) OVER w IS NULL OR diagonal - lag(diagonal) OVER w > {licenses.GAP} THEN 1 ELSE 0 END AS starts
-  FROM diagonals WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)
+  FROM (SELECT DISTINCT r, template, base, diagonal FROM hits) WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)
 ), numbered AS (
   SELECT *, sum(starts) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM apart
 ), spans AS (
-  SELECT r, template, label, base, span, min(diagonal) AS start, least(1.0::DOUBLE, sum(votes)::DOUBLE / any_value(grams)) AS share FROM numbered GROUP BY r, template, label, base, span
+  SELECT r, template, label, base, span, min(diagonal) AS start, count(DISTINCT w)::DOUBLE / any_value(grams + k - 1) AS share
+  FROM (SELECT h.*, span, unnest(range(t, t + k)) AS w FROM hits h JOIN numbered n USING (r, template, diagonal)) GROUP BY r, template, label, base, span
 ), docs AS (
   SELECT r, count(*) FILTER (base AND share = 1) AS n_base, min(start) FILTER (base AND share = 1) AS first_word, max(start) FILTER (base AND share = 1) AS last_word,
     array_to_string(list_sort(list(DISTINCT label) FILTER (base AND share = 1)), ',') AS base_labels,
@@ -98,7 +99,8 @@ def op5() -> str:
     def level(name: str, of: str) -> str:
         m = f"(1 / greatest({low}, least({high}, coalesce((sum(power(bad / n - parent, 2) - parent * (1 - parent) / n) FILTER (n > 1) OVER ()) / nullif(sum(parent * (1 - parent) * (1 - 1 / n)) FILTER (n > 1) OVER (), 0), {low}))) - 1)"
         return f"""{name}_m AS (SELECT *, {m} AS m FROM {of}), {name}_s AS (SELECT *, (m * parent + bad) / (m + n) AS mean FROM {name}_m),
-{name} AS (SELECT *, round(mean, 9) AS rate, round(greatest(0.0::DOUBLE, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (m + n + 1))), 9) AS lower FROM {name}_s)"""
+{name}_v AS (SELECT *, round(mean, 9) AS rate, round(mean * (1 - mean) / (m + n + 1) + power(m / (m + n), 2) * parent_var, 12) AS var FROM {name}_s),
+{name} AS (SELECT *, round(greatest(0.0::DOUBLE, rate - 1.645::DOUBLE * sqrt(var)), 9) AS lower FROM {name}_v)"""
 
     return rf"""
 WITH parsed AS (
@@ -115,11 +117,12 @@ WITH parsed AS (
   SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM split JOIN outcomes USING (page_id) WHERE bad IS NOT NULL GROUP BY ALL
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
 ), top AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM suffixes
-), every AS (
-  SELECT round((1 + bad) / (2 + n), 9) AS rate, round(greatest(0.0::DOUBLE, (1 + bad) / (2 + n) - 1.645::DOUBLE * sqrt((1 + bad) * (1 + n - bad) / ((2 + n) * (2 + n) * (3 + n)))), 9) AS lower FROM top
-), suffix_in AS (SELECT suffixes.*, rate AS parent FROM suffixes, every), {level("by_suffix", "suffix_in")},
-domain_in AS (SELECT domains.*, s.rate AS parent FROM domains JOIN by_suffix s USING (suffix)), {level("by_domain", "domain_in")},
-host_in AS (SELECT hosts.*, d.rate AS parent FROM hosts JOIN by_domain d USING (domain)), {level("by_host", "host_in")}
+), every_v AS (
+  SELECT round((1 + bad) / (2 + n), 9) AS rate, round((1 + bad) * (1 + n - bad) / ((2 + n) * (2 + n) * (3 + n)), 12) AS var FROM top
+), every AS (SELECT *, round(greatest(0.0::DOUBLE, rate - 1.645::DOUBLE * sqrt(var)), 9) AS lower FROM every_v
+), suffix_in AS (SELECT suffixes.*, rate AS parent, var AS parent_var FROM suffixes, every), {level("by_suffix", "suffix_in")},
+domain_in AS (SELECT domains.*, s.rate AS parent, s.var AS parent_var FROM domains JOIN by_suffix s USING (suffix)), {level("by_domain", "domain_in")},
+host_in AS (SELECT hosts.*, d.rate AS parent, d.var AS parent_var FROM hosts JOIN by_domain d USING (domain)), {level("by_host", "host_in")}
 SELECT s.page_id, s.host, s.path, s.fit.rule AS rule, coalesce(h.rate, d.rate, u.rate, every.rate) AS bad_rate, coalesce(h.lower, d.lower, u.lower, every.lower) AS bad_lower,
   coalesce(s.fit.verdict, CASE WHEN coalesce(h.lower, d.lower, u.lower, every.lower) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM split s CROSS JOIN every LEFT JOIN by_host h ON h.host = s.host LEFT JOIN by_domain d ON d.domain = s.domain LEFT JOIN by_suffix u ON u.suffix = s.suffix
