@@ -65,7 +65,7 @@ class Curves:
     def __init__(self, sample: np.ndarray, curves: int, seed: int = 7):
         rng, d = np.random.default_rng(seed), sample.shape[1]
         self.turns = [np.linalg.qr(rng.normal(size=(d, d)))[0][:, :DIMS] for _ in range(curves)]
-        self.shifts = rng.random((curves, DIMS)) * 0.5
+        self.shifts = rng.random((curves, min(d, DIMS))) * 0.5
         seen = [sample @ t for t in self.turns]
         self.means = [s.mean(0) for s in seen]
         self.scales = [np.maximum(s.std(0), 1e-12) for s in seen]
