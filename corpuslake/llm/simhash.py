@@ -46,14 +46,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp: a narrow map over whole texts."""
+    """doc_id, rk (hash of the text), fp: a narrow map over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(fps, pa.int64())], ["doc_id", "rk", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -64,15 +64,20 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
 
 
+def _named(marked: DataFrame) -> DataFrame:
+    """fp, component_id, keeper: each distinct fingerprint with the first document (doc_id, then rk) of its component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
+    distinct = checkpointed(marked.groupBy("fp").agg(first.alias("first")))
+    roots = components(links(distinct.select("fp")))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.rk").alias("keeper"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id: a row for each document."""
     marked = checkpointed(fingerprints(docs, shingle))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(_named(marked), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp") -> F.Column:
@@ -80,11 +85,13 @@ def hex_digits(fp: str = "fp") -> F.Column:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` without all but the first document, by doc_id, of each component. Of rows that share the
-    kept doc_id one stays; documents without doc_id stay only if their whole component has none."""
-    kept = near_duplicates(docs, shingle).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = kept.withColumnRenamed("doc_id", "kept_id")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    repeated = stay.filter("copies > 1").dropDuplicates(["doc_id"])
+    """``docs`` without all but the first document, by doc_id, of each component: rows without doc_id come last, and of
+    equal doc_ids one with the least hash of its text stays."""
+    marked = checkpointed(fingerprints(docs, shingle))
+    copies = marked.groupBy("doc_id", "rk").agg(F.count("*").alias("copies"))
+    kept = _named(marked).select("component_id", "keeper").distinct()
+    kept = kept.join(copies, F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper") == F.col("rk"))).select("component_id", "keeper", "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"))
+    stay = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("rk") == F.col("keeper")))
+    repeated = stay.filter("copies > 1").dropDuplicates(["doc_id", "rk"])
     return stay.filter("copies = 1").union(repeated).select("row.*")
