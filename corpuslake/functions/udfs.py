@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -57,12 +59,7 @@ def embed(df: DataFrame, column: str, out: str = "embedding", embedder: Callable
 class Spans:
     """Matches of several patterns in a text, with their half-open code point offsets. Patterns: a JSON list of [kind, pattern]."""
 
-    def eval(self, text: pd.Series, patterns: pd.Series):
-        import json
-        import re
-
-        for t, p in zip(text, patterns):
-            rows = [(kind, m.group(0), m.start(), m.end()) for kind, pattern in json.loads(p) for m in re.finditer(pattern, t or "")]
-            yield pd.DataFrame(rows, columns=["kind", "literal", "first", "last"])
-
-
+    def eval(self, text: str, patterns: str):
+        for kind, pattern in json.loads(patterns):
+            for m in re.finditer(pattern, text or ""):
+                yield kind, m.group(0), m.start(), m.end()
