@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.common import checkpointed, slices, staged
+from corpuslake.llm.common import slices, staged
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -134,14 +134,13 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     """at_id, at_rk, spans: for each document (doc_id and hash of its text) with repeated windows, packed
     pairs (first window * 2**31 + last window)."""
     every = staged(all_runs(docs, length, seed), "runs")
-    # Checkpoints keep these joins apart from the sums before them: a hot anchor's rows can then be split between tasks.
-    often = checkpointed(every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
+    often = every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
     seeds = staged(every.join(often, "anchor", "left_semi"), "seeds")
     kinds = staged(seeds.groupBy("anchor", "span").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "rk", "first", "last"))), "kinds")
     whole = seeds.join(kinds.filter("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("doc_id", "rk", "first", "last")
-    differing = checkpointed(kinds.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor"))
+    differing = kinds.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor")
     windows = staged(_windows(docs, kinds.join(differing, "anchor", "left_semi"), length), "windows")
-    twice = checkpointed(windows.groupBy("anchor", "window").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor", "window"))
+    twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor", "window")
     single = windows.filter("n = 1").join(twice, ["anchor", "window"], "left_semi").select("doc_id", "rk", "first", F.col("first").alias("last"))
     packed = F.col("first").cast("long") * (1 << 31) + F.col("last")
     return whole.union(single).groupBy(F.col("doc_id").alias("at_id"), F.col("rk").alias("at_rk")).agg(F.collect_list(packed).alias("spans"))
