@@ -29,20 +29,44 @@ from corpuslake.llm.components import components
 SEED = 42
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 16
+#: For copies with edits: 32-bit fingerprints of word pairs (an even number); hashes kept of a text's five-word shingles; and the least similarity of near copies. Texts of up to
+#: SKETCH shingles are compared exactly, longer ones with a standard error of 0.035.
+TABLES, SKETCH, SIMILAR, CENTRES = 6, 128, 0.8, 4
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed 64-bit number."""
+    n, counts = len(hashes), np.zeros(64, dtype=np.int64)
+    for i in range(0, n, BLOCK):
+        counts += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=max(1, len(words) - shingle + 1))
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """A bit is 1 where over half of the shingles' XXH64 hashes have it. Signed, as Spark's long."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
+    return _majority(_hashes(words, shingle)) if words else 0
+
+
+def prints(text: str | None) -> tuple[list[int], list[int]]:
+    """TABLES independent 32-bit fingerprints of the pairs of neighbouring words, and the SKETCH least 32-bit hashes of the five-word shingles."""
+    words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=n)
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, BLOCK):
-        counts += np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        return [0] * TABLES, []
+    x, out = _hashes(words, 2), []
+    while len(out) < TABLES:
+        both = _majority(x)
+        out += [both & 0xFFFFFFFF, both >> 32 & 0xFFFFFFFF]
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+    least = np.unique((_hashes(words, 5) >> np.uint64(33)).astype(np.int32))
+    return out, least[:SKETCH].tolist()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -56,12 +80,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all of the distinct fingerprints ``fp`` within 2 bits of each other."""
-    ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))
-    met = distinct.select("fp", F.explode(ball).alias("variant")).groupBy("variant").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.collect_list("fp").alias("owners")).filter("least < most")
-    pairs = met.select(F.explode("owners").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
-    return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
+def links(distinct: DataFrame, bits: int = 64, centres: int = 1) -> DataFrame:
+    """Edges (u, v), u above v, that connect all of the distinct fingerprints ``fp`` within 2 bits of each other.
+
+    A meeting point's owners are linked to ``centres`` of them, the first by a hash of owner and point: which ones differs from point to point, so that with some
+    centres two owners that share several points are mostly linked directly too."""
+    ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(bits)))
+    met = distinct.select("fp", F.explode(ball).alias("variant")).groupBy("variant").agg(F.collect_list("fp").alias("owners")).filter(F.size("owners") > 1)
+    ordered = F.array_sort(F.transform("owners", lambda o: F.struct(F.xxhash64(o, F.col("variant")).alias("order"), o.alias("fp"))))
+    first = met.select("owners", F.slice(ordered, 1, centres)["fp"].alias("first"))
+    pairs = first.select(F.explode(F.flatten(F.transform("first", lambda c: F.transform("owners", lambda o: F.struct(o.alias("u"), c.alias("v")))))).alias("p")).select("p.u", "p.v").filter("u <> v")
+    down = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return down.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
 
 
 def _named(marked: DataFrame) -> DataFrame:
@@ -84,14 +114,55 @@ def hex_digits(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` without all but the first document, by doc_id, of each component: rows without doc_id come last, and of
-    equal doc_ids one with the least hash of its text stays."""
-    marked = checkpointed(fingerprints(docs, shingle))
+def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(marked, keepers): marked has doc_id, rk; keepers has rk (of each distinct text) and the component_id and keeper, its rk, of
+    the first document that the text is a near copy of, itself included.
+
+    One long fingerprint moves too far with a few edits, so there are several short ones, of word pairs: texts of similarity 0.8 differ in about 9 bits of 100, and are within 2
+    bits of 32 in one of six tables or more 99 times in 100. Texts that share a fingerprint are linked to the first and the last of them, fingerprints within 2 bits as in ``links``, and each link is
+    verified: the five-word shingles of both texts must have a similarity of SIMILAR or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made, sketches = zip(*(prints(t) for t in batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(made, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "rk", "prints", "sketch"])
+
+    # Texts without words are all alike, whatever white space they have.
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+$", "")
+    marked = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(bare).alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, prints array<long>, sketch array<int>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    texts = checkpointed(marked.groupBy("rk").agg(first.alias("first"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch")))
+    found = None
+    for t in range(TABLES):
+        own = texts.select("rk", F.col("prints")[t].alias("fp"))
+        # Two texts stand for all that share a fingerprint; few do but copies that differ in case or white space.
+        ends = checkpointed(own.groupBy("fp").agg(F.min("rk").alias("least"), F.max("rk").alias("most")))
+        stand = F.array_distinct(F.array("least", "most"))
+        same = own.join(ends.filter("least < most"), "fp").select(F.col("rk").alias("u"), F.explode(stand).alias("v"))
+        of = lambda end, name: ends.select(F.col("fp").alias(end), stand.alias(name))
+        near = links(ends.select("fp"), 32, CENTRES).join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.explode("a").alias("u"), "b").select("u", F.explode("b").alias("v"))
+        both = same.union(near).filter("u <> v")
+        found = both if found is None else found.union(both)
+    pairs = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    of = lambda end, name: texts.select(F.col("rk").alias(end), F.col("sketch").alias(name))
+    met = pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").withColumn("all", F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH))
+    shared = F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("all")))
+    real = met.filter((shared >= SIMILAR * F.size("all")) & (F.size("all") > 0))
+    roots = components(real.select("u", "v"))
+    rooted = texts.select("rk", "first").join(roots.withColumnRenamed("node", "rk"), "rk", "left").select("rk", "first", F.coalesce("root", "rk").alias("root"))
+    head = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "rk")).alias("head"))
+    return marked.select("doc_id", "rk"), rooted.select("rk", "root").join(head, "root").select("rk", F.col("head.doc_id").alias("component_id"), F.col("head.rk").alias("keeper"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without all but the first document, by doc_id, of each group of near copies (``edited_copies``): rows without doc_id come
+    last, and of equal doc_ids one with the least hash of its text stays."""
+    marked, heads = edited_copies(docs)
     copies = marked.groupBy("doc_id", "rk").agg(F.count("*").alias("copies"))
-    kept = _named(marked).select("component_id", "keeper").distinct()
+    kept = heads.select("component_id", "keeper").distinct()
     kept = kept.join(copies, F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper") == F.col("rk"))).select("component_id", "keeper", "copies")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"))
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+$", "")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(bare).alias("rk"))
     stay = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("rk") == F.col("keeper")))
     repeated = stay.filter("copies > 1").dropDuplicates(["doc_id", "rk"])
     return stay.filter("copies = 1").union(repeated).select("row.*")

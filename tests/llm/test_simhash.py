@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -80,3 +81,15 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and all(got[i] == 1000 for i in range(1001, 1100)) and got[2000] == 1999
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert simhash.fingerprints(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("A").alias("text"))).first().fp & (1 << 64) - 1 == brute("a")
+
+
+def test_edited_copies(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    edits = lambda n: " ".join("new" + w if i % (400 // n) == 7 else w for i, w in enumerate(words))
+    mixed = words[:]
+    rng.shuffle(mixed)
+    other = " ".join(f"v{rng.randrange(3000)}" for _ in range(400))
+    rows = [(9, " ".join(words)), (3, edits(2)), (4, edits(4)), (5, edits(40)), (6, " ".join(mixed)), (7, other), (8, " ".join(words).upper())]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 7]  # 40 edits leave a similarity of a third
