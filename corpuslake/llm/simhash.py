@@ -29,9 +29,11 @@ from corpuslake.llm.components import components
 SEED = 42
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 16
-#: For copies with edits: 32-bit fingerprints of word pairs (an even number); hashes kept of a text's five-word shingles; and the least similarity of near copies. Texts of up to
-#: SKETCH shingles are compared exactly, longer ones with a standard error of 0.035.
-TABLES, SKETCH, SIMILAR, CENTRES = 6, 128, 0.8, 4
+#: For copies with edits: bands, least hashes in a band's key, hashes kept of a text's five-word shingles, and the least similarity of near copies.
+#: Two texts at SIMILAR share no key once in a million times. Texts of up to SKETCH shingles are compared exactly, longer ones with a standard error of 0.035.
+BANDS, ROWS, SKETCH, SIMILAR = 26, 4, 128, 0.8
+_MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -53,20 +55,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return _majority(_hashes(words, shingle)) if words else 0
 
 
-def prints(text: str | None) -> tuple[list[int], list[int]]:
-    """TABLES independent 32-bit fingerprints of the pairs of neighbouring words, and the SKETCH least 32-bit hashes of the five-word shingles."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of the five-word shingles, in order."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return [0] * TABLES, []
-    x, out = _hashes(words, 2), []
-    while len(out) < TABLES:
-        both = _majority(x)
-        out += [both & 0xFFFFFFFF, both >> 32 & 0xFFFFFFFF]
-        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(32)
-    least = np.unique((_hashes(words, 5) >> np.uint64(33)).astype(np.int32))
-    return out, least[:SKETCH].tolist()
+    return np.unique(_hashes(words, 5)) if words else np.empty(0, dtype="<u8")
+
+
+def band_keys(x: np.ndarray) -> list[int]:
+    """A key for each band: the least of the set's hashes under ROWS orders. Sets of similarity s share a band's key with probability s to the power ROWS."""
+    if not len(x):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(x), 1024):
+        np.minimum(least, ((x[None, i : i + 1024] ^ _FLIP) * _MULTIPLY).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -114,41 +116,63 @@ def hex_digits(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of texts whose five-word shingles have a similarity of SIMILAR or more."""
+    of = lambda end, name: texts.select(F.col("rk").alias(end), F.col("sketch").alias(name))
+    met = pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").withColumn("all", F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH))
+    shared = F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("all")))
+    return checkpointed(met.filter(shared / F.size("all") >= SIMILAR).select("u", "v"))
+
+
+def _down(pairs: DataFrame) -> DataFrame:
+    """Each pair once, without those whose sizes m, n alone keep them apart."""
+    alike = F.least("m", "n") / F.greatest("m", "n") >= SIMILAR
+    return pairs.filter((F.col("u") != F.col("v")) & alike).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(marked, keepers): marked has doc_id, rk; keepers has rk (of each distinct text) and the component_id and keeper, its rk, of
     the first document that the text is a near copy of, itself included.
 
-    One long fingerprint moves too far with a few edits, so there are several short ones, of word pairs: texts of similarity 0.8 differ in about 9 bits of 100, and are within 2
-    bits of 32 in one of six tables or more 99 times in 100. Texts that share a fingerprint are linked to the first and the last of them, fingerprints within 2 bits as in ``links``, and each link is
-    verified: the five-word shingles of both texts must have a similarity of SIMILAR or more."""
+    One long fingerprint moves too far with a few edits, so texts meet by the band keys of their five-word shingles, and each link is verified by the
+    similarity of these. Of the texts that share a key each is compared with the first; where that leaves them in several components, with one more, another one for each key;
+    and where there are several components still, every text with all of the others. So no two texts that share a key stay apart unless they were compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made, sketches = zip(*(prints(t) for t in batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(made, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "rk", "prints", "sketch"])
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            sketches = [np.unique((x >> np.uint64(33)).astype(np.int32))[:SKETCH].tolist() for x in sets]
+            made = [pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *made], ["doc_id", "rk", "n", "keys", "sketch"])
 
     # Texts without words are all alike, whatever white space they have.
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+$", "")
-    marked = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(bare).alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, prints array<long>, sketch array<int>"))
+    marked = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(bare).alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, n long, keys array<long>, sketch array<int>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    texts = checkpointed(marked.groupBy("rk").agg(first.alias("first"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch")))
-    found = None
-    for t in range(TABLES):
-        own = texts.select("rk", F.col("prints")[t].alias("fp"))
-        # Two texts stand for all that share a fingerprint; few do but copies that differ in case or white space.
-        ends = checkpointed(own.groupBy("fp").agg(F.min("rk").alias("least"), F.max("rk").alias("most")))
-        stand = F.array_distinct(F.array("least", "most"))
-        same = own.join(ends.filter("least < most"), "fp").select(F.col("rk").alias("u"), F.explode(stand).alias("v"))
-        of = lambda end, name: ends.select(F.col("fp").alias(end), stand.alias(name))
-        near = links(ends.select("fp"), 32, CENTRES).join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.explode("a").alias("u"), "b").select("u", F.explode("b").alias("v"))
-        both = same.union(near).filter("u <> v")
-        found = both if found is None else found.union(both)
-    pairs = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    of = lambda end, name: texts.select(F.col("rk").alias(end), F.col("sketch").alias(name))
-    met = pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").withColumn("all", F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH))
-    shared = F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("all")))
-    real = met.filter((shared >= SIMILAR * F.size("all")) & (F.size("all") > 0))
-    roots = components(real.select("u", "v"))
+    texts = checkpointed(marked.groupBy("rk").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n", "keys", "sketch"))))
+    owned = texts.select(F.explode("keys").alias("key"), "rk", "n")
+    one = F.struct("rk", "n")
+    several = owned.groupBy("key").agg(F.min(one).alias("head"), F.max("rk").alias("most")).filter("head.rk < most").select("key", "head")
+    shared = checkpointed(owned.join(several, "key"))
+
+    def still_apart() -> DataFrame:
+        """key, rk, n, root of the texts that share a key, where they are in several components."""
+        rooted = shared.drop("head").join(roots.withColumnRenamed("node", "rk"), "rk", "left").withColumn("root", F.coalesce("root", "rk"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        return checkpointed(rooted.join(apart, "key"))
+
+    real = _verified(_down(shared.select(F.col("rk").alias("u"), F.col("n").alias("m"), F.col("head.rk").alias("v"), F.col("head.n").alias("n"))), texts)
+    roots = components(real)
+    apart = still_apart()
+    others = apart.groupBy("key").agg(F.min_by(F.struct("rk", "n", "root"), F.xxhash64("rk", "key")).alias("o"))
+    second = apart.join(others, "key").filter("root <> o.root").select(F.col("rk").alias("u"), F.col("n").alias("m"), F.col("o.rk").alias("v"), F.col("o.n").alias("n"))
+    real = real.union(_verified(_down(second), texts))
+    roots = components(real)
+    sides = still_apart().groupBy("key", "root").agg(F.collect_list(one).alias("texts"))
+    across = sides.select("key", F.col("root").alias("ru"), F.col("texts").alias("us")).join(sides.select("key", "root", "texts"), "key").filter("ru < root")
+    third = across.select(F.explode("us").alias("a"), "texts").select("a", F.explode("texts").alias("b")).select(F.col("a.rk").alias("u"), F.col("a.n").alias("m"), F.col("b.rk").alias("v"), F.col("b.n").alias("n"))
+    real = real.union(_verified(_down(third), texts))
+    roots = components(real)
     rooted = texts.select("rk", "first").join(roots.withColumnRenamed("node", "rk"), "rk", "left").select("rk", "first", F.coalesce("root", "rk").alias("root"))
     head = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "rk")).alias("head"))
     return marked.select("doc_id", "rk"), rooted.select("rk", "root").join(head, "root").select("rk", F.col("head.doc_id").alias("component_id"), F.col("head.rk").alias("keeper"))

@@ -93,3 +93,45 @@ def test_edited_copies(spark):
     rows = [(9, " ".join(words)), (3, edits(2)), (4, edits(4)), (5, edits(40)), (6, " ".join(mixed)), (7, other), (8, " ".join(words).upper())]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6, 7]  # 40 edits leave a similarity of a third
+
+
+def kept_by_brute_force(rows):
+    """The doc_ids that stay of (doc_id, text): the least of each component of texts at a similarity of 0.8 of their five-word shingles."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return sorted(least.values())
+
+
+def test_copies_among_texts_with_a_hot_line(spark):
+    rng = random.Random(8)
+    line = " ".join(f"hot{i}" for i in range(13))
+    body = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for i in range(60):  # the repeated line decides all fingerprints of word pairs; the shingle sets differ
+        words = body(60)
+        rows.append((3 * i, " ".join([line] * 40 + words)))
+        if i % 3 == 0:
+            rows.append((3 * i + 1, " ".join([line] * 40 + words[:30] + ["edit"] + words[31:])))
+    base = body(200)
+    for i in range(40):  # one group: like its base, less like each other
+        words = base[:]
+        for at in rng.sample(range(200), 4):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(words)))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
