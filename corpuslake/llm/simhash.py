@@ -29,9 +29,9 @@ from corpuslake.llm.components import components
 SEED = 42
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 16
-#: For copies with edits: bands, least hashes in a band's key, hashes kept of a text's five-word shingles, and the least similarity of near copies.
-#: Two texts at SIMILAR share no key once in a million times. Texts of up to SKETCH shingles are compared exactly, longer ones with a standard error of 0.035.
-BANDS, ROWS, SKETCH, SIMILAR = 26, 4, 128, 0.8
+#: For copies with edits: bands, least hashes in a band's key, hashes kept of a text's five-word shingles, the least similarity of near copies, and the least
+#: similarity of the kept hashes (standard error 0.035 at most) of pairs that are worth a comparison of all. Two texts at SIMILAR share no key once in a million times.
+BANDS, ROWS, SKETCH, SIMILAR, LIKELY = 26, 4, 128, 0.8, 0.6
 _MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 
@@ -116,12 +116,25 @@ def hex_digits(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of texts whose five-word shingles have a similarity of SIMILAR or more."""
-    of = lambda end, name: texts.select(F.col("rk").alias(end), F.col("sketch").alias(name))
-    met = pairs.join(of("u", "x"), "u").join(of("v", "y"), "v").withColumn("all", F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH))
-    shared = F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("all")))
-    return checkpointed(met.filter(shared / F.size("all") >= SIMILAR).select("u", "v"))
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    """rk, shingles: all of the distinct hashes of each distinct text of ``docs`` (rk, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            sets = [shingle_set(t).view("<i8") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(sets, pa.list_(pa.int64()))], ["rk", "shingles"])
+
+    return docs.mapInArrow(run, "rk long, shingles array<long>").groupBy("rk").agg(F.first("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of texts whose five-word shingles have a similarity of SIMILAR or more: of those that the sketches don't keep far apart, all shingles are compared."""
+    of = lambda df, end, name: df.select(F.col("rk").alias(end), F.col(df.columns[1]).alias(name))
+    rough = pairs.join(of(sketches, "u", "x"), "u").join(of(sketches, "v", "y"), "v").withColumn("all", F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH))
+    likely = checkpointed(rough.filter(F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("all"))) / F.size("all") >= LIKELY).select("u", "v"))
+    met = likely.join(of(sets, "u", "x"), "u").join(of(sets, "v", "y"), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    return checkpointed(met.filter(common / (F.size("x") + F.size("y") - common) >= SIMILAR).select("u", "v"))
 
 
 def _down(pairs: DataFrame) -> DataFrame:
@@ -154,6 +167,9 @@ def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = F.struct("rk", "n")
     several = owned.groupBy("key").agg(F.min(one).alias("head"), F.max("rk").alias("most")).filter("head.rk < most").select("key", "head")
     shared = checkpointed(owned.join(several, "key"))
+    meet = shared.select("rk").distinct()
+    sketches = texts.select("rk", "sketch")
+    sets = checkpointed(_shingle_sets(docs.select(F.xxhash64(bare).alias("rk"), "text").join(meet, "rk", "left_semi")))
 
     def still_apart() -> DataFrame:
         """key, rk, n, root of the texts that share a key, where they are in several components."""
@@ -161,17 +177,17 @@ def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         return checkpointed(rooted.join(apart, "key"))
 
-    real = _verified(_down(shared.select(F.col("rk").alias("u"), F.col("n").alias("m"), F.col("head.rk").alias("v"), F.col("head.n").alias("n"))), texts)
+    real = _verified(_down(shared.select(F.col("rk").alias("u"), F.col("n").alias("m"), F.col("head.rk").alias("v"), F.col("head.n").alias("n"))), sketches, sets)
     roots = components(real)
     apart = still_apart()
     others = apart.groupBy("key").agg(F.min_by(F.struct("rk", "n", "root"), F.xxhash64("rk", "key")).alias("o"))
     second = apart.join(others, "key").filter("root <> o.root").select(F.col("rk").alias("u"), F.col("n").alias("m"), F.col("o.rk").alias("v"), F.col("o.n").alias("n"))
-    real = real.union(_verified(_down(second), texts))
+    real = real.union(_verified(_down(second), sketches, sets))
     roots = components(real)
     sides = still_apart().groupBy("key", "root").agg(F.collect_list(one).alias("texts"))
     across = sides.select("key", F.col("root").alias("ru"), F.col("texts").alias("us")).join(sides.select("key", "root", "texts"), "key").filter("ru < root")
     third = across.select(F.explode("us").alias("a"), "texts").select("a", F.explode("texts").alias("b")).select(F.col("a.rk").alias("u"), F.col("a.n").alias("m"), F.col("b.rk").alias("v"), F.col("b.n").alias("n"))
-    real = real.union(_verified(_down(third), texts))
+    real = real.union(_verified(_down(third), sketches, sets))
     roots = components(real)
     rooted = texts.select("rk", "first").join(roots.withColumnRenamed("node", "rk"), "rk", "left").select("rk", "first", F.coalesce("root", "rk").alias("root"))
     head = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "rk")).alias("head"))

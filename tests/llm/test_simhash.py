@@ -135,3 +135,18 @@ def test_copies_among_texts_with_a_hot_line(spark):
         rows.append((1000 + i, " ".join(words)))
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
+
+
+def test_long_copies_near_the_threshold(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):  # 1000 words; 22 and 25 edits leave similarities of about 0.80 and 0.78
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        rows.append((2 * i, " ".join(words)))
+        for at in range(20, 1000, 1000 // (22 if i % 2 else 25)):
+            words[at] = "new" + words[at]
+        rows.append((2 * i + 1, " ".join(words)))
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = kept_by_brute_force(rows)
+    assert 70 < len(want) < 110
+    assert sorted(r.doc_id for r in kept.collect()) == want
