@@ -2,8 +2,9 @@
 
 A page is read into text nodes with their root-to-leaf tag paths. Text length and punctuation are aggregated
 for each path; their ratios are smoothed over the page, fused and compared with the page's mean; paths
-above it are content. The element that holds most of the content then gives the article: all of its
-blocks, short ones too, but for elements that are no article text by their tag, role, class or id.
+above it are content. The article is the article or main element that holds most of the content, or else the least
+element that holds all content and headings: all of its blocks, short ones too, but for elements that are no article
+text by their tag, role, class or id.
 
 Defined results: a null or empty html, or one without text, gives an empty string; cut pages are read as far as they go; repeated
 rows are alike; a null page_id or url is kept; an empty table gives no rows; extra columns are ignored. No text is dropped
@@ -47,14 +48,15 @@ PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、；：！？\"“”«»()]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<]*\Z")
+_HEADING = re.compile(r"/h[1-6](?:/|\Z)")
 _SPACE_OR_TEXT = re.compile(r"\S")
 
 
 class Element:
-    __slots__ = ("tag", "up", "path", "out", "article", "weight")
+    __slots__ = ("tag", "up", "path", "out", "article")
 
     def __init__(self, tag: str, up: Element | None, attributes: str):
-        self.tag, self.up, self.weight = tag, up, 0.0
+        self.tag, self.up = tag, up
         self.path = f"{up.path}/{tag}" if up else tag
         self.article = tag in ("article", "main") or bool(up and up.article)
         self.out = bool(up and up.out) or tag in NO_TEXT or (tag == "header" and not self.article)
@@ -143,25 +145,35 @@ def _scores(nodes: list[tuple[Element, str, int]]) -> dict[str, float]:
     return dict(zip(paths, fused * np.sqrt(n)))
 
 
+def _content(nodes: list[tuple[Element, str, int]]) -> list[tuple[Element, int]]:
+    """(element, size) of the text nodes whose paths score as content."""
+    scores = _scores(nodes)
+    if not scores:
+        return []
+    line = np.mean(list(scores.values())) * 0.5
+    return [(element, len(text)) for element, text, _ in nodes if scores.get(element.path, 0) >= line and _SPACE_OR_TEXT.search(text)]
+
+
+def _weights(sizes: list[tuple[Element, int]]) -> dict[Element, int]:
+    """The sum of sizes in each element, from the inner ones out."""
+    weights: dict[Element, int] = defaultdict(int)
+    for element, size in sizes:
+        while element is not None:
+            weights[element] += size
+            element = element.up
+    return weights
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = [x for x in _read(page) if not x[0].out]
-    scores = _scores(nodes)
-    if not scores:
+    content = _content(nodes)
+    if not content:
         return ""
-    line = np.mean(list(scores.values())) * 0.5
-    total, order = 0.0, []
-    for element, text, _ in nodes:
-        if scores.get(element.path, 0) >= line and _SPACE_OR_TEXT.search(text):
-            size = len(text)
-            total += size
-            while element is not None:
-                if not element.weight:
-                    order.append(element)
-                element.weight += size
-                element = element.up
-    best = max((e for e in order if e.tag in HOLDERS and e.weight >= 0.6 * total), key=lambda e: e.path.count("/"))
+    weights = _weights(content)
+    total = sum(size for _, size in content)
+    best = max((e for e, w in weights.items() if e.tag in HOLDERS and w >= 0.6 * total), key=lambda e: e.path.count("/"))
     for kind in ("article", "main"):
         up = best
         while up is not None and up.tag != kind:
@@ -169,6 +181,12 @@ def main_text(page: str | None) -> str:
         if up is not None:
             best = up
             break
+    else:
+        # Sections beside the largest one, and titles over it, are the article's too.
+        wanted = _weights([*content, *((e, 1) for e, text, _ in nodes if _HEADING.search(e.path) and _SPACE_OR_TEXT.search(text))])
+        every = max(wanted.values())
+        while best.up is not None and (wanted[best] < every or best.tag not in HOLDERS):
+            best = best.up
     blocks: dict[int, list[str]] = defaultdict(list)
     for element, text, block in nodes:
         up = element

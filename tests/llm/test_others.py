@@ -126,6 +126,15 @@ def test_main_text():
     assert html_text.main_text("<body><article><p>cut off in the mid") == "cut off in the mid"
 
 
+def test_pages_without_article_keep_all_sections():
+    long, short = "A sentence of the text, with marks. " * 8, "Another one, shorter; still text. " * 5
+    assert html_text.main_text(f"<body><h1>Title</h1><div class=text><p>{long}</p></div></body>") == "Title\n" + long.strip()
+    assert html_text.main_text(f"<body><div id=content><section><p>{long}</p></section><section><p>{short}</p></section></div></body>") == long.strip() + "\n" + short.strip()
+    for tag in ("blockquote", "div"):
+        assert html_text.main_text(f"<body><div><p>{short}</p><{tag}><p>{long}</p></{tag}></div><nav>Home</nav></body>") == short.strip() + "\n" + long.strip()
+    assert html_text.main_text(f"<body><table><tr><td><p>{long}</p></td><td><p>{short}</p></td></tr></table></body>") == long.strip() + "\n" + short.strip()
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
