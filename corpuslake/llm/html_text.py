@@ -4,7 +4,7 @@ A page is read into text nodes with their root-to-leaf tag paths. Text length an
 for each path; their ratios are smoothed over the page, fused and compared with the page's mean; paths
 above it are content. The article is the article or main element that holds most of the content, or else the least
 element that holds all content and headings: all of its blocks, short ones too, but for elements that are no article
-text by their tag, role, class or id.
+text by their tag, role, class or id. An element that holds most of the content isn't left out for its class or id.
 
 Defined results: a null or empty html, or one without text, gives an empty string; cut pages are read as far as they go; repeated
 rows are alike; a null page_id or url is kept; an empty table gives no rows; extra columns are ignored. No text is dropped
@@ -32,13 +32,14 @@ BLOCKS = frozenset("address article aside blockquote body caption dd details dia
 #: A start tag closes open elements of these kinds, as far as the nearest of the barriers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 END_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
-#: Elements that are never part of an article, by tag, role, and words of class or id.
+#: Elements that are never part of an article, by tag, role, and whole names in class or id: "sidebar", "left-sidebar" and "sidebar-menu", but not "has-sidebar".
 NO_TEXT = frozenset("head script style noscript template svg canvas object iframe noframes select option datalist button input textarea nav footer aside form dialog menu label fieldset".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NO_CLASS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertis\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|side-?bar\w*|menus?|nav|navs|navbar\w*|navigation|breadcrumbs?|footers?|site-?header|page-?header|top-?bar|masthead"
+    r"(?:^|\s)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|header|footer|mobile|desktop|inline|post|entry|article|blog|user|author|wp|js|google|email|cookie|social|nav)[-_])*(?:ads?|adverts?|advertis\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|side-?bar\w*|menus?|nav|navs|navbar\w*|navigation|breadcrumbs?|footers?|site-?header|page-?header|top-?bar|masthead"
     r"|cookies?\w*|consent|gdpr|notices?|notification\w*|alerts?|popups?|pop-up|modals?|overlay|newsletters?|subscri\w*|paywall|shar(?:e|es|ing)|social\w*|related|recommend\w*|read-?more|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond"
-    r"|pagination|pager|widgets?|toolbar|skip-?link|login|log-in|signup|sign-up|search\w*|tag-?cloud|toc-?nav|hidden|sr-only|visually-hidden)(?:$|[-_\s])",
+    r"|pagination|pager|widgets?|toolbar|skip-?link|login|log-in|signup|sign-up|search\w*|tag-?cloud|toc-?nav|hidden|sr-only|visually-hidden)"
+    r"(?:[-_](?:ads?|bars?|box|banner|notice|consent|popup|modal|overlay|message|container|wrapper|wrap|inner|outer|area|section|block|body|content|header|footer|title|heading|list|links?|items?|menu|nav|navigation|toggle|widgets?|form|button|btn|buttons|icons?|media|posts?|articles?|stories|reading|signup|text|left|right|top|bottom|main|primary|secondary|[0-9]+))*(?=$|\s)",
     re.I,
 )
 WHOLE = frozenset("html body main article".split())
@@ -53,13 +54,14 @@ _SPACE_OR_TEXT = re.compile(r"\S")
 
 
 class Element:
-    __slots__ = ("tag", "up", "path", "out", "article")
+    __slots__ = ("tag", "up", "path", "out", "article", "named")  # named: those of the element and its ancestors that NO_CLASS names
 
     def __init__(self, tag: str, up: Element | None, attributes: str):
         self.tag, self.up = tag, up
         self.path = f"{up.path}/{tag}" if up else tag
         self.article = tag in ("article", "main") or bool(up and up.article)
         self.out = bool(up and up.out) or tag in NO_TEXT or (tag == "header" and not self.article)
+        self.named = up.named if up else ()
         if attributes and not self.out:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), a or b or c
@@ -67,8 +69,8 @@ class Element:
                     self.out |= value.lower() in NO_ROLE
                 elif name == "hidden" or name == "aria-hidden":
                     self.out |= value.lower() != "false" and (name == "hidden" or value.lower() == "true")
-                elif tag not in WHOLE:
-                    self.out |= bool(NO_CLASS.search(value))
+                elif tag not in WHOLE and self not in self.named and NO_CLASS.search(value):
+                    self.named += (self,)
 
 
 def _read(page: str) -> list[tuple[Element, str, int]]:
@@ -164,10 +166,20 @@ def _weights(sizes: list[tuple[Element, int]]) -> dict[Element, int]:
     return weights
 
 
+def _meant(content: list[tuple[Element, int]]) -> set[Element]:
+    """The elements named as no article text that hold most of the content all the same, and aren't beside text of an article or main element."""
+    weights, total = _weights(content), sum(size for _, size in content)
+    most = {v for e, _ in content for v in e.named if 2 * weights[v] > total}
+    return {v for v in most if not any(e.article and v not in e.named for e, _ in content)}
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = [x for x in _read(page) if not x[0].out]
+    if any(e.named for e, _, _ in nodes):
+        meant = _meant(_content(nodes))
+        nodes = [x for x in nodes if meant.issuperset(x[0].named)]
     content = _content(nodes)
     if not content:
         return ""

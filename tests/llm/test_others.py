@@ -135,6 +135,21 @@ def test_pages_without_article_keep_all_sections():
     assert html_text.main_text(f"<body><table><tr><td><p>{long}</p></td><td><p>{short}</p></td></tr></table></body>") == long.strip() + "\n" + short.strip()
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-comments", "post comments-open", "related-to-x", "search-engines", "sidebar"])
+def test_wrappers_that_only_mention_a_part_stay(name):
+    text = "A sentence of the text, with marks. " * 7
+    for key in ("class", "id"):
+        assert html_text.main_text(f'<body><div {key}="{name}"><h1>Title</h1><p>{text}</p></div><div class="footer">Foot</div></body>') == "Title\n" + text.strip()
+        if name != "sidebar":
+            assert html_text.main_text(f'<body><div><p>{text}</p></div><div {key}="{name}"><p>Short, but text.</p></div></body>') == text.strip() + "\nShort, but text."
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "post-comments", "cookie-notice", "nav-links", "x menu-item", "site_footer", "social-share-buttons", "hidden y"])
+def test_parts_named_as_no_article_text_go(name):
+    text = "A sentence of the text, with marks. " * 7
+    assert html_text.main_text(f'<body><div><p>{text}</p></div><div class="{name}"><p>Short, but text.</p></div></body>') == text.strip()
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
