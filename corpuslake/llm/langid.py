@@ -3,7 +3,7 @@
 Texts become counts of their 1- to 3-grams of lower-cased letters, words apart, hashed to ``DIMS`` buckets;
 counts are damped, weighed by inverse document frequency and normalised. Document frequencies cover all
 labelled rows. Each language's centroids come from spherical k-means over a bounded sample of
-its labelled rows (``per_language`` expected, chosen by a hash). A text goes to the language of the centroid
+its distinct labelled texts (``per_language`` at most, by the least hashes). A text goes to the language of the centroid
 with the largest cosine; it is rejected where that is far below what the centroid's own members have.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text if nothing is
@@ -20,13 +20,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import slices
 
 DIMS = 4096
-#: Expected rows of each language that centroids are fitted on.
+#: Most distinct texts of each language that centroids are fitted on.
 PER_LANGUAGE = 250
 CENTROIDS = 8
 ROUNDS = 12
@@ -130,8 +130,11 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
         return None
     seen, n = document_frequencies(labelled)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    share = F.element_at(F.create_map(*(F.lit(v) for r in sizes for v in (r.lang, min(1.0, per_language / r.rows)))), F.col("lang"))
-    chosen = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30))
+    # So many distinct texts of each language at most, by the least hashes; copies count once, and any language has one.
+    marked = labelled.withColumn("h", F.xxhash64("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = marked.select("lang", "h").distinct().withColumn("n", order).filter(F.col("n") <= per_language).select("lang", "h")
+    chosen = marked.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _vectors(np.array([gram_counts(t)[0] for t in sorted(pdf.text)]), idf)

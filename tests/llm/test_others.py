@@ -19,6 +19,12 @@ def test_language_of_held_out_documents(spark):
     assert got.filter("rejected").count() == 0
 
 
+def test_languages_of_few_distinct_texts_are_learned(spark):
+    texts = {f"l{i}": f"{chr(97 + i) * 3} {chr(98 + i)}{chr(99 + i)} word of its own {chr(97 + i)}" for i in range(12)}
+    labelled = spark.createDataFrame([(t, lang) for lang, t in texts.items() for _ in range(1000)], "text string, lang string")
+    assert set(langid.fit(labelled).languages) == set(texts)
+
+
 def test_language_rejects_what_is_far_from_all(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
