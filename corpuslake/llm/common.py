@@ -30,9 +30,15 @@ def words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where
-    that is unset (tests on one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpuslake-shared")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local one serves a
+    session on one machine, and a cluster's session is refused."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), f"corpuslake-{os.getuid()}")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -51,6 +57,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bits of the filter of ``likely_in``, in maps of 4 KB: 4 MB in all, however many keys there are.
+FILTER_BITS, MAP_BITS = 1 << 25, 1 << 15
+
+
+def likely_in(df: DataFrame, key: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a hash) may be in the first column of ``wanted``, or with ``inside`` false those whose key surely
+    isn't. Both together are all rows of ``df``. The filter is 4 MB at most; where ``wanted`` fills it, every row may be in."""
+    spot = lambda c: F.pmod(c, F.lit(FILTER_BITS))
+    bits = wanted.select(spot(F.col(wanted.columns[0])).alias("p")).distinct().select((F.col("p") % MAP_BITS).alias("bit"), F.floor(F.col("p") / MAP_BITS).alias("_map"))
+    maps = bits.repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("bit").alias("_bits"))
+    at = spot(F.col(key)) % MAP_BITS
+    byte = F.conv(F.hex(F.substring(F.coalesce("_bits", F.lit(b"")), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = df.withColumn("_map", F.floor(spot(F.col(key)) / MAP_BITS)).join(F.broadcast(maps), "_map", "left")
+    return marked.filter(hit if inside else ~hit).drop("_map", "_bits")
+
+
 def row_key(df: DataFrame, text: str = "text") -> Column:
     """Second half of a document's identity beside doc_id: rows that share both are copies of each
     other in everything that the operators read."""

@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import checkpointed, slices
+from corpuslake.llm.common import checkpointed, likely_in, slices
 from corpuslake.llm.components import components
 
 SEED = 42
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 16
-#: For copies with edits: bands, least hashes in a band's key, hashes kept of a text's five-word shingles, the least similarity of near copies, and the least
-#: similarity of the kept hashes (standard error 0.035 at most) of pairs that are worth a comparison of all. Two texts at SIMILAR share no key once in a million times.
-BANDS, ROWS, SKETCH, SIMILAR, LIKELY = 26, 4, 128, 0.8, 0.6
+#: For copies with edits: a text's bands, and the least hashes in a band's key. Two texts at a similarity of 0.8 share no key
+#: with probability (1 - 0.8^6)^26, 4 in 10,000; at 0.85 it is 5 in a million.
+BANDS, ROWS = 26, 6
 _MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 
@@ -55,14 +55,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return _majority(_hashes(words, shingle)) if words else 0
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct hashes of the five-word shingles, in order."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The hashes of the five-word shingles, repeats included."""
     words = (text or "").encode().lower().split()
-    return np.unique(_hashes(words, 5)) if words else np.empty(0, dtype="<u8")
+    return _hashes(words, 5) if words else np.empty(0, dtype="<u8")
 
 
 def band_keys(x: np.ndarray) -> list[int]:
-    """A key for each band: the least of the set's hashes under ROWS orders. Sets of similarity s share a band's key with probability s to the power ROWS."""
+    """A key for each band: the least of the set's hashes under ROWS orders. Sets of similarity s share a
+    band's key with probability s to the power ROWS."""
     if not len(x):
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -82,18 +83,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, fp long")
 
 
-def links(distinct: DataFrame, bits: int = 64, centres: int = 1) -> DataFrame:
-    """Edges (u, v), u above v, that connect all of the distinct fingerprints ``fp`` within 2 bits of each other.
-
-    A meeting point's owners are linked to ``centres`` of them, the first by a hash of owner and point: which ones differs from point to point, so that with some
-    centres two owners that share several points are mostly linked directly too."""
-    ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(bits)))
-    met = distinct.select("fp", F.explode(ball).alias("variant")).groupBy("variant").agg(F.collect_list("fp").alias("owners")).filter(F.size("owners") > 1)
-    ordered = F.array_sort(F.transform("owners", lambda o: F.struct(F.xxhash64(o, F.col("variant")).alias("order"), o.alias("fp"))))
-    first = met.select("owners", F.slice(ordered, 1, centres)["fp"].alias("first"))
-    pairs = first.select(F.explode(F.flatten(F.transform("first", lambda c: F.transform("owners", lambda o: F.struct(o.alias("u"), c.alias("v")))))).alias("p")).select("p.u", "p.v").filter("u <> v")
-    down = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return down.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges (u, v), u above v, that connect all of the distinct fingerprints ``fp`` within 2 bits of each other:
+    a meeting point's owners, 65 at most, are linked to the least of them."""
+    ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))
+    met = distinct.select("fp", F.explode(ball).alias("variant")).groupBy("variant").agg(F.collect_list("fp").alias("owners"))
+    several = met.filter(F.size("owners") > 1).withColumn("v", F.array_min("owners"))
+    pairs = several.select(F.explode("owners").alias("u"), "v").filter("u <> v").distinct()
+    return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
 
 
 def _named(marked: DataFrame) -> DataFrame:
@@ -116,93 +113,148 @@ def hex_digits(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """rk, shingles: all of the distinct hashes of each distinct text of ``docs`` (rk, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            sets = [shingle_set(t).view("<i8") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(sets, pa.list_(pa.int64()))], ["rk", "shingles"])
+#: Two sets of n and m shingles have a similarity of 0.8 or more where 9 * common >= 4 * (n + m).
+def _alike(common: F.Column, n: F.Column, m: F.Column) -> F.Column:
+    return 9 * common >= 4 * (n + m)
 
-    return docs.mapInArrow(run, "rk long, shingles array<long>").groupBy("rk").agg(F.first("shingles").alias("shingles"))
 
+def _bare() -> F.Column:
+    """Texts without words are all alike, whatever white space they have."""
+    return F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+$", "")
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of texts whose five-word shingles have a similarity of SIMILAR or more: of those that the sketches don't keep far apart, all shingles are compared."""
-    of = lambda df, end, name: df.select(F.col("rk").alias(end), F.col(df.columns[1]).alias(name))
-    rough = pairs.join(of(sketches, "u", "x"), "u").join(of(sketches, "v", "y"), "v").withColumn("all", F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH))
-    likely = checkpointed(rough.filter(F.size(F.array_intersect(F.array_intersect("x", "y"), F.col("all"))) / F.size("all") >= LIKELY).select("u", "v"))
-    met = likely.join(of(sets, "u", "x"), "u").join(of(sets, "v", "y"), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    return checkpointed(met.filter(common / (F.size("x") + F.size("y") - common) >= SIMILAR).select("u", "v"))
 
+def _marks(docs: DataFrame) -> DataFrame:
+    """doc_id, rk, fp (of five-word shingles) and band keys of each document: a narrow map over whole texts."""
 
-def _down(pairs: DataFrame) -> DataFrame:
-    """Each pair once, without those whose sizes m, n alone keep them apart."""
-    alike = F.least("m", "n") / F.greatest("m", "n") >= SIMILAR
-    return pairs.filter((F.col("u") != F.col("v")) & alike).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes = [shingle_hashes(t) for t in batch.column("text").to_pylist()]
+            fps = pa.array([_majority(x) if len(x) else 0 for x in hashes], pa.int64())
+            keys = pa.array([band_keys(np.unique(x)) for x in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), fps, keys], ["doc_id", "rk", "fp", "keys"])
 
+    return docs.mapInArrow(run, "doc_id long, rk long, fp long, keys array<long>")
 
-def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(marked, keepers): marked has doc_id, rk; keepers has rk (of each distinct text) and the component_id and keeper, its rk, of
-    the first document that the text is a near copy of, itself included.
 
-    One long fingerprint moves too far with a few edits, so texts meet by the band keys of their five-word shingles, and each link is verified by the
-    similarity of these. Of the texts that share a key each is compared with the first; where that leaves them in several components, with one more, another one for each key;
-    and where there are several components still, every text with all of the others. So no two texts that share a key stay apart unless they were compared."""
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """rk, n, shingles: all of the distinct hashes of each text of ``texts`` (rk, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            sketches = [np.unique((x >> np.uint64(33)).astype(np.int32))[:SKETCH].tolist() for x in sets]
-            made = [pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), *made], ["doc_id", "rk", "n", "keys", "sketch"])
-
-    # Texts without words are all alike, whatever white space they have.
-    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+$", "")
-    marked = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(bare).alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, n long, keys array<long>, sketch array<int>"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    texts = checkpointed(marked.groupBy("rk").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n", "keys", "sketch"))))
-    owned = texts.select(F.explode("keys").alias("key"), "rk", "n")
-    one = F.struct("rk", "n")
-    several = owned.groupBy("key").agg(F.min(one).alias("head"), F.max("rk").alias("most")).filter("head.rk < most").select("key", "head")
-    shared = checkpointed(owned.join(several, "key"))
-    meet = shared.select("rk").distinct()
-    sketches = texts.select("rk", "sketch")
-    sets = checkpointed(_shingle_sets(docs.select(F.xxhash64(bare).alias("rk"), "text").join(meet, "rk", "left_semi")))
-
-    def still_apart() -> DataFrame:
-        """key, rk, n, root of the texts that share a key, where they are in several components."""
-        rooted = shared.drop("head").join(roots.withColumnRenamed("node", "rk"), "rk", "left").withColumn("root", F.coalesce("root", "rk"))
-        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        return checkpointed(rooted.join(apart, "key"))
-
-    real = _verified(_down(shared.select(F.col("rk").alias("u"), F.col("n").alias("m"), F.col("head.rk").alias("v"), F.col("head.n").alias("n"))), sketches, sets)
-    roots = components(real)
-    apart = still_apart()
-    others = apart.groupBy("key").agg(F.min_by(F.struct("rk", "n", "root"), F.xxhash64("rk", "key")).alias("o"))
-    second = apart.join(others, "key").filter("root <> o.root").select(F.col("rk").alias("u"), F.col("n").alias("m"), F.col("o.rk").alias("v"), F.col("o.n").alias("n"))
-    real = real.union(_verified(_down(second), sketches, sets))
-    roots = components(real)
-    sides = still_apart().groupBy("key", "root").agg(F.collect_list(one).alias("texts"))
-    across = sides.select("key", F.col("root").alias("ru"), F.col("texts").alias("us")).join(sides.select("key", "root", "texts"), "key").filter("ru < root")
-    third = across.select(F.explode("us").alias("a"), "texts").select("a", F.explode("texts").alias("b")).select(F.col("a.rk").alias("u"), F.col("a.n").alias("m"), F.col("b.rk").alias("v"), F.col("b.n").alias("n"))
-    real = real.union(_verified(_down(third), sketches, sets))
-    roots = components(real)
-    rooted = texts.select("rk", "first").join(roots.withColumnRenamed("node", "rk"), "rk", "left").select("rk", "first", F.coalesce("root", "rk").alias("root"))
-    head = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "rk")).alias("head"))
-    return marked.select("doc_id", "rk"), rooted.select("rk", "root").join(head, "root").select("rk", F.col("head.doc_id").alias("component_id"), F.col("head.rk").alias("keeper"))
+        for batch in slices(batches, 64):
+            sets = [np.unique(shingle_hashes(t)).view("<i8") for t in batch.column("text").to_pylist()]
+            made = [pa.array(map(len, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("rk"), *made], ["rk", "n", "shingles"])
+
+    return texts.mapInArrow(run, "rk long, n long, shingles array<long>")
+
+
+def _ball_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of texts (rk, fp) that connect all whose fingerprints differ in 2 bits at most."""
+    heads = checkpointed(texts.groupBy("fp").agg(F.min("rk").alias("head"), F.max("rk").alias("last")))
+    same = texts.join(heads.filter("head < last"), "fp").select(F.col("rk").alias("u"), F.col("head").alias("v"))
+    of = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
+    near = links(heads.select("fp")).join(of("u"), "u").join(of("v"), "v").select("u_head", "v_head")
+    return same.filter("u <> v").union(near)
+
+
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """h, rk, n, q: of each set, ordered from the rarest of all hashes to the commonest, those of the first n/5 + 1 that
+    another set has too, with their place q.
+
+    Two sets at a similarity of 0.8 or more share a hash there, for either has at least 0.8 n hashes of the other's; and where the
+    first that they share stands at q, no more than n - q are shared. A line that a great many texts share comes last in
+    each, and so brings none of them together."""
+    tokens = sets.select("rk", "n", F.explode("shingles").alias("h"))
+    counts = tokens.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1")
+    shared = tokens.join(counts, "h").groupBy("rk", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    room = F.greatest(F.lit(0), F.floor(F.col("n") / 5) + 1 - alone).cast("int")
+    first = shared.select("rk", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "token"))
+    return first.select("token.h", "rk", "n", (F.col("alone") + F.col("at")).alias("q"))
+
+
+def _may(a: str, b: str) -> F.Column:
+    """Whether sizes and places leave room for a similarity of 0.8 between two owners of a hash (structs with n, q)."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    near = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    return near & _alike(n - F.col(f"{a}.q"), n, m) & _alike(m - F.col(f"{b}.q"), n, m)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Each pair of the owners a and b once."""
+    u, v = F.greatest("a.rk", "b.rk").alias("u"), F.least("a.rk", "b.rk").alias("v")
+    return met.filter((F.col("a.rk") != F.col("b.rk")) & _may("a", "b")).select(u, v).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose whole sets have a similarity of 0.8 or more."""
+    of = lambda end: sets.select(F.col("rk").alias(end), F.col("n").alias(f"{end}_n"), F.col("shingles").alias(f"{end}_set"))
+    met = pairs.join(of("u"), "u").join(of("v"), "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return checkpointed(met.filter(_alike(common, F.col("u_n"), F.col("v_n"))).select("u", "v"))
+
+
+def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marked, texts, roots) for near copies: texts that a chain of links joins, each link between two texts whose sets of
+    five-word shingles have a similarity of 0.8 or more.
+
+    marked has doc_id, rk of each document; texts has rk, first (no doc_id, doc_id), copies of each distinct text; roots has node, root of
+    each text that isn't the least of its group.
+
+    Ball hashing finds the links of fingerprints within 2 bits. A few edits move a long fingerprint further, so that the other
+    links need more: texts that share one of their band keys with another are joined on their rarest shingles. Of the
+    owners of such a shingle each is compared with the one that has it earliest; where that leaves them in several
+    groups, those outside the first one's group are compared with all owners that sizes and places leave room for. Every link is
+    verified on whole sets.
+
+    A text without words is no near copy of any but those without words too; null and empty texts are alike, ties and
+    repeated rows make no difference; an empty table gives empty tables; extra columns are ignored."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_bare()).alias("rk"), "text")
+    marked = checkpointed(_marks(read))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    texts = checkpointed(marked.groupBy("rk").agg(first, F.count("*").alias("copies"), F.min("fp").alias("fp")))
+    ball = checkpointed(_ball_pairs(texts))
+    owned = marked.select(F.explode("keys").alias("key"), "rk")
+    several = owned.groupBy("key").agg(F.min("rk").alias("low"), F.max("rk").alias("high")).filter("low < high")
+    met = owned.join(several, "key", "left_semi").select("rk").union(ball.select("u")).union(ball.select("v"))
+    met = checkpointed(met.distinct())
+    asked = likely_in(read, "rk", met).groupBy("rk").agg(F.first("text").alias("text")).join(met, "rk", "left_semi")
+    sets = checkpointed(_shingle_sets(asked))
+
+    owners = checkpointed(_rare_first(sets))
+    one = F.struct("q", "n", "rk")
+    heads = owners.groupBy("h").agg(F.min(one).alias("b"), F.max("rk").alias("high"), F.min("rk").alias("low")).filter("low < high")
+    near = checkpointed(owners.select("h", one.alias("a")).join(heads.select("h", "b"), "h"))
+    real = _similar(_pairs(near).union(ball).distinct(), sets)
+    groups = components(real)
+    root = lambda end: groups.select(F.col("node").alias(f"{end}_rk"), F.col("root").alias(f"{end}_root"))
+    rooted = near.withColumn("a_rk", F.col("a.rk")).withColumn("b_rk", F.col("b.rk")).join(root("a"), "a_rk", "left").join(root("b"), "b_rk", "left")
+    rooted = rooted.select("h", "a", F.coalesce("a_root", "a_rk").alias("of"), F.coalesce("b_root", "b_rk").alias("head"))
+    apart = checkpointed(rooted.filter("of <> head").select("h", "a", "of"))
+    others = rooted.join(apart.select("h").distinct(), "h", "left_semi").select("h", F.col("a").alias("b"), F.col("of").alias("other"))
+    across = apart.join(others, (apart["h"] == others["h"]) & (F.col("of") != F.col("other")) & _may("a", "b"))
+    late = _similar(_pairs(across.select("a", "b")), sets)
+    if not late.isEmpty():
+        groups = components(real.union(late))
+    return marked.select("doc_id", "rk"), texts.select("rk", "first", "copies"), groups
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but the first document, by doc_id, of each group of near copies (``edited_copies``): rows without doc_id come
-    last, and of equal doc_ids one with the least hash of its text stays."""
-    marked, heads = edited_copies(docs)
+    """``docs`` without all but the first document, by doc_id, of each group of near copies (``edited_copies``).
+
+    Rows without doc_id come last, and of equal doc_ids one with the least hash of its text stays; of wholly repeated rows one
+    stays. Null and empty texts are one group; an empty table stays empty; all columns are kept, whatever their names."""
+    marked, texts, roots = edited_copies(docs)
+    rooted = texts.join(roots.withColumnRenamed("node", "rk"), "rk", "left").select("rk", "first", F.coalesce("root", "rk").alias("root"))
+    head = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "rk")).alias("head"))
     copies = marked.groupBy("doc_id", "rk").agg(F.count("*").alias("copies"))
-    kept = heads.select("component_id", "keeper").distinct()
+    kept = head.select(F.col("head.doc_id").alias("component_id"), F.col("head.rk").alias("keeper"))
     kept = kept.join(copies, F.col("component_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper") == F.col("rk"))).select("component_id", "keeper", "copies")
-    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+$", "")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(bare).alias("rk"))
-    stay = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("rk") == F.col("keeper")))
+    # Documents whose text is alone stay without a shuffle.
+    grouped = texts.filter("copies > 1").select("rk").union(roots.select("node")).union(roots.select("root")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_bare()).alias("rk"))
+    grouped = checkpointed(grouped)
+    sure, asked = likely_in(rows, "rk", grouped, False), likely_in(rows, "rk", grouped)
+    stay = asked.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("rk") == F.col("keeper")))
     repeated = stay.filter("copies > 1").dropDuplicates(["doc_id", "rk"])
-    return stay.filter("copies = 1").union(repeated).select("row.*")
+    return sure.select("row.*").unionByName(stay.filter("copies = 1").select("row.*")).unionByName(repeated.select("row.*"))

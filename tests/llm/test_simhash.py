@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpuslake.llm import components, simhash
+from corpuslake.llm.common import likely_in
 
 DATA = "/root/testdata/sf0.001/documents.parquet"
 
@@ -150,3 +151,21 @@ def test_long_copies_near_the_threshold(spark):
     want = kept_by_brute_force(rows)
     assert 70 < len(want) < 110
     assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_one_of_each_on_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    want = kept_by_brute_force(rows)
+    assert len(want) < len(rows) - 50
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == want
+
+
+def test_filter_by_likely_keys(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"), "id")
+    wanted = keys.filter("id % 7 = 0").select("k")
+    hit = {r.id for r in likely_in(keys, "k", wanted).collect()}
+    miss = {r.id for r in likely_in(keys, "k", wanted, False).collect()}
+    assert hit | miss == set(range(5000)) and not hit & miss
+    assert set(range(0, 5000, 7)) <= hit and len(hit) < 800
+    assert likely_in(keys, "k", wanted.limit(0)).count() == 0
