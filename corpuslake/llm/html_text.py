@@ -1,24 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text nodes with their root-to-leaf tag paths. Text length and punctuation are aggregated
-for each path; their ratios are smoothed over the page, fused and compared with the page's mean; paths
-above it are content. The article is the article or main element that holds most of the content, or else the least
-element that holds all content and headings: all of its blocks, short ones too, but for elements that are no article
-text by their tag, role, class or id. An element that holds most of the content isn't left out for its class or id.
+A page is read into blocks of text, each at the end of a tag path (the block-level elements from the root to it; inline ones, as b or
+span, are no steps). For every path, text length, punctuation and the share of text in links are aggregated over its blocks; both ratios are
+smoothed along the page's paths and fused, and the paths above the threshold are selected. Blocks on other paths, such as headings, list
+items and short lines, are rescued by the selected ones about them: those in the same container, but for lists of links.
+
+The kinds of element that the result leaves out (menus, headers and footers of the site, sidebars, forms, scripts) are no candidates. Names in class
+and id only lower a path's score: a part named as an advert goes beside an article, and stays where the page has no other text.
 
 Defined results: a null or empty html, or one without text, gives an empty string; cut pages are read as far as they go; repeated
 rows are alike; a null page_id or url is kept; an empty table gives no rows; extra columns are ignored. No text is dropped
-or capped for its length.
+or capped for its length, and time and memory grow with a page's length, whatever its nesting and however it is broken.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from math import log2
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,185 +29,290 @@ from corpuslake.llm.common import slices
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noframes".split())
-BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: A start tag closes open elements of these kinds, as far as the nearest of the barriers.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
-END_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
-#: Elements that are never part of an article, by tag, role, and whole names in class or id: "sidebar", "left-sidebar" and "sidebar-menu", but not "has-sidebar".
-NO_TEXT = frozenset("head script style noscript template svg canvas object iframe noframes select option datalist button input textarea nav footer aside form dialog menu label fieldset".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr"
+    " html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: For each start tag, the groups of open elements that it closes, outermost first.
+GROUPS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "option": 3, "td": 4, "th": 4, "tr": 5, "tbody": 6, "thead": 6, "tfoot": 6}
+CLOSES = {"li": (1,), "dt": (2,), "dd": (2,), "option": (3,), "td": (4,), "th": (4,), "tr": (5, 4), "tbody": (6, 5, 4), "thead": (6, 5, 4), "tfoot": (6, 5, 4)}
+CLOSES |= {tag: (0,) for tag in BLOCKS - {"html", "body", "caption", "legend", *CLOSES}}
+#: Elements that hide the open elements of a group above them from later start tags.
+HIDES = {"ul": (0, 1), "ol": (0, 1), "menu": (0, 1), "dl": (0, 2), "select": (3,), "table": (0, 4, 5, 6), "tr": (4,)}
+HIDES |= dict.fromkeys("html body main article section div blockquote center li dd td th".split(), (0,))
+#: Elements that are never part of an article, by tag and role.
+NO_TEXT = frozenset(
+    "head script style noscript template svg canvas object iframe noframes select option datalist button input textarea nav footer aside form dialog menu label fieldset".split()
+)
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NO_CLASS = re.compile(
-    r"(?:^|\s)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|header|footer|mobile|desktop|inline|post|entry|article|blog|user|author|wp|js|google|email|cookie|social|nav)[-_])*(?:ads?|adverts?|advertis\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|side-?bar\w*|menus?|nav|navs|navbar\w*|navigation|breadcrumbs?|footers?|site-?header|page-?header|top-?bar|masthead"
-    r"|cookies?\w*|consent|gdpr|notices?|notification\w*|alerts?|popups?|pop-up|modals?|overlay|newsletters?|subscri\w*|paywall|shar(?:e|es|ing)|social\w*|related|recommend\w*|read-?more|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond"
+#: Whole names in class or id that lower a score: "sidebar", "left-sidebar" and "sidebar-menu", but not "has-sidebar".
+LOW_NAME = re.compile(
+    r"(?:^|\s)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|header|footer|mobile|desktop|inline|post|entry|article|blog|user|author|wp|js|google"
+    r"|email|cookie|social|nav)[-_])*(?:ads?|adverts?|advertis\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|side-?bar\w*|menus?|nav|navs|navbar\w*|navigation|breadcrumbs?"
+    r"|footers?|site-?header|page-?header|top-?bar|masthead|cookies?\w*|consent|gdpr|notices?|notification\w*|alerts?|popups?|pop-up|modals?|overlay|newsletters?"
+    r"|subscri\w*|paywall|shar(?:e|es|ing)|social\w*|related|recommend\w*|read-?more|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond"
     r"|pagination|pager|widgets?|toolbar|skip-?link|login|log-in|signup|sign-up|search\w*|tag-?cloud|toc-?nav|hidden|sr-only|visually-hidden)"
-    r"(?:[-_](?:ads?|bars?|box|banner|notice|consent|popup|modal|overlay|message|container|wrapper|wrap|inner|outer|area|section|block|body|content|header|footer|title|heading|list|links?|items?|menu|nav|navigation|toggle|widgets?|form|button|btn|buttons|icons?|media|posts?|articles?|stories|reading|signup|text|left|right|top|bottom|main|primary|secondary|[0-9]+))*(?=$|\s)",
+    r"(?:[-_](?:ads?|bars?|box|banner|notice|consent|popup|modal|overlay|message|container|wrapper|wrap|inner|outer|area|section|block|body|content|header|footer|title"
+    r"|heading|list|links?|items?|menu|nav|navigation|toggle|widgets?|form|button|btn|buttons|icons?|media|posts?|articles?|stories|reading|signup|text|left|right|top"
+    r"|bottom|main|primary|secondary|[0-9]+))*(?=$|\s)",
     re.I,
 )
 WHOLE = frozenset("html body main article".split())
-HOLDERS = frozenset("html body main article section div td blockquote center".split()) | {""}
-PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、；：！？\"“”«»()]")
+#: A block's length and marks count up to these in a path's ratio: beyond them text is long enough to be content.
+FULL_LENGTH, FULL_MARKS = 511, 15
+#: Share of the page's mean score that selects a path; factors of paths in elements with a LOW_NAME, and outside article and main where there is one.
+THRESHOLD, LOW, OUTSIDE = 0.4, 0.01, 0.1
+#: A block with this share of its text in links isn't rescued.
+LINKS = 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARKS = re.compile(r"[.,;:!?¿¡…。，、；：！？\"“”«»()]")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<]*\Z")
-_HEADING = re.compile(r"/h[1-6](?:/|\Z)")
-_SPACE_OR_TEXT = re.compile(r"\S")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "up", "path", "out", "article", "named")  # named: those of the element and its ancestors that NO_CLASS names
-
-    def __init__(self, tag: str, up: Element | None, attributes: str):
-        self.tag, self.up = tag, up
-        self.path = f"{up.path}/{tag}" if up else tag
-        self.article = tag in ("article", "main") or bool(up and up.article)
-        self.out = bool(up and up.out) or tag in NO_TEXT or (tag == "header" and not self.article)
-        self.named = up.named if up else ()
-        if attributes and not self.out:
+    """An open element: its block-level one, the number of its path, and what its ancestors make of it."""
+
+    __slots__ = ("tag", "up", "number", "block", "path", "out", "low", "article", "link", "open")
+
+    def __init__(self, tag: str, up: Element | None, number: int):
+        self.tag, self.up, self.number = tag, up, number
+        self.block = self if up is None or tag in BLOCKS else up.block
+        self.path, self.out, self.low, self.article, self.link = (up.path, up.out, up.low, up.article, up.link) if up else (0, False, 0, False, False)
+        self.open = up.open if up else (None,) * 7
+
+
+class Page:
+    """The blocks of a page: elements in order of their start tags, and for each block [element, texts, length, length in links]."""
+
+    def __init__(self, html: str):
+        root = Element("", None, 0)
+        self.elements, self.blocks, self.paths = [root], [], {}
+        self._top, self._fresh, self._opened = root, True, {}
+        self._read(html)
+
+    def _text(self, piece: str) -> None:
+        if not piece or self._top.out:
+            return
+        if "&" in piece:
+            piece = entities.unescape(piece)
+        size = len(piece) if not piece.isspace() else 0
+        if self._fresh:
+            self.blocks.append([self._top.block, [], 0, 0])
+            self._fresh = False
+        block = self.blocks[-1]
+        block[1].append(piece)
+        block[2] += size
+        block[3] += size * self._top.link
+
+    def _start(self, tag: str, attributes: str) -> None:
+        top = self._top
+        for group in CLOSES.get(tag, ()):
+            if top.open[group] is not None:
+                self._close(top.open[group])
+                top = self._top
+                break
+        if tag == "br":
+            self._text(" ")
+        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
+            return
+        el = Element(tag, top, len(self.elements))
+        self.elements.append(el)
+        el.article = top.article or tag in ("article", "main")
+        el.link = top.link or tag == "a"
+        el.out = top.out or tag in NO_TEXT or tag == "header" and not el.article
+        low = False
+        if attributes and not el.out:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), a or b or c
                 if name == "role":
-                    self.out |= value.lower() in NO_ROLE
+                    el.out |= value.lower() in NO_ROLE
                 elif name == "hidden" or name == "aria-hidden":
-                    self.out |= value.lower() != "false" and (name == "hidden" or value.lower() == "true")
-                elif tag not in WHOLE and self not in self.named and NO_CLASS.search(value):
-                    self.named += (self,)
+                    el.out |= value.lower() != "false" and (name == "hidden" or value.lower() == "true")
+                elif tag not in WHOLE and LOW_NAME.search(value):
+                    low = True
+        el.low += low
+        if el.block is el or low:
+            el.path = self.paths.setdefault((top.path, tag, low), len(self.paths) + 1)
+        if tag in HIDES or tag in GROUPS:
+            seen = list(top.open)
+            for group in HIDES.get(tag, ()):
+                seen[group] = None
+            if tag in GROUPS:
+                seen[GROUPS[tag]] = el
+            el.open = tuple(seen)
+        self._opened[tag] = self._opened.get(tag, 0) + 1
+        self._top = el
 
+    def _close(self, el: Element) -> None:
+        while True:
+            top = self._top
+            self._opened[top.tag] -= 1
+            self._top = top.up
+            if top is el:
+                return
 
-def _read(page: str) -> list[tuple[Element, str, int]]:
-    """(element, text, block number) of each text node in page order."""
-    root = Element("", None, "")
-    top, block, nodes, at, closed = root, 0, [], 0, None
+    def _end(self, tag: str) -> None:
+        if self._opened.get(tag):
+            while self._top.tag != tag:
+                self._close(self._top)
+            self._close(self._top)
 
-    def text(piece: str) -> None:
-        if piece:
-            nodes.append((top, entities.unescape(piece), block))
+    def _read(self, page: str) -> None:
+        at, find = 0, page.find
+        while True:
+            lt = find("<", at)
+            if lt < 0:
+                self._text(page[at:])
+                return
+            sign = page[lt + 1 : lt + 2]
+            if not (sign.isascii() and (sign.isalpha() or sign in ("/", "!", "?"))) or not sign:
+                if not sign and lt + 1 == len(page):
+                    self._text(page[at:lt])
+                    return
+                self._text(page[at : lt + 1])
+                at = lt + 1
+                continue
+            self._text(page[at:lt])
+            if sign == "!" and page.startswith("<!--", lt):
+                end = find("-->", lt + 2)
+                at = end + 3
+            elif sign in "!?":
+                end = find(">", lt)
+                at = end + 1
+            else:
+                name = _NAME.match(page, lt + 1 + (sign == "/"))
+                start = name.end() if name else lt + 2
+                end = _tag_end(page, start)
+                at = end + 1
+                if end >= 0 and name:
+                    tag = name[0].lower()
+                    if tag in BLOCKS:
+                        self._fresh = True
+                    if sign == "/":
+                        self._end(tag)
+                    else:
+                        self._start(tag, page[start:end])
+                        if tag in RAW:
+                            at = self._raw(page, tag, at)
+            if end < 0:  # a tag or comment that never ends
+                return
 
+    def _raw(self, page: str, tag: str, at: int) -> int:
+        """Past the element's end tag: what it holds is no markup, and no text of the page."""
+        self._end(tag)
+        end = _ENDS[tag].search(page, at)
+        return end.end() if end else len(page)
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place of the > that ends a tag; those in quoted values don't. -1 where there is none."""
     while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = _CUT_TAG.search(rest)
-            text(rest[: cut.start()] if cut else rest)
-            return nodes
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, attributes = m[2].lower(), m[3]
-        if tag in BLOCKS:
-            block += 1
-        if m[1]:
-            found = top
-            while found is not root and found.tag != tag:
-                found = found.up
-            if found is not root:
-                top = found.up
-            continue
-        if tag in END_P or tag in CLOSES:
-            kinds, barriers = CLOSES.get(tag, ({"p"}, HOLDERS | {"li", "dd", "th"}))
-            open_, closed = top, None
-            while open_ is not root and open_.tag not in barriers:
-                if open_.tag in kinds:
-                    closed = open_
-                    if tag not in CLOSES:
-                        break
-                open_ = open_.up
-            if closed is not None:
-                top = closed.up
-        if tag == "br":
-            text(" ")
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS:
-            continue
-        top = Element(tag, top, attributes)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if tag == "textarea" or tag == "title":
-                text(page[at : end.start() if end else len(page)])
-            at = end.end() if end else len(page)
-            top = top.up
-
-
-def _scores(nodes: list[tuple[Element, str, int]]) -> dict[str, float]:
-    """Fused, smoothed ratio of each tag path."""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for element, text, _ in nodes:
-        if _SPACE_OR_TEXT.search(text):
-            length[element.path] += len(text)
-            marks[element.path] += len(PUNCTUATION.findall(text))
-            count[element.path] += 1
-    paths = list(length)
-    if not paths:
+        stop = _STOP.search(page, at)
+        if stop is None:
+            return -1
+        at = stop.start()
+        if page[at] == ">":
+            return at
+        before = at - 1
+        while page[before].isspace():
+            before -= 1
+        close = page.find(page[at], at + 1) if page[before] == "=" else at
+        at = (close if close >= 0 else at) + 1
+
+
+def _smooth(x: list[float]) -> list[float]:
+    """Each path lends an eighth of its ratio to those beside it."""
+    padded = [x[0], *x, x[-1]]
+    return [(a + 6 * b + c) / 8 for a, b, c in zip(padded, x, padded[2:])]
+
+
+def scores(page: Page) -> dict[int, float]:
+    """The fused, smoothed ratio of each path that has text, in page order."""
+    count, length, marks, links, seen = {}, {}, {}, {}, {}
+    for el, texts, size, linked in page.blocks:
+        if size:
+            p = el.path
+            text = "".join(texts).strip()
+            seen.setdefault(p, el)
+            count[p] = count.get(p, 0) + 1
+            length[p] = length.get(p, 0) + min(len(text), FULL_LENGTH)
+            marks[p] = marks.get(p, 0) + min(len(_MARKS.findall(text)), FULL_MARKS)
+            links[p] = links.get(p, 0) + min(1.0, linked / size)
+    if not count:
         return {}
-    n = np.array([count[p] for p in paths], dtype=float)
-    chars, points = np.array([length[p] for p in paths]) / n, np.array([marks[p] for p in paths]) / n
-    kernel = np.array([0.25, 0.5, 0.25])
-    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, mode="valid")
-    # Neighbouring paths lend each other a little; long text with punctuation stands out in both ratios.
-    fused = (0.75 * chars + 0.25 * smooth(chars)) * (1 + 0.75 * points + 0.25 * smooth(points))
-    return dict(zip(paths, fused * np.sqrt(n)))
-
-
-def _content(nodes: list[tuple[Element, str, int]]) -> list[tuple[Element, int]]:
-    """(element, size) of the text nodes whose paths score as content."""
-    scores = _scores(nodes)
-    if not scores:
-        return []
-    line = np.mean(list(scores.values())) * 0.5
-    return [(element, len(text)) for element, text, _ in nodes if scores.get(element.path, 0) >= line and _SPACE_OR_TEXT.search(text)]
-
-
-def _weights(sizes: list[tuple[Element, int]]) -> dict[Element, int]:
-    """The sum of sizes in each element, from the inner ones out."""
-    weights: dict[Element, int] = defaultdict(int)
-    for element, size in sizes:
-        while element is not None:
-            weights[element] += size
-            element = element.up
-    return weights
-
-
-def _meant(content: list[tuple[Element, int]]) -> set[Element]:
-    """The elements named as no article text that hold most of the content all the same, and aren't beside text of an article or main element."""
-    weights, total = _weights(content), sum(size for _, size in content)
-    most = {v for e, _ in content for v in e.named if 2 * weights[v] > total}
-    return {v for v in most if not any(e.article and v not in e.named for e, _ in content)}
-
-
-def main_text(page: str | None) -> str:
-    if not page:
+    chars = _smooth([log2(1 + length[p] / n) for p, n in count.items()])
+    points = _smooth([log2(1 + marks[p] / n) for p, n in count.items()])
+    articles = any(el.article for el in seen.values())
+    found = {}
+    for p, c, m in zip(count, chars, points):
+        prior = (LOW if seen[p].low else 1.0) * (OUTSIDE if articles and not seen[p].article else 1.0)
+        found[p] = c * (1 + m) * (1 - links[p] / count[p]) * prior
+    return found
+
+
+def _selected(page: Page) -> list[bool]:
+    """Whether each block is on a path above the threshold: a share of the mean score of the page's text."""
+    found = scores(page)
+    total = sum(size for _, _, size, _ in page.blocks)
+    mean = sum(found[el.path] * size for el, _, size, _ in page.blocks if size) / max(total, 1)
+    return [bool(size) and found[el.path] > 0 and found[el.path] >= THRESHOLD * mean for el, _, size, _ in page.blocks]
+
+
+def _container(page: Page, chosen: list[bool]) -> tuple[Element, list[int]]:
+    """The element that the selected blocks share, and for each element the number of the last one in it.
+
+    An article or main element about it is taken whole; else the next containers are, as long as they have no other
+    text than plain blocks."""
+    inside, odd, last = ([0] * len(page.elements) for _ in range(3))
+    for (el, _, size, linked), yes in zip(page.blocks, chosen):
+        inside[el.number] += yes
+        odd[el.number] += bool(size) and not yes and (linked >= LINKS * size or el.low > 0)
+    total = sum(inside)
+    for i in range(len(page.elements) - 1, -1, -1):
+        el = page.elements[i]
+        last[i] = max(last[i], i)
+        odd[i] += el.out and not (el.up and el.up.out) and el.tag in BLOCKS
+        if el.up is not None:
+            up = el.up.number
+            inside[up] += inside[i]
+            odd[up] += odd[i]
+            last[up] = max(last[up], last[i])
+    held = next(el for (el, *_), yes in zip(page.blocks, chosen) if yes)
+    held = held.up.block if held.up else held
+    while inside[held.number] < total:
+        held = held.up.block
+    if held.article:
+        while held.tag not in ("article", "main"):
+            held = held.up
+    else:
+        while held.up is not None and held.up.block.tag not in ("", "html", "body") and odd[held.up.block.number] == odd[held.number]:
+            held = held.up.block
+    return held, last
+
+
+def main_text(html: str | None) -> str:
+    if not html:
         return ""
-    nodes = [x for x in _read(page) if not x[0].out]
-    if any(e.named for e, _, _ in nodes):
-        meant = _meant(_content(nodes))
-        nodes = [x for x in nodes if meant.issuperset(x[0].named)]
-    content = _content(nodes)
-    if not content:
+    page = Page(html)
+    chosen = _selected(page)
+    if not any(chosen):
         return ""
-    weights = _weights(content)
-    total = sum(size for _, size in content)
-    best = max((e for e, w in weights.items() if e.tag in HOLDERS and w >= 0.6 * total), key=lambda e: e.path.count("/"))
-    for kind in ("article", "main"):
-        up = best
-        while up is not None and up.tag != kind:
-            up = up.up
-        if up is not None:
-            best = up
-            break
-    else:
-        # Sections beside the largest one, and titles over it, are the article's too.
-        wanted = _weights([*content, *((e, 1) for e, text, _ in nodes if _HEADING.search(e.path) and _SPACE_OR_TEXT.search(text))])
-        every = max(wanted.values())
-        while best.up is not None and (wanted[best] < every or best.tag not in HOLDERS):
-            best = best.up
-    blocks: dict[int, list[str]] = defaultdict(list)
-    for element, text, block in nodes:
-        up = element
-        while up is not None and up is not best:
-            up = up.up
-        if up is best:
-            blocks[block].append(text)
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
+    held, last = _container(page, chosen)
+    first = chosen.index(True)
+    title = True  # the headings just before the first selected block
+    for i in range(len(page.blocks) - 1, -1, -1):
+        el, _, size, linked = page.blocks[i]
+        if size and not chosen[i]:
+            within = held.number <= el.number <= last[held.number]
+            heading = el.tag in HEADINGS
+            plain = el.low <= held.low and (heading or linked < LINKS * size)
+            chosen[i] = plain and (within or i < first and heading and (title or el.tag == "h1"))
+        title &= i >= first or chosen[i] or not size
+    lines = (" ".join("".join(texts).split()) for (_, texts, _, _), yes in zip(page.blocks, chosen) if yes)
     return "\n".join(x for x in lines if x)
 
 
@@ -216,6 +322,8 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             texts = [main_text(page.as_py()) for page in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            made = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *made], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return read.mapInArrow(run, "page_id long, url string, text string, n_chars long")
