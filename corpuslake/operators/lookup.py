@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.keys import canonical_act, canonical_section, deep_link
-from corpuslake.functions.values import dot, norm
+from corpuslake.operators.vectors import nearest
 
 MAPPING = ["act_number", "language", "document_id", "extraction_id"]
 
@@ -57,6 +57,19 @@ def title_map(index: DataFrame) -> DataFrame:
     return index.filter("act_number <> ''").groupBy("act_number").agg(first("title_en"), first("title_bm"))
 
 
+def titles_holding(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """_name, of_title: the titles (act_title) that hold a lower-case name anywhere. Names and titles, each once, meet by the name's
+    first three characters (all of a shorter one); every run of as many characters of a title is a key."""
+    width = F.least(F.length("_name"), F.lit(3))
+    asked = names.select("_name", width.alias("width"), F.left("_name", width).alias("gram"))
+    low = F.lower("act_title")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.struct(F.lit(n).alias("width"), F.substr(low, i, F.lit(n)).alias("gram")))
+    runs = F.flatten(F.array(*(F.when(F.length(low) >= n, grams(n)).otherwise(F.array().cast("array<struct<width:int,gram:string>>")) for n in (1, 2, 3))))
+    cut = titles.filter("act_title IS NOT NULL").select("act_title", F.explode(F.array_distinct(runs)).alias("g")).select("act_title", "g.*")
+    met = cut.join(asked, ["width", "gram"]).filter(low.contains(F.col("_name")))
+    return met.select("_name", F.col("act_title").alias("of_title"))
+
+
 def exact_lookup(chunks: DataFrame, requests: DataFrame, limit: int = 3) -> DataFrame:
     """request_id, rank and the chunk's columns, for requests with request_id, section and act_number or act_title (and both or
     neither of want_document, want_extraction). The act's own number goes before titles that hold the name, English
@@ -64,23 +77,29 @@ def exact_lookup(chunks: DataFrame, requests: DataFrame, limit: int = 3) -> Data
     asked = requests.filter((F.coalesce("section", F.lit("")) != "") & (F.col("act_number").isNotNull() | F.col("act_title").isNotNull()) & (F.col("want_document").isNull() == F.col("want_extraction").isNull()))
     asked = asked.select("request_id", F.upper("section").alias("want_section"), F.col("act_number").alias("want_act"), F.col("act_title").alias("want_title"), "want_document", "want_extraction")
     keyed = chunks.withColumn("want_section", F.upper("section_number"))
-    # Two equi-joins instead of one with OR: by number, and by title for requests that name one.
+    # Two equi-joins instead of one with OR: by number, and for requests that name a title by the titles that hold it.
     by_act = keyed.join(asked, (keyed.want_section == asked.want_section) & (keyed.act_number == asked.want_act)).drop(asked.want_section)
-    titled = asked.filter(F.coalesce("want_title", F.lit("")) != "")
-    by_title = keyed.join(titled, (keyed.want_section == titled.want_section) & F.lower("act_title").contains(F.lower("want_title")) & ~F.coalesce(keyed.act_number == titled.want_act, F.lit(False))).drop(titled.want_section)
+    titled = asked.filter(F.coalesce("want_title", F.lit("")) != "").withColumn("_name", F.lower("want_title"))
+    held = titles_holding(chunks.select("act_title").distinct(), titled.select("_name").distinct())
+    meant = titled.join(held, "_name").drop("_name")
+    # A request takes ``limit`` rows at most, and leaves out one act's: so twice as many of a title's section, of which each act has no more than its own best, are enough.
+    best = [F.when(F.col("language") == "en", 0).otherwise(1), "act_number", "language", "document_id", "chunk_ordinal"]
+    own = F.row_number().over(Window.partitionBy("act_title", "want_section", "act_number").orderBy(*best))
+    of_acts = keyed.withColumn("_r", own).filter(F.col("_r") <= limit)
+    few = of_acts.withColumn("_r", F.row_number().over(Window.partitionBy("act_title", "want_section").orderBy(*best))).filter(F.col("_r") <= 2 * limit).drop("_r")
+    named = lambda rows, more: rows.join(more, (rows.want_section == more.want_section) & (rows.act_title == more.of_title) & ~F.coalesce(rows.act_number == more.want_act, F.lit(False)))
+    free, fixed = meant.filter("want_document IS NULL"), meant.filter("want_document IS NOT NULL")
+    by_title = named(few, free).drop(free.want_section, free.of_title)
+    of_document = named(keyed, fixed).filter("document_id = want_document AND extraction_id = want_extraction").drop(fixed.want_section, fixed.of_title)
+    by_title = by_title.unionByName(of_document)
     met = by_act.unionByName(by_title).filter("want_document IS NULL OR (document_id = want_document AND extraction_id = want_extraction)")
     order = Window.partitionBy("request_id").orderBy(F.when(F.col("act_number") == F.col("want_act"), 0).otherwise(1), F.when(F.col("language") == "en", 0).otherwise(1), "act_number", "language", "document_id", "chunk_ordinal")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("want_section", "want_act", "want_title", "want_document", "want_extraction")
 
 
 def semantic_search(items: DataFrame, queries: DataFrame, k: int = 8, key: str = "vec_id") -> DataFrame:
-    """query_id, rank, key, similarity: the k items most like each query by cosine. ``queries`` (query_id, query_vec) is a
-    stated, small set of questions: it is sent to every task, and each query's k best are kept on either side of the shuffle."""
-    unit = items.select(key, "embedding", norm(F.col("embedding")).alias("_n")).filter("_n > 0")
-    asked = queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("_q")).filter("_q > 0")
-    scored = unit.join(F.broadcast(asked)).select("query_id", key, (dot(F.col("embedding"), F.col("query_vec")) / (F.col("_n") * F.col("_q"))).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """query_id, rank, key, similarity: the k items most like each query (query_id, query_vec) by cosine, exactly."""
+    return nearest(items, queries, k, key)
 
 
 def retrieve(exact: DataFrame, semantic: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.values import cosine, memory_score, norm
+from corpuslake.operators import vectors
+from corpuslake.operators.vectors import classes
+from corpuslake.sources.scratch import checkpointed
 
 SIMILAR, TOPIC_CAP, MARGIN = 0.88, 30, 10
 
@@ -47,15 +49,6 @@ def recall_hits(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "key").agg(F.count("*").alias("recall_count"), F.max("at").alias("last_recalled"))
 
 
-def similar_pairs(items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """user_id, a, b, similarity of items of one user at or over the threshold, by an exact join within the user. For users with very many
-    items ``similar_pairs_lsh`` looks at likely partners only."""
-    unit = items.withColumn("_n", norm(F.col("embedding"))).filter("_n > 0").select("user_id", "key", F.transform("embedding", lambda x: x.cast("double") / F.col("_n")).alias("unit"))
-    a, b = unit.select("user_id", F.col("key").alias("a"), F.col("unit").alias("ua")), unit.select("user_id", F.col("key").alias("b"), F.col("unit").alias("ub"))
-    met = a.join(b, "user_id").filter("a < b").withColumn("similarity", F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    return met.filter(F.col("similarity") >= threshold).select("user_id", "a", "b", "similarity")
-
-
 def approx_neighbors(items: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 1.0, reach: float = 1.3, key: str = "vec_id") -> DataFrame:
     """query_id, rank, key, similarity: candidates share a bucket of random projections of unit vectors; exact cosine ranks them."""
     unit = lambda df, c: array_to_vector(F.transform(c, lambda x: x.cast("double") / norm(F.col(c))))
@@ -66,37 +59,66 @@ def approx_neighbors(items: DataFrame, queries: DataFrame, k: int, tables: int =
     return met.distinct().withColumn("rank", order).filter(F.col("rank") <= k)
 
 
-def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """user_id, key, seed: every item not yet taken, in key order, takes its similar items that aren't taken. Users hold a bounded number of items."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = {r.key: set(r.near if r.near is not None else ()) for r in pdf.itertuples()}
-        seed: dict = {}
-        for key in sorted(near):
-            if key not in seed:
-                seed |= {k: key for k in [key, *near[key]] if k not in seed}
-        return pd.DataFrame({"user_id": pdf.user_id, "key": pdf.key, "seed": [seed[k] for k in pdf.key]})
-
-    both = pairs.select("user_id", F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.select("user_id", "b", "a")).groupBy("user_id", "key").agg(F.collect_set("other").alias("near"))
-    kinds = dict(items.dtypes)
-    return items.select("user_id", "key").join(both, ["user_id", "key"], "left").groupBy("user_id").applyInPandas(run, f"user_id {kinds['user_id']}, key {kinds['key']}, seed {kinds['key']}")
-
-
-def prune(items: DataFrame, now: Column, cap: int = TOPIC_CAP, margin: int = MARGIN) -> DataFrame:
-    """user_id, key, score, keep: of users over cap + margin the ``cap`` best by recency and recall stay, ties by key; others keep all."""
-    user = Window.partitionBy("user_id")
+def clusters(items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """user_id, key, seed: in key order every item that no earlier one has taken is a seed and takes the similar items (cosine at or over the
+    threshold) that aren't taken.
+
+    A vector is a seed as soon as all similar ones with lesser keys are known not to be; those that a seed is similar to aren't. Each
+    round settles these everywhere at once; a chain of vectors in key order settles two a round."""
+    classed = classes(items)
+    pairs = checkpointed(vectors.similar_pairs(items, threshold).select("user_id", "a", "b"))
+    both = pairs.select("user_id", F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.select("user_id", "b", "a"))
+    left, seeds = checkpointed(both), None
+    while not left.isEmpty():
+        new = left.groupBy("user_id", "key").agg(F.min("other").alias("low")).filter("key < low").select("user_id", "key")
+        new = checkpointed(new)
+        taken = left.join(new.withColumnRenamed("key", "other"), ["user_id", "other"], "left_semi").select("user_id", "key")
+        settled = checkpointed(new.union(taken).distinct())
+        # Once all of an item's similar ones are settled it has no rows left; it is a seed then, unless one took it.
+        bare = left.join(settled, ["user_id", "key"], "left_anti")
+        rest = checkpointed(bare.join(settled.withColumnRenamed("key", "other"), ["user_id", "other"], "left_anti").select("user_id", "key", "other"))
+        lone = bare.select("user_id", "key").distinct().join(rest.select("user_id", "key").distinct(), ["user_id", "key"], "left_anti")
+        found = new.union(lone)
+        seeds = checkpointed(found if seeds is None else seeds.union(found))
+        left = rest
+    if seeds is None:
+        return classed.select("user_id", "key", F.col("rep").alias("seed"))
+    near = both.join(seeds.withColumnRenamed("key", "other"), ["user_id", "other"], "left_semi").groupBy("user_id", "key").agg(F.min("other").alias("by"))
+    near = near.join(seeds, ["user_id", "key"], "left_anti").withColumnRenamed("key", "rep")
+    return classed.join(near, ["user_id", "rep"], "left").select("user_id", "key", F.coalesce("by", "rep").alias("seed"))
+
+
+def prune(items: DataFrame, now: Column, cap: int = TOPIC_CAP, margin: int = MARGIN, threshold: float = SIMILAR) -> DataFrame:
+    """user_id, key, score, outcome: what a pass over each user's memory leaves.
+
+    Users with more than cap + margin items, or with several profiles, have a pass; others keep all. Of several profiles the newest stays, and is
+    given the merged content (``merge_profiles``); the others are ``merged``. Of similar topics the one recalled most, then the newest, stays; the others are
+    ``duplicate``. Of the topics left the ``cap`` best by recency and recall stay, ties by key; the others are ``evicted``. Profiles are
+    never evicted."""
     scored = items.withColumn("score", memory_score(F.col("updated_at"), F.col("recall_count"), now))
-    rank = F.row_number().over(user.orderBy(F.desc("score"), "key"))
-    many = F.count("*").over(user) > cap + margin
-    return scored.withColumn("keep", ~many | (rank <= cap)).select("user_id", "key", "score", "keep")
+    needs = scored.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "profile").alias("profiles"))
+    passed = scored.join(needs.filter((F.col("n") > cap + margin) | (F.col("profiles") > 1)).select("user_id"), "user_id", "left_semi")
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("updated_at"), "key"))
+    canonical = passed.filter("kind = 'profile'").withColumn("_r", newest).filter("_r = 1").select("user_id", "key")
+    topics = passed.filter("kind = 'topic'")
+    seeded = topics.join(clusters(topics, threshold), ["user_id", "key"])
+    order = F.struct(-F.coalesce("recall_count", F.lit(0)), -F.coalesce(F.unix_micros("updated_at"), F.lit(-(1 << 62))), F.col("key"))
+    best = seeded.groupBy("user_id", "seed").agg(F.min_by(F.struct("key", "score"), order).alias("b")).select("user_id", "b.key", "b.score")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "key"))
+    stays = best.withColumn("_r", rank).filter(F.col("_r") <= cap).select("user_id", "key")
+    mark = lambda df, name: df.select("user_id", "key", F.lit(True).alias(name))
+    met = scored.join(mark(passed, "_pass"), ["user_id", "key"], "left").join(mark(canonical.union(stays), "_stays"), ["user_id", "key"], "left").join(mark(best, "_best"), ["user_id", "key"], "left")
+    gone = F.when(F.col("kind") == "profile", "merged").when(F.col("_best").isNull(), "duplicate").otherwise("evicted")
+    open_ = F.col("_pass") & F.col("kind").isin("profile", "topic") & F.col("_stays").isNull()
+    return met.select("user_id", "key", "score", F.when(F.coalesce(open_, F.lit(False)), gone).otherwise("kept").alias("outcome"))
 
 
 def recall(items: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, key, part, rank: up to ``k`` profiles of the user, newest first, then the ``k`` most similar topics; an item once."""
-    profiles = items.filter("kind = 'profile'").join(queries.select("query_id", "user_id"), "user_id")
-    first = profiles.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("updated_at"), "key"))).filter(F.col("rank") <= k).select("query_id", "key", F.lit(0).alias("part"), "rank")
-    topics = items.filter("kind = 'topic'").join(queries, "user_id").withColumn("s", cosine(F.col("embedding"), F.col("query_vec"))).filter("s IS NOT NULL")
-    best = topics.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "key"))).filter(F.col("rank") <= k).select("query_id", "key", F.lit(1).alias("part"), "rank")
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "key"))
+    profiles = items.filter("kind = 'profile'").withColumn("rank", newest).filter(F.col("rank") <= k)
+    first = profiles.join(queries.select("query_id", "user_id"), "user_id").select("query_id", "key", F.lit(0).alias("part"), "rank")
+    best = vectors.nearest(items.filter("kind = 'topic'"), queries, k, "key", ("user_id",)).select("query_id", "key", F.lit(1).alias("part"), "rank")
     return dedupe_hits(first.union(best).withColumn("seq", F.struct("part", "rank")), ["query_id", "key"], "seq").drop("seq")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import policy, values
 from corpuslake.operators import evals, memory, quality, registry, segment
+from corpuslake.operators.vectors import similar_pairs
 from corpuslake.plans.registry import query
 from corpuslake.plans.views import Views
 from corpuslake.streaming import streams
@@ -340,14 +341,24 @@ def _(v: Views) -> DataFrame:
     return memory.approx_neighbors(v.table("embeddings"), v.asked_vectors, 8)
 
 
-@query("j22_similar_pairs", f"SELECT a.user_id, a.key AS a, b.key AS b, round({_cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM v_memory a JOIN v_memory b ON a.user_id = b.user_id AND a.key < b.key WHERE {_cos('a.embedding', 'b.embedding')} >= 0.3")
+_SIMILAR = f"""SELECT a.user_id, a.key AS a, b.key AS b, {_cos('a.embedding', 'b.embedding')} AS s FROM (SELECT user_id, embedding, min(key) AS key FROM v_coarse GROUP BY ALL) a
+  JOIN (SELECT user_id, embedding, min(key) AS key FROM v_coarse GROUP BY ALL) b ON a.user_id = b.user_id AND a.key < b.key"""
+
+
+@query("j22_similar_pairs", f"SELECT user_id, a, b, round(s, 6) AS similarity FROM ({_SIMILAR}) WHERE s >= 0.88")
 def _(v: Views) -> DataFrame:
-    return memory.similar_pairs(v.memory, 0.3).withColumn("similarity", F.round("similarity", 6))
+    return similar_pairs(v.coarse_memory, memory.SIMILAR).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("j22_clusters")
+@query("j22_classes", "SELECT user_id, key, min(key) OVER (PARTITION BY user_id, embedding) AS rep FROM v_coarse")
 def _(v: Views) -> DataFrame:
-    return memory.clusters(v.memory, memory.similar_pairs(v.memory, 0.3))
+    return memory.classes(v.coarse_memory)
+
+
+# Vectors whose first six signs are equal are similar, others aren't: so an item's seed is the least key with its signs.
+@query("j22_clusters", "SELECT user_id, key, min(key) OVER (PARTITION BY user_id, embedding[1:6]) AS seed FROM v_coarse")
+def _(v: Views) -> DataFrame:
+    return memory.clusters(v.coarse_memory)
 
 
 @query("k6_recall", f"""SELECT query_id, key, 0 AS part, rank FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, key) AS rank FROM v_memory JOIN v_asked USING (user_id) WHERE kind = 'profile') WHERE rank <= 5
@@ -356,9 +367,15 @@ def _(v: Views) -> DataFrame:
     return memory.recall(v.memory, v.asked_vectors)
 
 
-@query("k7_prune", """SELECT user_id, key, round(s, 6) AS score, n <= 40 OR rank <= 30 AS keep FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, key) AS rank FROM (SELECT user_id, key, power(0.5::DOUBLE, greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(updated_at)) / 86400e6) / 30.0) + 2.0 * recall_count AS s FROM v_memory))""")
+_SCORE = "power(0.5::DOUBLE, greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(updated_at)) / 86400e6) / 30.0) + 2.0 * recall_count"
+
+
+@query("k7_prune", f"""SELECT user_id, key, round(score, 6) AS score, CASE WHEN n <= 40 AND profiles <= 1 THEN 'kept' WHEN kind = 'profile' THEN CASE WHEN age = 1 THEN 'kept' ELSE 'merged' END WHEN best > 1 THEN 'duplicate'
+  WHEN row_number() OVER (PARTITION BY user_id, kind, best = 1 ORDER BY score DESC, key) <= 30 THEN 'kept' ELSE 'evicted' END AS outcome
+FROM (SELECT *, {_SCORE} AS score, count(*) OVER (PARTITION BY user_id) AS n, count(*) FILTER (kind = 'profile') OVER (PARTITION BY user_id) AS profiles, row_number() OVER (PARTITION BY user_id, kind ORDER BY updated_at DESC, key) AS age,
+  row_number() OVER (PARTITION BY user_id, kind, embedding[1:6] ORDER BY recall_count DESC, updated_at DESC, key) AS best FROM v_coarse)""")
 def _(v: Views) -> DataFrame:
-    return memory.prune(v.memory, F.lit("2024-02-01").cast("timestamp")).withColumn("score", F.round("score", 6))
+    return memory.prune(v.coarse_memory, F.lit("2024-02-01").cast("timestamp")).withColumn("score", F.round("score", 6))
 
 
 @query("a14_merge_profiles", """SELECT m.user_id, count(*) AS profiles, max_by(background, CASE WHEN background <> '' THEN key END) AS background, (SELECT string_agg(x, ',' ORDER BY k DESC) FROM (SELECT x, max(key) AS k FROM (SELECT user_id, key, 'a' || key % 4 AS x FROM v_memory) q WHERE q.user_id = m.user_id GROUP BY x)) AS areas

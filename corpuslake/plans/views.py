@@ -129,8 +129,14 @@ class Views:
 
     @cached_property
     def asked_vectors(self) -> DataFrame:
-        """A stated set of five questions."""
-        return self.table("embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").cast("long").alias("user_id"))
+        """The questions: every vector whose id is divisible by 20."""
+        return self.table("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").cast("long").alias("user_id"))
+
+    @cached_property
+    def coarse_memory(self) -> DataFrame:
+        """``memory`` with short vectors of signs, so that some items are alike: six of length 1 and one of 0.4."""
+        sign = lambda i: F.when(F.get("embedding", F.lit(i)) >= 0, 1.0).otherwise(-1.0)
+        return self.memory.withColumn("embedding", F.array(*(sign(i) for i in range(6)), sign(6) * 0.4))
 
 
 VIEWS_SQL |= {
@@ -161,5 +167,6 @@ VIEWS_SQL |= {
     "v_quotes": r"SELECT item_id AS quote_id, regexp_extract_all(lower(translate(replace(coalesce(text, ''), chr(173), ''), '‐‑‒–—―−‘’‛′＇', '-------''''''''''')), '[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS tokens FROM benchmark",
     "v_words": "SELECT doc_id, t AS n, t // 300 + 1 AS page, 0 AS block, t // 10 AS line, raw, (t % 10) * 10.0::DOUBLE AS x0, (t // 10 % 30) * 20.0::DOUBLE AS y0, (t % 10) * 10.0::DOUBLE + 9 AS x1, (t // 10 % 30) * 20.0::DOUBLE + 12 AS y1 FROM (SELECT doc_id, unnest(tokens) AS raw, unnest(range(len(tokens))) AS t FROM v_doc_tokens)",
     "v_memory": "SELECT label::BIGINT AS user_id, vec_id AS key, embedding, CASE WHEN vec_id % 9 = 0 THEN 'profile' ELSE 'topic' END AS kind, make_timestamp(1704067200000000 + vec_id * 3600000000) AS updated_at, (vec_id % 6)::INT AS recall_count FROM embeddings",
-    "v_asked": "SELECT vec_id AS query_id, embedding AS query_vec, label::BIGINT AS user_id FROM embeddings WHERE vec_id < 5",
+    "v_asked": "SELECT vec_id AS query_id, embedding AS query_vec, label::BIGINT AS user_id FROM embeddings WHERE vec_id % 20 = 0",
+    "v_coarse": "SELECT * REPLACE (list_transform(range(1, 8), lambda i: CASE WHEN embedding[i] >= 0 THEN 1.0::DOUBLE ELSE -1.0 END * CASE WHEN i = 7 THEN 0.4 ELSE 1.0 END) AS embedding) FROM v_memory",
 }
