@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -41,10 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"corpuslake-{os.getuid()}")
 
 
+_made: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    """Remove what this driver has staged."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is None or context is None:  # the session has been stopped
+        return
+    for path in _made:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, an executor's
-    loss costs nothing that is already written, and values drawn from task numbers become fixed."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    loss costs nothing that is already written, and values drawn from task numbers become fixed. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove, spark)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

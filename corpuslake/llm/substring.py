@@ -2,16 +2,18 @@
 
 A window is ``length`` consecutive words. Winnowing picks, in every window, the word ``seed``-gram with the
 least hash; equal windows pick the same gram at the same place, so a gram picked once only can't lie in
-a repeated window. Consecutive windows with the same pick form a run: the anchor and the words that
-it can be extended to on both sides within windows of its own.
+a repeated window. Consecutive windows with the same pick form a run: the anchor, and the words to its left and
+right that windows of its own reach.
 
-1. Seeds: runs are joined on their anchors; anchors that occur once go.
-2. Extension of whole runs: runs equal in anchor and in all words to both sides repeat as a whole.
-3. Extension where runs differ: for one run of each distinct kind the windows inside are compared one by
-   one, each with the number of runs that it stands for. Copies never meet each other as pairs.
-4. The union of repeated windows are the maximal repeats; their words go.
+1. Seeds: runs whose anchors occur more than once.
+2. Runs equal in anchor and in all words to both sides repeat as a whole; one of each kind goes on.
+3. Extension: the kinds of an anchor are each matched with one of them, word by word to the left and to the right. A match of
+   ``length`` words or more is a repeat of both. Two kinds can also share a window that the chosen one lacks: then they differ from it in
+   the same place by the same word. So each kind's other windows go on to a group of those that differ alike, where the same is done, until no
+   group has two. Windows are divided between the groups, never copied; and copies never meet each other as pairs.
+4. Repeats of a document together, overlapping ones as one, are its maximal repeats; their words go.
 
-Anchors and extensions are compared by two 64-bit hashes together.
+Anchors are compared by 64-bit hashes, extensions by a 64-bit hash of each word.
 
 Defined results: a null text has no words; a text shorter than a window keeps all; repeated rows repeat
 each other, so both lose every word in a full window; a null doc_id is carried along; an empty table gives
@@ -21,6 +23,7 @@ no rows. Words are kept unchanged and joined by one space.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslake.llm.common import slices, staged
+from corpuslake.llm.common import checkpointed, likely_in, slices, staged
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -69,12 +72,12 @@ class Passages:
 
 
 def runs(text: str | None, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """anchor, span, first window, last window of each run of a text."""
+    """anchor, span (hash of all words), first window, last window, place of the anchor of each run of a text."""
     p = Passages(text)
     n = len(p.words) - length + 1
     if n <= 0:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     starts = np.arange(len(p.words) - seed + 1)
     grams = p.stretch(starts, starts + seed)
     width = length - seed + 1
@@ -87,7 +90,7 @@ def runs(text: str | None, length: int, seed: int) -> tuple[np.ndarray, ...]:
     anchor = picks[first]
     shape = ((anchor - first) * (1 << 20) + (last - first)).astype(np.uint64)
     span = _mixed(p.stretch(first, last + length) ^ _mixed(shape + np.uint64(1)))
-    return grams[anchor].view(np.int64), span.view(np.int64), first, last
+    return grams[anchor].view(np.int64), span.view(np.int64), first, last, anchor
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -104,30 +107,63 @@ def all_runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
             found = [runs(t, length, seed) for t in batch.column("text").to_pylist()]
             rows = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
             keys = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "rk")]
-            parts = [pa.array(np.concatenate([x[i] for x in found]).astype(t)) for i, t in enumerate(("i8", "i8", "i4", "i4"))]
-            yield pa.RecordBatch.from_arrays([*keys, *parts], ["doc_id", "rk", "anchor", "span", "first", "last"])
+            parts = [pa.array(np.concatenate([x[i] for x in found]).astype(t)) for i, t in enumerate(("i8", "i8", "i4", "i4", "i4"))]
+            yield pa.RecordBatch.from_arrays([*keys, *parts], ["doc_id", "rk", "anchor", "span", "first", "last", "at"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, rk long, anchor long, span long, first int, last int")
+    return _keyed(docs).mapInArrow(run, "doc_id long, rk long, anchor long, span long, first int, last int, at int")
 
 
-def _windows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """A row for each window of the chosen runs: anchor, window, n, doc_id, rk, first."""
-    by_doc = chosen.groupBy(F.col("doc_id").alias("at_id"), F.col("rk").alias("at_rk")).agg(F.collect_list(F.struct("anchor", "n", "first", "last")).alias("runs"))
-    texts = _keyed(docs).join(by_doc.hint("shuffle_hash"), _same()).select("doc_id", "rk", "text", F.col("runs.anchor").alias("anchor"), F.col("runs.n").alias("n"), F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
+def _contexts(docs: DataFrame, chosen: DataFrame, length: int, seed: int) -> DataFrame:
+    """A row for each chosen run: g (its anchor), n, doc_id, rk, at, low and high (how far its windows begin before ``at``),
+    left and right: hashes of the words on either side, from the anchor outwards."""
+    run_of = F.struct("anchor", "n", "first", "last", "at")
+    by_doc = chosen.groupBy(F.col("doc_id").alias("at_id"), F.col("rk").alias("at_rk")).agg(F.collect_list(run_of).alias("runs"))
+    texts = likely_in(_keyed(docs), "rk", chosen.select("rk")).join(by_doc.hint("shuffle_hash"), _same()).select("doc_id", "rk", "text", "runs")
+    names = ["g", "n", "doc_id", "rk", "at", "low", "high", "left", "right"]
+    words = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            parts: list[tuple[np.ndarray, ...]] = []
-            for row, text in enumerate(batch.column("text")):
-                anchor, n, first, last = (np.asarray(batch.column(c)[row].values) for c in ("anchor", "n", "first", "last"))
-                size = (last - first + 1).astype(np.int64)
-                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                parts.append((np.full(len(at), row), np.repeat(anchor, size), Passages(text.as_py()).stretch(at, at + length).view(np.int64), np.repeat(n, size), at))
-            rows, anchor, window, n, at = map(np.concatenate, zip(*parts))
-            keys = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "rk")]
-            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, (anchor, window, n.astype("i8"), at.astype("i4")))], ["doc_id", "rk", "anchor", "window", "n", "first"])
-
-    return texts.mapInArrow(run, "doc_id long, rk long, anchor long, window long, n long, first int")
+        for batch in slices(batches, 64):
+            rows = []
+            for doc_id, rk, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rk", "text", "runs"))):
+                hashes = _word_hashes(text).view(np.int64)
+                for r in found:
+                    first, last, at = r["first"], r["last"], r["at"]
+                    rows.append((r["anchor"], r["n"], doc_id, rk, at, at - last, at - first, hashes[first:at][::-1], hashes[at + seed : last + length]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), words, words]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    return texts.mapInArrow(run, "g long, n long, doc_id long, rk long, at int, low int, high int, left array<long>, right array<long>")
+
+
+def _reach(a: str, b: str) -> Column:
+    """How many leading words of two contexts are the same."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    differs = F.array_position(same, False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int")
+
+
+def _extended(entries: DataFrame, length: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(spans, rest) of one step: spans has the windows doc_id, rk, first, last that match with the chosen entry of their group g; rest has
+    each entry's other windows, in groups of those that differ from it alike."""
+    w = length - seed
+    own = F.struct("rk", "at", "doc_id", "n", "left", "right")
+    groups = entries.groupBy("g").agg(F.count("*").alias("size"), F.min_by(own, F.struct("rk", "at", "doc_id")).alias("o")).filter("size > 1").select("g", "o")
+    met = entries.join(checkpointed(groups), "g")
+    met = met.filter(~((F.col("rk") == F.col("o.rk")) & (F.col("at") == F.col("o.at")) & F.col("doc_id").eqNullSafe(F.col("o.doc_id"))))
+    met = met.withColumn("l", _reach("left", "o.left")).withColumn("r", _reach("right", "o.right"))
+    # A window that begins d words before the anchor takes d words of the left context and w - d of the right one.
+    to, since = F.least("high", "l"), F.greatest(F.col("low"), w - F.col("r"))
+    met = checkpointed(met.withColumn("to", to).withColumn("since", since))
+    hit = met.filter("since <= to")
+    mine = hit.filter("n = 1").select("doc_id", "rk", (F.col("at") - F.col("to")).alias("first"), (F.col("at") - F.col("since")).alias("last"))
+    its = hit.filter("o.n = 1").select("o.doc_id", "o.rk", (F.col("o.at") - F.col("to")).alias("first"), (F.col("o.at") - F.col("since")).alias("last"))
+    go_on = lambda side, place, word, low, high: F.when(low <= high, F.struct(F.xxhash64(F.col("g"), F.lit(side), F.col(place), word).alias("g"), low.alias("low"), high.alias("high")))
+    further = go_on(0, "l", F.get("left", F.col("l")), F.greatest(F.col("low"), F.col("l") + 1), F.col("high"))
+    nearer = go_on(1, "r", F.get("right", F.col("r")), F.col("low"), F.least(F.col("high"), F.col("l"), w - F.col("r") - 1))
+    parts = met.select("n", "doc_id", "rk", "at", "left", "right", F.explode(F.array_compact(F.array(further, nearer))).alias("part"))
+    rest = parts.select("part.g", "n", "doc_id", "rk", "at", "part.low", "part.high", "left", "right")
+    return mine.union(its).distinct(), rest
 
 
 def repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
@@ -135,15 +171,25 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     pairs (first window * 2**31 + last window)."""
     every = staged(all_runs(docs, length, seed), "runs")
     often = every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    seeds = staged(every.join(often, "anchor", "left_semi"), "seeds")
-    kinds = staged(seeds.groupBy("anchor", "span").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "rk", "first", "last"))), "kinds")
-    whole = seeds.join(kinds.filter("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("doc_id", "rk", "first", "last")
+    # The filters let some anchors pass that occur once, or in one kind: they find no partner.
+    seeds = staged(likely_in(every, "anchor", often), "seeds")
+    one = F.struct("doc_id", "rk", "first", "last", "at")
+    kinds = seeds.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(one).alias("one"))
+    kinds = staged(kinds.select("anchor", "span", "n", "one.*"), "kinds")
+    again = kinds.filter("n > 1").select("anchor", "span")
+    whole = likely_in(seeds, "span", again.select("span")).join(again, ["anchor", "span"], "left_semi").select("doc_id", "rk", "first", "last")
     differing = kinds.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor")
-    windows = staged(_windows(docs, kinds.join(differing, "anchor", "left_semi"), length), "windows")
-    twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor", "window")
-    single = windows.filter("n = 1").join(twice, ["anchor", "window"], "left_semi").select("doc_id", "rk", "first", F.col("first").alias("last"))
+    spans, rest = [whole], staged(_contexts(docs, likely_in(kinds, "anchor", differing), length, seed), "contexts")
+    for _ in range(2 * length):  # each step leaves out a word more
+        found, rest = _extended(rest, length, seed)
+        spans.append(found)
+        several = rest.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g")
+        rest = checkpointed(likely_in(rest, "g", several))
+        if rest.isEmpty():
+            break
     packed = F.col("first").cast("long") * (1 << 31) + F.col("last")
-    return whole.union(single).groupBy(F.col("doc_id").alias("at_id"), F.col("rk").alias("at_rk")).agg(F.collect_list(packed).alias("spans"))
+    both = reduce(DataFrame.union, spans)
+    return both.groupBy(F.col("doc_id").alias("at_id"), F.col("rk").alias("at_rk")).agg(F.collect_set(packed).alias("spans"))
 
 
 def _cut(text: str | None, packed: list[int] | None, length: int) -> tuple[int, int, str]:
@@ -159,10 +205,13 @@ def _cut(text: str | None, packed: list[int] | None, length: int) -> tuple[int,
 def without_repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     """``row`` (a struct of the document's own columns) and ``cut``: n_words, n_removed, kept (the words
     that stay)."""
-    spans = repeats(docs, length, seed).hint("shuffle_hash")
+    spans = checkpointed(repeats(docs, length, seed))
     own = [f"c{i}" for i in range(len(docs.columns))]
     named = docs.select(*(docs[c].alias(o) for c, o in zip(docs.columns, own)), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("rk"))
-    marked = named.join(spans, _same(), "left").select(*own, "spans")
+    # Documents without repeats are cut, as they are, where they are read.
+    met = likely_in(named, "rk", spans.select("at_rk")).join(spans.hint("shuffle_hash"), _same(), "left").select(*own, "spans")
+    plain = likely_in(named, "rk", spans.select("at_rk"), False).select(*own, F.lit(None).cast("array<long>").alias("spans"))
+    marked = met.union(plain)
     text = own[docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
