@@ -50,26 +50,25 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, int]:
     """Counts by bucket, and the number of letters."""
     counts, letters, table = np.zeros(DIMS, dtype=np.int64), 0, _letters()
     low = (text or "").lower()
-    for start in range(0, len(low), BLOCK):
-        x = np.frombuffer(low[max(0, start - 2) : start + BLOCK].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    # The last two characters, white space and the like as one 32, go on to the next block; a text begins and ends with one.
+    tail = np.empty(0, dtype=np.uint32)
+    for start in range(0, len(low) or 1, BLOCK):
+        x = np.frombuffer(low[start : start + BLOCK].encode("utf-32-le", "surrogatepass"), dtype="<u4")
         known = table[x]
-        fresh = min(start, 2)
-        letters += int(known[fresh:].sum())
+        letters += int(known.sum())
         x = np.where(known, x, np.uint32(32)).astype(np.uint32)
-        if not start:
-            x = np.concatenate([np.array([32], dtype=np.uint32), x])
-        if start + BLOCK >= len(low):
-            x = np.append(x, np.uint32(32))
+        x = np.concatenate([tail if start else np.array([32], dtype=np.uint32), x, np.full(int(start + BLOCK >= len(low)), 32, dtype=np.uint32)])
         space = x == 32
-        stay = np.append(True, ~(space[1:] & space[:-1]))
-        x = x[stay]
+        x = x[np.append(True, ~(space[1:] & space[:-1]))]
+        old = len(tail)
         a = x * np.uint32(0x9E3779B1)
         two = a[:-1] * np.uint32(5) + x[1:] * np.uint32(0x85EBCA77) + np.uint32(1)
         three = two[:-1] * np.uint32(7) + x[2:] * np.uint32(0xC2B2AE3D) + np.uint32(2)
-        grams = np.concatenate([a, two, three])
+        grams = np.concatenate([a[old:], two[max(0, old - 1) :], three[max(0, old - 2) :]])
         grams ^= grams >> np.uint32(15)
         grams *= np.uint32(0x2C1B3C6D)
         counts += np.bincount(grams >> np.uint32(20), minlength=DIMS)
+        tail = x[-2:]
     return counts, letters
 
 
@@ -116,8 +115,9 @@ def _clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
                 m = x[own == i].mean(0)
                 c[i] = m / max(np.linalg.norm(m), 1e-12)
     best = x @ c.T
-    floor = np.quantile(best.max(1), 0.01)
-    return c, np.full(len(c), floor)
+    own = best.argmax(1)
+    near = [best[own == i, i] if (own == i).any() else best.max(1) for i in range(len(c))]
+    return c, np.array([np.quantile(members, 0.01) for members in near])
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model | None:
@@ -132,8 +132,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
     idf = np.log((1 + n) / (1 + seen)) + 1
     # So many distinct texts of each language at most, by the least hashes; copies count once, and any language has one.
     marked = labelled.withColumn("h", F.xxhash64("text"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = marked.select("lang", "h").distinct().withColumn("n", order).filter(F.col("n") <= per_language).select("lang", "h")
+    # First the least of each of 64 parts of a language, which may have a great many texts; then the least of these.
+    least = marked.select("lang", "h", F.pmod("h", F.lit(64)).alias("part")).distinct()
+    for keys in (["lang", "part"], ["lang"]):
+        order = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        least = least.withColumn("n", order).filter(F.col("n") <= per_language).drop("n")
+    least = least.select("lang", "h")
     chosen = marked.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -66,10 +66,21 @@ WITH read AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS rk, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), shown AS (
   SELECT *, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS shown, length(regexp_replace(text, '[\x20\x09-\x0D\p{{L}}]+', '', 'g')) AS other FROM read
+), bucketed AS (
+  SELECT *, [CASE WHEN shown > 0 THEN 20 * (shown - other) // shown ELSE 0 END, least(CASE WHEN size > 0 THEN shown // size ELSE 0 END, 20), least(size // 100, 30)] AS b FROM shown
+), known AS (
+  SELECT b, good FROM bucketed JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) USING (doc_id)
+), prior AS (
+  SELECT (coalesce(sum(good), 0) + 1)::DOUBLE / (count(*) + 2) AS p FROM known
+), odds AS (
+  SELECT f, bucket, round(ln((sum(good) + {mixing.PRIOR} * any_value(p)) / (count(*) - sum(good) + {mixing.PRIOR} * (1 - any_value(p)))) - ln(any_value(p) / (1 - any_value(p))), 6) AS odds
+  FROM (SELECT good, unnest([1, 2, 3]) AS f, unnest(b) AS bucket FROM known), prior GROUP BY f, bucket
+), weighed AS (
+  SELECT d.*, greatest({mixing.LEAST}::DOUBLE, round(1 / (1 + exp(-(round(ln(p / (1 - p)), 6) + coalesce(x.odds, 0.0) + coalesce(y.odds, 0.0) + coalesce(z.odds, 0.0)))), 6)) AS quality
+  FROM bucketed d CROSS JOIN prior LEFT JOIN odds x ON x.f = 1 AND x.bucket = d.b[1] LEFT JOIN odds y ON y.f = 2 AND y.bucket = d.b[2] LEFT JOIN odds z ON z.f = 3 AND z.bucket = d.b[3]
 ), drawn AS (
-  SELECT doc_id, source, rk, size, -ln((('0x' || substr(md5(concat_ws('/', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), rk)), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
-    / CASE WHEN shown = 0 THEN 0.1 ELSE greatest(0.1::DOUBLE, (shown - other)::DOUBLE / shown) END AS draw
-  FROM shown
+  SELECT doc_id, source, rk, size, -ln((('0x' || substr(md5(concat_ws('/', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), rk)), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / quality AS draw
+  FROM weighed
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM drawn GROUP BY source
 ), ranked AS (
@@ -93,7 +104,6 @@ SELECT doc_id, source, size, source_size, target, (epochs * size + greatest(0, l
 
 def op5() -> str:
     fits = [f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h + p}', 'verdict': '{v}'}} END" for h, p, v in sorted(urls.RULES, key=lambda r: (-len(r[0] + r[1]), r))]
-    wide = ", ".join(f"'{x}'" for x in urls.WIDE_SUFFIXES)
     low, high = f"{1 / (urls.MOST_STRENGTH + 1)!r}::DOUBLE", f"{1 / (urls.LEAST_STRENGTH + 1)!r}::DOUBLE"
 
     def level(name: str, of: str) -> str:
@@ -109,7 +119,7 @@ WITH parsed AS (
 ), named AS (
   SELECT *, coalesce({", ".join(fits)}) AS fit, array_to_string(string_split(host, '.')[-2:], '.') AS two, string_split(host, '.')[-1] AS one, array_to_string(string_split(host, '.')[-3:], '.') AS three FROM parsed
 ), split AS (
-  SELECT *, CASE WHEN two IN ({wide}) THEN two ELSE one END AS suffix, CASE WHEN two IN ({wide}) THEN three ELSE two END AS domain FROM named
+  SELECT *, CASE WHEN regexp_matches(two, '{urls.WIDE_SUFFIX}') THEN two ELSE one END AS suffix, CASE WHEN regexp_matches(two, '{urls.WIDE_SUFFIX}') THEN three ELSE two END AS domain FROM named
 ), outcomes AS (
   SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 OR toxic = 0 THEN 0 END) AS bad
   FROM (SELECT page_id, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) AS shown FROM parsed) JOIN labels ON shown = doc_id GROUP BY page_id

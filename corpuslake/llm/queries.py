@@ -25,7 +25,7 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).drop("rk")
+    return mixing.taken(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).drop("rk")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,9 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", shown.alias("shown")).join(labels, F.col("shown") == F.col("doc_id")).select("page_id", "bad")
 
 
-def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
+def op5_urls(spark: SparkSession, sf_dir: str, outcomes: DataFrame | None = None) -> DataFrame:
+    """``outcomes``: page_id and bad (0 or 1) of labelled pages; by default those of ``page_outcomes``."""
+    return urls.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir) if outcomes is None else outcomes)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,14 +18,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import ascii_lower
+from corpuslake.llm.common import ascii_lower, checkpointed
 
 #: Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Rules travel in the query plan; a longer list is refused.
 MOST_RULES = 1000
-#: Suffixes of two labels (fixed values); any other suffix is the last label.
-WIDE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "com.cn")
+#: A suffix has two labels where a country's is divided by kind, as co.uk and com.au are; any other is the last label.
+WIDE_SUFFIX = "^(ac|co|com|edu|gen|go|gob|gov|gouv|ltd|mil|ne|net|nom|or|org|plc|sch)[.][a-z][a-z]$"
+#: A host with more than one page in so many is looked up in a broadcast table, which has no more rows than this.
+HOT_HOSTS = 1000
 #: Bounds of the fitted prior strengths, in pages.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
@@ -48,52 +50,54 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 def suffix_of(host: Column) -> Column:
     last = F.substring_index(host, ".", -2)
-    return F.when(last.isin(*WIDE_SUFFIXES), last).otherwise(F.substring_index(host, ".", -1))
+    return F.when(last.rlike(WIDE_SUFFIX), last).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*WIDE_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(F.substring_index(host, ".", -2).rlike(WIDE_SUFFIX), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def _strength(level: DataFrame, mean: Column) -> DataFrame:
-    """One row, m: the prior strength at which beta-binomial counts spread as these do about ``mean``.
+def _strength(level: DataFrame) -> float:
+    """The prior strength at which beta-binomial counts spread as these do about their parents' rates.
 
     With n pages and bad share r, E[(r - mean)^2] = mean (1 - mean) (1/n + (1 - 1/n) / (m + 1)); sums over the level
     are solved for m. Units with one page say nothing about it."""
+    mean = F.col("parent")
     var = mean * (1 - mean)
-    many = level.filter("n > 1").agg(F.sum(F.pow(F.col("bad") / F.col("n") - mean, 2) - var / F.col("n")).alias("over"), F.sum(var * (1 - 1 / F.col("n"))).alias("room"))
-    rho = F.greatest(F.lit(1 / (MOST_STRENGTH + 1)), F.least(F.lit(1 / (LEAST_STRENGTH + 1)), F.coalesce(F.try_divide("over", "room"), F.lit(1 / (MOST_STRENGTH + 1)))))
-    return many.select((1 / rho - 1).alias("m"))
+    over, room = F.sum(F.pow(F.col("bad") / F.col("n") - mean, 2) - var / F.col("n")), F.sum(var * (1 - 1 / F.col("n")))
+    rho = F.coalesce(F.try_divide(over, room), F.lit(1 / (MOST_STRENGTH + 1)))
+    bounded = F.greatest(F.lit(1 / (MOST_STRENGTH + 1)), F.least(F.lit(1 / (LEAST_STRENGTH + 1)), rho))
+    return level.filter("n > 1").agg((1 / bounded - 1).alias("m")).first().m
 
 
 def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     """level (host, domain, suffix, all), name, n, bad, rate, lower, from host and bad (0 or 1) of labelled pages.
 
-    Sums run over pre-aggregated hosts; rates are rounded to 9 places so that they don't hang on the order of sums."""
-    hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    Sums run over pre-aggregated hosts, and each level is kept before the next one is shrunk towards it; rates are rounded to 9 places so that
+    they don't hang on the order of sums."""
+    counts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = checkpointed(counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"))
+    domains = checkpointed(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    suffixes = checkpointed(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     bound = F.round(F.greatest(F.lit(0.0), F.col("rate") - z * F.sqrt("var")), 9)
-    whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
 
-    def shrunk(level: DataFrame, strength: DataFrame) -> DataFrame:
-        a, b = F.col("m") * F.col("parent") + F.col("bad"), F.col("m") * (1 - F.col("parent")) + F.col("n") - F.col("bad")
+    def shrunk(level: DataFrame) -> DataFrame:
+        m = F.lit(_strength(level))
+        a, b = m * F.col("parent") + F.col("bad"), m * (1 - F.col("parent")) + F.col("n") - F.col("bad")
         rate = a / (a + b)
         # What isn't known about the parent isn't known here either, as far as the prior counts.
-        var = rate * (1 - rate) / (a + b + 1) + F.pow(F.col("m") / (F.col("m") + F.col("n")), 2) * F.col("parent_var")
-        with_strength = level.crossJoin(F.broadcast(strength))  # one row
-        return with_strength.select("*", F.round(rate, 9).alias("rate"), F.round(var, 12).alias("var")).withColumn("lower", bound)
+        var = rate * (1 - rate) / (a + b + 1) + F.pow(m / (m + F.col("n")), 2) * F.col("parent_var")
+        return checkpointed(level.select("*", F.round(rate, 9).alias("rate"), F.round(var, 12).alias("var")).withColumn("lower", bound))
 
     # The whole: a uniform prior.
     a, b = 1 + F.col("bad"), 1 + F.col("n") - F.col("bad")
-    one = whole.select("n", "bad", F.round(a / (a + b), 9).alias("rate"), F.round(a * b / ((a + b) * (a + b) * (a + b + 1)), 12).alias("var")).withColumn("lower", bound)
-    above = lambda df, *key: df.select(*key, F.col("rate").alias("parent"), F.col("var").alias("parent_var"))
-    suffix_in = suffixes.crossJoin(F.broadcast(above(one)))
-    suffix = shrunk(suffix_in, _strength(suffix_in, F.col("parent")))
-    domain_in = domains.join(above(suffix, "suffix"), "suffix")
-    domain = shrunk(domain_in, _strength(domain_in, F.col("parent")))
-    host_in = hosts.join(above(domain, "domain"), "domain")
-    host = shrunk(host_in, _strength(host_in, F.col("parent")))
+    whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    one = checkpointed(whole.select("n", "bad", F.round(a / (a + b), 9).alias("rate"), F.round(a * b / ((a + b) * (a + b) * (a + b + 1)), 12).alias("var")).withColumn("lower", bound))
+    top = one.first()
+    above = lambda df, key: df.select(key, F.col("rate").alias("parent"), F.col("var").alias("parent_var"))
+    suffix = shrunk(suffixes.withColumns({"parent": F.lit(top.rate), "parent_var": F.lit(top["var"])}))
+    domain = shrunk(domains.join(above(suffix, "suffix"), "suffix"))
+    host = shrunk(hosts.join(above(domain, "domain"), "domain"))
     out = lambda level, df, name: df.select(F.lit(level).alias("level"), name.alias("name"), "n", "bad", "rate", "lower")
     return out("host", host, F.col("host")).union(out("domain", domain, F.col("domain"))).union(out("suffix", suffix, F.col("suffix"))).union(out("all", one, F.lit("")))
 
@@ -103,9 +107,17 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = labels.filter("bad IN (0, 1) AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("of")).agg(F.max("bad").alias("bad"))
     rated = reputation(parsed.join(known, F.col("page_id") == F.col("of")).select("host", "bad"), z)
-    # A row for each host first, so that a host's pages look up one row.
-    hosts = parsed.select("host").distinct().select("host", F.explode(F.array(*(F.struct(F.lit(i).alias("near"), F.lit(level).alias("level"), name.alias("name")) for i, (level, name) in enumerate((("host", F.col("host")), ("domain", domain_of(F.col("host"))), ("suffix", suffix_of(F.col("host"))), ("all", F.lit(""))))))).alias("look")).select("host", "look.*")
-    best = hosts.join(rated.select("level", "name", "rate", "lower"), ["level", "name"]).groupBy(F.col("host").alias("at")).agg(F.min_by("rate", "near").alias("bad_rate"), F.min_by("lower", "near").alias("bad_lower"))
-    met = parsed.join(best, F.col("host") == F.col("at"), "left").withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+    # A row for each host first, so that a host's pages look up one row; hosts with a large share of all pages are looked up without a shuffle.
+    counted = checkpointed(parsed.groupBy("host").agg(F.count("*").alias("pages")))
+    names = (("host", F.col("host")), ("domain", domain_of(F.col("host"))), ("suffix", suffix_of(F.col("host"))), ("all", F.lit("")))
+    look = F.explode(F.array(*(F.struct(F.lit(i).alias("near"), F.lit(level).alias("level"), name.alias("name")) for i, (level, name) in enumerate(names))))
+    asked = counted.select("host", "pages", look.alias("look")).select("host", "pages", "look.*")
+    near = asked.join(rated.select("level", "name", "rate", "lower"), ["level", "name"])
+    best = checkpointed(near.groupBy(F.col("host").alias("at")).agg(F.max("pages").alias("pages"), F.min_by("rate", "near").alias("bad_rate"), F.min_by("lower", "near").alias("bad_lower")))
+    total = counted.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    often = F.col("pages") * HOT_HOSTS > total
+    marked = parsed.join(F.broadcast(best.filter(often).drop("pages")), F.col("host") == F.col("at"), "left")
+    rest = marked.filter("at IS NULL").drop("at", "bad_rate", "bad_lower").join(best.filter(~often).drop("pages"), F.col("host") == F.col("at"), "left")
+    met = marked.filter("at IS NOT NULL").unionByName(rest).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("bad_lower") > threshold, "block").otherwise("allow")
     return met.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "bad_rate", "bad_lower")

@@ -33,11 +33,13 @@ def test_language_rejects_what_is_far_from_all(spark):
 
 
 def test_gram_counts_do_not_depend_on_blocks(monkeypatch):
-    text = "Größe, 12 und mehr Wörter ... " * 40
-    whole = langid.gram_counts(text)
-    monkeypatch.setattr(langid, "BLOCK", 97)
-    parts = langid.gram_counts(text)
-    assert parts[1] == whole[1] and abs(int(parts[0].sum()) - int(whole[0].sum())) <= 40  # white space at block edges only
+    texts = ["Größe, 12 und mehr Wörter ... " * 40, "", "a", " ", "ab", " a b ", "x" * 300, "  " * 200 + "y", "z" + " " * 300]
+    whole = [langid.gram_counts(t) for t in texts]
+    for block in (1, 2, 3, 7, 97):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for t, (counts, letters) in zip(texts, whole):
+            parts = langid.gram_counts(t)
+            assert parts[1] == letters and (parts[0] == counts).all()
 
 
 def test_language_of_odd_rows(odd, empty):
