@@ -16,17 +16,24 @@ def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def phrase_matches(quotes: DataFrame, docs: DataFrame, seed: int = SEED_TOKENS) -> DataFrame:
-    """quote_id, doc_id, position of every place where all of a quote's tokens stand in a row. Inputs: quote_id, tokens and doc_id, tokens.
-
-    Quotes are keyed by the hash of their first tokens, ``seed`` of them or all if they are fewer; texts by every run of as many; a
-    join on the hash finds candidates, and the tokens themselves decide."""
-    asked = quotes.filter("size(tokens) > 0").select("quote_id", F.col("tokens").alias("wanted"), F.least(F.size("tokens"), F.lit(seed)).alias("width"))
-    asked = asked.withColumn("h", F.xxhash64(F.array_join(F.slice("wanted", 1, F.col("width")), " ")))
+    """quote_id, doc_id, position of every place where all of a quote's tokens stand in a row. Inputs: quote_id, tokens and doc_id, tokens; where
+    ``quotes`` has a doc_id too, a quote is looked for in that text alone.
+
+    Quotes are keyed by the hash of their first tokens, ``seed`` of them or all if they are fewer; texts by every run of as many: narrow rows, which
+    the texts' tokens don't travel with. A join on the hash finds places; those of a text then meet its tokens once, and only the piece
+    that is in question goes on to be compared with the quote."""
+    own = ["doc_id"] if "doc_id" in quotes.columns else []
+    asked = quotes.filter("size(tokens) > 0").select("quote_id", *own, F.size("tokens").alias("length"), F.least(F.size("tokens"), F.lit(seed)).alias("width"), "tokens")
+    asked = asked.withColumn("h", F.xxhash64(F.array_join(F.slice("tokens", F.lit(1), F.col("width")), " "))).drop("tokens")
     widths = F.broadcast(asked.select("width").distinct())  # 1 to ``seed``
-    runs = docs.filter("size(tokens) > 0").join(widths, F.size("tokens") >= F.col("width")).select("doc_id", "tokens", "width", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))).alias("position"))
-    hashed = runs.withColumn("h", F.xxhash64(F.array_join(F.slice("tokens", F.col("position") + 1, F.col("width")), " ")))
-    met = hashed.join(asked, ["h", "width"]).filter(F.slice("tokens", F.col("position") + 1, F.size("wanted")) == F.col("wanted"))
-    return met.select("quote_id", "doc_id", "position")
+    starts = F.sequence(F.lit(1), F.size("tokens") - F.col("width") + 1)
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, F.col("width")), " ")))
+    runs = docs.filter("size(tokens) > 0").join(widths, F.size("tokens") >= F.col("width")).select("doc_id", "width", F.posexplode(hashes).alias("position", "h"))
+    places = runs.join(asked, ["h", "width", *own]).groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "length", "position")).alias("places"))
+    pieces = docs.select("doc_id", "tokens").join(places, "doc_id").select("doc_id", "tokens", F.explode("places").alias("at"))
+    pieces = pieces.select("doc_id", "at.quote_id", "at.position", F.slice("tokens", F.col("at.position") + 1, F.col("at.length")).alias("piece"))
+    wanted = quotes.select("quote_id", F.col("tokens").alias("wanted"))
+    return pieces.join(wanted, "quote_id").filter("piece = wanted").select("quote_id", "doc_id", "position")
 
 
 def page_tokens(words: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -45,13 +52,14 @@ def locate(quotes: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
     on the nearest page count; more than one there are ambiguous. ``quotes``: quote_id, doc_id, start_page, tokens."""
     placed = page_tokens(words)
     texts = placed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda x: x["token"]).alias("tokens"))
-    wanted = quotes.select("quote_id", F.col("doc_id").alias("of"), "start_page", F.size("tokens").alias("length"))
-    met = phrase_matches(quotes.select("quote_id", "tokens"), texts.join(quotes.select("doc_id").distinct(), "doc_id", "left_semi")).join(wanted, "quote_id").filter("doc_id = of")
+    wanted = quotes.select("quote_id", "start_page", F.size("tokens").alias("length"))
+    met = phrase_matches(quotes.select("quote_id", "doc_id", "tokens"), texts).join(wanted, "quote_id")
     starts = met.join(placed.select("doc_id", "position", "page"), ["doc_id", "position"]).filter("page >= start_page")
     nearest = starts.withColumn("_p", F.min("page").over(Window.partitionBy("quote_id"))).filter("page = _p")
     one = nearest.groupBy("quote_id", "doc_id").agg(F.count("*").alias("places"), F.min("page").alias("page"), F.min("position").alias("position"), F.min("length").alias("length"))
     matched = one.filter("places = 1")
-    span = matched.join(placed.select("doc_id", F.col("position").alias("_at"), "n", "two", F.col("page").alias("_page")), "doc_id").filter("_at >= position AND _at < position + length")
+    each = matched.select("quote_id", "doc_id", F.explode(F.sequence(F.col("position"), F.col("position") + F.col("length") - 1)).alias("position"))
+    span = each.join(placed.select("doc_id", "position", "n", "two", F.col("page").alias("_page")), ["doc_id", "position"])
     both = span.select("quote_id", "doc_id", F.col("_page").alias("page"), F.explode(F.when(F.col("two"), F.array(F.col("n"), F.col("n") + 1)).otherwise(F.array("n"))).alias("n")).distinct()
     boxes = line_rectangles(both.drop("page").join(words, ["doc_id", "n"]), pages, ["quote_id", "doc_id"])
     listed = boxes.groupBy("quote_id").agg(F.array_sort(F.collect_list(F.struct("page", "block", "line", "x", "y", "width", "height"))).alias("rectangles"))
@@ -76,9 +84,16 @@ def words_for_spans(spans: DataFrame, text_tokens: DataFrame, words: DataFrame)
 
 
 def attach_evidence(claims: DataFrame, citations: DataFrame, chunks: DataFrame, drafts: DataFrame, longest: int = 500) -> DataFrame:
-    """claim_id, chunk_id of supported claims: the cited chunk is of the claim's document and extraction, the quote is short enough, stands in the chunk, and the claim stands in the draft. Token lists decide; equal quotes of a chunk count once."""
-    within = lambda whole, part: F.array_position(F.transform(F.sequence(F.lit(0), F.greatest(F.size(whole) - F.size(part), F.lit(0))), lambda i: F.slice(whole, i + 1, F.size(part)) == part), True) > 0
-    met = claims.filter("supported").join(citations.select("turn_id", "chunk_id"), ["turn_id", "chunk_id"]).join(chunks.select("chunk_id", "document_id", "extraction_id", tokens(F.col("content")).alias("body")), "chunk_id").filter("document_id = claim_document AND extraction_id <=> claim_extraction").join(drafts.select("turn_id", tokens(F.col("draft")).alias("said")), "turn_id")
-    sized = met.filter(F.length("quote") <= longest).withColumn("q", tokens(F.col("quote"))).withColumn("c", tokens(F.col("claim"))).filter("size(q) > 0 AND size(c) > 0")
-    kept = sized.filter((F.size("body") >= F.size("q")) & within(F.col("body"), F.col("q")) & (F.size("said") >= F.size("c")) & within(F.col("said"), F.col("c")))
-    return kept.withColumn("mark", F.sha2(F.array_join("q", " "), 256)).groupBy("turn_id", "chunk_id", "mark").agg(F.min("claim_id").alias("claim_id")).select("claim_id", "chunk_id")
+    """claim_id, chunk_id of supported claims: the cited chunk is of the claim's document and extraction, the quote is short enough, stands in the
+    chunk, and the claim stands in the draft. Token lists decide; equal quotes of a chunk count once."""
+    cited = claims.filter("supported").join(citations.select("turn_id", "chunk_id").distinct(), ["turn_id", "chunk_id"], "left_semi")
+    of = chunks.select("chunk_id", "document_id", "extraction_id")
+    sized = cited.join(of, "chunk_id").filter("document_id = claim_document AND extraction_id <=> claim_extraction").filter(F.length("quote") <= longest)
+    sized = sized.select("claim_id", "turn_id", "chunk_id", tokens(F.col("quote")).alias("q"), tokens(F.col("claim")).alias("c")).filter("size(q) > 0 AND size(c) > 0")
+    quoted = sized.select(F.col("claim_id").alias("quote_id"), F.col("chunk_id").alias("doc_id"), F.col("q").alias("tokens"))
+    said = sized.select(F.col("claim_id").alias("quote_id"), F.col("turn_id").alias("doc_id"), F.col("c").alias("tokens"))
+    in_chunk = phrase_matches(quoted, chunks.select(F.col("chunk_id").alias("doc_id"), tokens(F.col("content")).alias("tokens")))
+    in_draft = phrase_matches(said, drafts.select(F.col("turn_id").alias("doc_id"), tokens(F.col("draft")).alias("tokens")))
+    both = in_chunk.select("quote_id").distinct().join(in_draft.select("quote_id").distinct(), "quote_id").withColumnRenamed("quote_id", "claim_id")
+    kept = sized.join(both, "claim_id", "left_semi").withColumn("mark", F.sha2(F.array_join("q", " "), 256))
+    return kept.groupBy("turn_id", "chunk_id", "mark").agg(F.min("claim_id").alias("claim_id")).select("claim_id", "chunk_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import udfs, values
 from corpuslake.operators import graph, phrases, quality, segment
-from corpuslake.plans.registry import query
+from corpuslake.plans.registry import VIEWS_SQL, query
 from corpuslake.plans.views import Views
 from corpuslake.sources import readers
 
@@ -89,10 +89,11 @@ def _(v: Views) -> DataFrame:
     return graph.audit_report(_audit(v))
 
 
-@query("a12_unique_identity", "SELECT section_number AS label, lang AS language, count(DISTINCT doc_id) FROM v_sections JOIN documents USING (doc_id) WHERE length(section_number) > 1 GROUP BY ALL HAVING count(DISTINCT doc_id) = 1".replace("count(DISTINCT doc_id) FROM", "min('d' || doc_id) AS document_id FROM"))
+@query("a12_unique_identity", "SELECT section_number AS label, lang AS language, source AS act_title, min('d' || doc_id) AS document_id FROM v_sections JOIN documents USING (doc_id) GROUP BY ALL HAVING count(DISTINCT doc_id) = 1")
 def _(v: Views) -> DataFrame:
-    rows = v.sections.filter(F.length("section_number") > 1).join(v.table("documents").select("doc_id", F.col("lang").alias("language")), "doc_id").select(F.col("section_number").alias("label"), "language", F.concat(F.lit("d"), "doc_id").alias("document_id"), F.concat(F.lit("x"), "doc_id").alias("extraction_id"), "chunk_ordinal")
-    return graph.unique_identity(rows, ["label", "language"]).select("label", "language", "document_id")
+    of = v.table("documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("act_title"))
+    rows = v.sections.join(of, "doc_id").select(F.col("section_number").alias("label"), "language", "act_title", F.concat(F.lit("d"), "doc_id").alias("document_id"), F.concat(F.lit("x"), "doc_id").alias("extraction_id"), "chunk_ordinal")
+    return graph.unique_identity(rows, ["label", "language", "act_title"]).select("label", "language", "act_title", "document_id")
 
 
 _FOLLOWED = """SELECT e.doc_id, 'd' || e.doc_id || '-' || section AS anchor_id, n, edge_id, target_provision_id AS target_section, t.section_number IS NOT NULL AS found
@@ -153,20 +154,30 @@ def _(v: Views) -> DataFrame:
 
 
 def _located(v: Views) -> DataFrame:
-    t = phrases.token_table(v.table("documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
-    cut = t.filter("size(tokens) >= 40").select(F.col("doc_id").alias("quote_id"), "doc_id", (F.col("doc_id") % 2 + 1).cast("int").alias("start_page"), F.slice("tokens", 11, 12).alias("tokens"))
-    return phrases.locate(cut, v.words, v.page_sizes)
+    """Every text in quotes of twelve tokens, each looked for in its own document."""
+    t = phrases.token_table(v.table("documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text").filter("size(tokens) > 0")
+    cut = t.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / 12).cast("int")), lambda i: F.slice("tokens", i * 12 + 1, 12))).alias("n", "tokens"))
+    quotes = cut.select((F.col("doc_id") * 100_000 + F.col("n")).alias("quote_id"), "doc_id", (F.col("doc_id") % 2 + 1).cast("int").alias("start_page"), "tokens")
+    return phrases.locate(quotes, v.words, v.page_sizes)
+
+
+# Quotes meet their own document's places by the first token; a place is on page p // 300 + 1, on line p // 10.
+_PLACES = """SELECT q.quote_id, q.doc_id, len(wanted) AS size, place.p // 300 + 1 AS page, place.p FROM (SELECT doc_id * 100000 + n AS quote_id, doc_id, tokens, tokens[n * 12 + 1 : n * 12 + 12] AS wanted FROM (SELECT doc_id, tokens, unnest(range(0, (len(tokens) - 1) // 12 + 1)) AS n FROM v_doc_tokens WHERE len(tokens) > 0)) q
+  JOIN (SELECT doc_id, unnest(tokens) AS first, unnest(range(0, len(tokens))) AS p FROM v_doc_tokens) place ON place.doc_id = q.doc_id AND place.first = q.wanted[1] AND q.tokens[place.p + 1 : place.p + len(wanted)] = wanted WHERE place.p // 300 + 1 >= q.doc_id % 2 + 1"""
+_LOCATED = f"""SELECT a.quote_id, a.doc_id, CASE WHEN places IS NULL THEN 'not_found' WHEN places > 1 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN places = 1 THEN page END AS page, CASE WHEN places = 1 THEN (p + size - 1) // 10 - p // 10 + 1 END AS boxes, CASE WHEN places = 1 THEN size END AS size
+FROM (SELECT doc_id * 100000 + n AS quote_id, doc_id FROM (SELECT doc_id, unnest(range(0, (len(tokens) - 1) // 12 + 1)) AS n FROM v_doc_tokens WHERE len(tokens) > 0)) a
+LEFT JOIN (SELECT quote_id, count(*) AS places, min(page) AS page, min(p) AS p, min(size) AS size FROM (SELECT *, min(page) OVER (PARTITION BY quote_id) AS nearest FROM ({_PLACES})) WHERE page = nearest GROUP BY quote_id) USING (quote_id)"""
 
 
-@query("t4_locate")
+@query("t4_locate", f"SELECT quote_id, doc_id, status, page, boxes, round((10 * size - boxes) / 100, 6) AS width FROM ({_LOCATED})")
 def _(v: Views) -> DataFrame:
-    return _located(v).select("quote_id", "doc_id", "status", "page", F.size("rectangles").alias("boxes"))
+    width = F.round(F.aggregate("rectangles", F.lit(0.0), lambda s, r: s + r["width"]), 6)
+    return _located(v).select("quote_id", "doc_id", "status", "page", F.when(F.col("rectangles").isNotNull(), F.size("rectangles")).alias("boxes"), width.alias("width"))
 
 
-@query("a16_locate_status", """SELECT quote_id, CASE WHEN places IS NULL THEN 'not_found' WHEN places > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM (SELECT doc_id AS quote_id FROM v_doc_tokens WHERE len(tokens) >= 40) LEFT JOIN (
-  SELECT quote_id, count(*) AS places FROM (SELECT quote_id, page, min(page) OVER (PARTITION BY quote_id) AS nearest FROM (SELECT d.doc_id AS quote_id, p // 300 + 1 AS page FROM (SELECT doc_id, tokens, tokens[11:22] AS wanted, unnest(range(0, len(tokens) - 11)) AS p FROM v_doc_tokens WHERE len(tokens) >= 40) d WHERE d.tokens[p + 1 : p + 12] = wanted AND p // 300 + 1 >= doc_id % 2 + 1)) WHERE page = nearest GROUP BY quote_id) USING (quote_id)""")
+@query("a16_locate_status", f"SELECT status, count(*) AS quotes FROM ({_LOCATED}) GROUP BY status")
 def _(v: Views) -> DataFrame:
-    return _located(v).select("quote_id", "status")
+    return _located(v).groupBy("status").agg(F.count("*").alias("quotes"))
 
 
 @query("a17_line_rectangles", "SELECT doc_id, page, line, round(min(x0) / 100, 6) AS x, round(min(y0) / 600, 6) AS y, round((max(x1) - min(x0)) / 100, 6) AS width, round((max(y1) - min(y0)) / 600, 6) AS height FROM v_words GROUP BY doc_id, page, block, line")
@@ -174,20 +185,26 @@ def _(v: Views) -> DataFrame:
     return phrases.line_rectangles(v.words, v.page_sizes, ["doc_id"]).select("doc_id", "page", "line", "x", "y", "width", "height")
 
 
-@query("j13_words_for_spans", "SELECT doc_id AS span_id, doc_id, page, n FROM v_words WHERE doc_id % 4 <> 0 AND n >= 5 AND n < 12")
+@query("j13_words_for_spans", "SELECT doc_id || '-' || n // 50 AS span_id, doc_id, page, n FROM v_words WHERE doc_id % 4 <> 0 AND n % 50 >= 5 AND n % 50 < 12")
 def _(v: Views) -> DataFrame:
     w = v.words
     text = w.select("doc_id", "page", F.col("n").alias("position"), F.when((F.col("doc_id") % 4 == 0) & (F.col("n") % 300 == 0), "other").otherwise(F.lower("raw")).alias("token"), (F.col("n") * 10).alias("first"), (F.col("n") * 10 + 9).alias("last"))
-    spans = v.table("documents").select(F.col("doc_id").alias("span_id"), "doc_id", F.lit(1).alias("page"), F.lit(50).alias("start"), F.lit(120).alias("end"))
+    k = F.floor(F.col("n") / 50)
+    spans = w.filter("n % 50 = 5").select(F.concat_ws("-", "doc_id", k).alias("span_id"), "doc_id", "page", (k * 500 + 50).alias("start"), (k * 500 + 120).alias("end"))
     return phrases.words_for_spans(spans, text, w)
 
 
-@query("j10_attach_evidence", "SELECT turn_id || '-0' AS claim_id, turn_id || '-' || (turn_id % 7 + 1) AS chunk_id FROM v_citations WHERE pos = 0 AND turn_id % 3 = 0 AND turn_id IN (SELECT s.doc_id FROM v_sections s WHERE section_number = (s.doc_id % 7 + 1)::VARCHAR AND regexp_matches(content, '[\\p{L}\\p{N}]'))".replace("\\\\", "\\"))
+_LINE_TOKENS = VIEWS_SQL["v_doc_tokens"].removeprefix("SELECT doc_id, ").removesuffix(" AS tokens FROM documents").replace("coalesce(text, '')", "line")
+
+
+@query("j10_attach_evidence", f"""SELECT min(claim_id) AS claim_id, chunk_id FROM (SELECT doc_id || '-' || lpad(pos::VARCHAR, 6, '0') AS claim_id, chunk_id, {_LINE_TOKENS} AS q FROM (SELECT doc_id, doc_id || '-' || section_number AS chunk_id, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS pos
+  FROM v_sections WHERE section_number = (doc_id % 7 + 1)::VARCHAR AND doc_id % 3 = 0) WHERE length(line) <= 500) WHERE len(q) > 0 GROUP BY chunk_id, array_to_string(q, ' ')""")
 def _(v: Views) -> DataFrame:
+    """Each line of the cited section is quoted by a claim."""
     own = v.sections.filter(F.col("section_number") == (F.col("doc_id") % 7 + 1).cast("string"))
     chunks = own.select(F.concat_ws("-", "doc_id", "section_number").alias("chunk_id"), F.concat(F.lit("d"), "doc_id").alias("document_id"), F.lit("x").alias("extraction_id"), "content", F.col("doc_id").alias("turn_id"))
-    claims = chunks.select(F.concat(F.col("turn_id"), F.lit("-0")).alias("claim_id"), "turn_id", "chunk_id", (F.col("turn_id") % 3 == 0).alias("supported"), F.col("document_id").alias("claim_document"), F.col("extraction_id").alias("claim_extraction"), F.left("content", F.lit(60)).alias("quote"), F.lit("as the section says").alias("claim"))
-    claims = claims.withColumn("quote", F.regexp_replace("quote", r"\S+$", "")).withColumn("quote", F.when(F.size(values.tokens(F.col("quote"))) == 0, F.regexp_extract("quote", r"^(\S+)", 1)).otherwise(F.col("quote")))
+    lines = chunks.select("turn_id", "chunk_id", "document_id", "extraction_id", F.posexplode(F.split("content", "\n")).alias("pos", "quote"))
+    claims = lines.select(F.concat_ws("-", "turn_id", F.lpad(F.col("pos").cast("string"), 6, "0")).alias("claim_id"), "turn_id", "chunk_id", (F.col("turn_id") % 3 == 0).alias("supported"), F.col("document_id").alias("claim_document"), F.col("extraction_id").alias("claim_extraction"), "quote", F.lit("as the section says").alias("claim"))
     drafts = chunks.select("turn_id", F.lit("So, as the Section says: no.").alias("draft"))
     return phrases.attach_evidence(claims, chunks.select("turn_id", "chunk_id"), chunks, drafts)
 
