@@ -36,6 +36,8 @@ from corpuslake.llm.common import checkpointed, likely_in, slices, staged
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Most kinds of run that are broadcast: those with more than one run in so many.
+HOT = 1000
 #: Windows whose least gram is looked for at a time.
 BLOCK = 1 << 15
 
@@ -176,8 +178,12 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     one = F.struct("doc_id", "rk", "first", "last", "at")
     kinds = seeds.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(one).alias("one"))
     kinds = staged(kinds.select("anchor", "span", "n", "one.*"), "kinds")
-    again = kinds.filter("n > 1").select("anchor", "span")
-    whole = likely_in(seeds, "span", again.select("span")).join(again, ["anchor", "span"], "left_semi").select("doc_id", "rk", "first", "last")
+    again, total = kinds.filter("n > 1").select("anchor", "span", "n"), seeds.count()
+    # Kinds that a large share of all runs have, HOT at most, find theirs without a shuffle.
+    often, met = F.col("n") * HOT > total, likely_in(seeds, "span", again.select("span"))
+    marked = met.join(F.broadcast(again.filter(often)), ["anchor", "span"], "left")
+    rest = marked.filter("n IS NULL").join(again.filter(~often).drop("n"), ["anchor", "span"], "left_semi")
+    whole = marked.filter("n IS NOT NULL").unionByName(rest).select("doc_id", "rk", "first", "last")
     differing = kinds.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor")
     spans, rest = [whole], staged(_contexts(docs, likely_in(kinds, "anchor", differing), length, seed), "contexts")
     for _ in range(2 * length):  # each step leaves out a word more
