@@ -2,7 +2,7 @@
 
 ``encode`` stores each payload as a grey image 64 samples wide, one filter byte per line, in zlib chunks;
 ``features`` reads the stored bytes back: signature, chunk order and checksums are tested, lines are
-unfiltered with numpy, and the cosine transform of the image, averaged down to 32 by 32, gives a 64-bit
+unfiltered with numpy (the two filters that look at the pixel before, which ``encode`` never uses, pixel by pixel), and the cosine transform of the image, averaged down to 32 by 32, gives a 64-bit
 hash of its 8 by 8 lowest frequencies. Both are narrow maps: nothing is shuffled.
 
 Defined results: a null or empty text gives one line of 64 zero samples; equal texts give equal values; a
@@ -92,13 +92,15 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError("not a PNG image")
     at, head, packed, ended = 8, None, [], False
     while at < len(data) and not ended:
-        (size,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
         body, crc = data[at + 8 : at + 8 + size], data[at + 8 + size : at + 12 + size]
         if len(body) != size or crc != struct.pack(">I", zlib.crc32(kind + body)):
             raise ValueError(f"damaged chunk {kind!r}")
         if (kind == b"IHDR") != (head is None):
             raise ValueError("the header is not the first chunk")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("the header has another size")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -106,8 +108,13 @@ def decode_png(data: bytes) -> np.ndarray:
         at += 12 + size
     if head is None or not ended or head[2:] != (8, 0, 0, 0, 0):
         raise ValueError("not a whole grey 8-bit image")
+    if at != len(data):
+        raise ValueError("bytes after the end of the image")
     width, height = head[:2]
-    lines = np.frombuffer(zlib.decompress(b"".join(packed)), dtype=np.uint8)
+    try:
+        lines = np.frombuffer(zlib.decompress(b"".join(packed)), dtype=np.uint8)
+    except zlib.error as e:
+        raise ValueError("damaged image data") from e
     if lines.size != height * (width + 1):
         raise ValueError("the image has another size than its header says")
     return _unfilter(lines.reshape(height, width + 1))
