@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions.keys import content_hash, document_id
@@ -106,5 +106,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("mark"))
 
 
-def repeated(df: DataFrame, key: list[str]) -> DataFrame:
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter("_n > 1").drop("_n")
+def same_content(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows, equal: whether two tables of the same columns have the same rows, whatever their order; by number and summed hashes."""
+    one, two = fingerprint(a), fingerprint(b.select(*a.columns))
+    return one.select("rows", "mark", F.lit(1).alias("k")).join(two.select(F.col("mark").alias("_mark"), F.col("rows").alias("_rows"), F.lit(1).alias("k")), "k").select("rows", ((F.col("mark") == F.col("_mark")) & (F.col("rows") == F.col("_rows"))).alias("equal"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.keys import document_id, lenient_date, strict_date
+from corpuslake.sources.scratch import checkpointed
 
 REPRINTS = ("REPRINT ONLINE", "REPRINT")
 
@@ -94,18 +95,25 @@ def ready_extractions(runs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def rollout_plan(docs: DataFrame, runs: DataFrame, chunks: DataFrame, active: DataFrame) -> DataFrame:
-    """document_id, step: what each document still needs, or that several share its act and language."""
-    stored = ready_extractions(runs, chunks).groupBy("document_id").agg(F.count("*").alias("whole"))
-    have = runs.filter("status = 'ready'").groupBy("document_id").agg(F.count("*").alias("ready"))
-    on = active.select("document_id").distinct().withColumn("on", F.lit(True))
-    rivals = docs.groupBy("act_number", "language").agg(F.count("*").alias("rivals"))
-    met = docs.select("document_id", "act_number", "language").join(rivals, ["act_number", "language"]).join(have, "document_id", "left").join(stored, "document_id", "left").join(on, "document_id", "left")
-    step = F.when(F.col("rivals") > 1, "ambiguous").when(F.col("ready").isNull(), "prepare").when(F.col("whole").isNull(), "ingest").when(F.col("on").isNull(), "activate").otherwise("done")
-    return met.select("document_id", step.alias("step"))
+    """document_id, step: what each document still needs.
+
+    Of the ready runs of an act and language the one that the active mapping names is meant, whatever others there are: documents without it are
+    ``superseded``. Where nothing is active several ready runs are ``ambiguous``. Null languages are a language of their own."""
+    ready = runs.filter("status = 'ready'").select("document_id", "extraction_id").distinct()
+    whole = ready_extractions(runs, chunks).select("extraction_id").distinct().withColumn("whole", F.lit(True))
+    of = docs.select("document_id", F.coalesce("act_number", F.lit("")).alias("_act"), F.coalesce("language", F.lit("")).alias("_language"))
+    several = of.join(ready, "document_id").groupBy("_act", "_language").agg(F.count("*").alias("several"))
+    named = active.select(F.coalesce("act_number", F.lit("")).alias("_act"), F.coalesce("language", F.lit("")).alias("_language"), F.col("extraction_id").alias("named")).distinct()
+    met = of.join(ready, "document_id", "left").join(several, ["_act", "_language"], "left").join(named, ["_act", "_language"], "left").join(whole, "extraction_id", "left")
+    chosen = F.when(F.col("named").isNotNull(), F.col("extraction_id") == F.col("named")).otherwise(F.col("several") == 1)
+    step = F.when(F.col("extraction_id").isNull(), 5).when(~chosen, F.when(F.col("named").isNull(), 4).otherwise(3)).when(F.col("whole").isNull(), 2).when(F.col("named").isNull(), 1).otherwise(0)
+    # A document counts by its run that is furthest on.
+    names = F.array(*(F.lit(n) for n in ("done", "activate", "ingest", "superseded", "ambiguous", "prepare")))
+    return met.groupBy("document_id").agg(F.element_at(names, F.min(step) + 1).alias("step"))
 
 
 def rollout_counts(plan: DataFrame) -> DataFrame:
-    return plan.agg(F.count("*").alias("candidates"), *(F.count_if(F.col("step") == s).alias(s) for s in ("ambiguous", "prepare", "ingest", "activate", "done")))
+    return plan.agg(F.count("*").alias("candidates"), *(F.count_if(F.col("step") == s).alias(s) for s in ("ambiguous", "superseded", "prepare", "ingest", "activate", "done")))
 
 
 def carry_superseded(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -165,16 +173,17 @@ def embedding_cost(chunks: DataFrame, price_per_million: Decimal, cap: Decimal |
     return total.select("tokens", (F.col("tokens").cast("decimal(18,0)") * price / 1_000_000).cast("decimal(18,6)").alias("cost_usd"), limit.alias("token_limit"), (F.col("tokens") <= F.coalesce(limit, F.col("tokens"))).alias("affordable"))
 
 
-def admit_within_budget(docs: DataFrame, cost: str, cap: int, key: str = "doc_id", bucket: Column | None = None) -> DataFrame:
-    """The documents before the first one, by ``key``, with which the summed cost goes over ``cap``.
+def admit_within_budget(docs: DataFrame, cost: str, cap: int, key: str = "doc_id") -> DataFrame:
+    """The documents before the first one, by ``key``, with which the summed cost goes over ``cap``. Documents without a key come first.
 
-    Sums are per bucket of keys first (``bucket`` must rise with the key; ranges of a thousand by default), buckets are prefix-summed, and keys only
-    within their bucket, so no task sorts all documents."""
-    bucketed = docs.withColumn("_b", bucket if bucket is not None else F.floor(F.col(key) / 1000))
-    totals = bucketed.groupBy("_b").agg(F.sum(cost).alias("_t"))
+    Spark deals the documents out in ranges of the key; costs are summed per range, these few sums are prefix-summed, and documents only
+    within their range, so no task sorts all of them."""
+    dealt = checkpointed(docs.repartitionByRange(key).withColumn("_b", F.spark_partition_id()))
+    totals = dealt.groupBy("_b").agg(F.sum(cost).alias("_t"))
+    # As many rows as there are ranges.
     ahead = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     upto = F.sum(cost).over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    summed = bucketed.withColumn("_upto", upto).join(ahead, "_b").withColumn("running", F.col("_ahead") + F.col("_upto"))
+    summed = dealt.withColumn("_upto", upto).join(F.broadcast(ahead), "_b").withColumn("running", F.col("_ahead") + F.col("_upto"))
     # Costs aren't negative: what fits is what stands before the first overflow.
     return summed.filter(F.col("running") <= cap).drop("_b", "_upto", "_ahead")
 

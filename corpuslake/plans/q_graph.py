@@ -209,14 +209,16 @@ def _(v: Views) -> DataFrame:
     return phrases.attach_evidence(claims, chunks.select("turn_id", "chunk_id"), chunks, drafts)
 
 
-@query("u1_nfkc_casefold")
+@query("u1_nfkc_casefold", "SELECT doc_id, sha256(replace(lower(text), 'ß', 'ss')) AS mark FROM documents")
 def _(v: Views) -> DataFrame:
     return udfs.nfkc_casefold(v.table("documents").select("doc_id", "text"), "text", "folded").select("doc_id", F.sha2("folded", 256).alias("mark"))
 
 
-@query("u4_embed")
+# Each token counts in the place that the first four bytes of its hash name, of 64; vectors are unit vectors.
+@query("u4_embed", """SELECT doc_id, place, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS x FROM (SELECT doc_id, ('0x' || substr(sha256(t), 1, 8))::BIGINT % 64 AS place, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(tokens) AS t FROM v_doc_tokens) GROUP BY ALL)""")
 def _(v: Views) -> DataFrame:
-    return udfs.embed(v.table("documents").select("doc_id", "text"), "text").select("doc_id", F.round(values.norm(F.col("embedding")), 5).alias("size"))
+    made = udfs.embed(v.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    return made.select("doc_id", F.posexplode("embedding").alias("place", "x")).filter("x <> 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 def _statutes(v: Views) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import policy, values
-from corpuslake.operators import evals, memory, quality, registry, segment
+from corpuslake.operators import evals, lookup, memory, quality, registry, segment
 from corpuslake.operators.vectors import similar_pairs
 from corpuslake.plans.registry import query
 from corpuslake.plans.views import Views
@@ -134,7 +134,15 @@ def _(v: Views) -> DataFrame:
     return evals.case_sections(v.cases).select("case_id", F.array_join(F.transform("sections", lambda s: F.concat(s["act_number"], F.lit("/"), s["section_number"])), ",").alias("sections"))
 
 
-@query("x2_required_pairs", "SELECT case_id::VARCHAR AS act_number, unnest([(case_id % 7 + 1)::VARCHAR, '99']) AS section_number FROM v_cases WHERE citation_applicable")
+_REQUIRED = "SELECT case_id, unnest([(case_id % 7 + 1)::VARCHAR, '99']) AS section_number FROM v_cases WHERE citation_applicable"
+
+
+@query("x2_required_not_present", f"SELECT DISTINCT case_id::VARCHAR AS act_number, section_number FROM ({_REQUIRED}) r WHERE NOT EXISTS (SELECT 1 FROM v_sections s WHERE s.doc_id = r.case_id AND s.section_number = r.section_number)")
+def _(v: Views) -> DataFrame:
+    return lookup.missing_sections(evals.required_pairs(v.cases), v.chunks)
+
+
+@query("x2_required_pairs", f"SELECT case_id::VARCHAR AS act_number, section_number FROM ({_REQUIRED})")
 def _(v: Views) -> DataFrame:
     return evals.required_pairs(v.cases)
 
@@ -190,7 +198,10 @@ def _(v: Views) -> DataFrame:
     return registry.with_previous(log).select("act_number", "event_id", "extraction_id", "previous_id")
 
 
-@query("st3_activation_state")
+@query("st3_activation_state", """WITH RECURSIVE numbered AS (SELECT act_number, language, action, extraction_id, row_number() OVER (PARTITION BY act_number ORDER BY ts, event_id) AS seq FROM v_log), state AS (
+  SELECT act_number, language, 0::BIGINT AS seq, '' AS action, NULL::VARCHAR AS now, NULL::VARCHAR AS before, false AS changed FROM numbered WHERE seq = 1
+  UNION ALL SELECT n.act_number, n.language, n.seq, n.action, CASE WHEN n.action = 'activate' THEN n.extraction_id WHEN before IS NOT NULL THEN before ELSE now END, CASE WHEN n.action = 'activate' THEN coalesce(now, before) WHEN before IS NOT NULL THEN now ELSE before END, n.action = 'activate' OR before IS NOT NULL
+  FROM state s JOIN numbered n ON n.act_number = s.act_number AND n.seq = s.seq + 1) SELECT act_number, language, seq, action, now AS extraction_id, before AS previous_id FROM state WHERE changed""")
 def _(v: Views) -> DataFrame:
     ordered = v.log.withColumn("seq", F.row_number().over(Window.partitionBy("act_number").orderBy("at", "event_id")).cast("long"))
     return registry.activation_state(ordered)
@@ -201,10 +212,33 @@ def _(v: Views) -> DataFrame:
     return streams.counts(v.table("events")).withColumn("start", F.unix_micros(F.col("start").cast("timestamp")))
 
 
-@query("st1_observations", "SELECT user_id, event_type, epoch_us(date_trunc('minute', ts)) AS minute, count(*) AS seen, min(event_id) AS first_id FROM events GROUP BY ALL")
+# Of the events of a user, kind and minute those with ids that 3 divides are stored; the parity of an id is its timeline.
+_SEEN = "SELECT user_id::VARCHAR AS document_id, event_type AS source_url, epoch_us(date_trunc('minute', ts)) AS minute, (event_id % 2)::VARCHAR AS kind, event_id % 3 = 0 AS stored FROM events"
+_MET = f"""SELECT *, CASE WHEN old IS NULL THEN min(kind) OVER (PARTITION BY document_id, source_url, minute) ELSE old END AS kept FROM (SELECT DISTINCT document_id, source_url, minute, kind FROM ({_SEEN}) WHERE NOT stored)
+  LEFT JOIN (SELECT document_id, source_url, minute, min(kind) AS old FROM ({_SEEN}) WHERE stored GROUP BY ALL) USING (document_id, source_url, minute)"""
+
+
+@query("st1_observations", f"SELECT document_id, source_url, minute, kept AS kind, 'new' AS part FROM ({_MET}) WHERE old IS NULL GROUP BY ALL UNION ALL SELECT document_id, source_url, minute, kind, 'conflict' FROM ({_MET}) WHERE kind <> kept")
 def _(v: Views) -> DataFrame:
-    e = v.table("events").withColumn("minute", F.unix_micros(F.date_trunc("minute", F.col("ts").cast("timestamp"))))
-    return e.groupBy("user_id", "event_type", "minute").agg(F.count("*").alias("seen"), F.min("event_id").alias("first_id"))
+    e = v.table("events")
+    rows = e.select("event_id", F.col("user_id").cast("string").alias("document_id"), F.col("event_type").alias("source_url"), F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("observed_at"), F.lit("x").alias("timeline_date"), (F.col("event_id") % 2).cast("string").alias("timeline_type"))
+    stored = rows.filter("event_id % 3 = 0").groupBy(*streams.SEEN, "timeline_date").agg(F.min("timeline_type").alias("timeline_type"))
+    new, clash = streams.taken_in(rows.filter("event_id % 3 <> 0"), stored)
+    out = lambda df, part: df.select("document_id", "source_url", F.unix_micros("observed_at").alias("minute"), F.col("timeline_type").alias("kind"), F.lit(part).alias("part"))
+    return out(new, "new").unionByName(out(clash, "conflict"))
+
+
+# Documents are bundles of their sections; a third has a wrong count, the even ones are stored, some of these with other chunks.
+@query("st2_bundles", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 8 <> 0 THEN 'stored' WHEN doc_id % 2 = 0 THEN 'conflict' WHEN doc_id % 3 = 0 THEN 'invalid' ELSE 'write' END AS outcome, count(*) AS chunks FROM v_sections GROUP BY doc_id""")
+def _(v: Views) -> DataFrame:
+    d = F.col("doc_id")
+    chunk = F.struct("chunk_ordinal", "content", "content_sha256", F.concat(F.lit("x-"), d).alias("extraction_id"), F.concat(F.lit("d"), d).alias("document_id"))
+    listed = v.sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    count = F.size("chunks") + F.when(d % 3 == 0, 1).otherwise(0)
+    bundles = listed.select(F.struct(F.concat(F.lit("x-"), d).alias("extraction_id"), F.concat(F.lit("d"), d).alias("document_id"), d.alias("doc_id"), count.alias("chunk_count")).alias("extraction"), "chunks")
+    none = v.table("documents").select(F.lit("").alias("extraction_id"), F.lit("").alias("mark")).limit(0)
+    marks = streams.checked_bundles(bundles, none).filter("doc_id % 2 = 0").select("extraction_id", F.when(d % 8 == 0, "other").otherwise(F.col("mark")).alias("mark"))
+    return streams.checked_bundles(bundles, marks).select("doc_id", "outcome", F.size("chunks").cast("long").alias("chunks"))
 
 
 @query("w10_dedupe_hits", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
@@ -255,7 +289,7 @@ def _(v: Views) -> DataFrame:
     return registry.rollout_plan(v.docs, v.runs, v.chunks, v.active)
 
 
-@query("a22_rollout_counts", f"SELECT count(*) AS candidates, 0::BIGINT AS ambiguous, count(*) FILTER (step = 'prepare') AS prepare, count(*) FILTER (step = 'ingest') AS ingest, count(*) FILTER (step = 'activate') AS activate, count(*) FILTER (step = 'done') AS done FROM ({_PLAN})")
+@query("a22_rollout_counts", f"SELECT count(*) AS candidates, 0::BIGINT AS ambiguous, 0::BIGINT AS superseded, count(*) FILTER (step = 'prepare') AS prepare, count(*) FILTER (step = 'ingest') AS ingest, count(*) FILTER (step = 'activate') AS activate, count(*) FILTER (step = 'done') AS done FROM ({_PLAN})")
 def _(v: Views) -> DataFrame:
     return registry.rollout_counts(registry.rollout_plan(v.docs, v.runs, v.chunks, v.active))
 
@@ -272,18 +306,24 @@ def _(v: Views) -> DataFrame:
     return registry.carry_superseded(d.filter("doc_id % 4 <> 0"), d.filter("doc_id % 2 = 0")).select("doc_id", "lifecycle_status")
 
 
-@query("j23_upsert", "SELECT document_id, language, act_title FROM (SELECT document_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 <> 0 THEN 'xx' ELSE language END AS language, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN act_title WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 2 = 0 THEN act_title END AS act_title, doc_id FROM v_docs) WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+_UPSERT = "SELECT document_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 <> 0 THEN 'xx' ELSE language END AS language, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN act_title WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 2 = 0 THEN act_title END AS act_title, doc_id FROM v_docs"
+
+
+@query("j23_upsert", f"SELECT document_id, language, act_title, 'stored' AS part FROM ({_UPSERT}) WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 UNION ALL SELECT document_id, 'xx', NULL, 'conflict' FROM v_docs WHERE doc_id % 6 = 0")
 def _(v: Views) -> DataFrame:
     d = v.docs.select("doc_id", "document_id", "language", "act_title")
     old = d.filter("doc_id % 2 = 0").drop("doc_id")
     new = d.filter("doc_id % 3 = 0").select("document_id", F.lit("xx").alias("language"), F.lit("new").alias("act_title"))
-    return registry.upsert_immutable(old, new, "document_id", ["language"], ["act_title"])[0]
+    table, conflicts = registry.upsert_immutable(old, new, "document_id", ["language"], ["act_title"])
+    clash = conflicts.select("document_id", "language", F.lit(None).cast("string").alias("act_title"), F.lit("conflict").alias("part"))
+    return table.select("document_id", "language", "act_title", F.lit("stored").alias("part")).unionByName(clash)
 
 
-@query("io9_migrate_manifest", "SELECT 'old-' || doc_id AS alias, document_id AS target FROM v_docs")
+@query("io9_migrate_manifest", "SELECT 'old-' || doc_id AS alias, document_id AS target, act_number FROM v_docs")
 def _(v: Views) -> DataFrame:
     old = v.docs.select(F.concat(F.lit("old-"), "doc_id").alias("document_id"), "act_number", "language", "sha256")
-    return registry.migrate_manifest(old)[1]
+    documents, aliases = registry.migrate_manifest(old)
+    return aliases.join(documents.select(F.col("document_id").alias("target"), "act_number"), "target")
 
 
 @query("k8_versions", "SELECT document_id, language FROM v_docs WHERE act_title = 'src3'")
@@ -391,9 +431,11 @@ def _(v: Views) -> DataFrame:
     return memory.pool_embeddings(parts).select("chunk_id", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("q5_fingerprint")
+@query("q5_fingerprint", "SELECT count(*) AS rows, true AS equal FROM v_sections")
 def _(v: Views) -> DataFrame:
-    return quality.fingerprint(v.sections)
+    """The sections, built twice, from lines dealt out differently."""
+    again = segment.chunk_sections(v.lines.repartition(7, "pos"), key="doc_id")
+    return quality.same_content(v.sections, again)
 
 
 @query("x4_same_ids", "SELECT (SELECT count(*) FROM v_sections) = (SELECT count(*) FROM v_edges) AS equal")

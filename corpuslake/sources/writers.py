@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,24 @@ def write_graph(provisions: DataFrame, edges: DataFrame, unresolved: DataFrame,
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(f"{path}/{name}")
 
 
+def graph_marks(tables: dict[str, DataFrame]) -> DataFrame:
+    """document_id, part, rows, mark of each document's rows in the named tables: their number, and a sum of row hashes that doesn't depend on order."""
+    parts = []
+    for name, df in tables.items():
+        mark = F.sum(F.xxhash64(*sorted(c for c in df.columns if c != "document_id")).cast("decimal(38,0)")).cast("string")
+        counted = df.groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.count("*").alias("rows"), mark.alias("mark"))
+        parts.append(counted.select("document_id", F.lit(name).alias("part"), "rows", "mark"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def verify_graph(expected: DataFrame, path: str) -> DataFrame:
-    """document_id, part, expected, stored where they differ; ``expected``: document_id, part, expected."""
+    """document_id, part, rows, stored_rows, same of the documents whose stored rows aren't the expected ones (``graph_marks``), by number or content."""
     spark = expected.sparkSession
-    parts = [spark.read.parquet(f"{path}/{name}").groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.count("*").alias("stored")).withColumn("part", F.lit(name)) for name in GRAPH_TABLES]
-    stored = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    met = expected.withColumn("document_id", F.col("document_id").cast("string")).join(stored, ["document_id", "part"], "full_outer")
-    return met.select("document_id", "part", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("stored", F.lit(0)).alias("stored")).filter("expected <> stored")
+    stored = graph_marks({name: spark.read.parquet(f"{path}/{name}") for name in GRAPH_TABLES})
+    met = expected.join(stored.select("document_id", "part", F.col("rows").alias("stored_rows"), F.col("mark").alias("stored_mark")), ["document_id", "part"], "full_outer")
+    same = F.coalesce(F.col("mark") == F.col("stored_mark"), F.lit(False))
+    none = F.lit(0).cast("long")
+    return met.select("document_id", "part", F.coalesce("rows", none).alias("rows"), F.coalesce("stored_rows", none).alias("stored_rows"), same.alias("same")).filter("NOT same OR rows <> stored_rows")
 
 
 def write_report(report: DataFrame, path: str, order: list[str]) -> None:

@@ -14,45 +14,79 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from corpuslake.sources.writers import write_chunks
 
 
+SEEN = ["document_id", "source_url", "observed_at"]
+TIMELINE = ["timeline_date", "timeline_type"]
+STORED = "document_id string, source_url string, observed_at timestamp, timeline_date string, timeline_type string"
+
+
 def observations(source: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Each (document_id, source_url, observed_at) once, as far back as the watermark reaches."""
-    return source.withWatermark("observed_at", lateness).dropDuplicatesWithinWatermark(["document_id", "source_url", "observed_at"])
+    """Each observation with its timeline once, as far back as the watermark reaches."""
+    return source.withWatermark("observed_at", lateness).dropDuplicatesWithinWatermark([*SEEN, *TIMELINE])
+
+
+def taken_in(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new, conflicts) of a batch of observations: an observation (document_id, source_url, observed_at) that isn't stored is new, with the least
+    of its timelines where it has several; timelines other than the stored or the new one are conflicts."""
+    rows = batch.select(*SEEN, F.struct(*TIMELINE).alias("own")).distinct()
+    first = rows.groupBy(*SEEN).agg(F.min("own").alias("first"))
+    old = stored.select(*SEEN, F.struct(*TIMELINE).alias("old"))
+    met = first.join(old, SEEN, "left")
+    new = met.filter("old IS NULL").select(*SEEN, "first.*")
+    kept = met.select(*SEEN, F.coalesce("old", "first").alias("kept"))
+    clash = rows.join(kept, SEEN).filter("NOT (own <=> kept)").select(*SEEN, "own.*")
+    return new, clash
+
 
+def _append(df: DataFrame, path: str, number: int, *by: str) -> None:
+    """The rows of a batch; a batch that is run again replaces its own files."""
+    marked = df.withColumn("batch", F.lit(number))
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(path)
 
-def stream_observations(source: DataFrame, sink: str, conflicts: str, checkpoint: str) -> StreamingQuery:
-    """Append new observations to ``sink``. Ones that are stored already are left out; ones that are stored with another timeline go to ``conflicts``. Batches carry
-    their number, and a batch that is run again replaces its own files."""
-    key = ["document_id", "source_url", "observed_at"]
+
+def stream_observations(source: DataFrame, sink: str, conflicts: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
+    """Append new observations to ``sink``, and those that clash with what is stored to ``conflicts`` (``taken_in``). Repeats within the watermark are
+    dropped as they come; of what is stored only the days of a batch are read."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.groupBy(*key).agg(F.min(F.struct("timeline_date", "timeline_type")).alias("new"), F.count_distinct("timeline_date", "timeline_type").alias("kinds"))
-        try:
-            stored = spark.read.parquet(sink).filter(F.col("batch") != number).select(*key, F.struct("timeline_date", "timeline_type").alias("old"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = rows.select(*key, F.col("new").alias("old")).limit(0)
-        met = rows.join(stored, key, "left").withColumn("batch", F.lit(number))
-        out = met.filter("old IS NULL").select(*key, "new.*", "batch")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
-        clash = met.filter("kinds > 1 OR NOT (old <=> new OR old IS NULL)").select(*key, "new.*", "batch")
-        clash.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(conflicts)
-
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark.createDataFrame([], f"{STORED}, day date, batch long").write.mode("append").partitionBy("day", "batch").parquet(sink)  # makes the folder
+        days = [r.day for r in batch.select(F.to_date("observed_at").alias("day")).distinct().collect()]
+        stored = spark.read.schema(f"{STORED}, day date, batch long").parquet(sink).filter(F.col("day").isin(days) & (F.col("batch") != number))
+        new, clash = taken_in(batch, stored)
+        _append(new.withColumn("day", F.to_date("observed_at")), sink, number, "day")
+        _append(clash, conflicts, number)
+
+    return observations(source, lateness).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def checked_bundles(bundles: DataFrame, stored: DataFrame) -> DataFrame:
+    """The bundles (extraction, chunks) of a batch, each content of an id once, with ``mark`` (of the chunks) and ``outcome``: ``write``; ``stored`` where the same chunks are
+    stored already; ``invalid`` where count or hashes are wrong; ``conflict`` where an id comes or is stored with other chunks too. ``stored``: extraction_id, mark."""
+    mark = F.sha2(F.to_json(F.transform("chunks", lambda c: F.struct(c["document_id"].alias("d"), c["content_sha256"].alias("h")))), 256)
+    each = bundles.select("extraction.*", "chunks").withColumn("mark", F.coalesce(mark, F.lit(""))).dropDuplicates(["extraction_id", "mark"])
+    right = (F.size("chunks") == F.col("chunk_count")) & F.forall("chunks", lambda c: (F.sha2(c["content"], 256) == c["content_sha256"]) & (c["extraction_id"] == F.col("extraction_id")))
+    several = each.groupBy("extraction_id").agg((F.count("*") > 1).alias("several"))
+    known = stored.select("extraction_id", F.col("mark").alias("_mark"))
+    met = each.join(several, "extraction_id", "left").join(known, "extraction_id", "left")
+    outcome = F.when(F.col("_mark") == F.col("mark"), "stored").when(F.col("_mark").isNotNull() | F.coalesce("several", F.lit(False)), "conflict").when(F.coalesce(right, F.lit(False)), "write").otherwise("invalid")
+    return met.withColumn("outcome", outcome).drop("several", "_mark")
 
 
 def stream_ingest(bundles: DataFrame, sink: str, rejected: str, checkpoint: str) -> StreamingQuery:
-    """Write each valid bundle's chunks once for each extraction id; a bundle whose count or hashes are wrong goes to ``rejected`` and blocks no other. Rewriting is keyed, so a
-    repeated batch changes nothing."""
+    """Write each valid bundle's chunks, once for each extraction id: what is stored is never replaced. Bundles that are wrong, or that clash with others of
+    their id (``checked_bundles``), go to ``rejected`` and block no other."""
+    marks = f"{sink}-marks"
 
     def write(batch: DataFrame, number: int) -> None:
-        each = batch.select("extraction.*", "chunks").dropDuplicates(["extraction_id"])
-        right = (F.size("chunks") == F.col("chunk_count")) & F.forall("chunks", lambda c: (F.sha2(c["content"], 256) == c["content_sha256"]) & (c["extraction_id"] == F.col("extraction_id")))
-        marked = each.withColumn("fine", F.coalesce(right, F.lit(False)))
-        rows = marked.filter("fine").select(F.posexplode("chunks").alias("chunk_ordinal", "c")).select("chunk_ordinal", "c.*")
-        write_chunks(rows, marked.filter("fine"), sink)
-        marked.filter("NOT fine").select("extraction_id", "document_id").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejected)
+        spark = batch.sparkSession
+        spark.createDataFrame([], "extraction_id string, mark string, batch long").write.mode("append").partitionBy("batch").parquet(marks)
+        stored = spark.read.schema("extraction_id string, mark string, batch long").parquet(marks).filter(F.col("batch") != number)
+        marked = checked_bundles(batch, stored)
+        fine = marked.filter("outcome = 'write'")
+        rows = fine.select(F.posexplode("chunks").alias("chunk_ordinal", "c")).select("chunk_ordinal", "c.*")
+        write_chunks(rows, fine, sink)
+        _append(fine.select("extraction_id", "mark"), marks, number)
+        _append(marked.filter("outcome IN ('invalid', 'conflict')").select("extraction_id", "document_id", "outcome"), rejected, number)
 
     return bundles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

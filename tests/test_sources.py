@@ -52,10 +52,21 @@ def test_chunks_are_replaced_whole_or_not_at_all(spark, tmp_path):
 
 def test_graph_tables_are_verified(spark, tmp_path):
     path = str(tmp_path / "graph")
-    rows = spark.createDataFrame([("d", "a"), ("d", "b")], "document_id string, id string")
-    writers.write_graph(rows, rows, rows.limit(1), path)
-    expected = spark.createDataFrame([("d", "provisions", 2), ("d", "edges", 3), ("d", "unresolved", 1)], "document_id string, part string, expected long")
-    assert [(r.part, r.expected, r.stored) for r in writers.verify_graph(expected, path).collect()] == [("edges", 3, 2)]
+    rows = spark.createDataFrame([("d", "a"), ("d", "b"), ("e", "a")], "document_id string, id string")
+    tables = {"provisions": rows, "edges": rows, "unresolved": rows.limit(1)}
+    writers.write_graph(*tables.values(), path)
+    assert writers.verify_graph(writers.graph_marks(tables), path).count() == 0
+    other = rows.withColumn("id", F.when(F.col("id") == "b", "c").otherwise(F.col("id")))
+    expected = writers.graph_marks(tables | {"edges": other, "unresolved": rows.filter("document_id = 'd'")})
+    got = {(r.document_id, r.part): (r.rows, r.stored_rows) for r in writers.verify_graph(expected, path).collect()}
+    assert got == {("d", "edges"): (2, 2), ("d", "unresolved"): (2, 1)}  # as many edges, but another one
+
+
+def test_reports_are_written_in_order(spark, tmp_path):
+    path = str(tmp_path / "report")
+    writers.write_report(spark.createDataFrame([("b", 1), ("a", 2)], "code string, n int"), path, ["code"])
+    lines = [line for f in sorted((tmp_path / "report").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines == ['{"code":"a","n":2}', '{"code":"b","n":1}']
 
 
 def test_observations_are_taken_in_once(spark, tmp_path):
@@ -73,17 +84,23 @@ def test_bad_bundles_block_no_other(spark, tmp_path):
     source, sink, bad, mark = (str(tmp_path / n) for n in ("in", "out", "bad", "mark"))
     import hashlib
 
-    def bundle(run, count, text):
-        item = {"content": text, "content_sha256": hashlib.sha256(b"fine").hexdigest(), "extraction_id": run, "document_id": "d"}
+    def bundle(run, count, text, said=None):
+        item = {"content": text, "content_sha256": hashlib.sha256((said or text).encode()).hexdigest(), "extraction_id": run, "document_id": "d"}
         return json.dumps({"extraction": {"extraction_id": run, "document_id": "d", "chunk_count": count, "status": "ready"}, "chunks": [item]})
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/b.json").write_text("\n".join([bundle("x", 1, "fine"), bundle("y", 2, "fine"), bundle("z", 1, "changed")]))
+    (tmp_path / "in/b.json").write_text("\n".join([bundle("x", 1, "fine"), bundle("y", 2, "fine"), bundle("z", 1, "changed", "fine"), bundle("v", 1, "one"), bundle("v", 1, "other")]))
     stream = lambda: spark.readStream.schema(schemas.BUNDLE).json(source)
     for _ in range(2):
         streams.stream_ingest(stream(), sink, bad, mark).awaitTermination()
-    assert [r.extraction_id for r in spark.read.parquet(sink).collect()] == ["x"]
-    assert sorted(r.extraction_id for r in spark.read.parquet(bad).collect()) == ["y", "z"]
+    assert [(r.extraction_id, r.content) for r in spark.read.parquet(sink).collect()] == [("x", "fine")]
+    assert sorted((r.extraction_id, r.outcome) for r in spark.read.parquet(bad).collect()) == [("v", "conflict"), ("v", "conflict"), ("y", "invalid"), ("z", "invalid")]
+    (tmp_path / "in/c.json").write_text("\n".join([bundle("x", 1, "new"), bundle("w", 1, "more")]))
+    streams.stream_ingest(stream(), sink, bad, mark).awaitTermination()
+    (tmp_path / "in/d.json").write_text(bundle("x", 1, "fine"))
+    streams.stream_ingest(stream(), sink, bad, mark).awaitTermination()
+    assert sorted((r.extraction_id, r.content) for r in spark.read.parquet(sink).collect()) == [("w", "more"), ("x", "fine")]  # what is stored stays
+    assert spark.read.parquet(bad).filter("extraction_id = 'x'").count() == 1
 
 
 def run_stream(spark, df, tmp_path, name, mode):
