@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +55,34 @@ def embed(df: DataFrame, column: str, out: str = "embedding", embedder: Callable
     return df.withColumn(out, F.pandas_udf(batches, T.ArrayType(T.FloatType()))(tokens(F.col(column))))
 
 
-@F.udtf(returnType=T.StructType([T.StructField("kind", T.StringType()), T.StructField("literal", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]), useArrow=True)
-class Spans:
-    """Matches of several patterns in a text, with their half-open code point offsets. Patterns: a JSON list of [kind, pattern]."""
-
-    def eval(self, text: str, patterns: str):
-        for kind, pattern in json.loads(patterns):
-            for m in re.finditer(pattern, text or ""):
-                yield kind, m.group(0), m.start(), m.end()
+def matches(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
+    """The columns of ``df`` but ``text``, with a row for each match of the patterns (kind, pattern) in it: kind, literal, first, last
+    (half-open, in code points), label and label_at (of the group ``label``, else null), and line: the whole lines that the match stands on, trimmed.
+
+    Patterns are compiled once a task, and texts don't travel with their matches."""
+    keep = [f for f in df.schema.fields if f.name != text]
+    made = [("kind", T.StringType(), pa.string()), ("literal", T.StringType(), pa.string()), ("first", T.IntegerType(), pa.int32()), ("last", T.IntegerType(), pa.int32()), ("label", T.StringType(), pa.string()), ("label_at", T.IntegerType(), pa.int32()), ("line", T.StringType(), pa.string())]
+
+    def found(rules: list[tuple[str, re.Pattern]], value: str) -> Iterator[tuple]:
+        for kind, rule in rules:
+            named = "label" in rule.groupindex
+            for m in rule.finditer(value):
+                since, until = value.rfind("\n", 0, m.start()) + 1, value.find("\n", m.end())
+                line = value[since : until if until >= 0 else len(value)].strip()
+                yield kind, m.group(0), m.start(), m.end(), m.group("label") if named else None, m.start("label") if named else None, line
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = [(kind, re.compile(pattern)) for kind, pattern in patterns]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                some = batch.slice(start, 64)
+                rows, values = [], []
+                for i, value in enumerate(some.column(text).to_pylist()):
+                    for row in found(rules, value or ""):
+                        rows.append(i)
+                        values.append(row)
+                at = pa.array(rows, pa.int64())
+                columns = zip(*values) if values else [[]] * len(made)
+                yield pa.RecordBatch.from_arrays([*(some.column(f.name).take(at) for f in keep), *(pa.array(c, t) for c, (_, _, t) in zip(columns, made))], [f.name for f in keep] + [n for n, _, _ in made])
+
+    return df.mapInArrow(run, T.StructType([*keep, *(T.StructField(n, t) for n, t, _ in made)]))

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.keys import candidate_id, edge_id, expand_range, in_scope, path_act, path_depth, path_section
-from corpuslake.functions.udfs import Spans
+from corpuslake.functions.udfs import matches
 from corpuslake.functions.values import normalize_wording
-from corpuslake.operators.segment import first_wins, with_ordinal
+from corpuslake.operators.segment import first_wins, page_groups, with_ordinal
+from corpuslake.sources.scratch import checkpointed
 
 LOGICAL = ["source_provision_id", "target_provision_id", "reference_kind", "relationship", "literal_wording"]
 MOST_EDGES = 5
 #: How headings and references are written.
 HEADINGS = (
     ("section", r"(?mi)^\s*(?P<label>\d{1,3}[A-Z]{0,2})\.\s*(?=(?:\(\d+[A-Z]?\)|[A-Z]))"),
-    ("subsection", r"(?mi)^\s*(?:\d{1,3}[A-Z]{0,2}\.\s*)?\((?P<label>\d+[A-Z]?)\)\s+"),
+    ("first", r"(?mi)^\s*\d{1,3}[A-Z]{0,2}\.\s*\((?P<label>\d+[A-Z]?)\)\s+"),
+    ("subsection", r"(?mi)^\s*\((?P<label>\d+[A-Z]?)\)\s+"),
     ("paragraph", r"(?m)^\s*\((?P<label>[a-z]{1,3})\)\s+"),
+    ("subparagraph", r"(?mi)^\s*\((?P<label>[ivxlcdm]+)\)\s+"),
+    ("description", r"(?mi)^\s*PART\s+(?P<label>[XIVLCDM]+[A-Z]?)\s*$"),
 )
+SCHEDULES = (("schedule", r"(?mi)^\s*(?P<label>FIRST|SECOND)\s+SCHEDULE\s*$"), ("table", r"TABLE OF AMENDMENTS"))
+NOT_LETTERS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
 _ITEM = r"(?:\d{1,3}[A-Z]{0,2}(?:\s*\([^)]*\))?|\([^)]*\)|[IVXLCDM]+|First|Second)"
 REFERENCES = (
     ("reference", rf"(?i)\b(?:sections?|subsections?|paragraphs?|subparagraphs?|Parts?|Schedules?)\s+{_ITEM}(?:\s*(?:,|and|or|to|–|-)\s*{_ITEM})*(?:\s+of\s+(?:this Act|the [A-Z][^.\[\n]*? Act \d{{4}}\s*\[Act\s+\d+\]))?(?![A-Za-z])"),
@@ -28,59 +34,139 @@ REFERENCES = (
 )
 
 
-def _spans(df: DataFrame, text: str, patterns) -> DataFrame:
-    """``df`` with a row for each match: kind, literal, first, last."""
-    found = Spans(F.col(text).outer(), F.lit(json.dumps(patterns)))
-    return df.lateralJoin(found)
-
-
 def lex_references(provisions: DataFrame, key: str = "provision_id", text: str = "text") -> DataFrame:
     """key, kind, literal, start_offset, end_offset of every explicit reference; lines that are nothing but the
     reference (headings) don't count, nor do act names inside a longer reference."""
-    found = _spans(provisions.select(key, text), text, REFERENCES)
-    before = F.substring_index(F.left(text, F.col("first")), "\n", -1)
-    after = F.substring_index(F.substr(text, F.col("last") + 1), "\n", 1)
-    line = F.trim(F.concat(before, "literal", after))
-    real = found.filter(F.lower(F.trim("literal")) != F.lower(line)).withColumn("rank", F.when(F.col("kind") == "reference", 0).otherwise(1))
+    return _references(provisions.select(key, F.col(text).alias("text")), [key])
+
+
+def _references(texts: DataFrame, keys: list[str]) -> DataFrame:
+    found = matches(texts, "text", REFERENCES)
+    real = found.filter(F.lower(F.trim("literal")) != F.lower("line")).withColumn("rank", F.when(F.col("kind") == "reference", 0).otherwise(1))
     # Longer spans of the same text that begin no later and end no earlier cover an act's name.
-    so_far = Window.partitionBy(key).orderBy("first", F.desc("last"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*keys).orderBy("first", F.desc("last"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.when(F.col("kind") == "reference", F.col("last"))).over(so_far)
     kept = real.withColumn("reach", reach).filter("kind = 'reference' OR reach IS NULL OR last > reach")
     kind = F.when(F.col("kind") == "act", "act").otherwise(F.regexp_replace(F.lower(F.regexp_extract("literal", r"^(\w+)", 1)), "s$", ""))
-    return kept.select(key, kind.alias("kind"), "literal", F.col("first").alias("start_offset"), F.col("last").alias("end_offset")).distinct()
+    return kept.select(*keys, kind.alias("kind"), "literal", F.col("first").alias("start_offset"), F.col("last").alias("end_offset")).distinct()
+
+
+LEVELS = ("section", "subsection", "paragraph", "subparagraph")
+
+
+def _nodes(texts: DataFrame, key: str) -> DataFrame:
+    """key, provision_id, kind, label, parent_id, start, end, section_at of sections and what is in them, and of Part headings; ``texts``: key, act, text.
+
+    Every heading belongs to the last one before it on each level above; a node ends where the next of its level under the same parent starts, or
+    where the parent ends. Of repeated ids the first stays."""
+    found = matches(texts.withColumn("size", F.length("text")), "text", HEADINGS)
+    at = F.when(F.col("kind") == "first", F.col("label_at") - 1).otherwise(F.col("first")).alias("start")
+    kind = F.when(F.col("kind") == "first", "subsection").otherwise(F.col("kind"))
+    rows = found.select(key, "act", "size", kind.alias("kind"), "label", at, F.col("last").alias("past"))
+    is_letter = F.col("label").rlike("^[a-z]{1,3}$") & ~F.col("label").isin(*NOT_LETTERS)
+    rows = rows.filter(((F.col("kind") != "paragraph") | is_letter) & ((F.col("kind") != "subparagraph") | ~is_letter))
+    label = F.when(F.col("kind").isin("section", "subsection", "description"), F.upper("label")).when(F.col("kind") == "subparagraph", F.lower("label")).otherwise(F.col("label"))
+    level = F.coalesce(*(F.when(F.col("kind") == k, i) for i, k in enumerate(LEVELS)), F.lit(9))
+    rows = rows.withColumn("label", label).withColumn("level", level)
+    along = Window.partitionBy(key).orderBy("start", "level").rowsBetween(Window.unboundedPreceding, 0)
+    for i, k in enumerate(LEVELS):
+        last = F.last(F.when(F.col("level") == i, F.struct(F.col("label").alias("label"), F.col("start").alias("at"))), ignorenulls=True).over(along)
+        rows = rows.withColumn(k, last)
+    for k, above in zip(LEVELS[1:], LEVELS):
+        rows = rows.withColumn(k, F.when(F.col(f"{k}.at") >= F.col(f"{above}.at"), F.col(k)))
+    placed = rows.filter(reduce(lambda a, b: a | b, ((F.col("level") == i) & F.col(k).isNotNull() & F.col(LEVELS[max(i - 1, 0)]).isNotNull() for i, k in enumerate(LEVELS))) | (F.col("level") == 9))
+    root = F.concat(F.lit("act:"), "act")
+    ids, names, parents = root, F.lit(""), {}
+    made_id, made_name, parent = F.concat(root, F.lit("/description:part-"), F.lower("label")), F.concat(F.lit("Part "), "label"), root
+    for i, k in enumerate(LEVELS):
+        parents[k] = ids
+        ids = F.concat(ids, F.lit(f"/{k}:"), F.col(f"{k}.label"))
+        names = F.concat(F.lit("Section "), F.col("section.label")) if i == 0 else F.concat(names, F.lit("("), F.col(f"{k}.label"), F.lit(")"))
+        made_id, made_name, parent = F.when(F.col("level") == i, ids).otherwise(made_id), F.when(F.col("level") == i, names).otherwise(made_name), F.when(F.col("level") == i, parents[k]).otherwise(parent)
+    nodes = placed.select(key, made_id.alias("provision_id"), "kind", made_name.alias("label"), parent.alias("parent_id"), "start", "past", "size", "level", *(F.col(f"{k}.at").alias(f"{k}_at") for k in LEVELS))
+    whole = F.col("size")
+    for i, k in enumerate(LEVELS):
+        of = [f"{LEVELS[j]}_at" for j in range(i)]
+        following = F.when(F.col("level") == i, F.lead("start").over(Window.partitionBy(key, "level", *of).orderBy("start")))
+        nodes = nodes.withColumn("_next", following)
+        ends = F.max("_next").over(Window.partitionBy(key, *of, f"{k}_at"))
+        nodes = nodes.withColumn(f"{k}_end", F.coalesce(ends, whole)).drop("_next")
+        whole = F.col(f"{k}_end")
+    end = F.coalesce(*(F.when(F.col("level") == i, F.col(f"{k}_end")) for i, k in enumerate(LEVELS)), F.col("past"))
+    out = nodes.select(key, "provision_id", "kind", "label", "parent_id", "start", end.alias("end"), F.when(F.col("level") < 9, F.col("section_at")).otherwise(F.col("start")).alias("section_at"))
+    return first_wins(out, [key, "provision_id"], ["start"])
 
 
 def parse_provisions(texts: DataFrame, key: str = "document_id", act: str = "act_number", text: str = "text") -> DataFrame:
-    """key, provision_id, kind, label, parent_id, start, end: sections, their subsections and paragraphs, from one text a document.
-    A node ends where the next of its kind under the same parent starts, or where the parent ends; of repeated ids the first stays."""
-    heads = texts.select(key, act, text, F.length(text).alias("size"))
-    labels = {kind: F.regexp_extract("literal", r"\(?([0-9]{1,3}[A-Za-z]{0,2}|[a-z]{1,3})[.)]\s*$", 1) for kind, _ in HEADINGS}
-    found = _spans(heads, text, HEADINGS).select(key, act, "size", "kind", "literal", "first", F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in labels.items()]).alias("label"))
-    label = F.when(F.col("kind") == "section", F.upper(F.regexp_extract("literal", r"([0-9]{1,3}[A-Za-z]{0,2})\.", 1))).when(F.col("kind") == "subsection", F.upper(F.regexp_extract("literal", r"\(([0-9]+[A-Za-z]?)\)", 1))).otherwise(F.regexp_extract("literal", r"\(([a-z]{1,3})\)", 1))
-    rows = found.withColumn("label", label).filter("NOT (kind = 'paragraph' AND label IN ('i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x'))")
-    along = Window.partitionBy(key).orderBy("first", F.when(F.col("kind") == "section", 0).when(F.col("kind") == "subsection", 1).otherwise(2)).rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda kind, value: F.last(F.when(F.col("kind") == kind, value), ignorenulls=True).over(along)
-    placed = rows.withColumn("section", last("section", F.col("label"))).withColumn("section_at", last("section", F.col("first"))).withColumn("sub", last("subsection", F.struct(F.col("label").alias("label"), F.col("first").alias("at"))))
-    inside = F.when(F.col("sub.at") >= F.col("section_at"), F.col("sub"))
-    placed = placed.withColumn("sub", inside).filter("kind = 'section' OR (section IS NOT NULL AND (kind = 'subsection' OR sub IS NOT NULL))")
-    root = F.concat(F.lit("act:"), act)
-    section = F.concat(root, F.lit("/section:"), "section")
-    subsection = F.concat(section, F.lit("/subsection:"), F.col("sub.label"))
-    parent = F.when(F.col("kind") == "section", root).when(F.col("kind") == "subsection", section).otherwise(subsection)
-    own = F.concat(parent, F.lit("/"), "kind", F.lit(":"), F.when(F.col("kind") == "paragraph", F.lower("label")).otherwise(F.col("label")))
-    nodes = placed.select(key, own.alias("provision_id"), "kind", "label", parent.alias("parent_id"), F.col("first").alias("start"), "size", "section_at", F.col("sub.at").alias("sub_at"))
-    next_section = F.lead("start").over(Window.partitionBy(key, "kind").orderBy("start"))
-    ends = nodes.withColumn("_next", F.when(F.col("kind") == "section", next_section))
-    section_end = F.coalesce(F.max("_next").over(Window.partitionBy(key, "section_at")), "size")
-    ends = ends.withColumn("section_end", section_end)
-    sub_next = F.lead("start").over(Window.partitionBy(key, "kind", "section_at").orderBy("start"))
-    ends = ends.withColumn("_sub", F.when(F.col("kind") == "subsection", F.coalesce(sub_next, "section_end")))
-    sub_end = F.coalesce(F.max("_sub").over(Window.partitionBy(key, "section_at", "sub_at")), "section_end")
-    ends = ends.withColumn("sub_end", sub_end)
-    par_next = F.lead("start").over(Window.partitionBy(key, "kind", "section_at", "sub_at").orderBy("start"))
-    end = F.when(F.col("kind") == "section", F.col("section_end")).when(F.col("kind") == "subsection", F.col("_sub")).otherwise(F.coalesce(par_next, "sub_end"))
-    whole = ends.withColumn("end", end).select(key, "provision_id", "kind", "label", "parent_id", "start", "end")
-    return first_wins(whole, [key, "provision_id"], ["start"])
+    """key, provision_id, kind, label, parent_id, start, end: sections, their subsections, paragraphs and subparagraphs, and Part headings, from one text a
+    document."""
+    return _nodes(texts.select(key, F.col(act).alias("act"), F.col(text).alias("text")), key).drop("section_at")
+
+
+def _joined(pages: DataFrame, key: str) -> DataFrame:
+    """key, part, text: the pages of a part, a line break between them."""
+    listed = pages.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("pages"))
+    return listed.select(key, "part", F.array_join("pages.text", "\n").alias("text"))
+
+
+def _offsets(pages: DataFrame, key: str) -> DataFrame:
+    """key, part, page_number, page_offset, page_length of the pages in their part's text."""
+    size = F.length("text")
+    upto = F.sum(size + 1).over(Window.partitionBy(key, "part").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0))
+    return pages.select(key, "part", "page_number", (upto - size - 1).alias("page_offset"), size.alias("page_length"))
+
+
+def _page_range(spans: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, end, page_start, page_end of spans (keys with part, start, end)."""
+    met = spans.select(*keys, "start", "end").distinct().join(offsets, keys).filter("page_offset < end AND page_offset + page_length >= start")
+    return met.groupBy(*keys, "start", "end").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
+
+
+def provision_tree(pages: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
+    """key, provision_id, version_id, kind, label, parent_id, text, start, end, page_start, page_end, part of every node of a document: the act, its sections and
+    what is in them, its Parts and schedules. ``pages``: key, page_number, text; ``documents``: key, act_number, act_title, page_count.
+
+    The body and the schedules are texts of their own, with offsets of their own. What is in a section has the section's pages. Documents without
+    an opening page have no nodes."""
+    grouped = checkpointed(pages.select(key, "page_number", "text").join(page_groups(pages, key), [key, "page_number"]))
+    of = documents.select(key, F.col("act_number").alias("act"), "act_title", "page_count")
+    joined = checkpointed(_joined(grouped, key).join(of.select(key, "act"), key))
+    offsets = checkpointed(_offsets(grouped, key))
+    body = _nodes(joined.filter("part = 'main'").select(key, "act", "text"), key).withColumn("part", F.lit("main"))
+
+    found = matches(joined.filter("part = 'schedules'").withColumn("size", F.length("text")).select(key, "act", "size", "text"), "text", SCHEDULES)
+    per = Window.partitionBy(key)
+    table = F.min(F.when(F.col("kind") == "table", F.col("first"))).over(per)
+    marked = found.withColumn("stop", F.coalesce(table, F.col("size"))).filter("kind = 'schedule'")
+    next_one = F.lead("first").over(per.orderBy("first"))
+    name = F.initcap("label")
+    schedules = marked.select(key, F.concat(F.lit("act:"), "act", F.lit("/schedule:"), F.lower("label")).alias("provision_id"), "kind", F.concat(name, F.lit(" Schedule")).alias("label"), F.concat(F.lit("act:"), "act").alias("parent_id"), F.col("first").alias("start"), F.coalesce(next_one, F.col("stop")).alias("end"))
+    schedules = first_wins(schedules, [key, "provision_id"], ["start"]).select("*", F.col("start").alias("section_at"), F.lit("schedules").alias("part"))
+
+    nodes = checkpointed(body.unionByName(schedules))
+    # A section's pages are those of its own span, which its children take over.
+    tops = nodes.filter("start = section_at AND kind IN ('section', 'description', 'schedule')")
+    sections = _section_spans(joined, key)
+    spans = tops.filter("kind <> 'section'").select(key, "part", "start", "end").unionByName(sections)
+    ranges = _page_range(spans, offsets, [key, "part"]).select(key, "part", F.col("start").alias("section_at"), "page_start", "page_end")
+    placed = nodes.join(ranges.dropDuplicates([key, "part", "section_at"]), [key, "part", "section_at"], "left")
+    whole = placed.join(joined.select(key, "part", F.col("text").alias("_all")), [key, "part"])
+    cut = F.substr("_all", F.col("start") + 1, F.col("end") - F.col("start"))
+    first_page = grouped.groupBy(key, "part").agg(F.min("page_number").alias("_first"))
+    whole = whole.withColumn("text", cut).drop("_all").join(first_page, [key, "part"])
+    whole = whole.withColumn("page_start", F.coalesce("page_start", "_first")).withColumn("page_end", F.coalesce("page_end", "_first"))
+    columns = [key, "provision_id", "kind", "label", "parent_id", "text", "start", "end", "page_start", "page_end", "part"]
+    title = F.coalesce("act_title", F.lit(""))
+    acts = of.join(joined.filter("part = 'main'").select(key), key, "left_semi").select(key, F.concat(F.lit("act:"), "act").alias("provision_id"), F.lit("act").alias("kind"), F.concat(F.lit("Act "), "act").alias("label"), F.lit(None).cast("string").alias("parent_id"), title.alias("text"), F.lit(0).alias("start"), F.length(title).alias("end"), F.lit(1).alias("page_start"), F.col("page_count").alias("page_end"), F.lit("title").alias("part"))
+    every = acts.unionByName(whole.select(*columns))
+    return every.select("*", F.concat(F.col(key), F.lit("/provision:"), "provision_id").alias("version_id"))
+
+
+def _section_spans(joined: DataFrame, key: str) -> DataFrame:
+    """key, part, start, end of every section heading's span, repeated numbers included."""
+    found = matches(joined.filter("part = 'main'").withColumn("size", F.length("text")).select(key, "part", "size", "text"), "text", HEADINGS[:1])
+    following = F.lead("first").over(Window.partitionBy(key, "part").orderBy("first"))
+    return found.select(key, "part", F.col("first").alias("start"), F.coalesce(following, F.col("size")).alias("end"))
 
 
 def pages_for_spans(spans: DataFrame, pages: DataFrame, key: str = "document_id") -> DataFrame:
@@ -146,19 +232,58 @@ def resolve_references(candidates: DataFrame, provisions: DataFrame) -> DataFram
     return out.withColumn("resolved", fine).withColumn("reason", F.when(fine, F.lit(None)).otherwise(F.coalesce("reason", F.lit("target_not_indexed")))).drop("all_known")
 
 
+def _candidates(provisions: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Every reference in ``texts`` (key, part, text) with the deepest node that holds it: key, part, source_provision_id, kind, literal, first, last (in the text),
+    start_offset, end_offset (in the node), candidate_id, targets, resolved, reason, cross_act."""
+    refs = _references(texts.select(key, "part", "text"), [key, "part"]).withColumnsRenamed({"start_offset": "first", "end_offset": "last"})
+    span = F.concat_ws(":", "part", "first", "last").alias("span_id")
+    spans = refs.select(key, "part", span, F.col("first").alias("start"), F.col("last").alias("end")).distinct()
+    local = lambda c: F.concat_ws("#", F.col(key).cast("string"), c)  # noqa: E731  provision ids name the act; two documents of one act are kept apart
+    held = spans.select(key, "part", "span_id", F.col("start").alias("_s"), F.col("end").alias("_e")).join(provisions.select(key, "part", "provision_id", "start", "end"), [key, "part"]).filter("start <= _s AND end >= _e")
+    deep = F.struct(-path_depth(F.col("provision_id")), F.col("provision_id"))
+    owners = held.groupBy(key, "span_id").agg(F.min_by(F.struct("provision_id", "start"), deep).alias("o")).select(key, "span_id", F.col("o.provision_id").alias("source_provision_id"), F.col("o.start").alias("_from"))
+    owned = refs.withColumn("span_id", span).join(owners, [key, "span_id"])
+    owned = owned.withColumn("start_offset", F.col("first") - F.col("_from")).withColumn("end_offset", F.col("last") - F.col("_from")).drop("_from", "span_id")
+    named = owned.withColumn("candidate_id", candidate_id(F.col("source_provision_id"), F.col("start_offset"), F.col("literal")))
+    aimed = reference_targets(named).withColumnRenamed("candidate_id", "own_id").withColumn("candidate_id", local(F.col("own_id")))
+    apart = F.transform("targets", lambda t: F.when(F.col("cross_act") | ~t.contains("/"), t).otherwise(local(t)))
+    known = provisions.select(local(F.col("provision_id")).alias("provision_id"))
+    judged = resolve_references(aimed.withColumn("targets", apart).withColumn("cross_act", F.col("cross_act") | (F.col("kind") == "act")), known)
+    plain = F.transform("targets", lambda t: F.regexp_replace(t, "^[^#]*#", ""))
+    return judged.drop("candidate_id").withColumnRenamed("own_id", "candidate_id").withColumn("targets", plain)
+
+
 def build_graph(texts: DataFrame, key: str = "document_id", act: str = "act_number", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(provisions, edges, unresolved) of a table of whole texts, each document by itself."""
-    provisions = parse_provisions(texts, key, act, text)
-    refs = lex_references(texts.select(key, text), key, text).withColumn("span_id", F.concat_ws(":", "start_offset", "end_offset"))
-    owners = nested_owner(refs.select(key, "span_id", F.col("start_offset").alias("start"), F.col("end_offset").alias("end")), provisions, key)
-    owned = refs.join(owners, [key, "span_id"]).withColumnRenamed("owner", "source_provision_id").withColumn("candidate_id", F.concat_ws("#", F.col(key).cast("string"), candidate_id(F.col("source_provision_id"), F.col("start_offset"), F.col("literal"))))
-    aimed = reference_targets(owned)
-    # Provision ids name the act; two documents of one act are kept apart by the key.
-    local = lambda c: F.concat_ws("#", F.col(key).cast("string"), c)
-    judged = resolve_references(aimed.withColumn("targets", F.transform("targets", lambda t: F.when(F.col("cross_act") | ~t.contains("/"), t).otherwise(local(t)))).withColumn("cross_act", F.col("cross_act") | (F.col("kind") == "act")), provisions.select(local(F.col("provision_id")).alias("provision_id")))
+    """(provisions, edges, unresolved) of a table of whole texts, each document by itself, without pages."""
+    provisions = parse_provisions(texts, key, act, text).withColumn("part", F.lit("main"))
+    judged = _candidates(provisions, texts.select(key, F.lit("main").alias("part"), F.col(text).alias("text")), key)
     fields = [key, "source_provision_id", "literal", F.col("kind").alias("reference_kind"), "start_offset", "end_offset"]
-    edges = judged.filter("resolved").select(*fields, F.explode("targets").alias("target_provision_id")).withColumn("target_provision_id", F.regexp_replace("target_provision_id", "^[^#]*#", "")).withColumn("relationship", F.lit("explicit_reference")).withColumn("edge_id", edge_id(F.col("source_provision_id"), F.col("target_provision_id"), F.col("start_offset"), F.col("literal"))).dropDuplicates([key, "edge_id"])
-    return provisions, edges, judged.filter("NOT resolved").select(*fields, "reason")
+    edges = judged.filter("resolved").select(*fields, F.explode("targets").alias("target_provision_id")).withColumn("relationship", F.lit("explicit_reference"))
+    edges = edges.withColumn("edge_id", edge_id(F.col("source_provision_id"), F.col("target_provision_id"), F.col("start_offset"), F.col("literal"))).dropDuplicates([key, "edge_id"])
+    return provisions.drop("part"), edges, judged.filter("NOT resolved").select(*fields, "reason")
+
+
+def graph_of_pages(pages: DataFrame, documents: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(provisions, edges, unresolved, candidates) of documents given by their pages (``provision_tree``). Edges and candidates carry the version ids of their ends
+    (null for targets of other acts) and evidence: the literal, its offsets in the source node, and the pages that it stands on."""
+    provisions = checkpointed(provision_tree(pages, documents, key))
+    grouped = pages.select(key, "page_number", "text").join(page_groups(pages, key), [key, "page_number"])
+    judged = _candidates(provisions.filter("part <> 'title'"), _joined(grouped, key), key)
+    spans = judged.select(key, "part", F.col("first").alias("start"), F.col("last").alias("end"))
+    on = _page_range(spans, _offsets(grouped, key), [key, "part"]).select(key, "part", F.col("start").alias("first"), F.col("end").alias("last"), F.sequence("page_start", "page_end").alias("_pages"))
+    version = lambda c: F.concat(F.col(key), F.lit("/provision:"), c)
+    evidence = F.struct(F.col("literal").alias("text"), "start_offset", "end_offset", F.transform("_pages", lambda p: F.struct(p.alias("page_number"))).alias("pages"))
+    seen = judged.join(on, [key, "part", "first", "last"], "left").withColumn("evidence", evidence).withColumn("source_version_id", version(F.col("source_provision_id")))
+    seen = checkpointed(seen.select(key, "candidate_id", "source_provision_id", "source_version_id", "literal", "kind", "targets", "resolved", "reason", "evidence"))
+    fine = F.coalesce("targets", F.array().cast("array<string>"))
+    candidates = seen.select(key, "candidate_id", "source_provision_id", "source_version_id", "literal", F.col("kind").alias("reference_kind"), F.when(F.col("resolved"), fine).otherwise(F.array().cast("array<string>")).alias("target_provision_ids"), F.when(F.col("resolved"), "resolved").otherwise("unresolved").alias("resolution"), F.col("reason").alias("reason_code"), "evidence")
+    start = F.col("evidence.start_offset")
+    edges = seen.filter("resolved").select(key, "source_provision_id", "source_version_id", "literal", F.col("kind").alias("reference_kind"), start.alias("start_offset"), F.col("evidence.end_offset").alias("end_offset"), "evidence", F.explode("targets").alias("target_provision_id"))
+    known = provisions.select(key, F.col("provision_id").alias("target_provision_id"), F.col("version_id").alias("target_version_id"))
+    edges = edges.join(known, [key, "target_provision_id"], "left").withColumn("relationship", F.lit("explicit_reference"))
+    edges = edges.withColumn("edge_id", edge_id(F.col("source_provision_id"), F.col("target_provision_id"), F.col("start_offset"), F.col("literal"))).dropDuplicates([key, "edge_id"])
+    unresolved = candidates.filter("resolution = 'unresolved'").drop("target_provision_ids", "resolution").withColumn("reason", F.col("reason_code"))
+    return provisions, edges, unresolved, candidates
 
 
 def logical_keys(edges: DataFrame) -> DataFrame:

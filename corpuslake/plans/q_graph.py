@@ -221,29 +221,37 @@ def _(v: Views) -> DataFrame:
     return made.select("doc_id", F.posexplode("embedding").alias("place", "x")).filter("x <> 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-def _statutes(v: Views) -> DataFrame:
-    """Whole texts with numbered sections and references, from each document's lines."""
-    marked = F.concat("line", F.when(F.col("pos") % 3 == 0, F.concat(F.lit(" see section "), F.col("pos") % 9 + 1, F.lit(" of this Act"))).otherwise(""))
-    sub = F.when(F.col("pos") % 2 == 1, F.concat(F.lit("("), F.col("pos") % 5 + 1, F.lit(") "), marked)).otherwise(marked)
-    listed = v.lines.select("doc_id", "pos", sub.alias("line")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return listed.select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.col("doc_id").cast("string").alias("act_number"), "text")
+@query("u3_matches", r"""SELECT doc_id, kind, count(*) AS n, sum(length(literal))::BIGINT AS characters, sum(('0x' || substr(md5(literal), 1, 6))::BIGINT)::BIGINT AS mark FROM (SELECT doc_id, 'number' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS literal FROM documents UNION ALL SELECT doc_id, 'capital', unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+')) FROM documents) GROUP BY ALL""")
+def _(v: Views) -> DataFrame:
+    found = udfs.matches(v.table("documents").select("doc_id", "text"), "text", (("number", "[0-9]+"), ("capital", "[A-Z][a-z]+")))
+    mark = F.conv(F.substring(F.md5("literal"), 1, 6), 16, 10).cast("long")
+    whole = found.filter(F.length("literal") == F.col("last") - F.col("first"))
+    return whole.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("literal")).alias("characters"), F.sum(mark).alias("mark"))
 
 
-@query("t6_parse_provisions")
+# A node's pages are those of its section (or of its own heading); a page's text and the line break after it count as the page's.
+@query("t6_parse_provisions", """SELECT 'd' || doc_id AS document_id, 'd' || doc_id || '/provision:' || provision_id AS version_id, kind, label, parent_id, part, start, stop, CASE WHEN kind = 'act' THEN 1 ELSE lo END AS page_start, CASE WHEN kind = 'act' THEN pages ELSE hi END AS page_end
+FROM (SELECT n.doc_id, provision_id, kind, label, parent_id, n.part, start, stop, min(p.page_number) AS lo, max(p.page_number) AS hi FROM v_nodes n LEFT JOIN (SELECT doc_id, part, page_number, min(ofs) AS page_at, max(ofs + length(line)) AS page_stop FROM v_statute_lines GROUP BY ALL) p ON p.doc_id = n.doc_id AND p.part = n.part AND page_at < top_end AND page_stop >= top_at GROUP BY ALL)
+JOIN (SELECT doc_id, max(page_number) AS pages FROM v_statute_lines GROUP BY doc_id) USING (doc_id)""")
 def _(v: Views) -> DataFrame:
-    return graph.parse_provisions(_statutes(v))
+    tree = graph.provision_tree(*v.statutes)
+    return tree.select("document_id", "version_id", "kind", "label", "parent_id", "part", "start", F.col("end").alias("stop"), "page_start", "page_end")
 
 
-@query("t7_lex_references")
+@query("t7_lex_references", "SELECT 'd' || doc_id AS document_id, 'section' AS kind, literal, first AS start_offset, last AS end_offset FROM v_references WHERE part = 'main'")
 def _(v: Views) -> DataFrame:
-    return graph.lex_references(_statutes(v), "document_id")
+    pages, _ = v.statutes
+    texts = graph._joined(pages.filter("text NOT LIKE 'FIRST SCHEDULE%'").withColumn("part", F.lit("main")), "document_id")
+    return graph.lex_references(texts, "document_id")
 
 
-@query("t8_build_graph")
+@query("t8_build_graph", """SELECT 'd' || doc_id AS document_id, source AS source_provision_id, literal, start_offset, page_number, CASE WHEN EXISTS (SELECT 1 FROM v_nodes n WHERE n.doc_id = o.doc_id AND n.provision_id = 'act:' || o.doc_id || '/section:' || number) THEN 'd' || doc_id || '/provision:act:' || doc_id || '/section:' || number END AS target_version_id FROM v_owned o""")
 def _(v: Views) -> DataFrame:
-    provisions, edges, unresolved = graph.build_graph(_statutes(v))
-    count = lambda df, part: df.groupBy("document_id").agg(F.count("*").alias("rows")).withColumn("part", F.lit(part))
-    return count(provisions, "provisions").unionByName(count(edges, "edges")).unionByName(count(unresolved, "unresolved"))
+    _, edges, unresolved, _ = graph.graph_of_pages(*v.statutes)
+    page = F.element_at("evidence.pages.page_number", 1).alias("page_number")
+    fields = ["document_id", "source_provision_id", "literal"]
+    found = edges.select(*fields, "start_offset", page, "target_version_id")
+    return found.unionByName(unresolved.select(*fields, F.col("evidence.start_offset").alias("start_offset"), page, F.lit(None).cast("string").alias("target_version_id")))
 
 
 @query("j1_timeline_from_pages", "SELECT page_id, date, project_id, log_type, raw_url, pos FROM (SELECT page_id, '01/02/2020' AS date, 'p2' AS project_id, 'REPRINT' AS log_type, 'f' || page_id AS raw_url, 0 AS pos FROM pages UNION ALL SELECT page_id, '03/04/2021', 'p3', 'AMENDMENTS', '', 2 FROM pages)")

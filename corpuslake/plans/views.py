@@ -139,6 +139,33 @@ class Views:
         return self.memory.withColumn("embedding", F.array(*(sign(i) for i in range(6)), sign(6) * 0.4))
 
 
+    @cached_property
+    def statutes(self) -> tuple[DataFrame, DataFrame]:
+        """(pages, documents): an opening page, each document's lines as sections, subsections, paragraphs, subparagraphs, references and Part headings in turn, and a schedule."""
+        d = self.table("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
+        clean = d.withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).filter("raw <> ''")
+        i = F.row_number().over(segment.Window.partitionBy("doc_id").orderBy("pos")) - 1
+        rows = clean.withColumn("i", i).withColumn("k", F.floor(F.col("i") / 8))
+        kind, raw, text = F.col("i") % 8, F.col("raw"), lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+        line = (
+            F.when(kind == 0, text((F.col("k") % 9 + 1).cast("string"), ". ", raw))
+            .when(kind == 1, text("(", (F.col("k") % 3 + 1).cast("string"), ") ", raw))
+            .when(kind == 2, text("(a) ", raw))
+            .when(kind == 3, text("(i) ", raw))
+            .when(kind == 4, text("(b) ", raw))
+            .when(kind == 5, text(raw, " see section ", (F.col("k") % 11 + 1).cast("string"), " of this Act"))
+            .when(kind == 6, text("PART ", F.element_at(F.array(F.lit("I"), F.lit("II"), F.lit("IV")), (F.col("k") % 3 + 1).cast("int"))))
+            .otherwise(raw)
+        )
+        body = rows.withColumn("line", line).groupBy("doc_id", (F.col("k") + 2).cast("int").alias("page_number")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        ends = body.groupBy("doc_id").agg(F.max("page_number").alias("last"))
+        opening = ends.select("doc_id", F.lit(1).alias("page_number"), F.lit("An Act\n1. Short title").alias("text"))
+        schedule = ends.select("doc_id", (F.col("last") + 1).alias("page_number"), F.lit("FIRST SCHEDULE\nForms that section 2 of this Act names").alias("text"))
+        of = lambda df: df.withColumn("document_id", F.concat(F.lit("d"), "doc_id")).drop("doc_id")
+        documents = ends.select("doc_id", F.col("doc_id").cast("string").alias("act_number"), F.lit("Title").alias("act_title"), (F.col("last") + 1).alias("page_count"))
+        return of(opening.unionByName(body).unionByName(schedule)), of(documents)
+
+
 VIEWS_SQL |= {
     "v_lines": r"""SELECT doc_id, pos, pos // 4 + 1 AS page_number, CASE WHEN pos % 2 = 0 THEN ((pos // 2) % 7 + 1)::VARCHAR || '. ' || raw ELSE raw END AS line
   FROM (SELECT doc_id, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS raw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)) WHERE raw <> ''""",
@@ -169,4 +196,26 @@ VIEWS_SQL |= {
     "v_memory": "SELECT label::BIGINT AS user_id, vec_id AS key, embedding, CASE WHEN vec_id % 9 = 0 THEN 'profile' ELSE 'topic' END AS kind, make_timestamp(1704067200000000 + vec_id * 3600000000) AS updated_at, (vec_id % 6)::INT AS recall_count FROM embeddings",
     "v_asked": "SELECT vec_id AS query_id, embedding AS query_vec, label::BIGINT AS user_id FROM embeddings WHERE vec_id % 20 = 0",
     "v_coarse": "SELECT * REPLACE (list_transform(range(1, 8), lambda i: CASE WHEN embedding[i] >= 0 THEN 1.0::DOUBLE ELSE -1.0 END * CASE WHEN i = 7 THEN 0.4 ELSE 1.0 END) AS embedding) FROM v_memory",
+    "v_statute": r"""SELECT doc_id, 'main' AS part, i, i // 8 + 2 AS page_number, CASE i % 8 WHEN 0 THEN (i // 8 % 9 + 1) || '. ' || raw WHEN 1 THEN '(' || (i // 8 % 3 + 1) || ') ' || raw WHEN 2 THEN '(a) ' || raw WHEN 3 THEN '(i) ' || raw WHEN 4 THEN '(b) ' || raw WHEN 5 THEN raw || ' see section ' || (i // 8 % 11 + 1) || ' of this Act' WHEN 6 THEN 'PART ' || ['I', 'II', 'IV'][i // 8 % 3 + 1] ELSE raw END AS line
+  FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, raw FROM (SELECT doc_id, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS raw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)) WHERE raw <> '')""",
+    "v_statute_lines": """SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, part ORDER BY i) - length(line) - 1 AS ofs, sum(length(line) + 1) OVER (PARTITION BY doc_id, part) - 1 AS size FROM (SELECT * FROM v_statute UNION ALL SELECT DISTINCT doc_id, 'main', unnest([-2, -1]), 1, unnest(['An Act', '1. Short title']) FROM v_statute
+  UNION ALL SELECT doc_id, 'schedules', unnest([1, 2]), max(page_number) + 1, unnest(['FIRST SCHEDULE', 'Forms that section 2 of this Act names']) FROM v_statute GROUP BY doc_id)""",
+    "v_heads": r"""SELECT *, last_value(CASE WHEN level = 0 THEN ofs END IGNORE NULLS) OVER w AS section_at, last_value(CASE WHEN level = 0 THEN label END IGNORE NULLS) OVER w AS section, last_value(CASE WHEN level = 1 THEN ofs END IGNORE NULLS) OVER w AS sub_at, last_value(CASE WHEN level = 1 THEN label END IGNORE NULLS) OVER w AS sub,
+    last_value(CASE WHEN level = 2 THEN ofs END IGNORE NULLS) OVER w AS par_at, last_value(CASE WHEN level = 2 THEN label END IGNORE NULLS) OVER w AS par FROM (
+  SELECT *, CASE WHEN regexp_matches(line, '(?i)^[0-9]{1,3}[A-Z]{0,2}\.\s*(\([0-9]+[A-Z]?\)|[A-Z])') THEN 0 WHEN regexp_matches(line, '(?i)^\([0-9]+[A-Z]?\)\s') THEN 1 WHEN regexp_matches(line, '^\([a-z]{1,3}\)\s') AND NOT regexp_matches(line, '^\((i|ii|iii|iv|v|vi|vii|viii|ix|x)\)') THEN 2 WHEN regexp_matches(line, '(?i)^\([ivxlcdm]+\)\s') THEN 3 WHEN regexp_matches(line, '(?i)^PART\s+[XIVLCDM]+[A-Z]?$') THEN 9 END AS level,
+    CASE WHEN regexp_matches(line, '^PART ') THEN upper(regexp_extract(line, 'PART\s+(.*)$', 1)) WHEN line[1] = '(' THEN regexp_extract(line, '^\(([^)]*)\)', 1) ELSE upper(regexp_extract(line, '^([0-9]+[A-Za-z]*)', 1)) END AS label FROM v_statute_lines WHERE part = 'main') WHERE level IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY ofs ROWS UNBOUNDED PRECEDING)""",
+    "v_kept_heads": """SELECT * REPLACE (CASE WHEN sub_at >= section_at THEN sub_at END AS sub_at, CASE WHEN sub_at >= section_at AND par_at >= sub_at THEN par_at END AS par_at) FROM v_heads
+  WHERE level = 9 OR section_at IS NOT NULL AND (level = 0 OR level = 1 OR sub_at >= section_at AND (level = 2 OR par_at >= sub_at))""",
+    "v_head_ends": """SELECT *, coalesce(min(CASE WHEN level = 0 THEN ofs END) OVER (PARTITION BY doc_id ORDER BY ofs RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), size) AS section_end,
+    min(CASE WHEN level = 1 THEN ofs END) OVER (PARTITION BY doc_id, section_at ORDER BY ofs RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_sub, min(CASE WHEN level = 2 THEN ofs END) OVER (PARTITION BY doc_id, section_at, sub_at ORDER BY ofs RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_par,
+    min(CASE WHEN level = 3 THEN ofs END) OVER (PARTITION BY doc_id, section_at, sub_at, par_at ORDER BY ofs RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_item FROM v_kept_heads""",
+    "v_every_node": """SELECT doc_id, 'main' AS part, CASE level WHEN 9 THEN 'act:' || doc_id || '/description:part-' || lower(label) WHEN 0 THEN sec WHEN 1 THEN sec || '/subsection:' || sub WHEN 2 THEN sec || '/subsection:' || sub || '/paragraph:' || par ELSE sec || '/subsection:' || sub || '/paragraph:' || par || '/subparagraph:' || lower(label) END AS provision_id,
+    CASE level WHEN 9 THEN 'description' WHEN 0 THEN 'section' WHEN 1 THEN 'subsection' WHEN 2 THEN 'paragraph' ELSE 'subparagraph' END AS kind, CASE level WHEN 9 THEN 'Part ' || label ELSE 'Section ' || section || CASE WHEN level >= 1 THEN '(' || sub || ')' ELSE '' END || CASE WHEN level >= 2 THEN '(' || par || ')' ELSE '' END || CASE WHEN level = 3 THEN '(' || lower(label) || ')' ELSE '' END END AS label,
+    CASE WHEN level IN (0, 9) THEN 'act:' || doc_id WHEN level = 1 THEN sec WHEN level = 2 THEN sec || '/subsection:' || sub ELSE sec || '/subsection:' || sub || '/paragraph:' || par END AS parent_id, ofs AS start,
+    CASE level WHEN 9 THEN ofs + length(line) WHEN 0 THEN section_end WHEN 1 THEN coalesce(next_sub, section_end) WHEN 2 THEN coalesce(next_par, next_sub, section_end) ELSE coalesce(next_item, next_par, next_sub, section_end) END AS stop, CASE WHEN level = 9 THEN ofs ELSE section_at END AS top_at, CASE WHEN level = 9 THEN ofs + length(line) ELSE section_end END AS top_end
+  FROM (SELECT *, 'act:' || doc_id || '/section:' || section AS sec FROM v_head_ends)""",
+    "v_nodes": """SELECT * FROM v_every_node QUALIFY row_number() OVER (PARTITION BY doc_id, provision_id ORDER BY start) = 1 UNION ALL SELECT doc_id, 'schedules', 'act:' || doc_id || '/schedule:first', 'schedule', 'First Schedule', 'act:' || doc_id, 0, max(size), 0, max(size) FROM v_statute_lines WHERE part = 'schedules' GROUP BY doc_id
+  UNION ALL SELECT DISTINCT doc_id, 'title', 'act:' || doc_id, 'act', 'Act ' || doc_id, NULL, 0, 5, 0, 5 FROM v_statute""",
+    "v_references": r"""SELECT doc_id, part, page_number, literal, ofs + instr(line, literal) - 1 AS first, ofs + instr(line, literal) - 1 + length(literal) AS last, regexp_extract(literal, '[0-9]+') AS number FROM (SELECT *, regexp_extract(line, 'section [0-9]+ of this Act') AS literal FROM v_statute_lines) WHERE literal <> ''""",
+    "v_owned": """SELECT r.*, n.provision_id AS source, first - n.start AS start_offset FROM v_references r JOIN v_nodes n ON n.doc_id = r.doc_id AND n.part = r.part AND n.start <= first AND n.stop >= last QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.part, first ORDER BY len(string_split(n.provision_id, '/')) DESC, n.provision_id) = 1""",
 }

@@ -41,6 +41,41 @@ def test_provisions(spark):
     assert "(a) first" in got["act:5/section:1/subsection:1/paragraph:a"] and "second" not in got["act:5/section:1/subsection:1/paragraph:a"]
 
 
+PAGES = ["Cover", "An Act relating to work.\n1. (1) Short title.\n(a) first, see section 2 on it\n(i) small\n(ii) smaller\n(b) second", "PART II\n2. Interpretation under section 9.\n(c) no paragraph of any subsection", "2. Again, as section 8 of the Holidays Act 1951 [Act 369] says", "FIRST SCHEDULE\nForms", "more forms under section 2\nSECOND SCHEDULE\nFees", "LIST OF AMENDMENTS"]
+
+
+def test_tree_and_graph_of_pages(spark):
+    pages = spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(PAGES)] + [("none", 1, "1. No opening")], "document_id string, page_number int, text string")
+    docs = spark.createDataFrame([("d", "5", "WORK ACT 1955", 7), ("none", "6", "X", 1)], "document_id string, act_number string, act_title string, page_count int")
+    provisions, edges, unresolved, candidates = (t.cache() for t in graph.graph_of_pages(pages, docs))
+    rows = {r.provision_id.removeprefix("act:5"): r for r in provisions.collect()}
+    assert {k: (r.label, r.page_start, r.page_end) for k, r in rows.items()} == {
+        "": ("Act 5", 1, 7),
+        "/section:1": ("Section 1", 2, 3),
+        "/section:1/subsection:1": ("Section 1(1)", 2, 3),
+        "/section:1/subsection:1/paragraph:a": ("Section 1(1)(a)", 2, 3),
+        "/section:1/subsection:1/paragraph:a/subparagraph:i": ("Section 1(1)(a)(i)", 2, 3),
+        "/section:1/subsection:1/paragraph:a/subparagraph:ii": ("Section 1(1)(a)(ii)", 2, 3),
+        "/section:1/subsection:1/paragraph:b": ("Section 1(1)(b)", 2, 3),
+        "/section:2": ("Section 2", 3, 3),  # up to its number on the next page, where it is repeated
+        "/description:part-ii": ("Part II", 3, 3),
+        "/schedule:first": ("First Schedule", 5, 6),
+        "/schedule:second": ("Second Schedule", 6, 6),
+    }
+    assert rows["/section:1/subsection:1/paragraph:a/subparagraph:ii"].text.strip() == "(ii) smaller"
+    assert rows["/section:1/subsection:1/paragraph:a"].parent_id == "act:5/section:1/subsection:1"
+    assert rows["/section:2"].text.startswith("2. Interpretation") and "Again" not in rows["/section:2"].text
+    assert rows["/section:2"].version_id == "d/provision:act:5/section:2"
+    got = {(r.source_provision_id.removeprefix("act:5"), r.target_provision_id): r for r in edges.collect()}
+    assert set(got) == {("/section:1/subsection:1/paragraph:a", "act:5/section:2"), ("/schedule:first", "act:5/section:2")}
+    own = got["/section:1/subsection:1/paragraph:a", "act:5/section:2"]
+    assert rows["/section:1/subsection:1/paragraph:a"].text[own.start_offset : own.end_offset] == own.literal == "section 2"
+    assert (own.target_version_id, own.evidence.pages[0].page_number, own.evidence.text) == ("d/provision:act:5/section:2", 2, "section 2")
+    assert got["/schedule:first", "act:5/section:2"].evidence.pages[0].page_number == 6
+    assert [(r.source_provision_id, r.reason_code) for r in unresolved.collect()] == [("act:5/section:2", "target_not_indexed")]
+    assert candidates.count() == 3
+
+
 def test_build_and_diff(spark):
     def build(body):
         df = spark.createDataFrame([("d", "5", body)], "document_id string, act_number string, text string")
