@@ -37,38 +37,102 @@ def validate_bundles(chunks: DataFrame, docs: DataFrame, runs: DataFrame) -> Dat
     ])
 
 
+KINDS = ("act", "section", "subsection", "paragraph", "subparagraph", "description", "schedule")
+OCCURRENCE = ["source_provision_id", "literal", "start_offset"]
+
+
+def _broken(df: DataFrame, subject: str, rules: dict[str, Column]) -> DataFrame:
+    """code, subject for each rule that a row breaks, in one pass; a rule that can't be decided isn't broken."""
+    each = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items())))
+    return df.select(F.explode(each).alias("code"), F.col(subject).cast("string").alias("subject"))
+
+
+def _repeated(df: DataFrame, key: str, code: str) -> DataFrame:
+    return _rows(df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(key).union(df.filter(F.col(key).isNull()).select(key)), key, code)
+
+
+def _version(c: str) -> Column:
+    return F.concat(F.col("document_id"), F.lit("/provision:"), F.col(c))
+
+
 def validate_graph(provisions: DataFrame, edges: DataFrame, unresolved: DataFrame, audit: DataFrame | None = None) -> DataFrame:
-    """code, subject for every broken rule of a graph: ids, kinds, parents, offsets, ends of edges, evidence, agreement with the audit."""
-    twice = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
-    ids = provisions.select(F.col("provision_id").alias("_id")).distinct()
-    lacks = lambda df, key: df.filter(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("_id"), "left_anti")
-    kinds = ("act", "section", "subsection", "paragraph", "subparagraph", "description", "schedule")
+    """code, subject for every broken rule of a graph: ids, kinds, parents, offsets, version ids, ends of edges, evidence, agreement with the audit.
+
+    Columns that a table doesn't have (version ids, evidence, page ranges, candidate ids, notes, targets of an audit) bring no checks. Each table is read once for all
+    checks of its rows; repeated ids and partners are found by joins on ids."""
+    has = lambda df, *names: set(names) <= set(df.columns)
+    known = provisions.select("provision_id").distinct()
+    flag = lambda of, name: known.select(F.col("provision_id").alias(of), F.lit(True).alias(name))
+    no = lambda c: F.col(c).isNull()
+    unsourced = F.col("evidence").isNull() | (F.coalesce(F.size("evidence.pages"), F.lit(0)) <= 0)
+
+    rules = {
+        "provision_kind": no("kind") | ~F.col("kind").isin(*KINDS),
+        "provision_offsets": (F.col("start") < 0) | (F.col("end") < F.col("start")),
+        "provision_parent": F.col("kind").isin("subsection", "paragraph", "subparagraph") & F.col("parent_id").isNotNull() & no("_parent"),
+        "provision_path": ~F.col("provision_id").rlike("^act:[^/]+(/[a-z]+:[^/]+)*$"),
+    }
+    if has(provisions, "page_start", "page_end"):
+        rules["provision_pages"] = (F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start"))
+    if has(provisions, "version_id", "document_id"):
+        rules["provision_version"] = no("version_id") | (F.col("version_id") != _version("provision_id"))
+    parts = [_broken(provisions.join(flag("parent_id", "_parent"), "parent_id", "left"), "provision_id", rules), _repeated(provisions, "provision_id", "provision_duplicate")]
+
     same_act = F.regexp_extract("target_provision_id", "^(act:[^/]+)", 1) == F.regexp_extract("source_provision_id", "^(act:[^/]+)", 1)
-    parts = [
-        _rows(twice(provisions, "provision_id"), "provision_id", "provision_duplicate"),
-        _rows(provisions.filter(~F.col("kind").isin(*kinds) | F.col("kind").isNull()), "provision_id", "provision_kind"),
-        _rows(provisions.filter("start < 0 OR end < start"), "provision_id", "provision_offsets"),
-        _rows(provisions.filter("page_start < 1 OR page_end < page_start") if {"page_start", "page_end"} <= set(provisions.columns) else provisions.limit(0), "provision_id", "provision_pages"),
-        _rows(lacks(provisions.filter("kind NOT IN ('act', 'section', 'description', 'schedule')"), "parent_id"), "provision_id", "provision_parent"),
-        _rows(provisions.filter(~F.col("provision_id").rlike("^act:[^/]+(/[a-z]+:[^/]+)*$")), "provision_id", "provision_path"),
-        _rows(twice(edges, "edge_id"), "edge_id", "edge_duplicate"),
-        _rows(lacks(edges, "source_provision_id"), "edge_id", "edge_source"),
-        _rows(lacks(edges.filter(same_act & F.col("target_provision_id").contains("/")), "target_provision_id"), "edge_id", "edge_target"),
-        _rows(edges.filter("relationship <> 'explicit_reference'"), "edge_id", "edge_relationship"),
-        _rows(edges.filter("start_offset < 0 OR end_offset <= start_offset"), "edge_id", "edge_offsets"),
-        _rows(edges.filter("coalesce(literal, '') = ''"), "edge_id", "edge_evidence"),
-        _rows(edges.filter(F.length("literal") != F.col("end_offset") - F.col("start_offset")), "edge_id", "edge_evidence_length"),
-        _rows(unresolved.filter("coalesce(reason, '') = ''"), "source_provision_id", "unresolved_reason"),
-        _rows(lacks(unresolved, "source_provision_id"), "source_provision_id", "unresolved_source"),
-    ]
+    met = edges.join(flag("source_provision_id", "_source"), "source_provision_id", "left").join(flag("target_provision_id", "_target"), "target_provision_id", "left")
+    rules = {
+        "edge_source": no("_source"),
+        "edge_target": same_act & F.col("target_provision_id").contains("/") & no("_target"),
+        "edge_relationship": F.col("relationship") != "explicit_reference",
+        "edge_offsets": (F.col("start_offset") < 0) | (F.col("end_offset") <= F.col("start_offset")),
+        "edge_evidence": F.coalesce("literal", F.lit("")) == "",
+        "edge_evidence_length": F.length("literal") != F.col("end_offset") - F.col("start_offset"),
+    }
+    if has(edges, "source_version_id", "target_version_id", "document_id"):
+        rules["edge_source_version"] = no("source_version_id") | (F.col("source_version_id") != _version("source_provision_id"))
+        rules["edge_target_version"] = ~F.col("target_version_id").eqNullSafe(F.when(F.col("_target"), _version("target_provision_id")))
+        rules["edge_cross_act_version"] = ~same_act & F.col("target_version_id").isNotNull()
+    if has(edges, "evidence"):
+        rules["edge_provenance"] = unsourced
     if audit is not None:
-        at = ["source_provision_id", "literal", "start_offset"]
-        rejected = audit.filter("decision = 'rejected'")
-        parts += [
-            _rows(edges.join(rejected, at, "left_semi"), "edge_id", "audit_rejected_edge"),
-            _rows(audit.filter("decision = 'approved'").join(edges, at, "left_anti"), "source_provision_id", "audit_approved_missing"),
-            _rows(audit.filter("decision IS NULL OR decision NOT IN ('approved', 'rejected')"), "source_provision_id", "audit_undecided"),
-        ]
+        at = [*(["document_id"] if has(edges, "document_id") and has(audit, "document_id") else []), *OCCURRENCE]
+        seen = audit.groupBy(*at).agg(F.bool_or(F.col("decision") == "approved").alias("_approved"), F.bool_or(F.col("decision") == "rejected").alias("_rejected"), *([F.flatten(F.collect_set("target_provision_ids")).alias("_aims")] if has(audit, "target_provision_ids") else []))
+        met = met.join(seen, at, "left")
+        aimed = F.array_contains("_aims", F.col("target_provision_id")) if has(audit, "target_provision_ids") else F.lit(True)
+        rules["audit_rejected_edge"] = F.col("_rejected")
+        rules["edge_not_approved"] = ~F.coalesce(F.col("_approved") & aimed, F.lit(False))
+    parts += [_broken(met, "edge_id", rules), _repeated(edges, "edge_id", "edge_duplicate")]
+
+    def of_candidates(df: DataFrame) -> dict[str, Column]:
+        found = {"candidate_provenance": unsourced} if has(df, "evidence") else {}
+        return found | ({"candidate_source_version": no("source_version_id") | (F.col("source_version_id") != _version("source_provision_id"))} if has(df, "source_version_id", "document_id") else {})
+
+    loose = unresolved.join(flag("source_provision_id", "_source"), "source_provision_id", "left")
+    parts.append(_broken(loose, "source_provision_id", {"unresolved_reason": F.coalesce("reason", F.lit("")) == "", "unresolved_source": no("_source")} | of_candidates(unresolved)))
+    if audit is None:
+        return _union(parts)
+
+    name = "candidate_id" if has(audit, "candidate_id") else "source_provision_id"
+    linked = audit.join(edges.select(*at).distinct().withColumn("_edge", F.lit(True)), at, "left")
+    rules = {
+        "audit_undecided": no("decision") | ~F.col("decision").isin("approved", "rejected"),
+        "audit_approved_missing": (F.col("decision") == "approved") & no("_edge") & (F.col("resolution") == "resolved" if has(audit, "resolution") else F.lit(True)),
+        "rejected_edge_present": (F.coalesce("decision", F.lit("")) != "approved") & F.col("_edge"),
+    } | of_candidates(audit)
+    if has(audit, "audit_note"):
+        rules["audit_note_missing"] = F.trim(F.coalesce("audit_note", F.lit(""))) == ""
+    if has(audit, "candidate_id") and has(unresolved, "candidate_id"):
+        own = ["document_id", "candidate_id"] if has(audit, "document_id") and has(unresolved, "document_id") else ["candidate_id"]
+        given_up = unresolved.filter("reason = 'audit_rejected'").select(*own).distinct().withColumn("_given_up", F.lit(True))
+        linked = linked.join(given_up, own, "left")
+        rules["rejected_unresolved_missing"] = (F.coalesce("decision", F.lit("")) != "approved") & no("_given_up")
+        twice = audit.groupBy(*own).agg(F.count("*").alias("n")).filter("n > 1 OR candidate_id IS NULL")
+        parts.append(_rows(twice, "candidate_id", "audit_duplicate"))
+    parts.append(_broken(linked, name, rules))
+    parts.append(_rows(audit.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1"), "source_provision_id", "audit_occurrence_ambiguous"))
+    if has(audit, "target_provision_ids"):
+        wanted = audit.filter("decision = 'approved'").select(*at, name, F.explode("target_provision_ids").alias("target_provision_id"))
+        parts.append(_rows(wanted.join(edges.select(*at, "target_provision_id").distinct(), [*at, "target_provision_id"], "left_anti").select(name).distinct(), name, "approved_edge_missing"))
     return _union(parts)
 
 

@@ -131,14 +131,18 @@ def _(v: Views) -> DataFrame:
     return graph.neighborhood(_side(v.edges, "base"), _side(v.provisions, "base"), focus)
 
 
-@query("q2_validate_graph", """SELECT 'edge_target' AS code, edge_id AS subject FROM v_edges e WHERE side = 'base' AND doc_id % 40 <> 0 AND NOT EXISTS (SELECT 1 FROM v_provisions p WHERE p.side = 'base' AND p.provision_id = e.target_provision_id)
-UNION ALL SELECT 'edge_source', edge_id FROM v_edges WHERE side = 'base' AND doc_id % 40 = 0 UNION ALL SELECT 'edge_relationship', edge_id FROM v_edges WHERE side = 'base' AND doc_id % 22 = 0 UNION ALL SELECT 'audit_rejected_edge', edge_id FROM v_edges WHERE side = 'base' AND doc_id % 26 = 0""")
-def _(v: Views) -> DataFrame:
-    d = F.col("doc_id")
-    edges = _side(v.edges, "base").withColumn("source_provision_id", F.when(d % 40 == 0, "act:none/section:1").otherwise(F.col("source_provision_id"))).withColumn("relationship", F.when(d % 22 == 0, "guess").otherwise(F.col("relationship")))
-    audit = edges.select("source_provision_id", "literal", "start_offset", F.when(d % 26 == 0, "rejected").otherwise("approved").alias("decision"))
-    none = edges.select("source_provision_id", F.lit("x").alias("reason")).limit(0)
-    return quality.validate_graph(_side(v.provisions, "base"), edges, none, audit)
+# Of every document one thing is broken, by the last digit of its id: version ids of sections, of sources, of targets, evidence, an audit that rejects, notes, no audit, offsets.
+@query("q2_validate_graph", """SELECT code, count(*) AS n FROM (SELECT 'provision_version' AS code FROM v_audit_sections WHERE k = 1 UNION ALL SELECT 'provision_offsets' FROM v_audit_sections WHERE k = 8 UNION ALL SELECT unnest(['edge_source_version']) FROM v_audit_references WHERE resolved AND k = 2 UNION ALL SELECT 'edge_target_version' FROM v_audit_references WHERE resolved AND k = 3 UNION ALL SELECT 'edge_provenance' FROM v_audit_references WHERE resolved AND k = 4
+  UNION ALL SELECT unnest(['audit_rejected_edge', 'edge_not_approved']) FROM v_audit_references WHERE resolved AND k = 5 UNION ALL SELECT 'rejected_unresolved_missing' FROM v_audit_references WHERE k <> 7 AND k = 5 UNION ALL SELECT 'rejected_edge_present' FROM v_audit_references WHERE k <> 7 AND k = 5 AND resolved UNION ALL SELECT 'audit_note_missing' FROM v_audit_references WHERE k <> 7 AND k = 6 UNION ALL SELECT 'edge_not_approved' FROM v_audit_references WHERE resolved AND k = 7) GROUP BY code""")
+def _(v: Views) -> DataFrame:
+    provisions, edges, unresolved, candidates = graph.graph_of_pages(*v.statutes)
+    k = F.substring("document_id", -1, 1).cast("int")
+    when = lambda digit, value, c: F.when(k == digit, value).otherwise(F.col(c)).alias(c)
+    section = F.col("kind") == "section"
+    provisions = provisions.withColumn("version_id", F.when((k == 1) & section, "x").otherwise(F.col("version_id"))).withColumn("end", F.when((k == 8) & section, -1).otherwise(F.col("end")))
+    edges = edges.withColumns({"source_version_id": when(2, "x", "source_version_id"), "target_version_id": when(3, F.lit(None), "target_version_id"), "evidence": when(4, F.lit(None), "evidence")})
+    audit = candidates.filter(k != 7).select("document_id", "candidate_id", "source_provision_id", "source_version_id", "literal", F.col("evidence.start_offset").alias("start_offset"), "target_provision_ids", "resolution", "evidence", F.when(k == 5, "rejected").otherwise("approved").alias("decision"), F.when(k == 6, " ").otherwise("seen").alias("audit_note"))
+    return quality.validate_graph(provisions, edges, unresolved, audit).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("t2_tokens", "SELECT doc_id, len(tokens) AS n, sha256(array_to_string(tokens, ' ')) AS mark FROM v_doc_tokens")

@@ -218,4 +218,6 @@ VIEWS_SQL |= {
   UNION ALL SELECT DISTINCT doc_id, 'title', 'act:' || doc_id, 'act', 'Act ' || doc_id, NULL, 0, 5, 0, 5 FROM v_statute""",
     "v_references": r"""SELECT doc_id, part, page_number, literal, ofs + instr(line, literal) - 1 AS first, ofs + instr(line, literal) - 1 + length(literal) AS last, regexp_extract(literal, '[0-9]+') AS number FROM (SELECT *, regexp_extract(line, 'section [0-9]+ of this Act') AS literal FROM v_statute_lines) WHERE literal <> ''""",
     "v_owned": """SELECT r.*, n.provision_id AS source, first - n.start AS start_offset FROM v_references r JOIN v_nodes n ON n.doc_id = r.doc_id AND n.part = r.part AND n.start <= first AND n.stop >= last QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.part, first ORDER BY len(string_split(n.provision_id, '/')) DESC, n.provision_id) = 1""",
+    "v_audit_references": "SELECT doc_id, doc_id % 10 AS k, EXISTS (SELECT 1 FROM v_nodes n WHERE n.doc_id = o.doc_id AND n.provision_id = 'act:' || o.doc_id || '/section:' || number) AS resolved FROM v_owned o",
+    "v_audit_sections": "SELECT doc_id % 10 AS k FROM v_nodes WHERE kind = 'section'",
 }
