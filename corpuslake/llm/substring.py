@@ -9,8 +9,9 @@ right that windows of its own reach.
 2. Runs equal in anchor and in all words to both sides repeat as a whole; one of each kind goes on.
 3. Extension: the kinds of an anchor are each matched with one of them, word by word to the left and to the right. A match of
    ``length`` words or more is a repeat of both. Two kinds can also share a window that the chosen one lacks: then they differ from it in
-   the same place by the same word. So each kind's other windows go on to a group of those that differ alike, where the same is done, until no
-   group has two. Windows are divided between the groups, never copied; and copies never meet each other as pairs.
+   the same place by the same word. So each kind's other windows go on to a group of those that differ alike, where the same is done, in ``STEPS`` steps;
+   what windows are left in groups of several then are compared by hashes of all their words. Windows are divided between the groups, never copied; and
+   copies never meet each other as pairs.
 4. Repeats of a document together, overlapping ones as one, are its maximal repeats; their words go.
 
 Anchors are compared by 64-bit hashes, extensions by a 64-bit hash of each word.
@@ -38,6 +39,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Most kinds of run that are broadcast: those with more than one run in so many.
 HOT = 1000
+#: Steps of extension, after which the few windows left in groups are compared one by one.
+STEPS = 3
 #: Windows whose least gram is looked for at a time.
 BLOCK = 1 << 15
 
@@ -168,6 +171,17 @@ def _extended(entries: DataFrame, length: int, seed: int) -> tuple[DataFrame, Da
     return mine.union(its).distinct(), rest
 
 
+def _window_by_window(entries: DataFrame, length: int, seed: int) -> DataFrame:
+    """doc_id, rk, first, last of the windows that another entry of their group g has too."""
+    w = length - seed
+    around = lambda d: (F.slice("left", F.lit(1), d), F.slice("right", F.lit(1), w - d))
+    key = lambda d: F.struct(d.alias("d"), F.xxhash64(F.col("g"), d, *around(d)).alias("h"), F.xxhash64(F.lit(1), *around(d)[::-1], d).alias("i"))
+    each = entries.select("n", "doc_id", "rk", "at", F.explode(F.transform(F.sequence("low", "high"), key)).alias("k")).select("n", "doc_id", "rk", "at", "k.*")
+    twice = each.groupBy("h", "i").agg(F.sum("n").alias("times")).filter("times > 1").select("h", "i")
+    first = F.col("at") - F.col("d")
+    return each.filter("n = 1").join(twice, ["h", "i"], "left_semi").select("doc_id", "rk", first.alias("first"), first.alias("last"))
+
+
 def repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     """at_id, at_rk, spans: for each document (doc_id and hash of its text) with repeated windows, packed
     pairs (first window * 2**31 + last window)."""
@@ -186,13 +200,15 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     whole = marked.filter("n IS NOT NULL").unionByName(rest).select("doc_id", "rk", "first", "last")
     differing = kinds.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor")
     spans, rest = [whole], staged(_contexts(docs, likely_in(kinds, "anchor", differing), length, seed), "contexts")
-    for _ in range(2 * length):  # each step leaves out a word more
+    for _ in range(STEPS):
         found, rest = _extended(rest, length, seed)
         spans.append(found)
         several = rest.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g")
         rest = checkpointed(likely_in(rest, "g", several))
         if rest.isEmpty():
             break
+    else:
+        spans.append(_window_by_window(rest, length, seed))
     packed = F.col("first").cast("long") * (1 << 31) + F.col("last")
     both = reduce(DataFrame.union, spans)
     return both.groupBy(F.col("doc_id").alias("at_id"), F.col("rk").alias("at_rk")).agg(F.collect_set(packed).alias("spans"))

@@ -55,3 +55,16 @@ def test_odd_rows(odd, empty):
     assert {r.row.doc_id: r.cut.n_removed for r in rows}[4] == 30_000  # its words come round every 977
     assert substring.without_repeats(empty).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("steps", [1, 2, 50])
+def test_any_number_of_steps_gives_the_same(spark, monkeypatch, steps):
+    monkeypatch.setattr(substring, "STEPS", steps)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # one passage in contexts that agree for some words on either side
+        left, right = [f"l{rng.randrange(2)}" for _ in range(12)], [f"r{rng.randrange(2)}" for _ in range(12)]
+        cut = rng.randrange(5, 20)
+        rows.append((i, " ".join(left + base[10 : 10 + cut] + right + [f"x{rng.randrange(10**6)}"])))
+    compare(spark, rows, 14, 4)
