@@ -31,9 +31,9 @@ MALAY_WORDS = (
     "apakah", "bagaimana", "bolehkah", "adakah", "apabila", "kepada", "oleh", "dalam", "adalah", "dengan", "untuk", "dan", "atau", "tidak", "jika", "sekiranya",
     "mahkamah", "akta", "seksyen", "undang-undang", "peguam", "pendakwa", "tertuduh", "plaintif", "defendan", "hakim", "rayuan", "majikan", "pekerja", "gaji", "syarikat", "fitnah",
 )
-NO_ADVICE = "Contains specific advice phrases (you should / you must / I recommend)."
-NO_DISCLAIMER = "Missing disclaimer that this is not legal advice."
-ESCALATED = "Escalation trigger detected in response."
+NO_ADVICE = "The draft tells the reader what to do."
+NO_DISCLAIMER = "The draft does not say that it is no legal advice."
+ESCALATED = "The draft touches a matter for a person to answer."
 FALLBACK = "No properly cited answer could be put together."
 
 

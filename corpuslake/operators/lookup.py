@@ -130,6 +130,7 @@ def validate_citations(turns: DataFrame, citations: DataFrame, retrieved: DataFr
     known = acts.select(F.col("act_number").alias("act_key")).distinct().withColumn("known", F.lit(True))
     seen = _keyed(retrieved).select("turn_id", "act_key", "section_key").distinct().withColumn("seen", F.lit(True))
     met = cited.join(known, "act_key", "left").join(seen, ["turn_id", "act_key", "section_key"], "left")
+    # The wording of the messages.
     unknown = F.when(F.col("known").isNull(), F.concat(F.lit("Citation references unknown Act "), "act_key", F.lit(".")))
     unseen = F.when(F.col("seen").isNull(), F.concat(F.lit("Citation Section "), "section_key", F.lit(" of Act "), "act_key", F.lit(" was not in retrieved sources.")))
     listed = met.groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("act_key", "section_key", F.array_compact(F.array(unknown, unseen)).alias("said")))).alias("said"))

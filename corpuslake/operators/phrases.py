@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.functions.udfs import nfkc_casefold
 from corpuslake.functions.values import tokens
 
 SEED_TOKENS = 8
 
 
 def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, tokens (array)."""
-    return df.select(key, tokens(F.col(text)).alias("tokens"))
+    """key, tokens (array) of the text in NFKC with cases folded, so that ligatures, full-width forms and sharp s meet their plain spellings."""
+    folded = nfkc_casefold(df.select(key, text), text, "_folded")
+    return folded.select(key, tokens(F.col("_folded")).alias("tokens"))
 
 
 def phrase_matches(quotes: DataFrame, docs: DataFrame, seed: int = SEED_TOKENS) -> DataFrame:
@@ -43,7 +45,8 @@ def page_tokens(words: DataFrame, key: str = "doc_id") -> DataFrame:
     near = words.withColumn("_next", F.lead("raw").over(along)).withColumn("_joins", F.col("raw").endswith("-") & F.coalesce(changes, F.lit(False)))
     near = near.withColumn("_joined", F.coalesce(F.lag("_joins").over(along), F.lit(False))).filter("NOT _joined")
     text = F.when(F.col("_joins"), F.concat(F.expr("left(raw, length(raw) - 1)"), F.col("_next"))).otherwise(F.col("raw"))
-    each = near.select(key, "page", "n", F.col("_joins").alias("two"), F.posexplode(tokens(text)).alias("at", "token"))
+    spelt = nfkc_casefold(near.select(key, "page", "n", F.col("_joins").alias("two"), text.alias("_text")), "_text", "_folded")
+    each = spelt.select(key, "page", "n", "two", F.posexplode(tokens(F.col("_folded"))).alias("at", "token"))
     return each.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("page", "n", "at")) - 1)
 
 
@@ -89,11 +92,11 @@ def attach_evidence(claims: DataFrame, citations: DataFrame, chunks: DataFrame,
     cited = claims.filter("supported").join(citations.select("turn_id", "chunk_id").distinct(), ["turn_id", "chunk_id"], "left_semi")
     of = chunks.select("chunk_id", "document_id", "extraction_id")
     sized = cited.join(of, "chunk_id").filter("document_id = claim_document AND extraction_id <=> claim_extraction").filter(F.length("quote") <= longest)
-    sized = sized.select("claim_id", "turn_id", "chunk_id", tokens(F.col("quote")).alias("q"), tokens(F.col("claim")).alias("c")).filter("size(q) > 0 AND size(c) > 0")
-    quoted = sized.select(F.col("claim_id").alias("quote_id"), F.col("chunk_id").alias("doc_id"), F.col("q").alias("tokens"))
-    said = sized.select(F.col("claim_id").alias("quote_id"), F.col("turn_id").alias("doc_id"), F.col("c").alias("tokens"))
-    in_chunk = phrase_matches(quoted, chunks.select(F.col("chunk_id").alias("doc_id"), tokens(F.col("content")).alias("tokens")))
-    in_draft = phrase_matches(said, drafts.select(F.col("turn_id").alias("doc_id"), tokens(F.col("draft")).alias("tokens")))
+    sized = sized.select("claim_id", "turn_id", "chunk_id", "quote", "claim", tokens(F.col("quote")).alias("q"))
+    of_quotes = lambda text, doc: token_table(sized.select(F.struct(F.col("claim_id").alias("quote_id"), F.col(doc).alias("doc_id")).alias("k"), text), "k", text).select("k.*", "tokens")
+    of_texts = lambda df, doc, text: token_table(df.select(F.col(doc).alias("doc_id"), text), "doc_id", text)
+    in_chunk = phrase_matches(of_quotes("quote", "chunk_id"), of_texts(chunks, "chunk_id", "content"))
+    in_draft = phrase_matches(of_quotes("claim", "turn_id"), of_texts(drafts, "turn_id", "draft"))
     both = in_chunk.select("quote_id").distinct().join(in_draft.select("quote_id").distinct(), "quote_id").withColumnRenamed("quote_id", "claim_id")
     kept = sized.join(both, "claim_id", "left_semi").withColumn("mark", F.sha2(F.array_join("q", " "), 256))
     return kept.groupBy("turn_id", "chunk_id", "mark").agg(F.min("claim_id").alias("claim_id")).select("claim_id", "chunk_id")

@@ -75,6 +75,7 @@ def scanned(pages: DataFrame, key: str = "document_id", text: str = "text", belo
 
 def page_groups(pages: DataFrame, key: str = "document_id") -> DataFrame:
     """key, page_number, part (main or schedules), from key, page_number, text. Documents without an opening page have no rows."""
+    # What an opening page, an appendix and a schedule's first page hold.
     here = lambda cond: F.min(F.when(cond, F.col("page_number"))).over(Window.partitionBy(key))
     opens = F.col("text").rlike(r"(?i)\bAn\s+Act\b") & F.col("text").rlike(r"(?im)^\s*1\.\s*(?=(?:\([0-9]+[A-Z]?\)|[A-Z]))")
     appendix = F.col("text").rlike(r"(?i)\b(?:LIST|TABLE)\s+OF\s+AMENDMENTS\b")

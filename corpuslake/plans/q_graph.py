@@ -145,13 +145,22 @@ def _(v: Views) -> DataFrame:
     return quality.validate_graph(provisions, edges, unresolved, audit).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("t2_tokens", "SELECT doc_id, len(tokens) AS n, sha256(array_to_string(tokens, ' ')) AS mark FROM v_doc_tokens")
+_NORMAL = VIEWS_SQL["v_full_tokens"].removeprefix("SELECT doc_id, regexp_extract_all(").split(", '[", 1)[0]
+
+
+@query("f11_normalize_text", f"SELECT doc_id, sha256({_NORMAL}) AS mark FROM documents")
+def _(v: Views) -> DataFrame:
+    folded = udfs.nfkc_casefold(v.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "folded")
+    return folded.select("doc_id", F.sha2(values.normalize_text(F.col("folded")), 256).alias("mark"))
+
+
+@query("t2_tokens", "SELECT doc_id, len(tokens) AS n, sha256(array_to_string(tokens, ' ')) AS mark FROM v_full_tokens")
 def _(v: Views) -> DataFrame:
     t = phrases.token_table(v.table("documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
     return t.select("doc_id", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("mark"))
 
 
-@query("t3_phrase_matches", """SELECT quote_id, doc_id, p AS position FROM (SELECT doc_id, tokens, unnest(range(0, len(tokens))) AS p, unnest(tokens) AS first FROM v_doc_tokens) d JOIN (SELECT quote_id, tokens AS wanted FROM v_quotes WHERE len(tokens) > 0) q ON d.first = q.wanted[1] AND d.tokens[p + 1 : p + len(wanted)] = wanted""")
+@query("t3_phrase_matches", """SELECT quote_id, doc_id, p AS position FROM (SELECT doc_id, tokens, unnest(range(0, len(tokens))) AS p, unnest(tokens) AS first FROM v_full_tokens) d JOIN (SELECT quote_id, tokens AS wanted FROM v_quotes WHERE len(tokens) > 0) q ON d.first = q.wanted[1] AND d.tokens[p + 1 : p + len(wanted)] = wanted""")
 def _(v: Views) -> DataFrame:
     t = phrases.token_table(v.table("documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
     return phrases.phrase_matches(v.quotes, t)

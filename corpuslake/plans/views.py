@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions.keys import document_id
 from corpuslake.functions.values import tokens
 from corpuslake.operators import segment
+from corpuslake.operators.phrases import token_table
 from corpuslake.plans.registry import VIEWS_SQL
 
 
@@ -120,7 +121,7 @@ class Views:
 
     @cached_property
     def quotes(self) -> DataFrame:
-        return self.table("benchmark").select(F.col("item_id").alias("quote_id"), tokens(F.col("text")).alias("tokens"))
+        return token_table(self.table("benchmark").select(F.col("item_id").alias("quote_id"), F.coalesce("text", F.lit("")).alias("text")), "quote_id", "text")
 
     @cached_property
     def memory(self) -> DataFrame:
@@ -191,7 +192,8 @@ VIEWS_SQL |= {
     "v_log": "SELECT user_id::VARCHAR AS act_number, 'en' AS language, ts, event_id, CASE WHEN event_type = 'error' THEN 'rollback' ELSE 'activate' END AS action, event_id::VARCHAR AS extraction_id FROM events WHERE event_type IN ('signup', 'purchase', 'error')",
     "v_cases": "SELECT doc_id AS case_id, lang AS category, source AS scenario, doc_id % 10 = 0 AS smoke, CASE WHEN doc_id % 4 = 0 THEN 'block' ELSE 'allow' END AS expected_policy, quality = 1 AS judge_passed, coalesce(toxic, 0) AS l1_failures, doc_id % 2 = 0 AS citation_applicable, doc_id % 3 AS min_sections_found FROM labels JOIN documents USING (doc_id)",
     "v_doc_tokens": r"SELECT doc_id, regexp_extract_all(lower(translate(replace(coalesce(text, ''), chr(173), ''), '‐‑‒–—―−‘’‛′＇', '-------''''''''''')), '[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS tokens FROM documents",
-    "v_quotes": r"SELECT item_id AS quote_id, regexp_extract_all(lower(translate(replace(coalesce(text, ''), chr(173), ''), '‐‑‒–—―−‘’‛′＇', '-------''''''''''')), '[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS tokens FROM benchmark",
+    "v_full_tokens": r"SELECT doc_id, regexp_extract_all(replace(lower(translate(replace(coalesce(text, ''), chr(173), ''), '‐‑‒–—―−‘’‛′＇', '-------''''''''''')), 'ß', 'ss'), '[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS tokens FROM documents",
+    "v_quotes": r"SELECT item_id AS quote_id, regexp_extract_all(replace(lower(translate(replace(coalesce(text, ''), chr(173), ''), '‐‑‒–—―−‘’‛′＇', '-------''''''''''')), 'ß', 'ss'), '[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS tokens FROM benchmark",
     "v_words": "SELECT doc_id, t AS n, t // 300 + 1 AS page, 0 AS block, t // 10 AS line, raw, (t % 10) * 10.0::DOUBLE AS x0, (t // 10 % 30) * 20.0::DOUBLE AS y0, (t % 10) * 10.0::DOUBLE + 9 AS x1, (t // 10 % 30) * 20.0::DOUBLE + 12 AS y1 FROM (SELECT doc_id, unnest(tokens) AS raw, unnest(range(len(tokens))) AS t FROM v_doc_tokens)",
     "v_memory": "SELECT label::BIGINT AS user_id, vec_id AS key, embedding, CASE WHEN vec_id % 9 = 0 THEN 'profile' ELSE 'topic' END AS kind, make_timestamp(1704067200000000 + vec_id * 3600000000) AS updated_at, (vec_id % 6)::INT AS recall_count FROM embeddings",
     "v_asked": "SELECT vec_id AS query_id, embedding AS query_vec, label::BIGINT AS user_id FROM embeddings WHERE vec_id % 20 = 0",

@@ -127,3 +127,9 @@ def test_locate(spark):
     got = {r.quote_id: r for r in phrases.locate(quotes, words, pages).collect()}
     assert {k: r.status for k, r in got.items()} == {1: "matched", 2: "ambiguous", 3: "not_found", 4: "not_found"}
     assert [(b.line, b.x, b.width) for b in got[1].rectangles] == [(0, 0.2, 0.05), (1, 0.0, 0.15)]
+
+
+def test_tokens_fold_compatible_spellings(spark):
+    df = spark.createDataFrame([(1, "The ﬁrst ＦＵＬＬ‐width Straße"), (2, "the first full-width strasse"), (3, "")], "id int, text string")
+    got = {r.id: r.tokens for r in phrases.token_table(df, "id", "text").collect()}
+    assert got[1] == got[2] == ["the", "first", "full-width", "strasse"] and got[3] == []
