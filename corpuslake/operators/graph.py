@@ -128,10 +128,18 @@ def provision_tree(pages: DataFrame, documents: DataFrame, key: str = "document_
 
     The body and the schedules are texts of their own, with offsets of their own. What is in a section has the section's pages. Documents without
     an opening page have no nodes."""
+    return _tree(*_parts(pages, key), documents, key)
+
+
+def _parts(pages: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, offsets) of the body and the schedules of each document: ``_joined`` and ``_offsets``."""
     grouped = checkpointed(pages.select(key, "page_number", "text").join(page_groups(pages, key), [key, "page_number"]))
+    return checkpointed(_joined(grouped, key)), checkpointed(_offsets(grouped, key))
+
+
+def _tree(texts: DataFrame, offsets: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     of = documents.select(key, F.col("act_number").alias("act"), "act_title", "page_count")
-    joined = checkpointed(_joined(grouped, key).join(of.select(key, "act"), key))
-    offsets = checkpointed(_offsets(grouped, key))
+    joined = texts.join(of.select(key, "act"), key)
     body = _nodes(joined.filter("part = 'main'").select(key, "act", "text"), key).withColumn("part", F.lit("main"))
 
     found = matches(joined.filter("part = 'schedules'").withColumn("size", F.length("text")).select(key, "act", "size", "text"), "text", SCHEDULES)
@@ -152,7 +160,7 @@ def provision_tree(pages: DataFrame, documents: DataFrame, key: str = "document_
     placed = nodes.join(ranges.dropDuplicates([key, "part", "section_at"]), [key, "part", "section_at"], "left")
     whole = placed.join(joined.select(key, "part", F.col("text").alias("_all")), [key, "part"])
     cut = F.substr("_all", F.col("start") + 1, F.col("end") - F.col("start"))
-    first_page = grouped.groupBy(key, "part").agg(F.min("page_number").alias("_first"))
+    first_page = offsets.groupBy(key, "part").agg(F.min("page_number").alias("_first"))
     whole = whole.withColumn("text", cut).drop("_all").join(first_page, [key, "part"])
     whole = whole.withColumn("page_start", F.coalesce("page_start", "_first")).withColumn("page_end", F.coalesce("page_end", "_first"))
     columns = [key, "provision_id", "kind", "label", "parent_id", "text", "start", "end", "page_start", "page_end", "part"]
@@ -266,11 +274,11 @@ def build_graph(texts: DataFrame, key: str = "document_id", act: str = "act_numb
 def graph_of_pages(pages: DataFrame, documents: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(provisions, edges, unresolved, candidates) of documents given by their pages (``provision_tree``). Edges and candidates carry the version ids of their ends
     (null for targets of other acts) and evidence: the literal, its offsets in the source node, and the pages that it stands on."""
-    provisions = checkpointed(provision_tree(pages, documents, key))
-    grouped = pages.select(key, "page_number", "text").join(page_groups(pages, key), [key, "page_number"])
-    judged = _candidates(provisions.filter("part <> 'title'"), _joined(grouped, key), key)
+    texts, offsets = _parts(pages, key)
+    provisions = checkpointed(_tree(texts, offsets, documents, key))
+    judged = _candidates(provisions.filter("part <> 'title'"), texts, key)
     spans = judged.select(key, "part", F.col("first").alias("start"), F.col("last").alias("end"))
-    on = _page_range(spans, _offsets(grouped, key), [key, "part"]).select(key, "part", F.col("start").alias("first"), F.col("end").alias("last"), F.sequence("page_start", "page_end").alias("_pages"))
+    on = _page_range(spans, offsets, [key, "part"]).select(key, "part", F.col("start").alias("first"), F.col("end").alias("last"), F.sequence("page_start", "page_end").alias("_pages"))
     version = lambda c: F.concat(F.col(key), F.lit("/provision:"), c)
     evidence = F.struct(F.col("literal").alias("text"), "start_offset", "end_offset", F.transform("_pages", lambda p: F.struct(p.alias("page_number"))).alias("pages"))
     seen = judged.join(on, [key, "part", "first", "last"], "left").withColumn("evidence", evidence).withColumn("source_version_id", version(F.col("source_provision_id")))
