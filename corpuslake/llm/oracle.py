@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslake.llm import licenses, mixing, urls
+from corpuslake.llm import decontaminate, divergence, licenses, mixing, urls
 
 OP8 = r"""
 WITH listed AS (
@@ -139,4 +139,52 @@ FROM split s CROSS JOIN every LEFT JOIN by_host h ON h.host = s.host LEFT JOIN b
 """
 
 
-ORACLE_SQL = {"op3_mixing": OP3, "op5_urls": op5(), "op8_substring": OP8, "op9_licenses": op9()}
+OP12 = rf"""
+WITH listed AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS words FROM documents
+), asked AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS words FROM benchmark
+), grams AS (
+  SELECT DISTINCT item, n, array_to_string(words[i + 1 : i + n], ' ') AS gram
+  FROM (SELECT *, unnest(range(0, len(words) - n + 1)) AS i FROM (SELECT *, least({decontaminate.N}, len(words)) AS n FROM asked WHERE len(words) > 0))
+), windows AS (
+  SELECT r, n, i, array_to_string(words[i + 1 : i + n], ' ') AS gram
+  FROM (SELECT r, words, n, unnest(range(0, len(words) - n + 1)) AS i FROM listed CROSS JOIN (SELECT DISTINCT n FROM grams) WHERE len(words) >= n)
+), hits AS (
+  SELECT r, n, i, item FROM windows JOIN grams USING (n, gram)
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, n, i FROM hits)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM listed LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+OP13 = rf"""
+WITH listed AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{divergence.WORD}') AS words FROM documents
+), placed AS (SELECT r, lang, source, unnest(words) AS term FROM listed
+), kept AS (SELECT lang, term, count(*) AS n FROM placed GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}
+), counts AS (SELECT lang, source, term, count(*) AS n FROM placed SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), langs AS (SELECT lang, count(term)::HUGEINT AS v, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang FROM listed) LEFT JOIN kept USING (lang) GROUP BY lang
+), totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source
+), groups AS (SELECT lang, source, coalesce(t.total, 0)::HUGEINT AS total, v, l.total AS lang_total FROM (SELECT DISTINCT lang, source FROM listed) JOIN langs l USING (lang) LEFT JOIN totals t USING (lang, source)
+), rates AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + ({divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + 1)) // (total + v) AS p, 1 + ({divergence.SCALE}::HUGEINT * (kept.n + 1)) // (lang_total + v) AS q
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN rates x ON x.lang = a.lang AND x.source = a.source LEFT JOIN rates y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+), terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM rates WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value::BIGINT, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT FROM terms
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+ORACLE_SQL = {"op3_mixing": OP3, "op5_urls": op5(), "op8_substring": OP8, "op9_licenses": op9(), "op12_decontaminate": OP12, "op13_divergence": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import ann, html_text, langid, licenses, media, mixing, packing, simhash, substring, urls
+from corpuslake.llm import ann, decontaminate, divergence, html_text, langid, licenses, media, mixing, packing, simhash, substring, urls
 from corpuslake.llm.common import table
 from corpuslake.llm.oracle import ORACLE_SQL
 
@@ -67,7 +67,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(table(spark, sf_dir, "documents")))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.n_hit()
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items, (n_hit > 0).alias("contaminated"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_neighbours, op3_mixing, op4_html, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language, op2_neighbours, op3_mixing, op4_html, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media, op12_decontaminate, op13_divergence)
+}
 
