@@ -139,6 +139,41 @@ FROM split s CROSS JOIN every LEFT JOIN by_host h ON h.host = s.host LEFT JOIN b
 """
 
 
+OP11 = r"""
+WITH bits AS (SELECT range AS i, range::BIGINT AS x0 FROM range(256)), STEPS, crcs AS (SELECT list(x8 ORDER BY i) AS t FROM bits8
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place, digest, size
+  FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || '/' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL)
+), counts AS (
+  SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, n, conv_id - conv_id % 100 AS lead,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 6 AS h
+  FROM counts CROSS JOIN crcs
+), convs AS (
+  SELECT c.conv_id, c.lead, c.h::BIGINT AS h, least(c.h, coalesce(l.n, 0))::BIGINT AS taken FROM hashed c LEFT JOIN counts l ON l.conv_id = c.lead
+), rebuilt AS (
+  SELECT c.conv_id, t.place, t.digest, t.size FROM convs c JOIN turns t ON t.conv_id = c.lead WHERE t.place <= c.taken
+  UNION ALL SELECT c.conv_id, t.place - c.h + c.taken, t.digest, t.size FROM convs c JOIN turns t USING (conv_id) WHERE t.place > c.h
+), listed AS (
+  SELECT c.conv_id, coalesce(list(digest ORDER BY place) FILTER (place IS NOT NULL), []) AS digests, coalesce(list(size ORDER BY place) FILTER (place IS NOT NULL), []) AS sizes FROM convs c LEFT JOIN rebuilt USING (conv_id) GROUP BY c.conv_id
+), prefixes AS (
+  SELECT conv_id, d AS depth, len(digests) AS length, array_to_string(digests[1 : d], '') AS key, CASE WHEN d > 0 THEN array_to_string(digests[1 : d - 1], '') END AS above, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+  FROM (SELECT *, unnest(range(0, len(digests) + 1)) AS d FROM listed)
+), nodes AS (
+  SELECT depth, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, key
+), children AS (
+  SELECT above, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above, depth
+), whole AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.above = n.key AND c.depth = n.depth
+), held AS (
+  SELECT p.depth, p.key, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.size) AS saved_tokens FROM whole w JOIN prefixes p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.depth, p.key
+)
+SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM whole w LEFT JOIN nodes p ON p.depth = w.depth - 1 AND p.key = w.above JOIN held h ON h.depth = w.depth AND h.key = w.key
+""".replace("STEPS", ", ".join(f"bits{k + 1} AS (SELECT i, CASE WHEN x{k} & 1 = 1 THEN xor(x{k} >> 1, 3988292384::BIGINT) ELSE x{k} >> 1 END AS x{k + 1} FROM bits{k or ''})" for k in range(8)))
+
 OP12 = rf"""
 WITH listed AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS words FROM documents
@@ -187,4 +222,4 @@ WITH listed AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
 """
 
-ORACLE_SQL = {"op3_mixing": OP3, "op5_urls": op5(), "op8_substring": OP8, "op9_licenses": op9(), "op12_decontaminate": OP12, "op13_divergence": OP13}
+ORACLE_SQL = {"op3_mixing": OP3, "op5_urls": op5(), "op8_substring": OP8, "op9_licenses": op9(), "op11_prefix_trie": OP11, "op12_decontaminate": OP12, "op13_divergence": OP13}

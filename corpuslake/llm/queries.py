@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import ann, decontaminate, divergence, html_text, langid, licenses, media, mixing, packing, simhash, substring, urls
+from corpuslake.llm import ann, decontaminate, divergence, html_text, langid, licenses, media, mixing, packing, simhash, substring, trie, urls
 from corpuslake.llm.common import table
 from corpuslake.llm.oracle import ORACLE_SQL
 
@@ -67,6 +67,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, bare = trie.spliced(trie.numbered(table(spark, sf_dir, "conversations")))
+    return trie.prefix_tree(turns, bare).drop("enter", "leave")
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.n_hit()
@@ -82,6 +87,6 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_neighbours, op3_mixing, op4_html, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media, op12_decontaminate, op13_divergence)
+    for f in (op1_language, op2_neighbours, op3_mixing, op4_html, op5_urls, op6_packing, op7_simhash, op8_substring, op9_licenses, op10_media, op11_prefix_trie, op12_decontaminate, op13_divergence)
 }
 
