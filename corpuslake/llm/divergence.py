@@ -1,6 +1,6 @@
 """Audit of how far the sources of a language diverge in their terms, with late materialised strings.
 
-Tasks count terms by group (language and source) and write them once, with a 64-bit digest of each. From there on only digests are shuffled. The least and the
+Tasks count terms by group (language and source) and write them once, with a 64-bit digest of each. From there on counts go by digests only. The least and the
 greatest string of a digest show whether several terms share it; if so these terms are told apart by their strings, all others by digests alone. Text is joined back
 just for the terms that the result keeps.
 
@@ -64,7 +64,7 @@ class _Counts:
     def clear(self) -> None:
         self.terms, self.groups, self.pending, self.size = _Numbers(), {}, [], 0
 
-    def add(self, group: tuple[str, str], text: str) -> None:
+    def add(self, group: int, text: str) -> None:
         g = self.groups.setdefault(group, len(self.groups))
         lists = [np.fromiter(map(self.terms.__getitem__, words), dtype=np.int64, count=len(words)) for words in _word_lists(text)]
         if lists:
@@ -72,46 +72,57 @@ class _Counts:
             self.pending.append((g, ids, n))
             self.size += len(ids)
 
-    def rows(self, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-        """lang, source, digest, term, n, docs; a row without digest for each group."""
-        names = ["lang", "source", "digest", "term", "n", "docs"]
-        langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
-        none = len(self.groups)
-        yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(none, pa.int64()), pa.nulls(none, pa.string()), *[pa.array(np.zeros(none, dtype=np.int64))] * 2], names)
+    def rows(self, most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+        """digest, term, and lists of the groups that have it, of how often they do, and in how many documents."""
         if self.pending:
-            keys = np.concatenate([g * len(self.terms) + ids for g, ids, _ in self.pending])
+            many, words = len(self.groups), list(self.terms)
+            keys = np.concatenate([ids * many + g for g, ids, _ in self.pending])
             met, at, docs = np.unique(keys, return_inverse=True, return_counts=True)
             n = np.zeros(len(met), dtype=np.int64)
             np.add.at(n, at, np.concatenate([n for *_, n in self.pending]))
-            words = list(self.terms)
+            groups = np.fromiter(self.groups, dtype=np.int64, count=many)[met % many]
+            starts = np.searchsorted(met // many, np.arange(len(words) + 1)).astype(np.int32)
             digests = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)) & self.mask
-            terms = pa.array(words, pa.binary()).cast(pa.string())
-            for i in range(0, len(met), most):
-                g, t = np.divmod(met[i : i + most], len(self.terms))
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(g)), sources.take(pa.array(g)), pa.array(digests[t].view("<i8")), terms.take(pa.array(t)), pa.array(n[i : i + most]), pa.array(docs[i : i + most])], names)
+            for i in range(0, len(words), most):
+                cut = starts[i : i + most + 1]
+                lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(x[cut[0] : cut[-1]])) for x in (groups, n, docs)]
+                yield pa.RecordBatch.from_arrays([pa.array(digests[i : i + most].view("<i8")), pa.array(words[i : i + most], pa.binary()).cast(pa.string()), *lists], ["digest", "term", "groups", "n", "docs"])
         self.clear()
 
 
-def counted(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """lang, source, digest, term, n, docs: for each task or part of one the terms of a group; without digest a row for each group."""
+def _group(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "lang", "source")
+
+
+def _read(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): group and text of each document; lang, source and their number, group, of each group."""
+    texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    groups, seed = staged(texts.select("lang", "source").distinct(), "groups"), 0
+    while not groups.groupBy(_group(seed)).count().filter("count > 1").isEmpty():  # until no two groups share a number
+        seed += 1
+    return texts.select(_group(seed).alias("group"), "text"), groups.withColumn("group", _group(seed))
+
+
+def counted(rows: DataFrame, bits: int = 64) -> DataFrame:
+    """digest, term, groups, n, docs: for each task or part of one its terms, from group and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(bits)
         for batch in slices(batches):
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                counts.add((lang, source), text)
+            for group, text in zip(batch.column("group").to_pylist(), batch.column("text").to_pylist()):
+                counts.add(group, text)
                 if len(counts.terms) > MOST_TERMS or counts.size > MOST_PENDING:
                     yield from counts.rows()
         yield from counts.rows()
 
-    read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return read.mapInArrow(run, "lang string, source string, digest long, term string, n long, docs long")
+    return rows.mapInArrow(run, "digest long, term string, groups array<long>, n array<long>, docs array<long>")
 
 
 def _rate(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 (count + 1) / (total + terms)), exactly."""
     wide = ((count + 1).cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(10,0)")).cast("decimal(30,0)")
-    return 1 + F.call_function("div", wide, (total + terms).cast("decimal(19,0)"))
+    exact = F.call_function("div", wide, (total + terms).cast("decimal(19,0)"))
+    return 1 + F.when(count < (1 << 63) // SCALE - 1, F.call_function("div", (count + 1) * SCALE, total + terms)).otherwise(exact)
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -130,8 +141,8 @@ class Audit:
     """The counts of ``docs`` (text, lang, source), staged, and what is made of them."""
 
     def __init__(self, docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64):
-        seen = staged(counted(docs, bits), "terms")
-        terms = seen.filter("digest IS NOT NULL")
+        rows, known = _read(docs)
+        terms = staged(counted(rows, bits), "terms")
         #: digest, low, high: the least and the greatest of the strings that share a digest.
         self.names = staged(terms.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "names")
         shared = self.names.filter("low < high").select("digest", F.lit(True).alias("shared"))
@@ -139,14 +150,17 @@ class Audit:
         if not shared.isEmpty():
             terms = terms.join(shared, "digest", "left")
             split = F.when(F.col("shared"), F.col("term")).otherwise("")
-        counts = terms.withColumn("split", split).groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        counts = staged(counts, "counts")
-        kept = counts.groupBy("lang", "digest", "split").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
+        # Dealt by digest once: sums and windows below need no other shuffle.
+        dealt = terms.select("digest", split.alias("split"), "groups", "n", "docs").repartition("digest")
+        each = dealt.select("digest", "split", F.inline(F.arrays_zip(F.col("groups").alias("group"), "n", "docs")).alias("group", "n", "docs"))
+        counts = each.groupBy("digest", "split", "group").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).join(known, "group")
+        of_lang = Window.partitionBy("lang", "digest", "split")  # a row for each source of a language
+        counts = counts.withColumns({"lang_n": F.sum("n").over(of_lang), "lang_docs": F.sum("docs").over(of_lang)})
         #: lang, digest, split, source, n, lang_n of the kept terms; split tells terms of one digest apart, and is empty for others.
-        self.kept = staged(counts.drop("docs").join(kept, ["lang", "digest", "split"]), "kept")
+        self.kept = staged(counts.filter(F.col("lang_docs") >= least_docs).select("lang", "source", "digest", "split", "n", "lang_n"), "kept")
         langs = self.kept.groupBy("lang", "digest", "split").agg(F.first("lang_n").alias("lang_n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
         totals = self.kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        groups = seen.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+        groups = known.drop("group").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
         place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # a row for each source of a language
         zero = F.lit(0).cast("long")
         groups = groups.select("lang", "source", place.alias("place"), *(F.coalesce(c, zero).alias(c) for c in ("total", "terms", "lang_total")))
