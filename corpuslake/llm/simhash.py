@@ -30,8 +30,10 @@ SEED = 42
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 16
 #: For copies with edits: a text's bands, and the least hashes in a band's key. Two texts at a similarity of 0.8 share no key
-#: with probability (1 - 0.8^6)^26, 4 in 10,000; at 0.85 it is 5 in a million.
-BANDS, ROWS = 26, 6
+#: with probability (1 - 0.8^4)^39, one in a thousand million.
+BANDS, ROWS = 39, 4
+#: Texts, and shingles of theirs, that a task compares with each other at a time.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 4_000_000
 _MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 
@@ -158,8 +160,8 @@ def _ball_pairs(texts: DataFrame) -> DataFrame:
 
 
 def _rare_first(sets: DataFrame) -> DataFrame:
-    """h, rk, n, q: of each set, ordered from the rarest of all hashes to the commonest, those of the first n/5 + 1 that
-    another set has too, with their place q.
+    """h, f, rk, n, q: of each set, ordered from the rarest of all hashes to the commonest, those of the first n/5 + 1 that
+    another set has too, with how many sets have them (f) and their place q.
 
     Two sets at a similarity of 0.8 or more share a hash there, for either has at least 0.8 n hashes of the other's; and where the
     first that they share stands at q, no more than n - q are shared. A line that a great many texts share comes last in
@@ -170,7 +172,7 @@ def _rare_first(sets: DataFrame) -> DataFrame:
     alone = F.col("n") - F.size("shared")
     room = F.greatest(F.lit(0), F.floor(F.col("n") / 5) + 1 - alone).cast("int")
     first = shared.select("rk", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "token"))
-    return first.select("token.h", "rk", "n", (F.col("alone") + F.col("at")).alias("q"))
+    return first.select("token.h", "token.f", "rk", "n", (F.col("alone") + F.col("at")).alias("q"))
 
 
 def _may(a: str, b: str) -> F.Column:
@@ -194,6 +196,51 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(met.filter(_alike(common, F.col("u_n"), F.col("v_n"))).select("u", "v"))
 
 
+def _atoms(rooted: DataFrame) -> DataFrame:
+    """h, x, y, block, rk, of: the owners of the hashes whose owners (h, f, rk, n, of, head: their group and the first owner's) are in several
+    groups, in blocks of which x and y are to be compared.
+
+    Hashes with the same owners, as those of a passage, are one: that which comes first in the order of all. Of blocks there are as many as
+    BLOCK_TEXTS and BLOCK_SHINGLES ask for, so that an owner is one row as long as these hold all owners, and one more for each further block."""
+    mark = lambda seed: F.bit_xor(F.xxhash64("rk", F.lit(seed)))
+    each = rooted.groupBy("h", "f").agg(F.max(F.col("of") != F.col("head")).alias("several"), F.count("*").alias("owners"), F.sum("n").alias("shingles"), mark(0).alias("mark"), mark(1).alias("other_mark"))
+    first = each.filter("several").groupBy("owners", "shingles", "mark", "other_mark").agg(F.min(F.struct("f", "h")).alias("first"))
+    blocks = F.greatest(F.ceil(F.col("owners") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    dealt = rooted.select("h", "rk", "of").join(first.select("first.h", blocks.alias("blocks")), "h").withColumn("block", F.pmod(F.xxhash64("rk"), "blocks"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.select("h", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rk", "of")
+
+
+def _links_between(table: pa.Table) -> pa.Table:
+    """(u, v): links of two texts of different groups that join all groups that any such link joins, from the rows of one (h, x, y) with their sets."""
+    rk, block = (table.column(c).to_numpy() for c in ("rk", "block"))
+    _, group = np.unique(table.column("of").to_numpy(), return_inverse=True)
+    sets = table.column("shingles").combine_chunks()
+    starts = sets.offsets.to_numpy().astype(np.int64)
+    n, starts = np.diff(starts), starts[:-1] - starts[0]
+    known, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    apart = len(table) > 1 and table.column("x")[0].as_py() != table.column("y")[0].as_py()
+    made: list[tuple[int, int]] = []
+    most = np.bincount(group).argmax()
+    present = np.zeros(len(known), dtype=np.int64)
+    for i in np.flatnonzero(group != most):  # texts of the largest group need no other's comparison
+        open_ = (group != group[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+        if apart:
+            open_ &= block != block[i]
+        if not open_.any():
+            continue
+        own = flat[starts[i] : starts[i] + n[i]]
+        present[own] = 1
+        common = np.add.reduceat(present[flat], starts)
+        present[own] = 0
+        for j in np.flatnonzero(open_ & (9 * common >= 4 * (n + n[i]))):
+            if group[j] != group[i]:
+                made.append((max(rk[i], rk[j]), min(rk[i], rk[j])))
+                group[group == group[j]] = group[i]
+    u, v = zip(*made) if made else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
 def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(marked, texts, roots) for near copies: texts that a chain of links joins, each link between two texts whose sets of
     five-word shingles have a similarity of 0.8 or more.
@@ -203,9 +250,9 @@ def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Ball hashing finds the links of fingerprints within 2 bits. A few edits move a long fingerprint further, so that the other
     links need more: texts that share one of their band keys with another are joined on their rarest shingles. Of the
-    owners of such a shingle each is compared with the one that has it earliest; where that leaves them in several
-    groups, those outside the first one's group are compared with all owners that sizes and places leave room for. Every link is
-    verified on whole sets.
+    owners of such a shingle each is compared with the one that has it earliest. Where that leaves them in several
+    groups, as the fillings of a form, blocks of owners meet in tasks that compare whole sets and return no more than a link for each two groups that
+    they join: neither step has a row for each pair. Every link is verified on whole sets.
 
     A text without words is no near copy of any but those without words too; null and empty texts are alike, ties and
     repeated rows make no difference; an empty table gives empty tables; extra columns are ignored."""
@@ -224,21 +271,24 @@ def edited_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     owners = checkpointed(_rare_first(sets))
     one = F.struct("q", "n", "rk")
     heads = owners.groupBy("h").agg(F.min(one).alias("b"), F.max("rk").alias("high"), F.min("rk").alias("low")).filter("low < high")
-    near = checkpointed(owners.select("h", one.alias("a")).join(heads.select("h", "b"), "h"))
+    near = checkpointed(owners.select("h", "f", one.alias("a")).join(heads.select("h", "b"), "h"))
     real = _similar(_pairs(near).union(ball).distinct(), sets)
     groups = components(real)
-    root = lambda end: groups.select(F.col("node").alias(f"{end}_rk"), F.col("root").alias(f"{end}_root"))
-    rooted = near.withColumn("a_rk", F.col("a.rk")).withColumn("b_rk", F.col("b.rk")).join(root("a"), "a_rk", "left").join(root("b"), "b_rk", "left")
-    rooted = rooted.select("h", "a", F.coalesce("a_root", "a_rk").alias("of"), F.coalesce("b_root", "b_rk").alias("head"))
-    apart = checkpointed(rooted.filter("of <> head").select("h", "a", "of"))
-    others = rooted.join(apart.select("h").distinct(), "h", "left_semi").select("h", F.col("a").alias("b"), F.col("of").alias("other"))
-    across = apart.join(others, (apart["h"] == others["h"]) & (F.col("of") != F.col("other")) & _may("a", "b"))
-    late = _similar(_pairs(across.select("a", "b")), sets)
+    late = _late_links(near, groups, sets)
     if not late.isEmpty():
         groups = components(real.union(late))
     return marked.select("doc_id", "rk"), texts.select("rk", "first", "copies"), groups
 
 
+def _late_links(near: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links between texts of different groups, from the owners of each hash and its first one (near) and the groups so far (node, root)."""
+    root = lambda end: groups.select(F.col("node").alias(f"{end}_rk"), F.col("root").alias(f"{end}_root"))
+    rooted = near.withColumn("a_rk", F.col("a.rk")).withColumn("b_rk", F.col("b.rk")).join(root("a"), "a_rk", "left").join(root("b"), "b_rk", "left")
+    rooted = checkpointed(rooted.select("h", "f", F.col("a.rk").alias("rk"), F.col("a.n").alias("n"), F.coalesce("a_root", "a_rk").alias("of"), F.coalesce("b_root", "b_rk").alias("head")))
+    met = _atoms(rooted).join(sets.select("rk", "shingles"), "rk")
+    return checkpointed(met.groupBy("h", "x", "y").applyInArrow(_links_between, "u long, v long").distinct())
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but the first document, by doc_id, of each group of near copies (``edited_copies``).
 

@@ -118,6 +118,59 @@ def kept_by_brute_force(rows):
     return sorted(least.values())
 
 
+def form_letters(n, edited=()):
+    """Texts of 60 shared words and three slots of 30 fillings of five words each: none has a similarity of 0.8 to another, but for copies with an edit."""
+    rng, rows = random.Random(n), []
+    for i, c in enumerate(rng.sample(range(27_000), n)):
+        words = [f"b{k}" for k in range(60)]
+        for slot, filling in enumerate((c % 30, c // 30 % 30, c // 900)):
+            at = 15 + 20 * slot
+            words[at:at] = [f"s{slot}v{filling}w{k}" for k in range(5)]
+        rows.append((2 * i, " ".join(words)))
+        if i in edited:
+            rows.append((2 * i + 1, " ".join([*words[:-1], "edit"])))
+    return rows
+
+
+def test_rows_grow_with_form_letters_not_with_their_pairs(spark, monkeypatch):
+    seen = {}
+
+    def counting(name, f):
+        def run(*args):
+            made = f(*args)
+            seen.setdefault(name, []).append(made.count())
+            return made
+
+        monkeypatch.setattr(simhash, name, run)
+
+    for name in ("_rare_first", "_pairs", "_atoms"):
+        counting(name, getattr(simhash, name))
+    for n in (250, 1000):
+        rows = form_letters(n, range(5))
+        kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 2 * n, 2))
+    for small, large in seen.values():
+        assert large < 6 * small and large < 20 * 1000
+
+
+def test_links_across_groups_in_blocks(spark, monkeypatch):
+    """Chains of texts of which only neighbours are alike, among form letters: the first owner of a shingle links few of them."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 900)
+    rng = random.Random(2)
+    rows = form_letters(60, range(10))
+    for c in range(3):
+        words = [f"c{c}w{k}" for k in range(100)]
+        for i in range(25):
+            rows.append((10_000 + 100 * c + i, " ".join(words)))
+            at = rng.randrange(0, 98)
+            words[at : at + 2] = [f"n{rng.randrange(10**6)}" for _ in range(2)]
+    want = kept_by_brute_force(rows)
+    assert 60 <= len(want) < 90
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
 def test_copies_among_texts_with_a_hot_line(spark):
     rng = random.Random(8)
     line = " ".join(f"hot{i}" for i in range(13))
