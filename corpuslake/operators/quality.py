@@ -47,8 +47,9 @@ def _broken(df: DataFrame, subject: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(F.explode(each).alias("code"), F.col(subject).cast("string").alias("subject"))
 
 
-def _repeated(df: DataFrame, key: str, code: str) -> DataFrame:
-    return _rows(df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(key).union(df.filter(F.col(key).isNull()).select(key)), key, code)
+def _repeated(df: DataFrame, own: list[str], key: str, code: str) -> DataFrame:
+    twice = df.groupBy(*own, key).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    return _rows(twice.select(key).union(df.filter(F.col(key).isNull()).select(key)), key, code)
 
 
 def _version(c: str) -> Column:
@@ -58,11 +59,17 @@ def _version(c: str) -> Column:
 def validate_graph(provisions: DataFrame, edges: DataFrame, unresolved: DataFrame, audit: DataFrame | None = None) -> DataFrame:
     """code, subject for every broken rule of a graph: ids, kinds, parents, offsets, version ids, ends of edges, evidence, agreement with the audit.
 
+    Where the tables have a document_id each document is a graph of its own: versions of an act share their ids, and what one lacks another can't lend.
     Columns that a table doesn't have (version ids, evidence, page ranges, candidate ids, notes, targets of an audit) bring no checks. Each table is read once for all
     checks of its rows; repeated ids and partners are found by joins on ids."""
     has = lambda df, *names: set(names) <= set(df.columns)
-    known = provisions.select("provision_id").distinct()
-    flag = lambda of, name: known.select(F.col("provision_id").alias(of), F.lit(True).alias(name))
+    own = ["document_id"] if all(has(df, "document_id") for df in (provisions, edges, unresolved)) else []
+    known = provisions.select(*own, "provision_id").distinct()
+
+    def flagged(df: DataFrame, of: str, name: str) -> DataFrame:
+        """``df`` with ``name``: whether its document has the provision ``of``."""
+        return df.join(known.select(*own, F.col("provision_id").alias(of), F.lit(True).alias(name)), [*own, of], "left")
+
     no = lambda c: F.col(c).isNull()
     unsourced = F.col("evidence").isNull() | (F.coalesce(F.size("evidence.pages"), F.lit(0)) <= 0)
 
@@ -76,10 +83,10 @@ def validate_graph(provisions: DataFrame, edges: DataFrame, unresolved: DataFram
         rules["provision_pages"] = (F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start"))
     if has(provisions, "version_id", "document_id"):
         rules["provision_version"] = no("version_id") | (F.col("version_id") != _version("provision_id"))
-    parts = [_broken(provisions.join(flag("parent_id", "_parent"), "parent_id", "left"), "provision_id", rules), _repeated(provisions, "provision_id", "provision_duplicate")]
+    parts = [_broken(flagged(provisions, "parent_id", "_parent"), "provision_id", rules), _repeated(provisions, own, "provision_id", "provision_duplicate")]
 
     same_act = F.regexp_extract("target_provision_id", "^(act:[^/]+)", 1) == F.regexp_extract("source_provision_id", "^(act:[^/]+)", 1)
-    met = edges.join(flag("source_provision_id", "_source"), "source_provision_id", "left").join(flag("target_provision_id", "_target"), "target_provision_id", "left")
+    met = flagged(flagged(edges, "source_provision_id", "_source"), "target_provision_id", "_target")
     rules = {
         "edge_source": no("_source"),
         "edge_target": same_act & F.col("target_provision_id").contains("/") & no("_target"),
@@ -101,13 +108,13 @@ def validate_graph(provisions: DataFrame, edges: DataFrame, unresolved: DataFram
         aimed = F.array_contains("_aims", F.col("target_provision_id")) if has(audit, "target_provision_ids") else F.lit(True)
         rules["audit_rejected_edge"] = F.col("_rejected")
         rules["edge_not_approved"] = ~F.coalesce(F.col("_approved") & aimed, F.lit(False))
-    parts += [_broken(met, "edge_id", rules), _repeated(edges, "edge_id", "edge_duplicate")]
+    parts += [_broken(met, "edge_id", rules), _repeated(edges, own, "edge_id", "edge_duplicate")]
 
     def of_candidates(df: DataFrame) -> dict[str, Column]:
         found = {"candidate_provenance": unsourced} if has(df, "evidence") else {}
         return found | ({"candidate_source_version": no("source_version_id") | (F.col("source_version_id") != _version("source_provision_id"))} if has(df, "source_version_id", "document_id") else {})
 
-    loose = unresolved.join(flag("source_provision_id", "_source"), "source_provision_id", "left")
+    loose = flagged(unresolved, "source_provision_id", "_source")
     parts.append(_broken(loose, "source_provision_id", {"unresolved_reason": F.coalesce("reason", F.lit("")) == "", "unresolved_source": no("_source")} | of_candidates(unresolved)))
     if audit is None:
         return _union(parts)
@@ -122,17 +129,18 @@ def validate_graph(provisions: DataFrame, edges: DataFrame, unresolved: DataFram
     if has(audit, "audit_note"):
         rules["audit_note_missing"] = F.trim(F.coalesce("audit_note", F.lit(""))) == ""
     if has(audit, "candidate_id") and has(unresolved, "candidate_id"):
-        own = ["document_id", "candidate_id"] if has(audit, "document_id") and has(unresolved, "document_id") else ["candidate_id"]
-        given_up = unresolved.filter("reason = 'audit_rejected'").select(*own).distinct().withColumn("_given_up", F.lit(True))
-        linked = linked.join(given_up, own, "left")
+        by = ["document_id", "candidate_id"] if has(audit, "document_id") and has(unresolved, "document_id") else ["candidate_id"]
+        given_up = unresolved.filter("reason = 'audit_rejected'").select(*by).distinct().withColumn("_given_up", F.lit(True))
+        linked = linked.join(given_up, by, "left")
         rules["rejected_unresolved_missing"] = (F.coalesce("decision", F.lit("")) != "approved") & no("_given_up")
-        twice = audit.groupBy(*own).agg(F.count("*").alias("n")).filter("n > 1 OR candidate_id IS NULL")
+        twice = audit.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1 OR candidate_id IS NULL")
         parts.append(_rows(twice, "candidate_id", "audit_duplicate"))
     parts.append(_broken(linked, name, rules))
     parts.append(_rows(audit.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1"), "source_provision_id", "audit_occurrence_ambiguous"))
     if has(audit, "target_provision_ids"):
+        by = ["document_id"] if "document_id" in at else []
         wanted = audit.filter("decision = 'approved'").select(*at, name, F.explode("target_provision_ids").alias("target_provision_id"))
-        parts.append(_rows(wanted.join(edges.select(*at, "target_provision_id").distinct(), [*at, "target_provision_id"], "left_anti").select(name).distinct(), name, "approved_edge_missing"))
+        parts.append(_rows(wanted.join(edges.select(*at, "target_provision_id").distinct(), [*at, "target_provision_id"], "left_anti").select(*by, name).distinct(), name, "approved_edge_missing"))
     return _union(parts)
 
 

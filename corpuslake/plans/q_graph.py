@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions import udfs, values
@@ -145,6 +145,77 @@ def _(v: Views) -> DataFrame:
     return quality.validate_graph(provisions, edges, unresolved, audit).groupBy("code").agg(F.count("*").alias("n"))
 
 
+#: What is wrong in the graph of a document, by doc_id modulo the number of entries: the codes that it brings.
+FAULTS = [
+    [], ["provision_kind"], ["provision_offsets"], ["provision_parent"], ["provision_path"], ["provision_pages"], ["provision_version"], ["provision_duplicate"],
+    ["edge_source"], ["edge_target"], ["edge_relationship"], ["edge_offsets"], ["edge_evidence", "edge_evidence_length"], ["edge_evidence_length"], ["edge_source_version"],
+    ["edge_target_version"], ["edge_cross_act_version", "edge_target_version"], ["edge_provenance"],
+    ["audit_rejected_edge", "edge_not_approved", "rejected_edge_present", "rejected_unresolved_missing"], ["edge_not_approved"], ["edge_duplicate"], ["unresolved_reason"],
+    ["unresolved_source"], ["candidate_provenance"], ["candidate_source_version"], ["audit_undecided"], ["audit_approved_missing"], ["audit_note_missing"],
+    ["rejected_unresolved_missing"], ["audit_duplicate"], ["audit_occurrence_ambiguous"], ["approved_edge_missing"],
+]
+
+
+def _faulty_graphs(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """provisions, edges, unresolved, audit: a small graph for each document, of which two are versions of one act, with one of FAULTS each."""
+    k = F.col("k")
+    fault = lambda n, wrong, right: F.when(k == n, wrong).otherwise(right)
+    lit, null = F.lit, F.lit(None).cast("string")
+    docs = v.table("documents").select(F.concat(lit("d"), "doc_id").alias("document_id"), (F.col("doc_id") % len(FAULTS)).alias("k"), F.concat(lit("act:"), F.floor(F.col("doc_id") / 2)).alias("act"))
+    at = lambda path: F.concat("act", lit(path))
+    version = lambda c: F.concat("document_id", lit("/provision:"), c)
+
+    def each(*rows: dict) -> DataFrame:
+        """A row of each document for each dict of columns whose ``there``, if it has one, holds."""
+        made = F.array_compact(F.array(*(F.when(r.pop("there", lit(True)), F.struct(*(c.alias(n) for n, c in r.items()))) for r in rows)))
+        return docs.select("document_id", F.explode(made).alias("r")).select("document_id", "r.*")
+
+    def node(path: str, of_kind: str, parent: Column, **other: Column) -> dict:
+        row = {"provision_id": at(path), "kind": lit(of_kind), "parent_id": parent, "start": lit(0), "end": lit(50), "page_start": lit(1), "page_end": lit(2)} | other
+        return row if "version_id" in row else row | {"version_id": version(row["provision_id"])}
+
+    act_id, section = fault(4, lit("bad"), F.col("act")), at("/section:1")
+    provisions = each(
+        node("", "act", null, provision_id=act_id, version_id=fault(6, lit("x"), version(act_id)), page_start=fault(5, lit(0), lit(1))),
+        node("/section:1", "section", F.col("act"), there=k != 3),
+        node("/section:1/subsection:1", "subsection", section),
+        node("/section:2", "section", F.col("act"), kind=fault(1, lit("zzz"), lit("section")), end=fault(2, lit(-1), lit(50))),
+        node("/section:2", "section", F.col("act"), there=k == 7),
+        node("/section:3", "section", F.col("act"), there=k != 9),
+    )
+    pages = F.struct(F.array(F.struct(lit(1).alias("page_number"))).alias("pages"))
+    bare = F.when(lit(False), pages)
+    source, start, literal = fault(8, at("/section:1/subsection:9"), at("/section:1/subsection:1")), fault(11, lit(-1), lit(0)), fault(12, lit(""), lit("section 3"))
+    cited, elsewhere = lit("act:9999999"), lit("Act 9999999")
+    first = {"edge_id": lit("e1"), "source_provision_id": source, "target_provision_id": at("/section:3"), "relationship": fault(10, lit("x"), lit("explicit_reference")), "literal": literal, "start_offset": start, "end_offset": start + fault(13, lit(10), lit(9))}
+    first |= {"source_version_id": fault(14, lit("x"), version(source)), "target_version_id": F.when(k == 15, "x").when(k != 9, version(at("/section:3"))), "evidence": fault(17, bare, pages)}
+    second = {"edge_id": lit("e2"), "source_provision_id": at("/section:2"), "target_provision_id": cited, "relationship": lit("explicit_reference"), "literal": elsewhere, "start_offset": lit(0), "end_offset": lit(11)}
+    second |= {"source_version_id": version(at("/section:2")), "target_version_id": F.when(k == 16, "x"), "evidence": pages}
+    edges = each(first | {"there": lit(True)}, second, first | {"there": k == 20})
+    lost = fault(22, at("/section:8"), at("/section:2"))
+    unresolved = each({"candidate_id": lit("c3"), "source_provision_id": lost, "source_version_id": version(lost), "reason": F.when(k == 21, "").when(k == 25, "audit_rejected").otherwise("target_not_indexed"), "evidence": fault(23, bare, pages)})
+
+    def judged(name: Column, source: Column, literal: Column, start: Column, targets: Column, **other: Column) -> dict:
+        row = {"candidate_id": name, "source_provision_id": source, "source_version_id": version(source), "literal": literal, "start_offset": start, "target_provision_ids": targets}
+        return row | {"resolution": lit("resolved"), "evidence": pages, "decision": lit("approved"), "audit_note": lit("seen")} | other
+
+    none = F.array().cast("array<string>")
+    third = dict(source=at("/section:2"), literal=lit("section 9"), start=lit(20))
+    audit = each(
+        judged(lit("c1"), source, literal, start, F.array(at("/section:3")), decision=fault(18, lit("rejected"), lit("approved"))),
+        judged(lit("c2"), at("/section:2"), elsewhere, lit(0), F.array(cited), there=k != 19),
+        judged(fault(29, lit("c1"), lit("c3")), **third, targets=fault(31, F.array(section), none), resolution=fault(26, lit("resolved"), lit("unresolved")), source_version_id=fault(24, lit("x"), version(at("/section:2"))),
+               decision=F.when(k == 25, null).when(k == 28, "rejected").otherwise("approved"), audit_note=fault(27, lit(" "), lit("seen"))),
+        judged(lit("c4"), **third, targets=none, resolution=lit("unresolved"), there=k == 30),
+    )
+    return provisions, edges, unresolved, audit
+
+
+@query("q2_graph_codes", "SELECT code, count(*) AS n FROM (SELECT doc_id, unnest(CASE doc_id % " + f"{len(FAULTS)} " + " ".join(f"WHEN {i} THEN {codes}" for i, codes in enumerate(FAULTS) if codes) + " ELSE []::VARCHAR[] END) AS code FROM documents) GROUP BY code")
+def _(v: Views) -> DataFrame:
+    return quality.validate_graph(*_faulty_graphs(v)).groupBy("code").agg(F.count("*").alias("n"))
+
+
 _NORMAL = VIEWS_SQL["v_full_tokens"].removeprefix("SELECT doc_id, regexp_extract_all(").split(", '[", 1)[0]
 
 

@@ -104,3 +104,18 @@ def test_identity_guard(spark):
     rows = [("1", "d1", "x", 0), ("1", "d1", "x", 1), ("2", "d1", "x", 0), ("2", "d2", "x", 1)]
     df = spark.createDataFrame(rows, "label string, document_id string, extraction_id string, chunk_ordinal int")
     assert [(r.label, r.chunk_ordinal) for r in graph.unique_identity(df, ["label"]).collect()] == [("1", 0)]
+
+
+def test_versions_of_an_act_are_checked_each_on_its_own(spark):
+    """Two versions of one act share all ids; what one lacks the other doesn't hide."""
+    of = "document_id string, provision_id string, kind string, parent_id string, start int, end int"
+    rows = [("act:1", "act", None), ("act:1/section:1", "section", "act:1"), ("act:1/section:1/subsection:1", "subsection", "act:1/section:1"), ("act:1/section:2", "section", "act:1")]
+    edge = ("e1", "act:1/section:1", "act:1/section:2", "explicit_reference", "section 2", 0, 9)
+    graphs = {d: [(d, *r, 0, 9) for r in rows] for d in ("v1", "v2")}
+    edges = spark.createDataFrame([(d, *edge) for d in graphs], "document_id string, edge_id string, source_provision_id string, target_provision_id string, relationship string, literal string, start_offset int, end_offset int")
+    loose = spark.createDataFrame([("v2", "act:1/section:2", "target_not_indexed")], "document_id string, source_provision_id string, reason string")
+    found = lambda nodes: sorted((r.code, r.subject) for r in quality.validate_graph(spark.createDataFrame(nodes, of), edges, loose).collect())
+    assert found(graphs["v1"] + graphs["v2"]) == []
+    lacking = graphs["v1"] + [r for r in graphs["v2"] if r[1] not in ("act:1/section:1", "act:1/section:2")]
+    assert found(lacking) == [("edge_source", "e1"), ("edge_target", "e1"), ("provision_parent", "act:1/section:1/subsection:1"), ("unresolved_source", "act:1/section:2")]
+    assert found(graphs["v1"] * 2 + graphs["v2"]) == [("provision_duplicate", r[0]) for r in rows]
