@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.values import cosine, memory_score, norm
+from corpuslake.functions.values import memory_score
 from corpuslake.operators import vectors
 from corpuslake.operators.vectors import classes
 from corpuslake.sources.scratch import checkpointed
@@ -49,16 +47,6 @@ def recall_hits(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "key").agg(F.count("*").alias("recall_count"), F.max("at").alias("last_recalled"))
 
 
-def approx_neighbors(items: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 1.0, reach: float = 1.3, key: str = "vec_id") -> DataFrame:
-    """query_id, rank, key, similarity: candidates share a bucket of random projections of unit vectors; exact cosine ranks them."""
-    unit = lambda df, c: array_to_vector(F.transform(c, lambda x: x.cast("double") / norm(F.col(c))))
-    left, right = items.filter(norm(F.col("embedding")) > 0).select(key, "embedding", unit(items, "embedding").alias("v")), queries.filter(norm(F.col("query_vec")) > 0).select("query_id", "query_vec", unit(queries, "query_vec").alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(left)
-    met = lsh.approxSimilarityJoin(left, right, reach, "distance").select(F.col("datasetB.query_id").alias("query_id"), F.col(f"datasetA.{key}").alias(key), cosine(F.col("datasetA.embedding"), F.col("datasetB.query_vec")).alias("similarity"))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
-    return met.distinct().withColumn("rank", order).filter(F.col("rank") <= k)
-
-
 def clusters(items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """user_id, key, seed: in key order every item that no earlier one has taken is a seed and takes the similar items (cosine at or over the
     threshold) that aren't taken.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,9 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.values import norm
+from corpuslake.sources.scratch import checkpointed
 
 #: Vectors in a block, about; a task holds one block of either side and their product.
 BLOCK = 2048
+#: Vectors of a group that angles are measured to, and the steps of an angle that part its cells.
+PIVOTS, STEP = 8, 0.1
 
 
 def _unit(df: DataFrame, column: str) -> DataFrame:
@@ -69,15 +74,73 @@ def classes(items: DataFrame, key: str = "key") -> DataFrame:
     return met.select("user_id", key, F.when(alone, F.col(key)).otherwise(F.col("rep")).alias("rep"))
 
 
+def _cells(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """``rows`` (group, key, unit) with the number ``own`` of their block, and their angles to the group's pivots (null in groups of one block).
+
+    Pivots are the PIVOTS vectors of a group with the least hashes. A vector belongs to the cell of its nearest pivot and of its angle to it, in steps;
+    cells of more than a block are split by hashes."""
+    counts = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    sized = rows.join(counts, group)
+    small = sized.filter(F.col("n") <= BLOCK).select(*group, key, "unit", F.lit(0).cast("long").alias("own"), F.lit(None).cast("array<double>").alias("angles"))
+    large = sized.filter(F.col("n") > BLOCK).select(*group, key, "unit")
+    first = large.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(key), key))).filter(F.col("_r") <= PIVOTS)
+    pivots = first.groupBy(*group).agg(F.flatten(F.collect_list("unit")).alias("pivots"))
+
+    def angles(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                b = batch.slice(start, 1024)
+                x = _matrix(pa.chunked_array([b.column("unit")]))
+                p = _matrix(pa.chunked_array([b.column("pivots")])).reshape(len(x), -1, x.shape[1])
+                made = np.arccos(np.clip(np.einsum("rpd,rd->rp", p, x), -1, 1))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*group, key, "unit")), pa.array(list(made), pa.list_(pa.float64()))], [*group, key, "unit", "angles"])
+
+    kinds = dict(rows.dtypes)
+    # One length of vectors at a time in a batch.
+    dealt = large.join(pivots, group).repartition(*group, F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("dims")
+    made = dealt.mapInArrow(_by_dims(angles), ", ".join(f"{c} {kinds[c]}" for c in (*group, key, "unit")) + ", angles array<double>")
+    near = F.array_min("angles")
+    cell = (F.array_position("angles", near) * 64 + F.floor(near / STEP)).alias("cell")
+    placed = made.select("*", cell)
+    sizes = placed.groupBy(*group, "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    own = F.col("cell") * (1 << 32) + F.pmod(F.xxhash64(key), "parts")
+    return small.unionByName(placed.join(sizes, [*group, "cell"]).select(*group, key, "unit", own.alias("own"), "angles"))
+
+
+def _by_dims(run):
+    """``run`` over batches of rows with one value of dims each."""
+
+    def split(batches):
+        for batch in batches:
+            dims = batch.column("dims").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(dims)]
+            yield from run(batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+    return split
+
+
+def block_pairs(cells: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """group, low, high, near: the pairs of blocks of a group (``_cells``), and whether they may hold vectors at or over the threshold: by the triangle inequality they
+    can't where for any pivot the angles of one block end farther below those of the other begin than the threshold's angle."""
+    ends = [f(F.get("angles", F.lit(i))).alias(f"{n}{i}") for i in range(PIVOTS) for n, f in (("least", F.min), ("most", F.max))]
+    blocks = cells.groupBy(*group, "own").agg(*ends)
+    other = blocks.select(*(F.col(c).alias(f"_{c}") for c in blocks.columns))
+    met = blocks.join(other, [F.col(c) == F.col(f"_{c}") for c in group] + [F.col("own") <= F.col("_own")])
+    reach = float(np.arccos(threshold)) + 1e-6
+    apart = [(F.col(f"least{i}") - F.col(f"_most{i}") > reach) | (F.col(f"_least{i}") - F.col(f"most{i}") > reach) for i in range(PIVOTS)]
+    far = F.coalesce(reduce(lambda x, y: x | y, apart), F.lit(False))
+    return met.select(*group, F.col("own").alias("low"), F.col("_own").alias("high"), (~far).alias("near"))
+
+
 def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
     """user_id, a, b, similarity: the pairs of one user's distinct vectors (by their least keys, a below b) at or over the threshold.
-    ``classes`` has the items that share a vector."""
+    ``classes`` has the items that share a vector. Only blocks that may hold such pairs (``block_pairs``) meet."""
     reps = items.groupBy("user_id", "embedding").agg(F.min("key").alias("key"))
     group = ["dims", "user_id"]
-    blocked, blocks = _in_blocks(_unit(reps, "embedding"), group, "key", "own")
-    other = F.explode(F.sequence(F.lit(0), F.col("owns") - 1))
-    dealt = blocked.join(blocks, group).select(*group, "key", "unit", "own", other.alias("other"))
-    dealt = dealt.select(*group, "key", "unit", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    cells = checkpointed(_cells(_unit(reps, "embedding"), group, "key"))
+    pairs = block_pairs(cells, group, threshold).filter("near").drop("near")
+    ends = pairs.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("own"))
+    dealt = cells.drop("angles").join(ends, [*group, "own"])
 
     def close(t: pa.Table) -> pa.Table:
         own, low = t["own"].to_numpy(), t["low"][0].as_py()

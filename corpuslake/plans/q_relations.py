@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import policy, values
-from corpuslake.operators import evals, lookup, memory, quality, registry, segment
+from corpuslake.operators import evals, index, lookup, memory, quality, registry, segment
 from corpuslake.operators.vectors import similar_pairs
 from corpuslake.plans.registry import query
 from corpuslake.plans.views import Views
@@ -363,10 +363,12 @@ def _cos(a: str, b: str) -> str:
     return f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-@query("v1_cosine", f"SELECT query_id, key, round({_cos('embedding', 'query_vec')}, 6) AS similarity FROM v_memory, v_asked")
+@query("v1_cosine", f"SELECT a.key, b.key AS first_key, round({_cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM v_memory a JOIN v_memory b ON b.key = a.key - a.key % 20")
 def _(v: Views) -> DataFrame:
-    rows = v.memory.join(F.broadcast(v.asked_vectors.drop("user_id")))
-    return rows.select("query_id", "key", F.round(values.cosine(F.col("embedding"), F.col("query_vec")), 6).alias("similarity"))
+    """Every vector with the first one of its twenty."""
+    first = v.memory.select(F.col("key").alias("first_key"), F.col("embedding").alias("first"))
+    rows = v.memory.withColumn("first_key", F.col("key") - F.col("key") % 20).join(first, "first_key")
+    return rows.select("key", "first_key", F.round(values.cosine(F.col("embedding"), F.col("first")), 6).alias("similarity"))
 
 
 @query("k1_semantic_search", f"SELECT query_id, key AS vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM (SELECT query_id, key, {_cos('embedding', 'query_vec')} AS s FROM v_memory, v_asked)) WHERE rank <= 8")
@@ -376,29 +378,30 @@ def _(v: Views) -> DataFrame:
     return semantic_search(v.table("embeddings"), v.asked_vectors).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("v2_approx_neighbors")
+@query("v2_approx_neighbors", f"SELECT query_id, key AS vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM (SELECT query_id, key, {_cos('embedding', 'query_vec')} AS s FROM v_memory, v_asked)) WHERE rank <= 8")
 def _(v: Views) -> DataFrame:
-    return memory.approx_neighbors(v.table("embeddings"), v.asked_vectors, 8)
+    found = index.VectorIndex.fit(v.table("embeddings")).search(v.asked_vectors, 8)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-_SIMILAR = f"""SELECT a.user_id, a.key AS a, b.key AS b, {_cos('a.embedding', 'b.embedding')} AS s FROM (SELECT user_id, embedding, min(key) AS key FROM v_coarse GROUP BY ALL) a
-  JOIN (SELECT user_id, embedding, min(key) AS key FROM v_coarse GROUP BY ALL) b ON a.user_id = b.user_id AND a.key < b.key"""
+_SIMILAR = f"""SELECT a.user_id, a.key AS a, b.key AS b, {_cos('a.embedding', 'b.embedding')} AS s FROM (SELECT user_id, embedding, min(key) AS key FROM v_near GROUP BY ALL) a
+  JOIN (SELECT user_id, embedding, min(key) AS key FROM v_near GROUP BY ALL) b ON a.user_id = b.user_id AND a.key < b.key"""
 
 
 @query("j22_similar_pairs", f"SELECT user_id, a, b, round(s, 6) AS similarity FROM ({_SIMILAR}) WHERE s >= 0.88")
 def _(v: Views) -> DataFrame:
-    return similar_pairs(v.coarse_memory, memory.SIMILAR).withColumn("similarity", F.round("similarity", 6))
+    return similar_pairs(v.near_memory, memory.SIMILAR).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("j22_classes", "SELECT user_id, key, min(key) OVER (PARTITION BY user_id, embedding) AS rep FROM v_coarse")
+@query("j22_classes", "SELECT user_id, key, min(key) OVER (PARTITION BY user_id, embedding) AS rep FROM v_near")
 def _(v: Views) -> DataFrame:
-    return memory.classes(v.coarse_memory)
+    return memory.classes(v.near_memory)
 
 
-# Vectors whose first six signs are equal are similar, others aren't: so an item's seed is the least key with its signs.
-@query("j22_clusters", "SELECT user_id, key, min(key) OVER (PARTITION BY user_id, embedding[1:6]) AS seed FROM v_coarse")
+# Planted neighbours that are similar to their vector have it as their seed; all others are seeds.
+@query("j22_clusters", "SELECT user_id, key, seed FROM v_near")
 def _(v: Views) -> DataFrame:
-    return memory.clusters(v.coarse_memory)
+    return memory.clusters(v.near_memory)
 
 
 @query("k6_recall", f"""SELECT query_id, key, 0 AS part, rank FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, key) AS rank FROM v_memory JOIN v_asked USING (user_id) WHERE kind = 'profile') WHERE rank <= 5
@@ -413,9 +416,9 @@ _SCORE = "power(0.5::DOUBLE, greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - epo
 @query("k7_prune", f"""SELECT user_id, key, round(score, 6) AS score, CASE WHEN n <= 40 AND profiles <= 1 THEN 'kept' WHEN kind = 'profile' THEN CASE WHEN age = 1 THEN 'kept' ELSE 'merged' END WHEN best > 1 THEN 'duplicate'
   WHEN row_number() OVER (PARTITION BY user_id, kind, best = 1 ORDER BY score DESC, key) <= 30 THEN 'kept' ELSE 'evicted' END AS outcome
 FROM (SELECT *, {_SCORE} AS score, count(*) OVER (PARTITION BY user_id) AS n, count(*) FILTER (kind = 'profile') OVER (PARTITION BY user_id) AS profiles, row_number() OVER (PARTITION BY user_id, kind ORDER BY updated_at DESC, key) AS age,
-  row_number() OVER (PARTITION BY user_id, kind, embedding[1:6] ORDER BY recall_count DESC, updated_at DESC, key) AS best FROM v_coarse)""")
+  row_number() OVER (PARTITION BY user_id, kind, seed ORDER BY recall_count DESC, updated_at DESC, key) AS best FROM v_near)""")
 def _(v: Views) -> DataFrame:
-    return memory.prune(v.coarse_memory, F.lit("2024-02-01").cast("timestamp")).withColumn("score", F.round("score", 6))
+    return memory.prune(v.near_memory, F.lit("2024-02-01").cast("timestamp")).withColumn("score", F.round("score", 6))
 
 
 @query("a14_merge_profiles", """SELECT m.user_id, count(*) AS profiles, max_by(background, CASE WHEN background <> '' THEN key END) AS background, (SELECT string_agg(x, ',' ORDER BY k DESC) FROM (SELECT x, max(key) AS k FROM (SELECT user_id, key, 'a' || key % 4 AS x FROM v_memory) q WHERE q.user_id = m.user_id GROUP BY x)) AS areas

@@ -134,11 +134,13 @@ class Views:
         return self.table("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").cast("long").alias("user_id"))
 
     @cached_property
-    def coarse_memory(self) -> DataFrame:
-        """``memory`` with short vectors of signs, so that some items are alike: six of length 1 and one of 0.4."""
-        sign = lambda i: F.when(F.get("embedding", F.lit(i)) >= 0, 1.0).otherwise(-1.0)
-        return self.memory.withColumn("embedding", F.array(*(sign(i) for i in range(6)), sign(6) * 0.4))
-
+    def near_memory(self) -> DataFrame:
+        """``memory`` with planted neighbours, whole vectors that differ from the first in one component or not at all: at a cosine of about 0.96, 1 and 0.64."""
+        moved = lambda by: F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == 0, by).otherwise(0.0))
+        m = self.memory.withColumn("embedding", moved(0.0))
+        topics = m.filter("kind = 'topic'")
+        plants = [topics.filter(f"key % {every} = 0").withColumns({"key": F.col("key") + 1_000_000 * n, "embedding": moved(by)}) for n, every, by in ((1, 4, 0.3), (2, 5, 0.0), (3, 8, 1.2))]
+        return m.unionByName(plants[0]).unionByName(plants[1]).unionByName(plants[2])
 
     @cached_property
     def statutes(self) -> tuple[DataFrame, DataFrame]:
@@ -197,7 +199,11 @@ VIEWS_SQL |= {
     "v_words": "SELECT doc_id, t AS n, t // 300 + 1 AS page, 0 AS block, t // 10 AS line, raw, (t % 10) * 10.0::DOUBLE AS x0, (t // 10 % 30) * 20.0::DOUBLE AS y0, (t % 10) * 10.0::DOUBLE + 9 AS x1, (t // 10 % 30) * 20.0::DOUBLE + 12 AS y1 FROM (SELECT doc_id, unnest(tokens) AS raw, unnest(range(len(tokens))) AS t FROM v_doc_tokens)",
     "v_memory": "SELECT label::BIGINT AS user_id, vec_id AS key, embedding, CASE WHEN vec_id % 9 = 0 THEN 'profile' ELSE 'topic' END AS kind, make_timestamp(1704067200000000 + vec_id * 3600000000) AS updated_at, (vec_id % 6)::INT AS recall_count FROM embeddings",
     "v_asked": "SELECT vec_id AS query_id, embedding AS query_vec, label::BIGINT AS user_id FROM embeddings WHERE vec_id % 20 = 0",
-    "v_coarse": "SELECT * REPLACE (list_transform(range(1, 8), lambda i: CASE WHEN embedding[i] >= 0 THEN 1.0::DOUBLE ELSE -1.0 END * CASE WHEN i = 7 THEN 0.4 ELSE 1.0 END) AS embedding) FROM v_memory",
+    "v_doubles": "SELECT * REPLACE (embedding::DOUBLE[] AS embedding) FROM v_memory",
+    "v_near": """SELECT *, key AS seed FROM v_doubles
+  UNION ALL SELECT * REPLACE (key + 1000000 AS key, list_concat([embedding[1] + 0.3], embedding[2:]) AS embedding), key FROM v_doubles WHERE kind = 'topic' AND key % 4 = 0
+  UNION ALL SELECT * REPLACE (key + 2000000 AS key), key FROM v_doubles WHERE kind = 'topic' AND key % 5 = 0
+  UNION ALL SELECT * REPLACE (key + 3000000 AS key, list_concat([embedding[1] + 1.2], embedding[2:]) AS embedding), key + 3000000 FROM v_doubles WHERE kind = 'topic' AND key % 8 = 0""",
     "v_statute": r"""SELECT doc_id, 'main' AS part, i, i // 8 + 2 AS page_number, CASE i % 8 WHEN 0 THEN (i // 8 % 9 + 1) || '. ' || raw WHEN 1 THEN '(' || (i // 8 % 3 + 1) || ') ' || raw WHEN 2 THEN '(a) ' || raw WHEN 3 THEN '(i) ' || raw WHEN 4 THEN '(b) ' || raw WHEN 5 THEN raw || ' see section ' || (i // 8 % 11 + 1) || ' of this Act' WHEN 6 THEN 'PART ' || ['I', 'II', 'IV'][i // 8 % 3 + 1] ELSE raw END AS line
   FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, raw FROM (SELECT doc_id, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS raw FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)) WHERE raw <> '')""",
     "v_statute_lines": """SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, part ORDER BY i) - length(line) - 1 AS ofs, sum(length(line) + 1) OVER (PARTITION BY doc_id, part) - 1 AS size FROM (SELECT * FROM v_statute UNION ALL SELECT DISTINCT doc_id, 'main', unnest([-2, -1]), 1, unnest(['An Act', '1. Short title']) FROM v_statute

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.operators import memory, vectors
+from corpuslake.operators import index, memory, vectors
 
 NOW = datetime(2024, 2, 1)
 FIELDS = "user_id string, key string, kind string, embedding array<double>, updated_at timestamp, recall_count int"
@@ -95,6 +95,51 @@ def test_nearest_against_brute_force(spark, monkeypatch):
         for q in np.flatnonzero(ids % 20 == 0):
             near = [i for i in np.argsort(-(unit @ unit[q]), kind="stable") if not within or users[i] == users[q]][:8]
             assert [got[ids[q], n + 1] for n in range(8)] == [ids[i] for i in near]
-    found = {(r.query_id, r.vec_id) for r in memory.approx_neighbors(data, asked, 8).collect()}
-    exact = {(r.query_id, r.vec_id) for r in vectors.nearest(data, asked, 8).collect()}
-    assert len(found & exact) >= 0.9 * len(exact)
+    exact = {(r.query_id, r["rank"]): r.vec_id for r in vectors.nearest(data, asked, 8).collect()}
+    built = index.VectorIndex.fit(data)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in built.search(asked, 8).collect()} == exact
+
+
+def grouped(spark, n, groups, dims=16, spread=0.05, seed=1):
+    """vec_id, embedding about so many centres."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    made = centres[np.arange(n) % groups] + spread * rng.normal(size=(n, dims))
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(made)], "vec_id long, embedding array<double>")
+
+
+def test_index_visits_few_lists_of_clustered_vectors(spark, tmp_path):
+    data = grouped(spark, 3000, 40)
+    asked = data.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = {(r.query_id, r["rank"]): r.vec_id for r in vectors.nearest(data, asked, 8).collect()}
+    built = index.VectorIndex.fit(data, sample=1500)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in built.search(asked, 8).collect()} == exact
+    assert built.visited(asked, 8) < 0.1
+    few = {(r.query_id, r.vec_id) for r in built.search(asked, 8, most_lists=2).collect()}
+    assert len(few & {(q, v) for (q, _), v in exact.items()}) >= 0.9 * len(exact)
+    built.write(str(tmp_path / "index"))
+    again = index.VectorIndex.read(spark, str(tmp_path / "index"))
+    assert {(r.query_id, r["rank"]): r.vec_id for r in again.search(asked, 8).collect()} == exact
+
+
+def test_index_of_few_or_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 2.0])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [2.0, 0.1]), (8, [0.0, 0.0]), (9, None)], "query_id long, query_vec array<double>")
+    found = index.VectorIndex.fit(data).search(asked, 9).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(7, 1, 1), (7, 2, 4), (7, 3, 4), (7, 4, 5)]
+    assert index.VectorIndex.fit(data.limit(0)).search(asked, 3).collect() == []
+
+
+def test_similar_pairs_of_a_large_user_meet_in_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 60)
+    items = grouped(spark, 1200, 30).select(F.lit(1).alias("user_id"), F.col("vec_id").alias("key"), "embedding")
+    items = items.union(items.filter("key < 40").withColumn("user_id", F.lit(2)))
+    rows = items.collect()
+    unit = np.array([r.embedding for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {(rows[i].user_id, *sorted((rows[i].key, rows[j].key))) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.88, 1))) if rows[i].user_id == rows[j].user_id}
+    assert {(r.user_id, r.a, r.b) for r in vectors.similar_pairs(items, 0.88).collect()} == want
+    group = ["dims", "user_id"]
+    pairs = vectors.block_pairs(vectors._cells(vectors._unit(items, "embedding"), group, "key"), group, 0.88).agg(F.count_if("near"), F.count("*")).first()
+    assert pairs[0] < 0.6 * pairs[1]
