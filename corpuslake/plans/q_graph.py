@@ -9,7 +9,8 @@ from corpuslake.functions import udfs, values
 from corpuslake.operators import graph, phrases, quality, segment
 from corpuslake.plans.registry import VIEWS_SQL, query
 from corpuslake.plans.views import Views
-from corpuslake.sources import readers
+from corpuslake.sources import readers, writers
+from corpuslake.sources.scratch import checkpointed, fresh
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
@@ -373,3 +374,33 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     meta = v.table("orders").groupBy(F.col("o_custkey").cast("string").alias("act_number")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_orderkey") % 3).cast("string").alias("log_type")))).alias("t"))
     return readers.timeline(meta.select("act_number", F.transform("t", lambda x: F.struct(x["log_type"].alias("log_type"))).alias("timeline")))
+
+
+@query("io5_replaced_chunks", """SELECT extraction_id, section_number, mark, n AS version FROM (SELECT extraction_id, section_number, content_sha256 AS mark, 1 AS n FROM v_chunks WHERE extraction_id IS NOT NULL
+UNION ALL SELECT extraction_id, section_number, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE content_sha256 END, 2 FROM v_chunks WHERE extraction_id IS NOT NULL AND (doc_id % 3 <> 0 OR chunk_ordinal = 0))""")
+def _(v: Views) -> DataFrame:
+    """All extractions written, then a third of them replaced by their first chunk: both versions, as a reader of each sees them."""
+    path = fresh(v.spark, "chunks")
+    chunks = v.chunks.filter("extraction_id IS NOT NULL").select("extraction_id", "doc_id", "section_number", "chunk_ordinal", F.col("content_sha256").alias("mark"))
+    chunks = checkpointed(chunks)
+    again = chunks.filter("doc_id % 3 = 0 AND chunk_ordinal = 0").withColumn("mark", F.lit("new"))
+    runs = lambda df: df.groupBy("extraction_id").agg(F.count("*").alias("chunk_count"))
+    versions = [writers.write_chunks(df, runs(df), path) for df in (chunks, again)]
+    read = [writers.chunk_store(v.spark, path).read("chunks", version=n).select("extraction_id", "section_number", "mark", F.lit(n).alias("version")) for n in versions]
+    return read[0].unionByName(read[1])
+
+
+@query("io6_replaced_graphs", """SELECT document_id, part, n FROM (SELECT 'd' || doc_id AS document_id, 'edges' AS part, count(*) AS n FROM v_edges WHERE doc_id % 4 <> 0 GROUP BY doc_id
+UNION ALL SELECT document_id, 'provisions', count(*) FROM v_provisions WHERE doc_id % 4 <> 0 GROUP BY document_id UNION ALL SELECT document_id, 'provisions', 1 FROM v_provisions WHERE doc_id % 4 = 0 GROUP BY document_id
+UNION ALL SELECT 'd' || doc_id, 'unresolved', count(*) FROM v_edges WHERE doc_id % 2 = 1 GROUP BY doc_id)""")
+def _(v: Views) -> DataFrame:
+    """All graphs written, then those of a quarter of the documents replaced by one provision each: what all three tables hold then."""
+    path = fresh(v.spark, "graph")
+    edges = checkpointed(v.edges.select(F.concat(F.lit("d"), "doc_id").alias("document_id"), "doc_id", "edge_id", "target_provision_id"))
+    provisions = checkpointed(v.provisions.select("document_id", "doc_id", "provision_id"))
+    writers.write_graph(provisions, edges, edges.filter("doc_id % 2 = 1 OR doc_id % 8 = 4"), path)
+    one = provisions.filter("doc_id % 4 = 0").groupBy("document_id", "doc_id").agg(F.min("provision_id").alias("provision_id"))
+    writers.write_graph(one, edges.limit(0), edges.limit(0), path)
+    store = writers.graph_store(v.spark, path)
+    parts = [store.read(name).groupBy("document_id").agg(F.count("*").alias("n")).select("document_id", F.lit(name).alias("part"), "n") for name in writers.GRAPH_TABLES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

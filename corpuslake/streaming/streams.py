@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from corpuslake.sources.writers import write_chunks
+from corpuslake.sources.scratch import checkpointed
+from corpuslake.sources.writers import chunk_store
 
 
 SEEN = ["document_id", "source_url", "observed_at"]
@@ -72,23 +73,31 @@ def checked_bundles(bundles: DataFrame, stored: DataFrame) -> DataFrame:
     return met.withColumn("outcome", outcome).drop("several", "_mark")
 
 
-def stream_ingest(bundles: DataFrame, sink: str, rejected: str, checkpoint: str) -> StreamingQuery:
+#: What a stream of bundles keeps: the chunks, a mark of each extraction that is stored, and the bundles that were turned away.
+MARKS, REJECTED = "extraction_id string, mark string", "extraction_id string, document_id string, outcome string"
+
+
+def ingest(batch: DataFrame, number: int, path: str) -> None:
+    """Write the valid bundles of a batch as one version of ``chunk_store``: chunks, marks and rejected bundles together. A batch that comes again does nothing. Of
+    what is stored only the buckets that the batch's ids fall into are read."""
+    store = chunk_store(batch.sparkSession, path)
+    entry = store.entry()
+    keys = batch.select("extraction.extraction_id")
+    if "marks" in entry["tables"]:
+        stored = store.read("marks", store.buckets_of(keys), entry["version"])
+    else:
+        stored = batch.sparkSession.createDataFrame([], MARKS)
+    marked = checkpointed(checked_bundles(batch, stored))
+    fine = marked.filter("outcome = 'write'")
+    rows = fine.select(F.posexplode("chunks").alias("chunk_ordinal", "c")).select("chunk_ordinal", "c.*")
+    turned = marked.filter("outcome IN ('invalid', 'conflict')").select("extraction_id", "document_id", "outcome")
+    store.commit({"chunks": rows, "marks": fine.select("extraction_id", "mark"), "rejected": turned}, mark=("ingest", number))
+
+
+def stream_ingest(bundles: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write each valid bundle's chunks, once for each extraction id: what is stored is never replaced. Bundles that are wrong, or that clash with others of
     their id (``checked_bundles``), go to ``rejected`` and block no other."""
-    marks = f"{sink}-marks"
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], "extraction_id string, mark string, batch long").write.mode("append").partitionBy("batch").parquet(marks)
-        stored = spark.read.schema("extraction_id string, mark string, batch long").parquet(marks).filter(F.col("batch") != number)
-        marked = checked_bundles(batch, stored)
-        fine = marked.filter("outcome = 'write'")
-        rows = fine.select(F.posexplode("chunks").alias("chunk_ordinal", "c")).select("chunk_ordinal", "c.*")
-        write_chunks(rows, fine, sink)
-        _append(fine.select("extraction_id", "mark"), marks, number)
-        _append(marked.filter("outcome IN ('invalid', 'conflict')").select("extraction_id", "document_id", "outcome"), rejected, number)
-
-    return bundles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return bundles.writeStream.foreachBatch(lambda batch, number: ingest(batch, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Activation(StatefulProcessor):

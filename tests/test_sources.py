@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.sources import readers, schemas, writers
+from corpuslake.sources import commits, readers, schemas, writers
 from corpuslake.streaming import streams
 
 
@@ -44,10 +44,11 @@ def test_chunks_are_replaced_whole_or_not_at_all(spark, tmp_path):
     first = spark.createDataFrame([chunk("x", 0), chunk("x", 1), chunk("y", 0)], schema)
     writers.write_chunks(first, runs, path)
     writers.write_chunks(spark.createDataFrame([chunk("x", 0, "new"), chunk("x", 1, "new")], schema), runs, path)
-    assert sorted((r.extraction_id, r.content) for r in spark.read.parquet(path).collect()) == [("x", "new"), ("x", "new"), ("y", "c")]
+    read = lambda: writers.chunk_store(spark, path).read("chunks")
+    assert sorted((r.extraction_id, r.content) for r in read().collect()) == [("x", "new"), ("x", "new"), ("y", "c")]
     with pytest.raises(writers.CountMismatch):
         writers.write_chunks(spark.createDataFrame([chunk("x", 0)], schema), runs, path)
-    assert spark.read.parquet(path).count() == 3
+    assert read().count() == 3
 
 
 def test_graph_tables_are_verified(spark, tmp_path):
@@ -62,6 +63,49 @@ def test_graph_tables_are_verified(spark, tmp_path):
     assert got == {("d", "edges"): (2, 2), ("d", "unresolved"): (2, 1)}  # as many edges, but another one
 
 
+def test_readers_see_whole_versions(spark, tmp_path, monkeypatch):
+    rows = lambda *names: spark.createDataFrame([(n, n * 2) for n in names], "id string, text string")
+    content = lambda df: sorted((r.id, r.text) for r in df.collect())
+    store = commits.Store(spark, str(tmp_path / "kept"), "id", buckets=4)
+    with pytest.raises(KeyError):
+        store.read("a")
+    assert store.commit({"a": rows("k", "l", "m"), "b": rows("k")}) == 1
+    before = store.read("a")
+    assert store.commit({"a": rows("l")}, rows("k", "l")) == 2  # k goes from both tables
+    assert content(before) == [("k", "kk"), ("l", "ll"), ("m", "mm")]  # a reader of the first version keeps seeing it
+    assert (content(store.read("a")), content(store.read("b"))) == ([("l", "ll"), ("m", "mm")], [])
+    assert content(store.read("b", version=1)) == [("k", "kk")]
+
+    def dies(*_):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(commits.Store, "_publish", dies)
+        with pytest.raises(OSError):
+            store.commit({"a": rows("z"), "b": rows("z")}, rows("l", "m"))
+    assert (store.version(), content(store.read("a"))) == (2, [("l", "ll"), ("m", "mm")])
+
+    # A writer that comes late finds its number taken.
+    late = store.entry()
+    store.commit({"b": rows("n")})
+    with pytest.raises(commits.CommitConflict):
+        store._publish(3, late)
+    assert content(store.read("b")) == [("n", "nn")]
+    assert store.commit({"b": rows("o")}, mark=("w", 5)) == 4 and store.commit({"b": rows("o")}, mark=("w", 5)) == 4
+    assert content(store.read("b")) == [("n", "nn"), ("o", "oo")]
+    assert store.vacuum(keep=1) >= 1
+    assert (content(store.read("a")), content(store.read("b"))) == ([("l", "ll"), ("m", "mm")], [("n", "nn"), ("o", "oo")])
+
+
+def test_full_buckets_are_written_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "MOST_FOLDERS", 3)
+    store = commits.Store(spark, str(tmp_path / "kept"), "id", buckets=2)
+    for i in range(8):
+        store.commit({"a": spark.createDataFrame([(i,)], "id long").repartition(1)})
+    assert max(map(len, store.entry()["tables"]["a"]["folders"].values())) <= 3
+    assert sorted(r.id for r in store.read("a").collect()) == list(range(8))
+
+
 def test_reports_are_written_in_order(spark, tmp_path):
     path = str(tmp_path / "report")
     writers.write_report(spark.createDataFrame([("b", 1), ("a", 2)], "code string, n int"), path, ["code"])
@@ -81,7 +125,7 @@ def test_observations_are_taken_in_once(spark, tmp_path):
 
 
 def test_bad_bundles_block_no_other(spark, tmp_path):
-    source, sink, bad, mark = (str(tmp_path / n) for n in ("in", "out", "bad", "mark"))
+    source, sink, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     import hashlib
 
     def bundle(run, count, text, said=None):
@@ -92,15 +136,16 @@ def test_bad_bundles_block_no_other(spark, tmp_path):
     (tmp_path / "in/b.json").write_text("\n".join([bundle("x", 1, "fine"), bundle("y", 2, "fine"), bundle("z", 1, "changed", "fine"), bundle("v", 1, "one"), bundle("v", 1, "other")]))
     stream = lambda: spark.readStream.schema(schemas.BUNDLE).json(source)
     for _ in range(2):
-        streams.stream_ingest(stream(), sink, bad, mark).awaitTermination()
-    assert [(r.extraction_id, r.content) for r in spark.read.parquet(sink).collect()] == [("x", "fine")]
-    assert sorted((r.extraction_id, r.outcome) for r in spark.read.parquet(bad).collect()) == [("v", "conflict"), ("v", "conflict"), ("y", "invalid"), ("z", "invalid")]
+        streams.stream_ingest(stream(), sink, mark).awaitTermination()
+    read = lambda name: writers.chunk_store(spark, sink).read(name)
+    assert [(r.extraction_id, r.content) for r in read("chunks").collect()] == [("x", "fine")]
+    assert sorted((r.extraction_id, r.outcome) for r in read("rejected").collect()) == [("v", "conflict"), ("v", "conflict"), ("y", "invalid"), ("z", "invalid")]
     (tmp_path / "in/c.json").write_text("\n".join([bundle("x", 1, "new"), bundle("w", 1, "more")]))
-    streams.stream_ingest(stream(), sink, bad, mark).awaitTermination()
+    streams.stream_ingest(stream(), sink, mark).awaitTermination()
     (tmp_path / "in/d.json").write_text(bundle("x", 1, "fine"))
-    streams.stream_ingest(stream(), sink, bad, mark).awaitTermination()
-    assert sorted((r.extraction_id, r.content) for r in spark.read.parquet(sink).collect()) == [("w", "more"), ("x", "fine")]  # what is stored stays
-    assert spark.read.parquet(bad).filter("extraction_id = 'x'").count() == 1
+    streams.stream_ingest(stream(), sink, mark).awaitTermination()
+    assert sorted((r.extraction_id, r.content) for r in read("chunks").collect()) == [("w", "more"), ("x", "fine")]  # what is stored stays
+    assert read("rejected").filter("extraction_id = 'x'").count() == 1
 
 
 def run_stream(spark, df, tmp_path, name, mode):
