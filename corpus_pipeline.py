@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import langid, mixing, packing, simhash, substring
-from corpuslake.llm.common import staged, table
+from corpuslake.llm.common import fresh, remove, table
 from corpuslake.llm.queries import ranks_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language's centroids are near to go; a missing lang is filled in."""
+    """Documents that no language's centroids are near to go, and with them null texts and those without a letter; a missing lang is filled in. Where no
+    document has a lang there is nothing to learn from, and all stay. Repeated rows are judged alike; an empty table stays empty."""
     return langid.accepted(docs)
 
 
@@ -33,11 +34,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weights of their sources ask for."""
+    """Documents as often as the weights of their sources ask for; a null source is one of the sources. Texts without words are never taken, repeated rows
+    are taken each on its own, and an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, end to end, cut into windows of 1024 tokens; a null text is the end mark alone, repeated rows are packed each, an empty table gives no pieces."""
     return packing.pack(docs, ranks_path())
 
 
@@ -54,7 +57,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of training sequences. What a stage has read goes as soon as its own rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        path = fresh(spark, name)
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.sources.scratch import checkpointed, fresh, remove, shared_dir
+
+__all__ = ["ascii_lower", "checkpointed", "fresh", "likely_in", "remove", "row_key", "shared_dir", "slices", "staged", "table", "words"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,51 +30,14 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local one serves a
-    session on one machine, and a cluster's session is refused."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    master = spark.conf.get("spark.master", "")
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return os.path.join(tempfile.gettempdir(), f"corpuslake-{os.getuid()}")
-
-
-_made: list[str] = []
-
-
-def _remove(spark: SparkSession) -> None:
-    """Remove what this driver has staged."""
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-    if jvm is None or context is None:  # the session has been stopped
-        return
-    for path in _made:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, an executor's
     loss costs nothing that is already written, and values drawn from task numbers become fixed. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove, spark)
-    _made.append(path)
+    path = fresh(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` for narrow tables; its files go when the table is no longer used."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 #: Bits of the filter of ``likely_in``, in maps of 4 KB: 4 MB in all, however many keys there are.
 FILTER_BITS, MAP_BITS = 1 << 25, 1 << 15
 

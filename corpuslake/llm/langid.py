@@ -185,9 +185,11 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``docs`` without the rejected rows; a null lang becomes the predicted one. Rows pass as Arrow columns, and
+    """``docs`` without the rejected rows; a null lang becomes the predicted one. Where no row has a lang to learn from all stay. Rows pass as Arrow columns, and
     only a few texts at a time are Python objects."""
     model = fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out()), per_language)
+    if model is None:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -30,8 +30,8 @@ SEED = 42
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 16
 #: For copies with edits: a text's bands, and the least hashes in a band's key. Two texts at a similarity of 0.8 share no key
-#: with probability (1 - 0.8^4)^39, one in a thousand million.
-BANDS, ROWS = 39, 4
+#: with probability (1 - 0.8^5)^31, five in a million; at 0.85 it is four in a thousand million.
+BANDS, ROWS = 31, 5
 #: Texts, and shingles of theirs, that a task compares with each other at a time.
 BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 4_000_000
 _MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,9 +166,9 @@ def _rare_first(sets: DataFrame) -> DataFrame:
     Two sets at a similarity of 0.8 or more share a hash there, for either has at least 0.8 n hashes of the other's; and where the
     first that they share stands at q, no more than n - q are shared. A line that a great many texts share comes last in
     each, and so brings none of them together."""
-    tokens = sets.select("rk", "n", F.explode("shingles").alias("h"))
+    tokens = sets.select("rk", F.explode("shingles").alias("h"))
     counts = tokens.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = tokens.join(counts, "h").groupBy("rk", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("shared"))
+    shared = tokens.join(counts, "h").groupBy("rk").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("shared")).join(sets.select("rk", "n"), "rk")
     alone = F.col("n") - F.size("shared")
     room = F.greatest(F.lit(0), F.floor(F.col("n") / 5) + 1 - alone).cast("int")
     first = shared.select("rk", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "token"))
