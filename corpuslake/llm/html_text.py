@@ -1,12 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks of text, each at the end of a tag path (the block-level elements from the root to it; inline ones, as b or
-span, are no steps). For every path, text length, punctuation and the share of text in links are aggregated over its blocks; both ratios are
-smoothed along the page's paths and fused, and the paths above the threshold are selected. Blocks on other paths, such as headings, list
-items and short lines, are rescued by the selected ones about them: those in the same container, but for lists of links.
+span, are no steps). For every path, text length, punctuation, the share of text in links, and the shares of the page's text that the path and its
+largest container have are aggregated over its blocks; length and punctuation are smoothed along the page's paths, all are fused, and the paths above the threshold are
+selected. Between selected blocks of a container the others stay too, but for lists of links; after the last one lists, tables and quotations do, and what has ratios not far
+below; headings just before the first one belong to it.
 
 The kinds of element that the result leaves out (menus, headers and footers of the site, sidebars, forms, scripts) are no candidates. Names in class
-and id only lower a path's score: a part named as an advert goes beside an article, and stays where the page has no other text.
+and id, and a place outside article and main, lower a path's score by a quarter: they decide where ratios are near each other, and on very short pages.
 
 Defined results: a null or empty html, or one without text, gives an empty string; cut pages are read as far as they go; repeated
 rows are alike; a null page_id or url is kept; an empty table gives no rows; extra columns are ignored. No text is dropped
@@ -18,7 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from math import log2
+from math import log2, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,8 +62,15 @@ LOW_NAME = re.compile(
 WHOLE = frozenset("html body main article".split())
 #: A block's length and marks count up to these in a path's ratio: beyond them text is long enough to be content.
 FULL_LENGTH, FULL_MARKS = 511, 15
-#: Share of the page's mean score that selects a path; factors of paths in elements with a LOW_NAME, and outside article and main where there is one.
-THRESHOLD, LOW, OUTSIDE = 0.4, 0.01, 0.1
+#: Shares of the page's mean score that select a path, and that keep a block beside selected ones.
+THRESHOLD, BESIDE = 0.5, 0.3
+#: Factors of paths in elements with a LOW_NAME, and outside article and main where there is one. Ratios outweigh them, but on pages of few characters,
+#: where ratios say little: SHORT characters square the factors.
+LOW, OUTSIDE, SHORT = 0.75, 0.75, 300
+#: Elements that belong to the text that they follow.
+PARTS = frozenset("ul ol dl table blockquote pre figure".split())
+#: A container with this share of a page's text is about all of it.
+ALL = 0.98
 #: A block with this share of its text in links isn't rescued.
 LINKS = 0.5
 
@@ -230,15 +238,35 @@ def _smooth(x: list[float]) -> list[float]:
     return [(a + 6 * b + c) / 8 for a, b, c in zip(padded, x, padded[2:])]
 
 
+def _shares(page: Page, whole: dict[int, int]) -> dict[int, float]:
+    """Of each path with text the share of the page's text that its largest container has: the path itself, or one that it begins with and
+    that isn't about all of the page."""
+    total, up, under = sum(whole.values()), {n: key[0] for key, n in page.paths.items()}, {}
+    for p, n in whole.items():
+        while p:
+            under[p] = under.get(p, 0) + n
+            p = up[p]
+    found = {}
+    for p in whole:
+        most, at = under.get(p, total), up.get(p, 0)
+        while at:
+            if under[at] < ALL * total:
+                most = max(most, under[at])
+            at = up[at]
+        found[p] = most / max(total, 1)
+    return found
+
+
 def scores(page: Page) -> dict[int, float]:
     """The fused, smoothed ratio of each path that has text, in page order."""
-    count, length, marks, links, seen = {}, {}, {}, {}, {}
+    count, length, marks, links, whole, seen = {}, {}, {}, {}, {}, {}
     for el, texts, size, linked in page.blocks:
         if size:
             p = el.path
             text = "".join(texts).strip()
             seen.setdefault(p, el)
             count[p] = count.get(p, 0) + 1
+            whole[p] = whole.get(p, 0) + len(text)
             length[p] = length.get(p, 0) + min(len(text), FULL_LENGTH)
             marks[p] = marks.get(p, 0) + min(len(_MARKS.findall(text)), FULL_MARKS)
             links[p] = links.get(p, 0) + min(1.0, linked / size)
@@ -246,20 +274,23 @@ def scores(page: Page) -> dict[int, float]:
         return {}
     chars = _smooth([log2(1 + length[p] / n) for p, n in count.items()])
     points = _smooth([log2(1 + marks[p] / n) for p, n in count.items()])
+    shares, total = _shares(page, whole), max(sum(whole.values()), 1)
     articles = any(el.article for el in seen.values())
+    trust = 1 + (SHORT / total) ** 2
     found = {}
     for p, c, m in zip(count, chars, points):
         prior = (LOW if seen[p].low else 1.0) * (OUTSIDE if articles and not seen[p].article else 1.0)
-        found[p] = c * (1 + m) * (1 - links[p] / count[p]) * prior
+        found[p] = c * (1 + m) * (1 - links[p] / count[p]) * sqrt(whole[p] / total) * shares[p] ** 2 * prior**trust
     return found
 
 
-def _selected(page: Page) -> list[bool]:
-    """Whether each block is on a path above the threshold: a share of the mean score of the page's text."""
+def _selected(page: Page) -> tuple[list[bool], list[bool]]:
+    """Whether each block is on a path above the threshold, a share of the mean score of the page's text; and whether it is on one above the lower one."""
     found = scores(page)
     total = sum(size for _, _, size, _ in page.blocks)
     mean = sum(found[el.path] * size for el, _, size, _ in page.blocks if size) / max(total, 1)
-    return [bool(size) and found[el.path] > 0 and found[el.path] >= THRESHOLD * mean for el, _, size, _ in page.blocks]
+    above = lambda share: [bool(size) and found[el.path] > 0 and found[el.path] >= share * mean for el, _, size, _ in page.blocks]
+    return above(THRESHOLD), above(BESIDE)
 
 
 def _container(page: Page, chosen: list[bool]) -> tuple[Element, list[int]]:
@@ -294,25 +325,43 @@ def _container(page: Page, chosen: list[bool]) -> tuple[Element, list[int]]:
     return held, last
 
 
+def _within(el: Element, held: Element) -> bool:
+    """Whether a list, table, quotation or figure of the container holds the element."""
+    while el is not held and el is not None:
+        if el.tag in PARTS:
+            return True
+        el = el.up
+    return False
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    chosen = _selected(page)
+    chosen, near = _selected(page)
     if not any(chosen):
         return ""
     held, last = _container(page, chosen)
-    first = chosen.index(True)
-    title = True  # the headings just before the first selected block
-    for i in range(len(page.blocks) - 1, -1, -1):
+    first, end = chosen.index(True), len(chosen) - chosen[::-1].index(True)
+    picked = list(chosen)
+    beside = lambda i, el: el.low <= held.low and held.number <= el.number <= last[held.number] and (near[i] or _within(el, held))
+    title = on = True  # the headings just before the first selected block, and what has ratios not far below its own
+    for i in range(first - 1, -1, -1):
+        el, _, size, linked = page.blocks[i]
+        if size:
+            on = on and linked < LINKS * size and beside(i, el)
+            picked[i] = on or el.low <= held.low and el.tag in HEADINGS and (title or el.tag == "h1")
+            title &= picked[i]
+    for i in range(first + 1, len(chosen)):
         el, _, size, linked = page.blocks[i]
-        if size and not chosen[i]:
-            within = held.number <= el.number <= last[held.number]
-            heading = el.tag in HEADINGS
+        if size and not chosen[i] and held.number <= el.number <= last[held.number]:
+            # Between selected blocks, or on from the last of them: lists, tables and quotations, and others whose ratios are not far below.
+            heading = el.tag in HEADINGS and i < end
             plain = el.low <= held.low and (heading or linked < LINKS * size)
-            chosen[i] = plain and (within or i < first and heading and (title or el.tag == "h1"))
-        title &= i >= first or chosen[i] or not size
-    lines = (" ".join("".join(texts).split()) for (_, texts, _, _), yes in zip(page.blocks, chosen) if yes)
+            picked[i] = plain and (i < end or picked[i - 1] and beside(i, el))
+        elif not size:
+            picked[i] = picked[i - 1]
+    lines = (" ".join("".join(texts).split()) for (_, texts, _, _), yes in zip(page.blocks, picked) if yes)
     return "\n".join(x for x in lines if x)
 
 

@@ -1,5 +1,6 @@
 """Tag-path ratios against a plain version over html.parser, and pages that once broke the extractor."""
 
+import html
 import math
 import re
 import time
@@ -61,11 +62,16 @@ def plain_scores(page):
     article = any({"article", "main"} & set(p) for p in by)
     rows = [(p, *(sum(x) / len(v) for x in zip(*v))) for p, v in by.items()]
     c, m = [math.log2(1 + r[1]) for r in rows], [math.log2(1 + r[2]) for r in rows]
+    total = sum(len(t.strip()) for _, t, _ in blocks)
+    share = lambda p: sum(len(t.strip()) for q, t, _ in blocks if q[: len(p)] == p) / total
+    trust = 1 + (300 / total) ** 2
     near = lambda x, i: (x[max(i - 1, 0)] + 6 * x[i] + x[min(i + 1, len(x) - 1)]) / 8
     made = []
     for i, (p, _, _, link) in enumerate(rows):
-        prior = (0.01 if any(t.endswith("!") for t in p) else 1) * (0.1 if article and not {"article", "main"} & set(p) else 1)
-        made.append(near(c, i) * (1 + near(m, i)) * (1 - link) * prior)
+        prior = (0.75 if any(t.endswith("!") for t in p) else 1) * (0.75 if article and not {"article", "main"} & set(p) else 1)
+        own = sum(len(t.strip()) for q, t, _ in blocks if q == p) / total
+        held = max([share(p), *(share(p[:k]) for k in range(1, len(p)) if share(p[:k]) < 0.98)])
+        made.append(near(c, i) * (1 + near(m, i)) * (1 - link) * own**0.5 * held**2 * prior**trust)
     return made
 
 
@@ -77,11 +83,39 @@ def test_scores_against_plain_version(spark):
         assert got == pytest.approx(plain_scores(page), rel=0.05)
 
 
-def test_scores_decide(spark, monkeypatch):
-    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+def articles(page):
+    """The text of a page's article, by regular expressions that fit the pages of the test tables."""
+    inner = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", page, re.S)[1]
+    parts = (html.unescape(re.sub(r"<[^>]+>", lambda m: " " if m[0].startswith("<br") else "", x)) for x in re.split(r"</?(?:p|h1)>", inner))
+    return "\n".join(x for x in (" ".join(p.split()) for p in parts) if x)
+
+
+def right(pages, want, change=lambda p: p):
+    return sum(html_text.main_text(change(p)) == t for p, t in zip(pages, want)) / len(pages)
+
+
+def test_ratios_decide(spark, monkeypatch):
+    """Without names, or without article elements, pages keep their match; without ratios, priors left in place, most change and few fit."""
+    pages = [r.html for r in spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/pages.parquet").collect()]
+    want = [articles(p) for p in pages]
+    unnamed = lambda p: re.sub(r' class="[^"]*"', "", p)
+    flat = lambda p: re.sub(r"(</?)article>", r"\1div>", p)
+    assert right(pages, want) >= 0.995
+    assert right(pages, want, unnamed) >= 0.98 and right(pages, want, flat) >= 0.98
+    assert right(pages, want, lambda p: flat(unnamed(p))) >= 0.88
     usual = [html_text.main_text(p) for p in pages]
-    monkeypatch.setattr(html_text, "scores", lambda page: {el.path: 1.0 for el, _, size, _ in page.blocks if size})
-    assert sum(html_text.main_text(p) != t for p, t in zip(pages, usual)) > 0.9 * len(pages)
+
+    def priors(page):
+        seen = {}
+        for el, _, size, _ in page.blocks:
+            if size:
+                seen.setdefault(el.path, el)
+        inside = any(el.article for el in seen.values())
+        return {p: (html_text.LOW if el.low else 1.0) * (html_text.OUTSIDE if inside and not el.article else 1.0) for p, el in seen.items()}
+
+    monkeypatch.setattr(html_text, "scores", priors)
+    assert sum(html_text.main_text(p) != t for p, t in zip(pages, usual)) > 0.85 * len(pages)
+    assert right(pages, want) < 0.15
 
 
 @pytest.mark.parametrize("name", ["zq-7", "links-of-some-kind", "c1 c2", ""])
@@ -114,3 +148,11 @@ def test_broken_pages_take_time_and_memory_by_their_length(page):
 def test_a_megabyte_of_text_is_kept_whole():
     text = (TEXT * 30_000).strip()
     assert html_text.main_text(f"<article><h2>T</h2><p>{text}</p></article>") == "T\n" + text
+
+
+def test_what_follows_an_article_is_judged_by_its_ratios():
+    """In a nameless element of the article, as of readers' comments."""
+    for tail in ("<div>Anna wrote: I do not agree</div>", "<div><p>Anna wrote:</p><p>No.</p></div>"):
+        assert html_text.main_text(f"<body><article><h1>T</h1><p>{TEXT * 5}</p><p>{TEXT * 9}</p>{tail}</article></body>") == f"T\n{(TEXT * 5).strip()}\n{(TEXT * 9).strip()}"
+    for tag in ("blockquote", "pre", "ul"):
+        assert html_text.main_text(f"<body><article><p>{TEXT * 9}</p><{tag}>A few words</{tag}></article></body>").endswith("\nA few words")
