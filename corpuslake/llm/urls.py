@@ -26,8 +26,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 MOST_RULES = 1000
 #: A suffix has two labels where a country's is divided by kind, as co.uk and com.au are; any other is the last label.
 WIDE_SUFFIX = "^(ac|co|com|edu|gen|go|gob|gov|gouv|ltd|mil|ne|net|nom|or|org|plc|sch)[.][a-z][a-z]$"
-#: A host with more than one page in so many is looked up in a broadcast table, which has no more rows than this.
-HOT_HOSTS = 1000
+#: A name that more than one row in so many has is looked up in a broadcast table, which has no more rows than this.
+HOT_NAMES = 1000
 #: Bounds of the fitted prior strengths, in pages.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
@@ -70,6 +70,15 @@ def _strength(level: DataFrame) -> float:
     return level.filter("n > 1").agg((1 / bounded - 1).alias("m")).first().m
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``table`` on ``key`` (a row for each name there): names with a large share of all rows without a shuffle of these, others by one."""
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") * HOT_NAMES > total).select(key, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(F.broadcast(hot).join(table, key, "left")), key, "left")
+    rest = marked.filter("_hot IS NULL").select(*rows.columns).join(table, key, "left")
+    return marked.filter("_hot").drop("_hot").unionByName(rest)
+
+
 def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     """level (host, domain, suffix, all), name, n, bad, rate, lower, from host and bad (0 or 1) of labelled pages.
 
@@ -96,8 +105,8 @@ def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     top = one.first()
     above = lambda df, key: df.select(key, F.col("rate").alias("parent"), F.col("var").alias("parent_var"))
     suffix = shrunk(suffixes.withColumns({"parent": F.lit(top.rate), "parent_var": F.lit(top["var"])}))
-    domain = shrunk(domains.join(above(suffix, "suffix"), "suffix"))
-    host = shrunk(hosts.join(above(domain, "domain"), "domain"))
+    domain = shrunk(_looked_up(domains, above(suffix, "suffix"), "suffix"))
+    host = shrunk(_looked_up(hosts, above(domain, "domain"), "domain"))
     out = lambda level, df, name: df.select(F.lit(level).alias("level"), name.alias("name"), "n", "bad", "rate", "lower")
     return out("host", host, F.col("host")).union(out("domain", domain, F.col("domain"))).union(out("suffix", suffix, F.col("suffix"))).union(out("all", one, F.lit("")))
 
@@ -107,15 +116,17 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = labels.filter("bad IN (0, 1) AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("of")).agg(F.max("bad").alias("bad"))
     rated = reputation(parsed.join(known, F.col("page_id") == F.col("of")).select("host", "bad"), z)
-    # A row for each host first, so that a host's pages look up one row; hosts with a large share of all pages are looked up without a shuffle.
+    # A row for each host first: the pages of a host, of a domain or of a suffix look up one row, and the whole is a constant.
     counted = checkpointed(parsed.groupBy("host").agg(F.count("*").alias("pages")))
-    names = (("host", F.col("host")), ("domain", domain_of(F.col("host"))), ("suffix", suffix_of(F.col("host"))), ("all", F.lit("")))
-    look = F.explode(F.array(*(F.struct(F.lit(i).alias("near"), F.lit(level).alias("level"), name.alias("name")) for i, (level, name) in enumerate(names))))
-    asked = counted.select("host", "pages", look.alias("look")).select("host", "pages", "look.*")
-    near = asked.join(rated.select("level", "name", "rate", "lower"), ["level", "name"])
-    best = checkpointed(near.groupBy(F.col("host").alias("at")).agg(F.max("pages").alias("pages"), F.min_by("rate", "near").alias("bad_rate"), F.min_by("lower", "near").alias("bad_lower")))
+    asked = counted.select("host", "pages", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    for level in ("host", "domain", "suffix"):
+        of = rated.filter(F.col("level") == level).select(F.col("name").alias(level), F.col("rate").alias(f"{level}_rate"), F.col("lower").alias(f"{level}_lower"))
+        asked = _looked_up(asked, of, level) if level != "host" else asked.join(of, level, "left")
+    whole = rated.filter("level = 'all'").first()
+    of = lambda c: F.coalesce(*(f"{level}_{c}" for level in ("host", "domain", "suffix")), F.lit(whole[c])).alias(f"bad_{c}")
+    best = checkpointed(asked.select(F.col("host").alias("at"), "pages", of("rate"), of("lower")))
     total = counted.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    often = F.col("pages") * HOT_HOSTS > total
+    often = F.col("pages") * HOT_NAMES > total
     marked = parsed.join(F.broadcast(best.filter(often).drop("pages")), F.col("host") == F.col("at"), "left")
     rest = marked.filter("at IS NULL").drop("at", "bad_rate", "bad_lower").join(best.filter(~often).drop("pages"), F.col("host") == F.col("at"), "left")
     met = marked.filter("at IS NOT NULL").unionByName(rest).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
