@@ -204,3 +204,49 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == odd.count()
     assert licenses.scan(empty).count() == 0
     assert isinstance(licenses.scan(empty).toPandas(), pd.DataFrame)
+
+
+def test_hot_names_are_looked_up_alike(spark, monkeypatch):
+    """Most hosts in one suffix and one domain, with and without broadcast look-ups."""
+    rows = [(i, f"http://h{i % 50}.big.com/{i}" if i % 5 else f"http://s{i}.example.{'org' if i % 2 else 'xyz'}/") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(0, 300, 2)], "page_id long, bad int")
+    got = {}
+    for share in (1, 1000, 3):
+        monkeypatch.setattr(urls, "HOT_NAMES", share)
+        got[share] = sorted(map(tuple, urls.judge(pages, labels).collect()))
+    assert got[1] == got[1000] == got[3]
+    assert len(got[1]) == 300
+
+
+def plain_buckets(text):
+    """The bucket of every 1- to 3-gram of the text's letters, with anything else as one space."""
+    x, full = [32], (1 << 32) - 1
+    for c in map(ord, (text or "").lower() + " "):
+        c = c if chr(c).isalpha() else 32
+        if c != 32 or x[-1] != 32:
+            x.append(c)
+    x = x if x[-1] == 32 else [*x, 32]
+    for i in range(len(x)):
+        g = x[i] * 0x9E3779B1 & full
+        for n in (1, 2, 3):
+            if n > 1 and i + n <= len(x):
+                g = (g * (3 + n if n == 2 else 7) + x[i + n - 1] * (0x85EBCA77, 0xC2B2AE3D)[n - 2] + n - 1) & full
+            if i + n <= len(x):
+                yield (((g ^ g >> 15) * 0x2C1B3C6D) & full) >> 20
+
+
+def test_predictions_against_dense_vectors(spark):
+    """The nearest centroid of every text by grams counted one by one, with all centroids."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 60")
+    model = langid.fit(docs)
+    for r in langid.predict(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        dense = np.zeros(len(model.idf))
+        for bucket in plain_buckets(r.text):
+            dense[bucket] += 1
+        dense = np.log1p(dense) * model.idf
+        dense /= np.linalg.norm(dense) or 1
+        likeness = [float((dense * c).sum()) for c in model.centroids]
+        best = int(np.argmax(likeness))
+        assert r.lang_pred == (model.languages[best] if any(c.isalpha() for c in r.text or "") else langid.NONE)
+        assert r.score == pytest.approx(max(0.0, min(1.0, likeness[best])), abs=1e-4)
