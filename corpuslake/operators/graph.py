@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions.keys import candidate_id, edge_id, expand_range, in_scope, path_act, path_depth, path_section
@@ -177,18 +177,72 @@ def _section_spans(joined: DataFrame, key: str) -> DataFrame:
     return found.select(key, "part", F.col("first").alias("start"), F.coalesce(following, F.col("size")).alias("end"))
 
 
+def _apart(df: DataFrame, by: list[str], odd: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the groups that are not in ``odd``, rows of those that are)."""
+    return df.join(odd, by, "left_anti"), df.join(odd, by, "left_semi")
+
+
 def pages_for_spans(spans: DataFrame, pages: DataFrame, key: str = "document_id") -> DataFrame:
-    """``spans`` (key, span_id, start, end) with page_start and page_end: pages that a span overlaps, a page's end included. The join has the document as
-    its equi-key; overlap is a filter on it."""
-    met = spans.join(pages.select(key, "page_number", "page_offset", "page_length"), key).filter("page_offset < end AND page_offset + page_length >= start")
-    return met.groupBy(key, "span_id").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
+    """``spans`` (key, span_id, start, end) with page_start and page_end: pages that a span overlaps, a page's end included.
+
+    Spans and pages of a document go by in one order: the last page that begins before a span's end, and the first one that ends at its start or later, are its pages, for
+    page numbers rise with their offsets. Documents where they don't are joined page by page."""
+    known = pages.select(key, "page_number", "page_offset", (F.col("page_offset") + F.col("page_length")).alias("page_until")).dropna()
+    asked = spans.select(key, "span_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    following = Window.partitionBy(key).orderBy("page_offset", "page_number")
+    falls = (F.lead("page_number").over(following) <= F.col("page_number")) | (F.lead("page_until").over(following) < F.col("page_until"))
+    odd = known.withColumn("_odd", falls).filter("_odd").select(key).distinct()
+    (asked, odd_asked), (known, odd_known) = _apart(asked, [key], odd), _apart(known, [key], odd)
+    none = F.lit(None)
+
+    def swept(spans: DataFrame, at: str, page_at: str, found: Column, name: str) -> DataFrame:
+        rows = spans.withColumn("at", F.col(at).cast("long")).withColumn("page_number", none.cast("int"))
+        marks = known.select(key, *(none.cast(t).alias(c) for c, t in spans.dtypes if c != key), F.col(page_at).cast("long").alias("at"), F.col("page_number").cast("int").alias("page_number"))
+        return rows.unionByName(marks).withColumn(name, found).filter("page_number IS NULL").drop("at", "page_number")
+
+    order = Window.partitionBy(key).orderBy("at", F.col("page_number").isNotNull())  # a span before the pages at its place
+    last = swept(asked.filter("_s IS NOT NULL AND _e IS NOT NULL"), "_e", "page_offset", F.max("page_number").over(order.rowsBetween(Window.unboundedPreceding, 0)), "page_end")
+    both = swept(last, "_s", "page_until", F.min("page_number").over(order.rowsBetween(0, Window.unboundedFollowing)), "page_start").filter("page_start <= page_end")
+    met = odd_asked.join(odd_known, key).filter("page_offset < _e AND page_until >= _s")
+    joined = met.groupBy(key, "span_id").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
+    return both.select(key, "span_id", "page_start", "page_end").unionByName(joined)
+
+
+#: Kinds of node by the last step of their ids; nodes of one kind follow one another.
+STEPS = ("act", "section", "subsection", "paragraph", "subparagraph", "description", "schedule")
+
+
+def _innermost(spans: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """by, span_id, o (depth, provision_id, start): the deepest node that holds a span (span_id, _s, _e), of equally deep ones the first id.
+
+    Nodes and spans of a group go by in order of their starts, and of each kind the node that began last is the only one that may still be open. Groups
+    where nodes of a kind overlap or have another kind, and spans without length, are joined with all nodes instead."""
+    step = F.coalesce(F.nullif(F.regexp_extract("provision_id", "([a-z]+):[^/]*$", 1), F.lit("")), F.lit("?"))
+    known = nodes.select(*by, "provision_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna().withColumn("step", step)
+    asked = spans.select(*by, "span_id", F.col("_s").cast("long").alias("_s"), F.col("_e").cast("long").alias("_e")).dropna()
+    after = Window.partitionBy(*by, "step").orderBy("start", "end")
+    overlaps = (F.lead("start").over(after) < F.col("end")) | (F.lead("start").over(after) == F.col("start"))
+    odd = known.withColumn("_odd", ~F.col("step").isin(*STEPS) | F.coalesce(overlaps, F.lit(False))).filter("_odd").select(*by).distinct()
+    (fine, odd_asked), (known, odd_known) = _apart(asked.filter("_e > _s"), by, odd), _apart(known, by, odd)
+    node = F.struct((-path_depth(F.col("provision_id"))).alias("up"), "provision_id", "start", "end").alias("node")
+    opens = known.select(*by, F.col("start").alias("at"), "step", node)
+    kind = opens.schema["node"].dataType
+    rows = fine.withColumns({"at": F.col("_s"), "step": F.lit(None).cast("string"), "node": F.lit(None).cast(kind)})
+    rows = rows.unionByName(opens.select("*", *(F.lit(None).cast(t).alias(c) for c, t in fine.dtypes if c not in by)))
+    so_far = Window.partitionBy(*by).orderBy("at", F.col("step").isNull()).rowsBetween(Window.unboundedPreceding, 0)  # nodes before the spans at their place
+    last = [F.last(F.when(F.col("step") == s, F.col("node")), ignorenulls=True).over(so_far).alias(s) for s in STEPS]
+    open_ = F.filter(F.array(*STEPS), lambda n: n["end"] >= F.col("_e"))
+    swept = rows.select("*", *last).filter("step IS NULL").select(*by, "span_id", F.array_min(open_).alias("o")).filter("o IS NOT NULL")
+    rest = asked.filter("_e <= _s").join(nodes.select(*by, "provision_id", "start", "end"), by)
+    rest = rest.unionByName(odd_asked.join(odd_known.drop("step"), by)).filter("start <= _s AND end >= _e")
+    joined = rest.groupBy(*by, "span_id").agg(F.min(F.struct((-path_depth(F.col("provision_id"))).alias("up"), "provision_id", "start", "end")).alias("o"))
+    return swept.unionByName(joined)
 
 
 def nested_owner(spans: DataFrame, provisions: DataFrame, key: str = "document_id") -> DataFrame:
     """key, span_id, owner: the deepest node that holds the span; of equally deep ones the first id."""
-    met = spans.select(key, "span_id", F.col("start").alias("_s"), F.col("end").alias("_e")).join(provisions.select(key, "provision_id", "start", "end"), key).filter("start <= _s AND end >= _e")
-    deep = F.struct(-path_depth(F.col("provision_id")), F.col("provision_id"))
-    return met.groupBy(key, "span_id").agg(F.min_by("provision_id", deep).alias("owner"))
+    asked = spans.select(key, "span_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    return _innermost(asked, provisions, [key]).select(key, "span_id", F.col("o.provision_id").alias("owner"))
 
 
 def reference_targets(candidates: DataFrame, strict: bool = False) -> DataFrame:
@@ -247,9 +301,8 @@ def _candidates(provisions: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     span = F.concat_ws(":", "part", "first", "last").alias("span_id")
     spans = refs.select(key, "part", span, F.col("first").alias("start"), F.col("last").alias("end")).distinct()
     local = lambda c: F.concat_ws("#", F.col(key).cast("string"), c)  # noqa: E731  provision ids name the act; two documents of one act are kept apart
-    held = spans.select(key, "part", "span_id", F.col("start").alias("_s"), F.col("end").alias("_e")).join(provisions.select(key, "part", "provision_id", "start", "end"), [key, "part"]).filter("start <= _s AND end >= _e")
-    deep = F.struct(-path_depth(F.col("provision_id")), F.col("provision_id"))
-    owners = held.groupBy(key, "span_id").agg(F.min_by(F.struct("provision_id", "start"), deep).alias("o")).select(key, "span_id", F.col("o.provision_id").alias("source_provision_id"), F.col("o.start").alias("_from"))
+    held = _innermost(spans.select(key, "part", "span_id", F.col("start").alias("_s"), F.col("end").alias("_e")), provisions, [key, "part"])
+    owners = held.select(key, "span_id", F.col("o.provision_id").alias("source_provision_id"), F.col("o.start").alias("_from"))
     owned = refs.withColumn("span_id", span).join(owners, [key, "span_id"])
     owned = owned.withColumn("start_offset", F.col("first") - F.col("_from")).withColumn("end_offset", F.col("last") - F.col("_from")).drop("_from", "span_id")
     named = owned.withColumn("candidate_id", candidate_id(F.col("source_provision_id"), F.col("start_offset"), F.col("literal")))

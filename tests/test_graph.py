@@ -119,3 +119,52 @@ def test_versions_of_an_act_are_checked_each_on_its_own(spark):
     lacking = graphs["v1"] + [r for r in graphs["v2"] if r[1] not in ("act:1/section:1", "act:1/section:2")]
     assert found(lacking) == [("edge_source", "e1"), ("edge_target", "e1"), ("provision_parent", "act:1/section:1/subsection:1"), ("unresolved_source", "act:1/section:2")]
     assert found(graphs["v1"] * 2 + graphs["v2"]) == [("provision_duplicate", r[0]) for r in rows]
+
+
+def test_owners_and_pages_by_one_pass(spark):
+    """Nested nodes and spans of many documents against all pairs; documents with overlapping nodes, unknown kinds or falling page numbers too."""
+    import random
+
+    rng, nodes, spans, pages = random.Random(3), [], [], []
+    for d in range(12):
+        at = 0
+        for s in range(8):
+            end = at + rng.randrange(20, 60)
+            nodes.append((d, f"act:1/section:{s}", at, end + (15 if d == 10 else 0)))
+            cuts = sorted(rng.sample(range(at, end), 4))
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                nodes.append((d, f"act:1/section:{s}/subsection:{i}", a, b))
+                if b - a > 4:
+                    nodes.append((d, f"act:1/section:{s}/subsection:{i}/paragraph:a", a + 1, b - 1))
+            nodes.append((d, f"act:1/{'odd' if d == 11 else 'description'}:part-{s}", at + 2, at + 9))
+            at = end
+        nodes.append((d, "act:1", 0, at))
+        for i in range(60):
+            a = rng.randrange(at)
+            spans.append((d, f"s{i}", a, a + rng.randrange(0, 12)))
+        edges = [0, *sorted(rng.sample(range(1, at), 5)), at]
+        pages += [(d, (9 - n if d == 9 else n), a, b - a) for n, (a, b) in enumerate(zip(edges, edges[1:]))]
+    node_rows = spark.createDataFrame(nodes, "document_id int, provision_id string, start int, end int")
+    span_rows = spark.createDataFrame(spans, "document_id int, span_id string, start int, end int")
+    want = {}
+    for d, i, a, b in spans:
+        held = [(-p.count("/"), p) for e, p, s, t in nodes if e == d and s <= a and t >= b]
+        if held:
+            want[d, i] = min(held)[1]
+    assert {(r.document_id, r.span_id): r.owner for r in graph.nested_owner(span_rows, node_rows).collect()} == want
+    on = {}
+    for d, i, a, b in spans:
+        met = [n for e, n, s, size in pages if e == d and s < b and s + size >= a]
+        if met:
+            on[d, i] = (min(met), max(met))
+    page_rows = spark.createDataFrame(pages, "document_id int, page_number int, page_offset int, page_length int")
+    assert {(r.document_id, r.span_id): (r.page_start, r.page_end) for r in graph.pages_for_spans(span_rows, page_rows).collect()} == on
+
+
+def test_one_large_document_takes_rows_in_proportion(spark):
+    """100,000 nodes and as many spans in one document: no operator makes rows for their pairs."""
+    n = 100_000
+    nodes = spark.range(n).selectExpr("1 AS document_id", "concat('act:1/section:', id) AS provision_id", "id * 10 AS start", "id * 10 + 10 AS end")
+    spans = spark.range(n).selectExpr("1 AS document_id", "id AS span_id", "id * 10 + 2 AS start", "id * 10 + 5 AS end")
+    found = graph.nested_owner(spans, nodes)
+    assert found.filter("owner = concat('act:1/section:', span_id)").count() == n
