@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions.keys import canonical_act, canonical_section, deep_link
 from corpuslake.operators.vectors import nearest
+from corpuslake.sources.scratch import checkpointed
 
 MAPPING = ["act_number", "language", "document_id", "extraction_id"]
 
@@ -57,16 +58,26 @@ def title_map(index: DataFrame) -> DataFrame:
     return index.filter("act_number <> ''").groupBy("act_number").agg(first("title_en"), first("title_bm"))
 
 
-def titles_holding(titles: DataFrame, names: DataFrame) -> DataFrame:
-    """_name, of_title: the titles (act_title) that hold a lower-case name anywhere. Names and titles, each once, meet by the name's
-    first three characters (all of a shorter one); every run of as many characters of a title is a key."""
-    width = F.least(F.length("_name"), F.lit(3))
-    asked = names.select("_name", width.alias("width"), F.left("_name", width).alias("gram"))
+#: Characters that names and titles meet by.
+NAME_SEED = 6
+
+
+def titles_holding(titles: DataFrame, names: DataFrame, seed: int = NAME_SEED) -> DataFrame:
+    """_name, of_title: the titles (act_title) that hold a lower-case name anywhere.
+
+    Names and titles, each once, meet by runs of ``seed`` characters (all of a shorter name): of a name's runs by the one that the fewest titles have, and a name with a
+    run that no title has is in none. So names that begin like most titles, as "act ", meet few of them."""
+    asked = names.filter("_name <> ''").withColumn("width", F.least(F.length("_name"), F.lit(seed)))
+    runs = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))
+    grams = asked.select("_name", "width", F.explode(runs(F.col("_name"), F.col("width"))).alias("gram"))
     low = F.lower("act_title")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.struct(F.lit(n).alias("width"), F.substr(low, i, F.lit(n)).alias("gram")))
-    runs = F.flatten(F.array(*(F.when(F.length(low) >= n, grams(n)).otherwise(F.array().cast("array<struct<width:int,gram:string>>")) for n in (1, 2, 3))))
-    cut = titles.filter("act_title IS NOT NULL").select("act_title", F.explode(F.array_distinct(runs)).alias("g")).select("act_title", "g.*")
-    met = cut.join(asked, ["width", "gram"]).filter(low.contains(F.col("_name")))
+    widths = F.broadcast(asked.select("width").distinct())  # 1 to ``seed``
+    cut = titles.filter("act_title IS NOT NULL").join(widths, F.length(low) >= F.col("width")).select("act_title", "width", F.explode(runs(low, F.col("width"))).alias("gram"))
+    held = checkpointed(cut.join(grams.select("width", "gram").distinct(), ["width", "gram"], "left_semi"))
+    often = held.groupBy("width", "gram").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")
+    best = grams.join(often, ["width", "gram"], "left").groupBy("_name", "width").agg(rarest).filter("r.n > 0").select("_name", "width", "r.gram")
+    met = held.join(best, ["width", "gram"]).filter(low.contains(F.col("_name")))
     return met.select("_name", F.col("act_title").alias("of_title"))
 
 

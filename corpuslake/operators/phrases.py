@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions.udfs import nfkc_casefold
 from corpuslake.functions.values import tokens
+from corpuslake.sources.scratch import checkpointed
 
 SEED_TOKENS = 8
 
@@ -17,21 +18,34 @@ def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return folded.select(key, tokens(F.col("_folded")).alias("tokens"))
 
 
+def seeds(quotes: DataFrame, docs: DataFrame, seed: int = SEED_TOKENS) -> DataFrame:
+    """doc_id, position, quote_id, length: where a quote may begin.
+
+    A text's runs of ``seed`` tokens (of all of a quote's, if they are fewer) are hashed, and those that any quote has are kept and counted. A quote is looked for by
+    the rarest of its runs alone, and one with a run that no text has (its own text, if it names one) is nowhere. So an opening that
+    all texts share brings no rows, unless a quote is nothing else."""
+    own = ["doc_id"] if "doc_id" in quotes.columns else []
+    width = F.least(F.size("tokens"), F.lit(seed)).alias("width")
+    hashes = lambda: F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("width") + 1), lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, F.col("width")), " ")))
+    asked = quotes.filter("size(tokens) > 0").select("quote_id", *own, F.size("tokens").alias("length"), width, "tokens")
+    grams = asked.select("quote_id", *own, "length", "width", F.posexplode(hashes()).alias("offset", "h"))
+    widths = F.broadcast(asked.select("width").distinct())  # 1 to ``seed``
+    runs = docs.filter("size(tokens) > 0").join(widths, F.size("tokens") >= F.col("width")).select("doc_id", "width", F.posexplode(hashes()).alias("position", "h"))
+    key = ["h", "width", *own]
+    held = checkpointed(runs.join(grams.select(*key).distinct(), key, "left_semi"))
+    often = held.groupBy(*key).agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "h")).alias("r")
+    best = grams.join(often, key, "left").groupBy("quote_id", *own, "length", "width").agg(rarest).filter("r.n > 0").select("quote_id", *own, "length", "width", "r.offset", "r.h")
+    return held.join(best, key).select("doc_id", (F.col("position") - F.col("offset")).alias("position"), "quote_id", "length").filter("position >= 0")
+
+
 def phrase_matches(quotes: DataFrame, docs: DataFrame, seed: int = SEED_TOKENS) -> DataFrame:
     """quote_id, doc_id, position of every place where all of a quote's tokens stand in a row. Inputs: quote_id, tokens and doc_id, tokens; where
     ``quotes`` has a doc_id too, a quote is looked for in that text alone.
 
-    Quotes are keyed by the hash of their first tokens, ``seed`` of them or all if they are fewer; texts by every run of as many: narrow rows, which
-    the texts' tokens don't travel with. A join on the hash finds places; those of a text then meet its tokens once, and only the piece
+    ``seeds`` are narrow rows, which the texts' tokens don't travel with; those of a text then meet its tokens once, and only the piece
     that is in question goes on to be compared with the quote."""
-    own = ["doc_id"] if "doc_id" in quotes.columns else []
-    asked = quotes.filter("size(tokens) > 0").select("quote_id", *own, F.size("tokens").alias("length"), F.least(F.size("tokens"), F.lit(seed)).alias("width"), "tokens")
-    asked = asked.withColumn("h", F.xxhash64(F.array_join(F.slice("tokens", F.lit(1), F.col("width")), " "))).drop("tokens")
-    widths = F.broadcast(asked.select("width").distinct())  # 1 to ``seed``
-    starts = F.sequence(F.lit(1), F.size("tokens") - F.col("width") + 1)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, F.col("width")), " ")))
-    runs = docs.filter("size(tokens) > 0").join(widths, F.size("tokens") >= F.col("width")).select("doc_id", "width", F.posexplode(hashes).alias("position", "h"))
-    places = runs.join(asked, ["h", "width", *own]).groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "length", "position")).alias("places"))
+    places = seeds(quotes, docs, seed).groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "length", "position")).alias("places"))
     pieces = docs.select("doc_id", "tokens").join(places, "doc_id").select("doc_id", "tokens", F.explode("places").alias("at"))
     pieces = pieces.select("doc_id", "at.quote_id", "at.position", F.slice("tokens", F.col("at.position") + 1, F.col("at.length")).alias("piece"))
     wanted = quotes.select("quote_id", F.col("tokens").alias("wanted"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.functions import keys, policy, udfs, values
-from corpuslake.operators import evals, memory, phrases, registry, segment
+from corpuslake.operators import evals, lookup, memory, phrases, registry, segment
 
 
 def column(spark, inputs, f, kind="string"):
@@ -133,3 +133,25 @@ def test_tokens_fold_compatible_spellings(spark):
     df = spark.createDataFrame([(1, "The ﬁrst ＦＵＬＬ‐width Straße"), (2, "the first full-width strasse"), (3, "")], "id int, text string")
     got = {r.id: r.tokens for r in phrases.token_table(df, "id", "text").collect()}
     assert got[1] == got[2] == ["the", "first", "full-width", "strasse"] and got[3] == []
+
+
+def test_quotes_are_looked_for_by_their_rarest_tokens(spark):
+    """All texts and quotes share an opening of eight tokens; short quotes and repeated places too."""
+    opening = "be it enacted by the king and by".split()
+    docs = [(i, opening + [f"w{i}", f"v{i % 7}", "end", "the", "king"]) for i in range(200)] + [(200, []), (201, ["the"])]
+    quotes = [(i, opening + [f"w{i}", f"v{i % 7}"]) for i in range(0, 200, 9)] + [(900, ["the", "king"]), (901, opening + ["nowhere"]), (902, ["w3"]), (903, [])]
+    d, q = spark.createDataFrame(docs, "doc_id long, tokens array<string>"), spark.createDataFrame(quotes, "quote_id long, tokens array<string>")
+    want = sorted((n, i, p) for n, x in quotes for i, t in docs for p in range(len(t)) if x and t[p : p + len(x)] == x)
+    assert sorted(map(tuple, phrases.phrase_matches(q, d).collect())) == want
+    # One row for each long quote, none for the opening.
+    assert phrases.seeds(q.filter("quote_id < 900 OR quote_id = 901"), d).count() == 23
+    own = q.filter("quote_id < 900").withColumn("doc_id", F.col("quote_id") + F.when(F.col("quote_id") == 9, 1).otherwise(0))
+    assert sorted(map(tuple, phrases.phrase_matches(own, d).collect())) == [(i, i, 0) for i in range(0, 200, 9) if i != 9]
+
+
+def test_names_meet_titles_by_their_rarest_characters(spark):
+    titles = [f"Act of the Matter of Number {i} and Others" for i in range(150)] + ["Tax", "", None, "Taxation"]
+    names = ["act of the matter of number 7", "number 149 and", "tax", "x", "act of the matter of nothing", "taxation of"]
+    t, n = spark.createDataFrame([(x,) for x in titles], "act_title string"), spark.createDataFrame([(x,) for x in names], "_name string")
+    want = sorted((x, y) for x in names for y in titles if y is not None and x in y.lower())
+    assert sorted(map(tuple, lookup.titles_holding(t, n).collect())) == want
