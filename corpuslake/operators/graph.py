@@ -397,6 +397,13 @@ def audit_report(candidates: DataFrame) -> DataFrame:
     return candidates.agg(F.count("*").alias("candidates"), F.count_if(F.coalesce("decision", F.lit("pending")) == "pending").alias("pending")).withColumn("gate_required", F.col("pending") > 0)
 
 
+def decision_form(candidates: DataFrame) -> DataFrame:
+    """document_id, candidate_id, decision, audit_note, review_context: a blank form for each candidate, with what a reviewer has to see. Decisions and notes are
+    empty, whatever the candidates have: none is made beforehand."""
+    seen = [c for c in ("source_provision_id", "literal", "resolution", "reason_code", "target_provision_ids", "evidence") if c in candidates.columns]
+    return candidates.select("document_id", "candidate_id", F.lit("").alias("decision"), F.lit("").alias("audit_note"), F.struct(*seen).alias("review_context"))
+
+
 def unique_identity(df: DataFrame, keys: list[str], identity: tuple[str, str] = ("document_id", "extraction_id"), order: str = "chunk_ordinal") -> DataFrame:
     """The first row of each key whose rows all have one and the same identity; other keys give none."""
     same = F.struct(*identity)

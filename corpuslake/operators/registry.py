@@ -95,7 +95,7 @@ def ready_extractions(runs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def rollout_plan(docs: DataFrame, runs: DataFrame, chunks: DataFrame, active: DataFrame) -> DataFrame:
-    """document_id, step: what each document still needs.
+    """document_id, step, failure: what each document still needs, and why it can't be taken on as it is (null where it can).
 
     Of the ready runs of an act and language the one that the active mapping names is meant, whatever others there are: documents without it are
     ``superseded``. Where nothing is active several ready runs are ``ambiguous``. Null languages are a language of their own."""
@@ -109,7 +109,9 @@ def rollout_plan(docs: DataFrame, runs: DataFrame, chunks: DataFrame, active: Da
     step = F.when(F.col("extraction_id").isNull(), 5).when(~chosen, F.when(F.col("named").isNull(), 4).otherwise(3)).when(F.col("whole").isNull(), 2).when(F.col("named").isNull(), 1).otherwise(0)
     # A document counts by its run that is furthest on.
     names = F.array(*(F.lit(n) for n in ("done", "activate", "ingest", "superseded", "ambiguous", "prepare")))
-    return met.groupBy("document_id").agg(F.element_at(names, F.min(step) + 1).alias("step"))
+    plan = met.groupBy("document_id").agg(F.element_at(names, F.min(step) + 1).alias("step"))
+    failure = F.when(F.col("step") == "ambiguous", "several ready versions and no active mapping").when(F.col("step") == "prepare", "no ready extraction")
+    return plan.withColumn("failure", failure)
 
 
 def rollout_counts(plan: DataFrame) -> DataFrame:

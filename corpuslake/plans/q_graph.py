@@ -90,6 +90,15 @@ def _(v: Views) -> DataFrame:
     return graph.audit_report(_audit(v))
 
 
+@query("a23_decision_forms", "SELECT 'd' || doc_id AS document_id, count(*) AS forms, count(*) AS blank, count(*) FILTER (resolved) AS resolved, sum(CASE WHEN resolved THEN 1 ELSE 0 END)::BIGINT AS targets FROM v_audit_references GROUP BY doc_id")
+def _(v: Views) -> DataFrame:
+    candidates = graph.graph_of_pages(*v.statutes)[3].withColumn("decision", F.lit("approved"))
+    blank = (F.col("decision") == "") & (F.col("audit_note") == "")
+    context = F.col("review_context")
+    counts = F.count("*").alias("forms"), F.count_if(blank).alias("blank"), F.count_if(context["resolution"] == "resolved").alias("resolved"), F.sum(F.size(context["target_provision_ids"])).alias("targets")
+    return graph.decision_form(candidates).groupBy("document_id").agg(*counts)
+
+
 @query("a12_unique_identity", "SELECT section_number AS label, lang AS language, source AS act_title, min('d' || doc_id) AS document_id FROM v_sections JOIN documents USING (doc_id) GROUP BY ALL HAVING count(DISTINCT doc_id) = 1")
 def _(v: Views) -> DataFrame:
     of = v.table("documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("act_title"))
@@ -404,3 +413,11 @@ def _(v: Views) -> DataFrame:
     store = writers.graph_store(v.spark, path)
     parts = [store.read(name).groupBy("document_id").agg(F.count("*").alias("n")).select("document_id", F.lit(name).alias("part"), "n") for name in writers.GRAPH_TABLES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("io7_report", """SELECT '{"lang":"' || lang || '","source":"' || source || '","n":' || count(*) || '}' AS line FROM documents GROUP BY lang, source""")
+def _(v: Views) -> DataFrame:
+    """A report of documents by language and source, written and read back line by line."""
+    path = fresh(v.spark, "report")
+    writers.write_report(v.table("documents").groupBy("lang", "source").agg(F.count("*").alias("n")), path, ["lang", "source"])
+    return v.spark.read.text(path).select(F.col("value").alias("line"))

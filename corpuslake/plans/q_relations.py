@@ -286,7 +286,31 @@ _PLAN = """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'prepare' WHEN doc_id %
 
 @query("a22_rollout_plan", f"SELECT document_id, step FROM ({_PLAN}) JOIN v_docs USING (doc_id)")
 def _(v: Views) -> DataFrame:
-    return registry.rollout_plan(v.docs, v.runs, v.chunks, v.active)
+    return registry.rollout_plan(v.docs, v.runs, v.chunks, v.active).select("document_id", "step")
+
+
+_RIVALS = """SELECT document_id, CASE WHEN status <> 'ready' THEN 'prepare' WHEN act % 3 = 0 AND doc_id <> 2 * act THEN 'superseded' WHEN act % 3 <> 0 AND several > 1 THEN 'ambiguous' WHEN NOT whole THEN 'ingest' WHEN act % 3 = 0 THEN 'done' ELSE 'activate' END AS step
+FROM (SELECT *, doc_id // 2 AS act, count(*) FILTER (status = 'ready') OVER (PARTITION BY doc_id // 2) AS several, doc_id % 5 <> 0 AND doc_id IN (SELECT doc_id FROM v_sections) AS whole FROM v_runs)"""
+_STEPS = ("ambiguous", "superseded", "prepare", "ingest", "activate", "done")
+
+
+def _rivals(v: Views) -> DataFrame:
+    """Two documents an act, both with a run of their own; every third act has an active mapping, to the first of them."""
+    act = F.floor(F.col("doc_id") / 2)
+    docs = v.docs.select("document_id", act.cast("string").alias("act_number"), F.lit("en").alias("language"))
+    active = v.docs.filter((F.col("doc_id") % 2 == 0) & (act % 3 == 0))
+    active = active.select(act.cast("string").alias("act_number"), F.lit("en").alias("language"), "document_id", F.concat(F.lit("x-"), "doc_id").alias("extraction_id"))
+    return registry.rollout_plan(docs, v.runs, v.chunks, active)
+
+
+@query("a22_rivals", f"SELECT document_id, step, CASE step WHEN 'ambiguous' THEN 'several ready versions and no active mapping' WHEN 'prepare' THEN 'no ready extraction' END AS failure FROM ({_RIVALS})")
+def _(v: Views) -> DataFrame:
+    return _rivals(v)
+
+
+@query("a22_rival_counts", "SELECT count(*) AS candidates, " + ", ".join(f"count(*) FILTER (step = '{s}') AS {s}" for s in _STEPS) + f" FROM ({_RIVALS})")
+def _(v: Views) -> DataFrame:
+    return registry.rollout_counts(_rivals(v))
 
 
 @query("a22_rollout_counts", f"SELECT count(*) AS candidates, 0::BIGINT AS ambiguous, 0::BIGINT AS superseded, count(*) FILTER (step = 'prepare') AS prepare, count(*) FILTER (step = 'ingest') AS ingest, count(*) FILTER (step = 'activate') AS activate, count(*) FILTER (step = 'done') AS done FROM ({_PLAN})")

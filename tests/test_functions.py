@@ -155,3 +155,16 @@ def test_names_meet_titles_by_their_rarest_characters(spark):
     t, n = spark.createDataFrame([(x,) for x in titles], "act_title string"), spark.createDataFrame([(x,) for x in names], "_name string")
     want = sorted((x, y) for x in names for y in titles if y is not None and x in y.lower())
     assert sorted(map(tuple, lookup.titles_holding(t, n).collect())) == want
+
+
+def test_rollout_with_rival_versions(spark):
+    """The mapping decides between ready versions; without one they are ambiguous, and a failure says so."""
+    docs = spark.createDataFrame([(d, a, "en") for d, a in (("old", "1"), ("new", "1"), ("p", "2"), ("q", "2"), ("r", "3"), ("s", "4"))], "document_id string, act_number string, language string")
+    runs = spark.createDataFrame([(d, f"x-{d}", 1, "pending" if d == "s" else "ready") for d in ("old", "new", "p", "q", "r", "s")], "document_id string, extraction_id string, chunk_count int, status string")
+    chunks = spark.createDataFrame([(f"x-{d}",) for d in ("old", "new", "p", "r")], "extraction_id string")
+    active = spark.createDataFrame([("1", "en", "new", "x-new")], "act_number string, language string, document_id string, extraction_id string")
+    got = {r.document_id: (r.step, r.failure) for r in registry.rollout_plan(docs, runs, chunks, active).collect()}
+    rival = ("ambiguous", "several ready versions and no active mapping")
+    assert got == {"old": ("superseded", None), "new": ("done", None), "p": rival, "q": rival, "r": ("activate", None), "s": ("prepare", "no ready extraction")}
+    counts = registry.rollout_counts(registry.rollout_plan(docs, runs, chunks, active)).first()
+    assert (counts.candidates, counts.ambiguous, counts.superseded, counts.done) == (6, 2, 1, 1)
