@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,3 +86,22 @@ def matches(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]]) -> Da
                 yield pa.RecordBatch.from_arrays([*(some.column(f.name).take(at) for f in keep), *(pa.array(c, t) for c, (_, _, t) in zip(columns, made))], [f.name for f in keep] + [n for n, _, _ in made])
 
     return df.mapInArrow(run, T.StructType([*keep, *(T.StructField(n, t) for n, t, _ in made)]))
+
+
+class MatchTable:
+    """Table function: kind, literal, first, last (half-open, in code points) of every match of the patterns (a map from kind to pattern) in a text;
+    none in a null text. Patterns are compiled once a task."""
+
+    def __init__(self) -> None:
+        self.rules: dict[str, re.Pattern] = {}
+
+    def eval(self, text: str | None, patterns: dict[str, str]) -> Iterator[tuple]:
+        for kind, pattern in patterns.items():
+            rule = self.rules.get(pattern) or self.rules.setdefault(pattern, re.compile(pattern))
+            for m in rule.finditer(text or ""):
+                yield kind, m.group(0), m.start(), m.end()
+
+
+def register_matches(spark: SparkSession, name: str = "text_matches") -> None:
+    """Let SQL call ``MatchTable`` by name, in Arrow batches: ``FROM texts, LATERAL text_matches(text, map('number', '[0-9]+'))``."""
+    spark.udtf.register(name, F.udtf(MatchTable, returnType="kind string, literal string, first int, last int", useArrow=True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,12 +125,13 @@ def merge_profiles(items: DataFrame, scalars: list[str], lists: list[str]) -> Da
 
 
 def pool_embeddings(segments: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """key, embedding, error: the weighted mean of a key's vectors, made a unit vector; one segment alone stays as it is. Unequal lengths and zero sums are errors. Sums are
-    per component, pre-aggregated before they meet."""
+    """key, embedding, error: the weighted mean of a key's vectors, made a unit vector; one segment alone stays as it is. Unequal lengths and zero sums are errors, and weights that
+    are all zero give null. Each task sums its own vectors of a key, so that a row for each key and task is all that is shuffled."""
     facts = segments.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.size("embedding")).alias("widths"))
-    sums = segments.select(key, "weight", F.posexplode("embedding").alias("at", "x")).groupBy(key, "at").agg((F.sum(F.col("x").cast("double") * F.col("weight")) / F.sum("weight")).alias("x"))
-    vectors = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("mean"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    met = facts.join(vectors, key)
+    own = segments.filter("weight > 0").withColumn("_vector", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+    summed = own.groupBy(key, F.size("embedding").alias("_width")).agg(Summarizer.mean(F.col("_vector"), F.col("weight").cast("double")).alias("_mean"))
+    means = summed.select(key, vector_to_array("_mean").alias("mean")).groupBy(key).agg(F.first("mean").alias("mean"))
+    met = facts.join(means, key, "left").withColumn("size", F.sqrt(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x)))
     error = F.when(F.col("widths") > 1, "inconsistent_dimensions").when((F.col("n") > 1) & (F.col("size") == 0), "zero_magnitude")
-    unit = F.when(F.col("n") == 1, F.col("mean")).otherwise(F.transform("mean", lambda x: x / F.col("size")))
+    unit = F.when(F.col("n") == 1, F.col("mean")).otherwise(F.transform("mean", lambda x: F.try_divide(x, F.col("size"))))
     return met.select(key, F.when(error.isNull(), unit).alias("embedding"), error.alias("error"))

@@ -315,7 +315,10 @@ def _(v: Views) -> DataFrame:
     return made.select("doc_id", F.posexplode("embedding").alias("place", "x")).filter("x <> 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-@query("u3_matches", r"""SELECT doc_id, kind, count(*) AS n, sum(length(literal))::BIGINT AS characters, sum(('0x' || substr(md5(literal), 1, 6))::BIGINT)::BIGINT AS mark FROM (SELECT doc_id, 'number' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS literal FROM documents UNION ALL SELECT doc_id, 'capital', unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+')) FROM documents) GROUP BY ALL""")
+_MATCHES = r"""SELECT doc_id, kind, count(*) AS n, sum(length(literal))::BIGINT AS characters, sum(('0x' || substr(md5(literal), 1, 6))::BIGINT)::BIGINT AS mark FROM (SELECT doc_id, 'number' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS literal FROM documents UNION ALL SELECT doc_id, 'capital', unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+')) FROM documents) GROUP BY ALL"""
+
+
+@query("u3_matches", _MATCHES)
 def _(v: Views) -> DataFrame:
     found = udfs.matches(v.table("documents").select("doc_id", "text"), "text", (("number", "[0-9]+"), ("capital", "[A-Z][a-z]+")))
     mark = F.conv(F.substring(F.md5("literal"), 1, 6), 16, 10).cast("long")
@@ -323,6 +326,17 @@ def _(v: Views) -> DataFrame:
     return whole.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("literal")).alias("characters"), F.sum(mark).alias("mark"))
 
 
+@query("u3_match_table", _MATCHES)
+def _(v: Views) -> DataFrame:
+    """The same through SQL text and the registered table function."""
+    udfs.register_matches(v.spark)
+    return v.spark.sql(
+        """SELECT doc_id, kind, count(*) AS n, sum(length(literal)) AS characters, sum(cast(conv(substr(md5(literal), 1, 6), 16, 10) AS bigint)) AS mark
+        FROM {texts}, LATERAL text_matches(text, map('number', '[0-9]+', 'capital', '[A-Z][a-z]+')) WHERE length(literal) = last - first GROUP BY doc_id, kind""",
+        texts=v.table("documents").select("doc_id", "text"),
+    )
+
+
 # A node's pages are those of its section (or of its own heading); a page's text and the line break after it count as the page's.
 @query("t6_parse_provisions", """SELECT 'd' || doc_id AS document_id, 'd' || doc_id || '/provision:' || provision_id AS version_id, kind, label, parent_id, part, start, stop, CASE WHEN kind = 'act' THEN 1 ELSE lo END AS page_start, CASE WHEN kind = 'act' THEN pages ELSE hi END AS page_end
 FROM (SELECT n.doc_id, provision_id, kind, label, parent_id, n.part, start, stop, min(p.page_number) AS lo, max(p.page_number) AS hi FROM v_nodes n LEFT JOIN (SELECT doc_id, part, page_number, min(ofs) AS page_at, max(ofs + length(line)) AS page_stop FROM v_statute_lines GROUP BY ALL) p ON p.doc_id = n.doc_id AND p.part = n.part AND page_at < top_end AND page_stop >= top_at GROUP BY ALL)
