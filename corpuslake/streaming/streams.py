@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from corpuslake.sources.scratch import checkpointed
 from corpuslake.sources.writers import chunk_store
@@ -100,25 +100,56 @@ def stream_ingest(bundles: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return bundles.writeStream.foreachBatch(lambda batch, number: ingest(batch, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+LOGGED = "act_number string, language string, seq long, action string, extraction_id string, previous_id string"
+
+
 class Activation(StatefulProcessor):
-    """Active and previous extraction of one act and language."""
+    """Active and previous extraction of one act and language. With ``ordered`` entries wait for the watermark and are then taken in the order of their times."""
+
+    def __init__(self, ordered: bool = False):
+        self.ordered = ordered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("mapping", "now string, before string")
+        if self.ordered:
+            self.waiting = handle.getListState("waiting", "at long, seq long, action string, extraction_id string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def _taken(self, key: Any, entries: list[tuple]) -> pd.DataFrame:
+        """The log's rows for entries (seq, action, extraction_id), in their order."""
         now, before = self.state.get() if self.state.exists() else (None, None)
         out = []
-        for r in pd.concat(rows).sort_values("seq").itertuples():
-            if r.action == "activate":
-                before, now = (now if now is not None else before), r.extraction_id
+        for seq, action, extraction in entries:
+            if action == "activate":
+                before, now = (now if now is not None else before), extraction
             elif before is not None:
                 now, before = before, now
             else:
                 continue
-            out.append((*key, r.seq, r.action, now, before))
+            out.append((*key, seq, action, now, before))
         self.state.update((now, before))
-        yield pd.DataFrame(out, columns=["act_number", "language", "seq", "action", "extraction_id", "previous_id"])
+        return pd.DataFrame(out, columns=["act_number", "language", "seq", "action", "extraction_id", "previous_id"])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if not self.ordered:
+            yield self._taken(key, [(r.seq, r.action, r.extraction_id) for r in pd.concat(rows).sort_values("seq").itertuples()])
+            return
+        held = [(r.at.value // 1_000_000, int(r.seq), r.action, r.extraction_id) for r in pd.concat(rows).itertuples()]
+        self.waiting.appendList(held)
+        for at in {h[0] for h in held}:
+            self.handle.registerTimer(at)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Entries up to the timer's time go; later ones wait on."""
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        due, rest = sorted(h for h in held if h[0] <= until), [h for h in held if h[0] > until]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield self._taken(key, [h[1:] for h in due]) if due else pd.DataFrame()
 
     def close(self) -> None:
         pass
@@ -126,7 +157,14 @@ class Activation(StatefulProcessor):
 
 def stream_activation(log: DataFrame) -> DataFrame:
     """The log with the mapping after each entry; needs the RocksDB state store. Entries of a key come in the order of ``seq``."""
-    return log.groupBy("act_number", "language").transformWithStateInPandas(Activation(), "act_number string, language string, seq long, action string, extraction_id string, previous_id string", "Append", "None")
+    return log.groupBy("act_number", "language").transformWithStateInPandas(Activation(), LOGGED, "Append", "None")
+
+
+def stream_activation_in_order(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """The same for entries (with a time ``at``) that arrive in any order: each waits until the watermark, ``lateness`` behind the latest time, has passed it, and a key's are
+    taken in the order of at, then seq. What waits is bounded by the lateness; entries that come after the watermark are left out."""
+    marked = log.withWatermark("at", lateness)
+    return marked.groupBy("act_number", "language").transformWithStateInPandas(Activation(True), LOGGED, "Append", "EventTime")
 
 
 class History(StatefulProcessor):

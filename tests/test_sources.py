@@ -174,6 +174,25 @@ def test_activation_stream_equals_the_fold(spark, tmp_path):
     assert got == sorted(map(tuple, registry.activation_state(log).collect()))
 
 
+def test_entries_in_any_order_are_taken_by_their_times(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    from corpuslake.operators import registry
+
+    start, rng = datetime(2024, 1, 1), random.Random(6)
+    rows = [(str(k), "en", i, "rollback" if i % 3 == 2 else "activate", f"x{i}", start + timedelta(minutes=10 * i + k)) for k in range(3) for i in range(12)]
+    fields = "act_number string, language string, seq long, action string, extraction_id string, at timestamp"
+    late = sorted(rows, key=lambda r: r[5] + timedelta(minutes=rng.randrange(50)))  # out of order by less than the lateness
+    late.append(("end", "en", 0, "activate", "x", start + timedelta(days=2)))
+    for i in range(0, len(late), 9):
+        spark.createDataFrame(late[i : i + 9], fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.read_stream(spark, str(tmp_path / "in"), fields)
+    got = sorted(tuple(r) for r in run_stream(spark, streams.stream_activation_in_order(stream), tmp_path, "in_order", "append") if r.act_number != "end")
+    log = spark.createDataFrame(rows, fields).drop("at")
+    assert got == sorted(map(tuple, registry.activation_state(log).collect()))
+
+
 def test_history_stream_equals_the_trim(spark, tmp_path):
     from corpuslake.operators import memory
 
