@@ -190,27 +190,6 @@ def admit_within_budget(docs: DataFrame, cost: str, cap: int, key: str = "doc_id
     return summed.filter(F.col("running") <= cap).drop("_b", "_upto", "_ahead")
 
 
-def assign_batches(df: DataFrame, n: int, by: str = "document_id", order: str = "chunk_ordinal") -> DataFrame:
-    """Batches of ``n`` rows of each document."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / n).cast("int"))
-
-
-def pack_batches(df: DataFrame, n: int, max_tokens: int, by: str = "document_id", order: str = "chunk_ordinal", tokens: str = "tokens") -> DataFrame:
-    """Greedy batches of a document's rows: a batch ends before the row that would make it more than ``n`` rows or ``max_tokens``."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, batch, rows, held, out = pdf.sort_values(order), 0, 0, 0, []
-        for size in pdf[tokens]:
-            if rows and (rows >= n or held + size > max_tokens):
-                batch, rows, held = batch + 1, 0, 0
-            rows, held = rows + 1, held + size
-            out.append(batch)
-        return pd.DataFrame({by: pdf[by], order: pdf[order], tokens: pdf[tokens], "batch": out})
-
-    kinds = {c: t for c, t in df.dtypes}
-    return df.select(by, order, tokens).groupBy(by).applyInPandas(pack, f"{by} {kinds[by]}, {order} {kinds[order]}, {tokens} {kinds[tokens]}, batch int")
-
-
 def split_long(df: DataFrame, max_tokens: int, words: str = "tokens") -> DataFrame:
     """``df`` with its token array cut into segments: segment (from 0), part, weight (its tokens)."""
     at = F.sequence(F.lit(0), F.ceil(F.size(words) / max_tokens).cast("int") - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import policy, values
-from corpuslake.operators import evals, index, lookup, memory, quality, registry, segment
+from corpuslake.operators import batches, evals, index, lookup, memory, quality, registry, segment
 from corpuslake.operators.vectors import similar_pairs
 from corpuslake.plans.registry import query
 from corpuslake.plans.views import Views
@@ -207,6 +207,14 @@ def _(v: Views) -> DataFrame:
     return registry.activation_state(ordered)
 
 
+# Threads of one answer have no turn.
+@query("st4_history", f"""SELECT thread_id, coalesce(kept_messages, 0)::INT AS kept_messages, coalesce(kept_tokens, 0)::BIGINT AS kept_tokens, coalesce(last_pos, -1)::INT AS last_pos FROM (SELECT DISTINCT thread_id FROM v_history)
+  LEFT JOIN (SELECT thread_id, count(*) AS kept_messages, sum(tokens) AS kept_tokens, max(pos) AS last_pos FROM ({_SUMMED}) WHERE upto <= 120 OR turn = last GROUP BY thread_id) USING (thread_id)""")
+def _(v: Views) -> DataFrame:
+    streams.keep_state_in_rocksdb(v.spark)
+    return streams.stream_history(v.history.select("thread_id", "pos", "role", "tokens"), 120)
+
+
 @query("st5_counts", "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return streams.counts(v.table("events")).withColumn("start", F.unix_micros(F.col("start").cast("timestamp")))
@@ -253,7 +261,7 @@ def _(v: Views) -> DataFrame:
 
 @query("w12_assign_batches", "SELECT doc_id, section_number, chunk_ordinal // 3 AS batch FROM v_sections")
 def _(v: Views) -> DataFrame:
-    return registry.assign_batches(v.sections, 3, "doc_id").select("doc_id", "section_number", "batch")
+    return batches.assign_batches(v.sections, 3, "doc_id").select("doc_id", "section_number", "batch")
 
 
 @query("u2_pack_batches", """WITH RECURSIVE sized AS (SELECT doc_id, chunk_ordinal, length(content)::BIGINT AS tokens FROM v_sections), packed AS (
@@ -261,7 +269,7 @@ def _(v: Views) -> DataFrame:
   UNION ALL SELECT s.doc_id, s.chunk_ordinal, s.tokens, CASE WHEN held_rows >= 4 OR held + s.tokens > 1500 THEN batch + 1 ELSE batch END, CASE WHEN held_rows >= 4 OR held + s.tokens > 1500 THEN 1 ELSE held_rows + 1 END, CASE WHEN held_rows >= 4 OR held + s.tokens > 1500 THEN s.tokens ELSE held + s.tokens END
   FROM packed p JOIN sized s ON s.doc_id = p.doc_id AND s.chunk_ordinal = p.chunk_ordinal + 1) SELECT doc_id, chunk_ordinal, tokens, batch FROM packed""")
 def _(v: Views) -> DataFrame:
-    return registry.pack_batches(v.sections.withColumn("tokens", F.length("content").cast("long")), 4, 1500, "doc_id")
+    return batches.pack_batches(v.sections.withColumn("tokens", F.length("content").cast("long")), 4, 1500, "doc_id")
 
 
 @query("w13_split_long", "SELECT doc_id, i AS segment, least(50, len(tokens) - i * 50)::INT AS weight, tokens[i * 50 + 1] AS first_token FROM (SELECT doc_id, tokens, unnest(range(0, (len(tokens) + 49) // 50)) AS i FROM v_doc_tokens)")

@@ -167,6 +167,14 @@ def stream_activation_in_order(log: DataFrame, lateness: str = "1 hour") -> Data
     return marked.groupBy("act_number", "language").transformWithStateInPandas(Activation(True), LOGGED, "Append", "EventTime")
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> SparkSession:
+    """The session, set to the state store that stateful processors need; queries that are running keep theirs. The session's streams are named because
+    they bring up what keeps track of the stores; a processor over a table fails without it."""
+    _ = spark.streams
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
 class History(StatefulProcessor):
     """The messages of one thread that its newest turns within the budget need."""
 
@@ -175,20 +183,25 @@ class History(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getListState("messages", "pos int, role string, tokens int")
+        self.begun = handle.getValueState("begun", "yes boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         old = list(self.kept.get()) if self.kept.exists() else []
         new = [(int(r.pos), r.role, int(r.tokens)) for r in pd.concat(rows).sort_values("pos").itertuples()]
         messages = [tuple(x) for x in old] + new
-        if messages and not old and messages[0][1] != "user":
-            messages = messages[1:]
+        if not self.begun.exists():
+            self.begun.update((True,))
+            messages = messages[1:] if messages[0][1] != "user" else messages
         turns = [messages[i : i + 2] for i in range(0, len(messages), 2)]
         total, first = 0, len(turns)
         while first and (first == len(turns) or total + sum(m[2] for m in turns[first - 1]) <= self.budget):
             first -= 1
             total += sum(m[2] for m in turns[first])
         kept = [m for t in turns[first:] for m in t]
-        self.kept.put(kept)
+        if kept:
+            self.kept.put(kept)
+        else:
+            self.kept.clear()
         yield pd.DataFrame({"thread_id": [key[0]], "kept_messages": [len(kept)], "kept_tokens": [sum(m[2] for m in kept)], "last_pos": [kept[-1][0] if kept else -1]})
 
     def close(self) -> None:
@@ -196,7 +209,7 @@ class History(StatefulProcessor):
 
 
 def stream_history(messages: DataFrame, budget: int) -> DataFrame:
-    """thread_id and what a reader would be given after each batch of messages; older turns are forgotten, as they can never fit again."""
+    """thread_id and what a reader would be given after each batch of messages; older turns are forgotten, as they can never fit again. A table of messages is one batch."""
     return messages.groupBy("thread_id").transformWithStateInPandas(History(budget), "thread_id long, kept_messages int, kept_tokens long, last_pos int", "Update", "None")
 
 

@@ -202,3 +202,21 @@ def test_history_stream_equals_the_trim(spark, tmp_path):
     got = {r.thread_id: (r.kept_messages, r.kept_tokens) for r in run_stream(spark, streams.stream_history(stream, 40), tmp_path, "kept", "update")}
     want = {r.thread_id: (r.n, r.t) for r in memory.trim_history(rows, 40).groupBy("thread_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
     assert got == want
+
+
+def test_history_begins_once(spark, tmp_path):
+    """A thread's first message is left out if it isn't the user's, a later one of the same kind not."""
+    from corpuslake.operators import memory
+
+    rows = [(1, 0, "assistant", 5), (1, 1, "assistant", 6), (1, 2, "user", 7), (2, 0, "assistant", 5), (3, 0, None, 2), (3, 1, "user", 3)]
+    table = spark.createDataFrame(rows, "thread_id long, pos int, role string, tokens int")
+    for pos in range(3):
+        table.filter(f"pos = {pos}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.read_stream(spark, str(tmp_path / "in"), table.schema)  # a file, and so a message of each thread, at a time
+    got = run_stream(spark, streams.stream_history(stream, 40), tmp_path, "begun", "update")
+    assert len(got) == 6
+    newest = {r.thread_id: (r.kept_messages, r.kept_tokens) for r in sorted(got, key=lambda r: r.last_pos)}
+    want = {r.thread_id: (r.n, r.t) for r in memory.trim_history(table, 40).groupBy("thread_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
+    assert newest == want | {2: (0, 0)}
+    whole = {r.thread_id: (r.kept_messages, r.kept_tokens) for r in streams.stream_history(table, 40).collect()}
+    assert newest == whole
