@@ -6,7 +6,8 @@ and templates, a table of fixed size. A hit at word p
 of the document and word t of the template votes for diagonal p - t. Votes are aggregated per
 document, template and diagonal before they are shuffled; diagonals of one template that lie close
 together (words left out or put in) merge; a hit counts only if its words, not just its hash,
-are the template's, and a merged span only if it covers enough of the template.
+are the template's, and a merged span only if it covers enough of the template and meets a gram that no template
+of another label has: notices of one family differ in a word or two.
 
 A header element in each document's list of hits meets a header row of the table, so one pass over the
 texts also brings every document, with its word count, to the same aggregation.
@@ -25,25 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ascii_lower
+from corpuslake.llm.notices import NOTICES, OPENINGS
 
 #: What stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Opening passages of public license notices, and their labels.
-TEMPLATES = {
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
-    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": "mit",
-    "you may not use this file except in compliance with the License. You may obtain a copy of the License at": "apache",
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
-    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
-    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "This Source Code Form is subject to the terms of the Mozilla Public License": "mpl",
-    "Licensed under CC BY 4.0": "cc-by",
-    "Licensed under CC BY-SA 4.0": "cc-by-sa",
-    "Licensed under CC BY-NC 4.0": "cc-by-nc",
-    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
-}
+#: Openings, which tell a license alone, and whole notices.
+TEMPLATES = OPENINGS | NOTICES
 PAIR, FOUR = 2, 4
 #: Diagonals of one template at most this far apart are one span.
 GAP = 3
@@ -57,23 +47,35 @@ def _hash(first, second):
     return F.xxhash64(first, second)
 
 
+def telling(templates: Mapping[str, str]) -> list[list[bool]]:
+    """For each template which of its grams no template of another label has; all of them, where each is shared."""
+    grams = [[tuple(w[t : t + FOUR]) for t in range(len(w) - FOUR + 1)] for w in map(_words, templates)]
+    labels: dict[tuple[str, ...], set[str]] = {}
+    for mine, label in zip(grams, templates.values()):
+        for gram in mine:
+            labels.setdefault(gram, set()).add(label)
+    own = [[len(labels[gram]) == 1 for gram in mine] for mine in grams]
+    return [mine if any(mine) else [True] * len(mine) for mine in own]
+
+
 def gram_table(spark: SparkSession, phrases: Mapping[str, str], templates: Mapping[str, str]) -> DataFrame:
-    """template, label, base, grams, k, t, gram (its words); hashes are Spark's own."""
-    rows: list[tuple] = [(-1, None, False, 1, 0, 0, None)]
+    """template, label, base, grams, k, t, gram (its words), own (as in ``telling``); hashes are Spark's own."""
+    rows: list[tuple] = [(-1, None, False, 1, 0, 0, None, True)]
+    own = telling(templates)
     for i, (text, label) in enumerate([*phrases.items(), *templates.items()]):
         k = PAIR if i < len(phrases) else FOUR
         w = _words(text)
         if len(w) < k:
             raise ValueError(f"shorter than {k} words: {text!r}")
-        rows += [(i, label, i < len(phrases), len(w) - k + 1, k, t, w[t : t + k]) for t in range(len(w) - k + 1)]
-    made = spark.createDataFrame(rows, "template int, label string, base boolean, grams int, k int, t int, gram array<string>")
+        rows += [(i, label, i < len(phrases), len(w) - k + 1, k, t, w[t : t + k], i < len(phrases) or own[i - len(phrases)][t]) for t in range(len(w) - k + 1)]
+    made = spark.createDataFrame(rows, "template int, label string, base boolean, grams int, k int, t int, gram array<string>, own boolean")
     pair = lambda i: _hash(F.col("gram")[i], F.col("gram")[i + 1])
     return made.withColumn("h", F.when(F.col("k") == 0, F.lit(0).cast("long")).when(F.col("k") == PAIR, pair(0)).otherwise(_hash(pair(0), pair(2))))
 
 
 def votes(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, str]) -> DataFrame:
-    """doc_id, rk, n_words, template, label, base, grams, k, diagonal, votes and met (grams of the template
-    found on it): one row for each diagonal of each document, and a header row (template -1).
+    """doc_id, rk, n_words, template, label, base, grams, k, diagonal, votes, met (grams of the template
+    found on it) and own (whether one of them is no other label's): one row for each diagonal of each document, and a header row (template -1).
 
     Only grams whose hash is in the table leave a document's array; each brings its own words along, not the document's."""
     grams = gram_table(docs.sparkSession, phrases, templates)
@@ -94,25 +96,43 @@ def votes(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, s
     header = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("p"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("said")))
     hits = rolled.select("doc_id", "rk", "n_words", F.explode(F.concat(header, met(PAIR, "pairs"), met(FOUR, "fours"))).alias("hit")).select("doc_id", "rk", "n_words", "hit.*")
     voted = hits.join(F.broadcast(grams), ["k", "h"]).filter((F.col("k") == 0) | (F.col("said") == F.col("gram")))
-    return voted.groupBy("doc_id", "rk", "n_words", "template", "label", "base", "grams", "k", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_set("t").alias("met"))
+    return voted.groupBy("doc_id", "rk", "n_words", "template", "label", "base", "grams", "k", (F.col("p") - F.col("t")).alias("diagonal")).agg(
+        F.count("*").alias("votes"), F.collect_set("t").alias("met"), F.bool_or("own").alias("own")
+    )
 
 
-def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, cover: float = 0.8) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share of a
-    phrase or template that a span covers, of those that cover ``cover`` or more)."""
-    found = votes(docs, phrases, templates)
+def _merged(found: DataFrame) -> DataFrame:
+    """Spans of ``votes``: neighbouring diagonals of one template as one, with the share of its words that they meet. Header rows stay."""
     lines = Window.partitionBy("doc_id", "rk", "template")
     copies = F.max(F.when(F.col("template") == -1, F.col("votes"))).over(Window.partitionBy("doc_id", "rk"))
     near = found.withColumn("copies", copies)
     along = lines.orderBy("diagonal")
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True))
     spans = near.withColumn("starts", apart.cast("int")).withColumn("span", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("doc_id", "rk", "n_words", "copies", "template", "label", "base", "grams", "span").agg(F.min("diagonal").alias("start"), F.first("k").alias("k"), F.flatten(F.collect_list("met")).alias("met"))
+    reach = [F.min(F.col("diagonal") + F.array_min("met")).alias("first"), F.max(F.col("diagonal") + F.array_max("met") + F.col("k") - 1).alias("last")]
+    merged = spans.groupBy("doc_id", "rk", "n_words", "copies", "template", "label", "base", "grams", "span").agg(
+        F.min("diagonal").alias("start"), *reach, F.first("k").alias("k"), F.flatten(F.collect_list("met")).alias("met"), F.bool_or("own").alias("own")
+    )
     # Words of the template that lie in a gram found; there are as many as its text has, however long the document.
     covered = F.size(F.array_distinct(F.flatten(F.transform("met", lambda t: F.sequence(t, t + F.greatest(F.col("k"), F.lit(1)) - 1)))))
-    merged = merged.withColumn("share", covered / (F.col("grams") + F.greatest(F.col("k"), F.lit(1)) - 1))
+    return merged.withColumn("share", covered / (F.col("grams") + F.greatest(F.col("k"), F.lit(1)) - 1))
+
+
+def spans(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, cover: float = 0.8) -> DataFrame:
+    """doc_id, label, template (its number, phrases first), first_word, last_word, share: a row for every place of a phrase and every passage
+    that covers ``cover`` of a template or more. Repeated rows of a document give a row each."""
+    told = F.when(F.col("base"), F.col("share") == 1).otherwise((F.col("share") >= cover) & F.col("own"))
+    found = _merged(votes(docs, phrases, templates)).filter((F.col("template") >= 0) & told)
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("doc_id", "label", "template", F.col("first").cast("long").alias("first_word"), F.col("last").cast("long").alias("last_word"), "share")
+
+
+def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, cover: float = 0.8) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share of a
+    phrase or template that a span covers, of those that cover ``cover`` or more)."""
+    merged = _merged(votes(docs, phrases, templates))
     place = F.col("base") & (F.col("share") == 1)
-    kept = F.when(F.col("base"), place).otherwise(F.col("share") >= cover) & (F.col("template") >= 0)
+    kept = F.when(F.col("base"), place).otherwise((F.col("share") >= cover) & F.col("own")) & (F.col("template") >= 0)
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = merged.groupBy("doc_id", "rk", "n_words", "copies").agg(
         F.count_if(place).alias("n_base"),

@@ -25,13 +25,13 @@ FROM listed LEFT JOIN kept USING (r)
 
 
 def op9() -> str:
-    rows = []
+    rows, own = [], licenses.telling(licenses.TEMPLATES)
     for i, (text, label) in enumerate([*licenses.PHRASES.items(), *licenses.TEMPLATES.items()]):
         base = i < len(licenses.PHRASES)
         k, words = (2, licenses._words(text)) if base else (4, licenses._words(text))
-        rows += [f"({i}, '{label}', {base}, {len(words) - k + 1}, {k}, {t}, '{' '.join(words[t : t + k])}')" for t in range(len(words) - k + 1)]
+        rows += [f"({i}, '{label}', {base}, {len(words) - k + 1}, {k}, {t}, '{' '.join(words[t : t + k])}', {base or own[i - len(licenses.PHRASES)][t]})" for t in range(len(words) - k + 1)]
     return rf"""
-WITH grams(template, label, base, grams, k, t, gram) AS (VALUES {", ".join(rows)}), listed AS (
+WITH grams(template, label, base, grams, k, t, gram, own) AS (VALUES {", ".join(rows)}), listed AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
 ), places AS (
   SELECT r, words, unnest(range(0, len(words))) AS p FROM listed WHERE len(words) > 0
@@ -39,20 +39,20 @@ WITH grams(template, label, base, grams, k, t, gram) AS (VALUES {", ".join(rows)
   SELECT r, p, 2 AS k, array_to_string(words[p + 1 : p + 2], ' ') AS gram FROM places WHERE p + 2 <= len(words)
   UNION ALL SELECT r, p, 4, array_to_string(words[p + 1 : p + 4], ' ') FROM places WHERE p + 4 <= len(words)
 ), hits AS (
-  SELECT r, template, label, base, grams, k, t, p - t AS diagonal FROM rolling JOIN grams USING (k, gram)
+  SELECT r, template, label, base, grams, k, t, own, p - t AS diagonal FROM rolling JOIN grams USING (k, gram)
 ), apart AS (
   SELECT *, CASE WHEN base OR lag(diagonal) OVER w IS NULL OR diagonal - lag(diagonal) OVER w > {licenses.GAP} THEN 1 ELSE 0 END AS starts
   FROM (SELECT DISTINCT r, template, base, diagonal FROM hits) WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)
 ), numbered AS (
   SELECT *, sum(starts) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM apart
 ), spans AS (
-  SELECT r, template, label, base, span, min(diagonal) AS start, count(DISTINCT w)::DOUBLE / any_value(grams + k - 1) AS share
+  SELECT r, template, label, base, span, min(diagonal) AS start, count(DISTINCT w)::DOUBLE / any_value(grams + k - 1) AS share, bool_or(own) AS own
   FROM (SELECT h.*, span, unnest(range(t, t + k)) AS w FROM hits h JOIN numbered n USING (r, template, diagonal)) GROUP BY r, template, label, base, span
 ), docs AS (
   SELECT r, count(*) FILTER (base AND share = 1) AS n_base, min(start) FILTER (base AND share = 1) AS first_word, max(start) FILTER (base AND share = 1) AS last_word,
     array_to_string(list_sort(list(DISTINCT label) FILTER (base AND share = 1)), ',') AS base_labels,
-    array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN share = 1 ELSE share >= 0.8 END)), ',') AS labels,
-    max(share) FILTER (CASE WHEN base THEN share = 1 ELSE share >= 0.8 END) AS score
+    array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN share = 1 ELSE own AND share >= 0.8 END)), ',') AS labels,
+    max(share) FILTER (CASE WHEN base THEN share = 1 ELSE own AND share >= 0.8 END) AS score
   FROM spans GROUP BY r
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

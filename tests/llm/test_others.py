@@ -1,10 +1,12 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from twins import DATA, connection, same
 
-from corpuslake.llm import ann, html_text, langid, licenses, mixing, queries, urls
+from corpuslake.llm import ann, html_text, langid, licenses, mixing, notices, queries, urls
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -206,6 +208,64 @@ def test_licenses(spark, odd, empty):
     assert isinstance(licenses.scan(empty).toPandas(), pd.DataFrame)
 
 
+def plain_spans(text, templates, cover=0.8):
+    """(label, first word, last word, share) of the passages of a text, gram by gram."""
+    said = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out, seen = [], {}
+    for passage, label in templates.items():
+        for g in zip(*(licenses._words(passage)[j:] for j in range(4))):
+            seen.setdefault(g, set()).add(label)
+    for i, (passage, label) in enumerate([*licenses.PHRASES.items(), *templates.items()]):
+        base, words = i < len(licenses.PHRASES), licenses._words(passage)
+        k, lines = 2 if base else 4, {}
+        for p in range(len(said) - k + 1):
+            for t in range(len(words) - k + 1):
+                if said[p : p + k] == words[t : t + k]:
+                    lines.setdefault(p - t, []).append(t)
+        groups = []
+        for d in sorted(lines):
+            if base or not groups or d - groups[-1][-1] > licenses.GAP:
+                groups.append([])
+            groups[-1].append(d)
+        for g in groups:
+            share = len({t + j for d in g for t in lines[d] for j in range(k)}) / len(words)
+            shared = all(len(seen[x]) > 1 for x in zip(*(words[j:] for j in range(4)))) if not base else True
+            own = shared or any(len(seen[tuple(words[t : t + 4])]) == 1 for d in g for t in lines[d])
+            if share == 1 if base else own and share >= cover:
+                out.append((label, min(d + min(lines[d]) for d in g), max(d + max(lines[d]) + k - 1 for d in g), round(share, 9)))
+    return sorted(out)
+
+
+def test_license_spans_against_plain_search(spark, odd):
+    """Whole notices, with words changed, left out and put in, twice in a text, and only begun."""
+    mit, bsd, zlib = notices.MIT, notices.BSD_2, notices.ZLIB
+    edited = mit.replace("without limitation", "with no limitation").replace("OR OTHERWISE, ", "").replace("copies of the Software", "any copies of the Software")
+    cut = " ".join(bsd.split()[: len(bsd.split()) * 7 // 10])
+    rows = [(1, f"some words {mit} and {bsd}"), (2, edited), (3, f"{zlib} MIT License {zlib.upper()}"), (4, cut), (5, notices.GPL), (6, notices.LGPL), (7, "the software is provided"), (8, None)]
+    rows += [(9 + i, f"{text} tail") for i, text in enumerate(notices.NOTICES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in licenses.spans(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.label, r.first_word, r.last_word, round(r.share, 9)))
+    for doc_id, text in rows:
+        assert sorted(got.get(doc_id, [])) == plain_spans(text, licenses.TEMPLATES), doc_id
+    whole = len(licenses._words(mit))
+    assert ("mit", 2, whole + 1, 1.0) in got[1]
+    assert any(label == "mit" and last - first > 150 and 0.8 <= share < 1 for label, first, last, share in got[2])
+    assert len([x for x in got[3] if x[0] == "zlib"]) == 2
+    assert {x[0] for x in got[4]} == {"bsd"} and all(x[2] < 40 for x in got[4])  # the opening alone
+    labels = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert labels[6] == ("gpl,lgpl", 1.0) and labels[5] == ("gpl", 1.0) and labels[7] == ("", 0.0)
+    for (doc_id, _), label in zip(rows[8:], notices.NOTICES.values()):
+        assert label in labels[doc_id][0].split(",") and labels[doc_id][1] == 1.0
+    told = {}
+    for r in licenses.spans(docs).filter(F.col("template") >= len(licenses.PHRASES)).collect():  # the words of a phrase are in other licenses too
+        told.setdefault(r.doc_id, set()).add(r.label)
+    assert [told[doc_id] for doc_id, _ in rows[8:]] == [{label} for label in notices.NOTICES.values()]
+    assert (told[5], told[6]) == ({"gpl"}, {"lgpl"})
+    assert licenses.spans(odd).count() == 0
+
+
 def test_hot_names_are_looked_up_alike(spark, monkeypatch):
     """Most hosts in one suffix and one domain, with and without broadcast look-ups."""
     rows = [(i, f"http://h{i % 50}.big.com/{i}" if i % 5 else f"http://s{i}.example.{'org' if i % 2 else 'xyz'}/") for i in range(300)]
