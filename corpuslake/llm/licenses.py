@@ -88,8 +88,8 @@ def votes(docs: DataFrame, phrases: Mapping[str, str], templates: Mapping[str, s
     rolled = pairs.select("*", F.zip_with(head(F.col("pairs"), 2), rest(F.col("pairs"), 2), _hash).alias("fours"))
 
     def met(k: int, name: str) -> Column:
-        wanted = [r.h for r in known if r.k == k]
-        places = F.filter(F.sequence(F.lit(0), F.size(name) - 1), lambda i: F.get(F.col(name), i).isin(wanted))
+        wanted = ", ".join(f"{r.h}L" for r in known if r.k == k)  # as text: a column for each takes seconds
+        places = F.expr(f"filter(sequence(0, size({name}) - 1), i -> get({name}, i) IN ({wanted}))") if wanted else F.array().cast("array<int>")
         found = F.transform(places, lambda i: F.struct(F.lit(k).alias("k"), i.alias("p"), F.get(F.col(name), i).alias("h"), F.slice("words", i + 1, k).alias("said")))
         return F.when(F.size(name) > 0, found).otherwise(F.array().cast("array<struct<k:int,p:int,h:bigint,said:array<string>>>"))
 
