@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.values import norm
+from corpuslake.functions.values import cosine, norm
 from corpuslake.sources.scratch import checkpointed
 
 #: Vectors in a block, about; a task holds one block of either side and their product.
@@ -66,6 +66,19 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", w
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def cosines(items: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataFrame:
+    """query_id, ``key``, similarity of every query (query_id, query_vec) with every item (``key``, embedding), null where either has no length.
+
+    Every block of queries meets every block of items in a task of its own, which holds those two blocks alone, whatever the tables' sizes."""
+    left, item_blocks = _in_blocks(items.select(key, "embedding").withColumn("all", F.lit(0)), ["all"], key, "item_block")
+    right, query_blocks = _in_blocks(queries.select("query_id", "query_vec").withColumn("all", F.lit(0)), ["all"], "query_id", "query_block")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(query_blocks, "all").select(key, "embedding", "item_block", to_all("query_blocks").alias("query_block"))
+    right = right.join(item_blocks, "all").select("query_id", "query_vec", F.col("query_block").alias("_query_block"), to_all("item_blocks").alias("_item_block"))
+    met = left.join(right.hint("shuffle_hash"), (F.col("item_block") == F.col("_item_block")) & (F.col("query_block") == F.col("_query_block")))
+    return met.select("query_id", key, cosine(F.col("embedding"), F.col("query_vec")).alias("similarity"))
+
+
 def classes(items: DataFrame, key: str = "key") -> DataFrame:
     """user_id, ``key``, rep: items of a user with one and the same vector are a class; rep is its least key. Vectors without a length stand alone."""
     least = items.groupBy(F.col("user_id").alias("_user"), F.col("embedding").alias("_vector")).agg(F.min(key).alias("rep"))

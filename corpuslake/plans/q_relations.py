@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import policy, values
 from corpuslake.operators import batches, evals, index, lookup, memory, quality, registry, segment
-from corpuslake.operators.vectors import similar_pairs
+from corpuslake.operators.vectors import cosines, similar_pairs
 from corpuslake.plans.registry import query
 from corpuslake.plans.views import Views
 from corpuslake.streaming import streams
@@ -395,12 +395,10 @@ def _cos(a: str, b: str) -> str:
     return f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-@query("v1_cosine", f"SELECT a.key, b.key AS first_key, round({_cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM v_memory a JOIN v_memory b ON b.key = a.key - a.key % 20")
+@query("v1_cosine", f"SELECT query_id, key, round({_cos('embedding', 'query_vec')}, 6) AS similarity FROM v_memory, v_asked")
 def _(v: Views) -> DataFrame:
-    """Every vector with the first one of its twenty."""
-    first = v.memory.select(F.col("key").alias("first_key"), F.col("embedding").alias("first"))
-    rows = v.memory.withColumn("first_key", F.col("key") - F.col("key") % 20).join(first, "first_key")
-    return rows.select("key", "first_key", F.round(values.cosine(F.col("embedding"), F.col("first")), 6).alias("similarity"))
+    """Every question with every vector: the whole product, which grows with the square of the table."""
+    return cosines(v.memory, v.asked_vectors, "key").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("k1_semantic_search", f"SELECT query_id, key AS vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM (SELECT query_id, key, {_cos('embedding', 'query_vec')} AS s FROM v_memory, v_asked)) WHERE rank <= 8")
