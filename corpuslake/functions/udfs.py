@@ -21,10 +21,15 @@ def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
+#: ASCII and the Latin-1 signs and letters that NFKC leaves as they are: no text of these alone is composed, and sharp s is all that folding changes but for case.
+PLAIN = r"^[\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF]*+\z"
+
+
 def nfkc_casefold(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with ``out``: NFKC and full case folding. ASCII rows stay in the JVM; only the others are sent to Python."""
-    plain = F.coalesce(F.col(column), F.lit("")).rlike(r"^[\x00-\x7F]*$")
-    return df.filter(plain).withColumn(out, F.lower(column)).unionByName(df.filter(~plain).withColumn(out, _fold(column)))
+    """``df`` with ``out``: NFKC and full case folding. Rows of ``PLAIN`` characters stay in the JVM; only the others are sent to Python."""
+    plain = F.coalesce(F.col(column), F.lit("")).rlike(PLAIN)
+    folded = F.replace(F.lower(column), F.lit("ß"), F.lit("ss"))
+    return df.filter(plain).withColumn(out, folded).unionByName(df.filter(~plain).withColumn(out, _fold(column)))
 
 
 def hashed_bag(width: int = 64) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:

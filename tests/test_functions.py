@@ -168,3 +168,20 @@ def test_rollout_with_rival_versions(spark):
     assert got == {"old": ("superseded", None), "new": ("done", None), "p": rival, "q": rival, "r": ("activate", None), "s": ("prepare", "no ready extraction")}
     counts = registry.rollout_counts(registry.rollout_plan(docs, runs, chunks, active)).first()
     assert (counts.candidates, counts.ambiguous, counts.superseded, counts.done) == (6, 2, 1, 1)
+
+
+def test_latin_1_is_folded_without_python(spark, monkeypatch):
+    import unicodedata
+
+    texts = [chr(n) for n in range(0x2000)] + ["e\u0301", "Straße É", "É\n", "ABC\u0301", "ΟΔΟΣ", "ﬁ½ Ａ"]
+    want = [unicodedata.normalize("NFKC", t).casefold() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.f for r in udfs.nfkc_casefold(df, "t", "f").orderBy("i").collect()] == want
+
+    @F.pandas_udf("string")
+    def refused(t):
+        raise AssertionError("sent to Python")
+
+    monkeypatch.setattr(udfs, "_fold", refused)
+    plain = spark.createDataFrame([("Straße É",), ("ÀÖØÞ¿\nÑ",), (None,)], "t string")
+    assert [r.f for r in udfs.nfkc_casefold(plain, "t", "f").collect()] == ["strasse é", "àöøþ¿\nñ", None]
