@@ -15,6 +15,9 @@ from corpuslake.operators import segment
 from corpuslake.operators.phrases import token_table
 from corpuslake.plans.registry import VIEWS_SQL
 
+#: White space at the ends of a line, as the twins strip it: no vertical tab, and nothing before a line separator.
+_ENDS = r"^[\t\n\f\r ]+|[\t\n\f\r ]+\z"
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -26,7 +29,7 @@ class Views:
     @cached_property
     def lines(self) -> DataFrame:
         split = self.table("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
-        clean = split.withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).filter("raw <> ''")
+        clean = split.withColumn("raw", F.regexp_replace("raw", _ENDS, "")).filter("raw <> ''")
         numbered = F.concat(((F.floor(F.col("pos") / 2) % 7) + 1).cast("string"), F.lit(". "), F.col("raw"))
         return clean.select("doc_id", "pos", (F.floor(F.col("pos") / 4) + 1).cast("int").alias("page_number"), F.when(F.col("pos") % 2 == 0, numbered).otherwise(F.col("raw")).alias("line"))
 
@@ -146,7 +149,7 @@ class Views:
     def statutes(self) -> tuple[DataFrame, DataFrame]:
         """(pages, documents): an opening page, each document's lines as sections, subsections, paragraphs, subparagraphs, references and Part headings in turn, and a schedule."""
         d = self.table("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
-        clean = d.withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).filter("raw <> ''")
+        clean = d.withColumn("raw", F.regexp_replace("raw", _ENDS, "")).filter("raw <> ''")
         i = F.row_number().over(segment.Window.partitionBy("doc_id").orderBy("pos")) - 1
         rows = clean.withColumn("i", i).withColumn("k", F.floor(F.col("i") / 8))
         kind, raw, text = F.col("i") % 8, F.col("raw"), lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
