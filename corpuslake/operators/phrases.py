@@ -52,22 +52,24 @@ def phrase_matches(quotes: DataFrame, docs: DataFrame, seed: int = SEED_TOKENS)
     return pieces.join(wanted, "quote_id").filter("piece = wanted").select("quote_id", "doc_id", "position")
 
 
-def page_tokens(words: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, position, token, first and last word number: the words of a document in order; a word that ends a line with a hyphen is joined with the next one."""
+def page_tokens(words: DataFrame, key: str = "doc_id", folded: bool = True) -> DataFrame:
+    """key, position, token, first and last word number: the words of a document in order; a word that ends a line with a hyphen is joined with the next one.
+    Spellings are folded as in ``token_table``, or else lower-cased alone."""
     along = Window.partitionBy(key).orderBy("page", "n")
     changes = (F.lead("page").over(along) != F.col("page")) | (F.lead("block").over(along) != F.col("block")) | (F.lead("line").over(along) != F.col("line"))
     near = words.withColumn("_next", F.lead("raw").over(along)).withColumn("_joins", F.col("raw").endswith("-") & F.coalesce(changes, F.lit(False)))
     near = near.withColumn("_joined", F.coalesce(F.lag("_joins").over(along), F.lit(False))).filter("NOT _joined")
     text = F.when(F.col("_joins"), F.concat(F.expr("left(raw, length(raw) - 1)"), F.col("_next"))).otherwise(F.col("raw"))
-    spelt = nfkc_casefold(near.select(key, "page", "n", F.col("_joins").alias("two"), text.alias("_text")), "_text", "_folded")
+    spelt = near.select(key, "page", "n", F.col("_joins").alias("two"), text.alias("_text"))
+    spelt = nfkc_casefold(spelt, "_text", "_folded") if folded else spelt.withColumnRenamed("_text", "_folded")
     each = spelt.select(key, "page", "n", "two", F.posexplode(tokens(F.col("_folded"))).alias("at", "token"))
     return each.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("page", "n", "at")) - 1)
 
 
-def locate(quotes: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
+def locate(quotes: DataFrame, words: DataFrame, pages: DataFrame, folded: bool = True) -> DataFrame:
     """quote_id, doc_id, status (matched, ambiguous, not_found), page, rectangles: where a quote stands in its document from start_page on. Only matches
-    on the nearest page count; more than one there are ambiguous. ``quotes``: quote_id, doc_id, start_page, tokens."""
-    placed = page_tokens(words)
+    on the nearest page count; more than one there are ambiguous. ``quotes``: quote_id, doc_id, start_page, tokens (``folded``: as in ``token_table``)."""
+    placed = page_tokens(words, folded=folded)
     texts = placed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda x: x["token"]).alias("tokens"))
     wanted = quotes.select("quote_id", "start_page", F.size("tokens").alias("length"))
     met = phrase_matches(quotes.select("quote_id", "doc_id", "tokens"), texts).join(wanted, "quote_id")
