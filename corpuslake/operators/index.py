@@ -3,7 +3,7 @@
 Centroids are fitted by k-means on a bounded sample; every vector goes to the list of its nearest centroid. Angles obey the triangle inequality: a vector in a list
 whose farthest member is r from the centroid is no nearer to a query than the query's angle to that centroid less r. So a first pass over the nearest lists that hold k
 vectors bounds the k-th best angle, and a second one over the lists that the bound leaves makes the answer exact. On clustered vectors these are few;
-without structure they are nearly all, and a search may stop at a number of lists instead (``most_lists``).
+without structure they are nearly all. Then whole blocks meet instead, as a query would be sent to each list, or a search may stop at a number of lists (``most_lists``).
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from corpuslake.sources.scratch import checkpointed
 SAMPLE, MOST_LISTS = 50_000, 4096
 #: Angles are compared with this much to spare for rounding.
 SPARE = 1e-6
+#: From this share of all pairs on, a search lets whole blocks meet.
+WHOLE = 0.2
 
 
 def _units(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -87,50 +89,81 @@ class VectorIndex:
             sizes[r.list], radii[r.list] = r.n, r.radius
         return sizes, radii
 
+    def _lists_of(self, batch: pa.RecordBatch, k: int, most_lists: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, wanted) of each query, nearest lists first: without ``reached`` (an angle) those that together hold k vectors are wanted, with it
+        the others that may hold a vector within it."""
+        sizes, radii = self._lists
+        angles = _angles(_units(batch, "query_vec"), self.centroids)
+        order = np.argsort(angles, axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        wanted = (held - sizes[order] < k) & (sizes[order] > 0)
+        if "reached" in batch.schema.names:
+            reached = batch.column("reached").to_numpy(zero_copy_only=False)[:, None]
+            near = np.take_along_axis(angles, order, axis=1) - radii[order] <= reached + SPARE
+            wanted = ~wanted & (sizes[order] > 0) & near
+        if most_lists is not None:
+            wanted &= np.cumsum(sizes[order] > 0, axis=1) <= most_lists
+        return order, wanted
+
+    def _runner(self) -> VectorIndex:
+        """What tasks need: the centroids, and the sizes and radii of their lists."""
+        bare = VectorIndex(None, self.centroids, self.key)
+        bare._lists = self._lists
+        return bare
+
     def _probes(self, queries: DataFrame, k: int, most_lists: int | None) -> DataFrame:
-        """query_id, query_vec, list: without ``reached`` (an angle) the nearest lists that together hold k vectors, with it the others that may
-        hold a vector within it."""
-        centroids, (sizes, radii) = self.centroids, self._lists
-        later = "reached" in queries.columns
+        """query_id, query_vec, list: the wanted lists (``_lists_of``) of each query."""
+        of = self._runner()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows or not sizes.any():
-                    continue
-                angles = _angles(_units(batch, "query_vec"), centroids)
-                order = np.argsort(angles, axis=1, kind="stable")
-                held = np.cumsum(sizes[order], axis=1)
-                first = (held - sizes[order] < k) & (sizes[order] > 0)
-                if most_lists is not None:
-                    first &= np.cumsum(sizes[order] > 0, axis=1) <= most_lists
-                if later:
-                    reached = batch.column("reached").to_numpy(zero_copy_only=False)[:, None]
-                    near = np.take_along_axis(angles, order, axis=1) - radii[order] <= reached + SPARE
-                    wanted = ~first & (sizes[order] > 0) & near
-                    if most_lists is not None:
-                        wanted &= np.cumsum(sizes[order] > 0, axis=1) <= most_lists
-                else:
-                    wanted = first
-                row, at = np.nonzero(wanted)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("query_vec").take(pa.array(row)), pa.array(order[row, at].astype(np.int32))], ["query_id", "query_vec", "list"])
+                if batch.num_rows and of._lists[0].any():
+                    order, wanted = of._lists_of(batch, k, most_lists)
+                    row, at = np.nonzero(wanted)
+                    yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("query_vec").take(pa.array(row)), pa.array(order[row, at].astype(np.int32))], ["query_id", "query_vec", "list"])
 
         kinds = dict(queries.dtypes)
         return queries.mapInArrow(run, f"query_id {kinds['query_id']}, query_vec {kinds['query_vec']}, list int")
 
-    def probes(self, queries: DataFrame, k: int, most_lists: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(the probes (query_id, query_vec, list) that a search makes, the k best of the first pass)."""
+    def _share(self, queries: DataFrame, k: int, most_lists: int | None) -> float:
+        """Share of all pairs of a query and a vector that the queries' wanted lists hold; nothing but sums leaves the tasks."""
+        of = self._runner()
+        stored = int(of._lists[0].sum())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and stored:
+                    order, wanted = of._lists_of(batch, k, most_lists)
+                    met = int((of._lists[0][order] * wanted).sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([batch.num_rows * stored])], ["met", "pairs"])
+
+        met, pairs = queries.mapInArrow(run, "met long, pairs long").agg(F.sum("met"), F.sum("pairs")).first()
+        return (met or 0) / (pairs or 1)
+
+    def _first(self, queries: DataFrame, k: int, most_lists: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(the probes of the first pass, their k best, the queries with the angle that the k-th best reached)."""
         asked = queries.select("query_id", "query_vec").filter(norm(F.col("query_vec")) > 0)
         first = checkpointed(self._probes(asked, k, most_lists))
         best = checkpointed(vectors.nearest(self.table, first, k, self.key, ("list",)))
         # A query that has met fewer than k may be near to anything.
         kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("similarity"))))).otherwise(F.lit(4.0)).alias("reached"))
-        later = checkpointed(self._probes(asked.join(kth, "query_id"), k, most_lists))
+        return first, best, asked.join(kth, "query_id")
+
+    def probes(self, queries: DataFrame, k: int, most_lists: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(the probes (query_id, query_vec, list) that a search by lists makes, the best that they find)."""
+        first, best, asked = self._first(queries, k, most_lists)
+        later = checkpointed(self._probes(asked, k, most_lists))
         return first.union(later), best.unionByName(vectors.nearest(self.table, later, k, self.key, ("list",)))
 
     def search(self, queries: DataFrame, k: int, most_lists: int | None = None) -> DataFrame:
         """query_id, rank, key, similarity: the k vectors most like each query (query_id, query_vec) by cosine, ties by key: exactly, unless ``most_lists``
         stops a query at so many of its nearest lists. Queries without a length find nothing."""
-        _, best = self.probes(queries, k, most_lists)
+        _, best, asked = self._first(queries, k, most_lists)
+        asked = checkpointed(asked)
+        if most_lists is None and self._share(asked, k, None) >= WHOLE:
+            return vectors.nearest(self.table, asked, k, self.key)
+        later = checkpointed(self._probes(asked, k, most_lists))
+        best = best.unionByName(vectors.nearest(self.table, later, k, self.key, ("list",)))
         order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), self.key))
         return best.withColumn("rank", order).filter(F.col("rank") <= k)
 

@@ -15,6 +15,8 @@ from corpuslake.sources.scratch import checkpointed
 
 #: Vectors in a block, about; a task holds one block of either side and their product.
 BLOCK = 2048
+#: ``nearest`` keeps few rows of a product, so its blocks are so many times larger, and SPAN queries are scored at a time.
+WIDE, SPAN = 4, 512
 #: Vectors of a group that angles are measured to, and the steps of an angle that part its cells.
 PIVOTS, STEP = 8, 0.1
 
@@ -25,9 +27,9 @@ def _unit(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_n", size).filter("_n > 0").withColumn("unit", F.transform(column, lambda x: x.cast("double") / F.col("_n"))).withColumn("dims", F.size(column)).drop("_n")
 
 
-def _in_blocks(df: DataFrame, within: list[str], key: str, name: str) -> tuple[DataFrame, DataFrame]:
+def _in_blocks(df: DataFrame, within: list[str], key: str, name: str, wide: int = 1) -> tuple[DataFrame, DataFrame]:
     """(``df`` with the number of its block, the number of blocks of each group)."""
-    counts = df.groupBy(*within).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}s"))
+    counts = df.groupBy(*within).agg(F.ceil(F.count("*") / (wide * BLOCK)).cast("int").alias(f"{name}s"))
     return df.join(counts, within).withColumn(name, F.pmod(F.xxhash64(key), F.col(f"{name}s")).cast("int")).drop(f"{name}s"), counts
 
 
@@ -36,14 +38,28 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _best_of(scores: np.ndarray, k: int, since: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows from ``since`` on, columns, scores) of each row's ``k`` best scores, ties by column; NaN is less than any."""
+    odd = np.isnan(scores)
+    scores[odd] = -np.inf
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+    rows, columns = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((columns, -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    rows, columns = rows[first], columns[first]
+    return rows + since, columns, np.where(odd[rows, columns], np.nan, scores[rows, columns])
+
+
 def nearest(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", within: tuple[str, ...] = ()) -> DataFrame:
     """query_id, rank, ``key``, similarity: the ``k`` items most like each query by cosine, ties by key, of its own group where ``within`` names columns.
 
     Every block of queries meets every block of items in a task; a query's ``k`` best of each block are all that is shuffled again.
     Vectors of another length are never compared; those without a length take no part."""
     group = ["dims", *within]
-    left, item_blocks = _in_blocks(_unit(items.select(key, *within, "embedding"), "embedding"), group, key, "item_block")
-    right, query_blocks = _in_blocks(_unit(queries.select("query_id", *within, "query_vec"), "query_vec"), group, "query_id", "query_block")
+    left, item_blocks = _in_blocks(_unit(items.select(key, *within, "embedding"), "embedding"), group, key, "item_block", WIDE)
+    right, query_blocks = _in_blocks(_unit(queries.select("query_id", *within, "query_vec"), "query_vec"), group, "query_id", "query_block", WIDE)
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = left.join(query_blocks, group).select(*group, key, "unit", "item_block", to_all("query_blocks").alias("query_block"))
     right = right.join(item_blocks, group).select(*group, "query_id", "unit", "query_block", to_all("item_blocks").alias("item_block"))
@@ -55,10 +71,10 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", w
         if not a.num_rows or not b.num_rows:
             return pa.table({"query_id": b["query_id"].slice(0, 0), key: a[key].slice(0, 0), "similarity": pa.array([], pa.float64())})
         a = a.sort_by(key)
-        scores = _matrix(b["unit"]) @ _matrix(a["unit"]).T
-        first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(scores)), first.shape[1])
-        return pa.table({"query_id": b["query_id"].take(rows), key: a[key].take(first.ravel()), "similarity": scores[rows, first.ravel()]})
+        stored, asked = _matrix(a["unit"]), _matrix(b["unit"])
+        found = [_best_of(asked[s : s + SPAN] @ stored.T, k, s) for s in range(0, len(asked), SPAN)]
+        rows, columns, scores = (np.concatenate(parts) for parts in zip(*found))
+        return pa.table({"query_id": b["query_id"].take(rows), key: a[key].take(columns), "similarity": scores})
 
     kinds = dict(items.dtypes) | dict(queries.dtypes)
     found = left.groupBy(*at).cogroup(right.groupBy(*(f"_{c}" for c in at))).applyInArrow(best, f"query_id {kinds['query_id']}, {key} {kinds[key]}, similarity double")

@@ -1,8 +1,10 @@
 """Vector queries do their whole jobs."""
 
+import numpy as np
 from twins import DATA, connection, same
 
 from corpuslake import plans
+from corpuslake.operators import index, vectors
 from corpuslake.operators.vectors import cosines
 
 
@@ -22,3 +24,39 @@ def test_cosines_in_blocks(spark, monkeypatch):
     assert len(got) == 7 * 12
     assert got[0, 0] == 1 and got[3, 10] is None and got[3, 11] is None
     assert abs(got[2, 2] + 0.6) < 1e-12
+
+
+def test_an_index_without_structure_lets_whole_blocks_meet(spark, monkeypatch):
+    """Vectors that lists can't part: every list would be sent every query, so none but the first pass is."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(900)] + [(900, [0.0] * 24)]
+    rows += [(901 + i, rows[i][1]) for i in range(5)]  # copies tie
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = items.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vec")
+    built = index.VectorIndex.fit(items)
+    probes, sent = built._probes, []
+
+    def seen(queries, k, most_lists):
+        out = probes(queries, k, most_lists)
+        sent.append("reached" in queries.columns)
+        return out
+
+    monkeypatch.setattr(built, "_probes", seen)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in built.search(asked, 8).collect()}
+    assert sent == [False]
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    kept = np.flatnonzero(np.linalg.norm(x, axis=1) > 0)
+    unit = x[kept] / np.linalg.norm(x[kept], axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 900, 20):
+        scores = np.round(unit @ unit[q], 12)
+        for rank, at in enumerate(np.lexsort((kept, -scores))[:8]):
+            want[q, rank + 1] = kept[at]
+    assert got == want
+
+
+def test_best_of_a_block():
+    scores = np.array([[1.0, 3.0, 3.0, 3.0], [np.nan, 0.5, 2.0, 0.5]])
+    rows, columns, best = vectors._best_of(scores, 2, 10)
+    assert list(zip(rows, columns, best)) == [(10, 1, 3.0), (10, 2, 3.0), (11, 2, 2.0), (11, 1, 0.5)]
+    assert np.isnan(vectors._best_of(np.array([[np.nan, 1.0]]), 5, 0)[2]).tolist() == [False, True]
