@@ -467,7 +467,7 @@ def _(v: Views) -> DataFrame:
 @query("q5_fingerprint", "SELECT count(*) AS rows, true AS equal FROM v_sections")
 def _(v: Views) -> DataFrame:
     """The sections, built twice, from lines dealt out differently."""
-    again = segment.chunk_sections(v.lines.repartition(7, "pos"), key="doc_id")
+    again = segment.chunk_sections(v.lines.repartition("pos", "doc_id"), key="doc_id")
     return quality.same_content(v.sections, again)
 
 
