@@ -218,12 +218,13 @@ def _innermost(spans: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
     Nodes and spans of a group go by in order of their starts, and of each kind the node that began last is the only one that may still be open. Groups
     where nodes of a kind overlap or have another kind, and spans without length, are joined with all nodes instead."""
     step = F.coalesce(F.nullif(F.regexp_extract("provision_id", "([a-z]+):[^/]*$", 1), F.lit("")), F.lit("?"))
-    known = nodes.select(*by, "provision_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna().withColumn("step", step)
-    asked = spans.select(*by, "span_id", F.col("_s").cast("long").alias("_s"), F.col("_e").cast("long").alias("_e")).dropna()
+    # Both are read several times, and are narrow: what they are made from is worked out once.
+    every = checkpointed(nodes.select(*by, "provision_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna()).withColumn("step", step)
+    asked = checkpointed(spans.select(*by, "span_id", F.col("_s").cast("long").alias("_s"), F.col("_e").cast("long").alias("_e")).dropna())
     after = Window.partitionBy(*by, "step").orderBy("start", "end")
     overlaps = (F.lead("start").over(after) < F.col("end")) | (F.lead("start").over(after) == F.col("start"))
-    odd = known.withColumn("_odd", ~F.col("step").isin(*STEPS) | F.coalesce(overlaps, F.lit(False))).filter("_odd").select(*by).distinct()
-    (fine, odd_asked), (known, odd_known) = _apart(asked.filter("_e > _s"), by, odd), _apart(known, by, odd)
+    odd = every.withColumn("_odd", ~F.col("step").isin(*STEPS) | F.coalesce(overlaps, F.lit(False))).filter("_odd").select(*by).distinct()
+    (fine, odd_asked), (known, odd_known) = _apart(asked.filter("_e > _s"), by, odd), _apart(every, by, odd)
     node = F.struct((-path_depth(F.col("provision_id"))).alias("up"), "provision_id", "start", "end").alias("node")
     opens = known.select(*by, F.col("start").alias("at"), "step", node)
     kind = opens.schema["node"].dataType
@@ -233,7 +234,7 @@ def _innermost(spans: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
     last = [F.last(F.when(F.col("step") == s, F.col("node")), ignorenulls=True).over(so_far).alias(s) for s in STEPS]
     open_ = F.filter(F.array(*STEPS), lambda n: n["end"] >= F.col("_e"))
     swept = rows.select("*", *last).filter("step IS NULL").select(*by, "span_id", F.array_min(open_).alias("o")).filter("o IS NOT NULL")
-    rest = asked.filter("_e <= _s").join(nodes.select(*by, "provision_id", "start", "end"), by)
+    rest = asked.filter("_e <= _s").join(every.drop("step"), by)
     rest = rest.unionByName(odd_asked.join(odd_known.drop("step"), by)).filter("start <= _s AND end >= _e")
     joined = rest.groupBy(*by, "span_id").agg(F.min(F.struct((-path_depth(F.col("provision_id"))).alias("up"), "provision_id", "start", "end")).alias("o"))
     return swept.unionByName(joined)

@@ -12,3 +12,7 @@ def optimized(spark, name):
 def test_q5_deals_lines_to_as_many_tasks_as_a_shuffle_has(spark):
     dealt = [line for line in optimized(spark, "q5_fingerprint").splitlines() if "RepartitionByExpression" in line]
     assert dealt and all(line.rstrip().endswith("]") for line in dealt)
+
+
+def test_j12_makes_spans_and_nodes_once(spark):
+    assert "parquet" not in optimized(spark, "j12_nested_owner")
