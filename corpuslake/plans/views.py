@@ -14,6 +14,7 @@ from corpuslake.functions.values import tokens
 from corpuslake.operators import segment
 from corpuslake.operators.phrases import token_table
 from corpuslake.plans.registry import VIEWS_SQL
+from corpuslake.sources.scratch import checkpointed
 
 #: White space at the ends of a line, as the twins strip it: no vertical tab, and nothing before a line separator.
 _ENDS = r"^[\t\n\f\r ]+|[\t\n\f\r ]+\z"
@@ -164,6 +165,7 @@ class Views:
             .otherwise(raw)
         )
         body = rows.withColumn("line", line).groupBy("doc_id", (F.col("k") + 2).cast("int").alias("page_number")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        body = checkpointed(body)  # pages and documents are made of it, and are read more than once
         ends = body.groupBy("doc_id").agg(F.max("page_number").alias("last"))
         opening = ends.select("doc_id", F.lit(1).alias("page_number"), F.lit("An Act\n1. Short title").alias("text"))
         schedule = ends.select("doc_id", (F.col("last") + 1).alias("page_number"), F.lit("FIRST SCHEDULE\nForms that section 2 of this Act names").alias("text"))

@@ -3,6 +3,7 @@
 from twins import DATA
 
 from corpuslake import plans
+from corpuslake.plans.views import Views
 
 
 def optimized(spark, name):
@@ -16,3 +17,7 @@ def test_q5_deals_lines_to_as_many_tasks_as_a_shuffle_has(spark):
 
 def test_j12_makes_spans_and_nodes_once(spark):
     assert "parquet" not in optimized(spark, "j12_nested_owner")
+
+
+def test_pages_of_statutes_are_made_once(spark):
+    assert all("parquet" not in t._jdf.queryExecution().optimizedPlan().toString() for t in Views(spark, DATA).statutes)
