@@ -96,9 +96,17 @@ def line_rectangles(words: DataFrame, pages: DataFrame, key: list[str]) -> DataF
 
 
 def words_for_spans(spans: DataFrame, text_tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """span_id, n of the words under each span of a page's text. Text tokens (doc_id, page, position, token, first, last) and words meet by their place; a page where they differ anywhere gives nothing."""
-    met = text_tokens.join(words.select("doc_id", "page", F.col("n").alias("position"), F.lower("raw").alias("raw")), ["doc_id", "page", "position"], "full_outer")
-    fine = met.withColumn("_same", F.bool_and(F.coalesce(F.col("token") == F.col("raw"), F.lit(False))).over(Window.partitionBy("doc_id", "page"))).filter("_same")
+    """span_id, n of the words under each span of a page's text. Text tokens (doc_id, page, position, token, first, last) and words meet by their place, which each has to itself;
+    a page where they differ anywhere gives nothing. Pages are dealt out once, for the comparison and for the spans."""
+    kinds = dict(text_tokens.dtypes)
+    ours = text_tokens.select("doc_id", "page", "position", F.lit(0).alias("side"), "token", "first", "last")
+    theirs = words.select("doc_id", "page", F.col("n").alias("position"), F.lit(1).alias("side"), F.lower("raw").alias("token"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("first", "last")))
+    along = Window.partitionBy("doc_id", "page").orderBy("position", "side")
+    # A token is followed by the word at its place that equals it, and a word follows its token.
+    meets = lambda other: (other("position").over(along) == F.col("position")) & (other("side").over(along) != F.col("side"))
+    fits = F.when(F.col("side") == 0, meets(F.lead) & (F.lead("token").over(along) == F.col("token"))).otherwise(meets(F.lag))
+    met = ours.unionByName(theirs).repartition("doc_id", "page").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    fine = met.withColumn("_same", F.bool_and("_fits").over(Window.partitionBy("doc_id", "page"))).filter("_same AND side = 0")
     return spans.join(fine, ["doc_id", "page"]).filter("first < end AND last > start").select("span_id", "doc_id", "page", F.col("position").alias("n"))
 
 

@@ -3,6 +3,7 @@
 from twins import DATA
 
 from corpuslake import plans
+from corpuslake.operators import phrases
 from corpuslake.plans.views import Views
 
 
@@ -21,3 +22,19 @@ def test_j12_makes_spans_and_nodes_once(spark):
 
 def test_pages_of_statutes_are_made_once(spark):
     assert all("parquet" not in t._jdf.queryExecution().optimizedPlan().toString() for t in Views(spark, DATA).statutes)
+
+
+def test_j13_deals_words_out_once(spark):
+    """Tokens and words are shuffled by page together; nothing but the spans is shuffled beside them."""
+    plan = plans.QUERIES["j13_words_for_spans"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_words_for_spans_where_pages_differ(spark):
+    tokens = [(1, 1, 0, "a", 0, 9), (1, 1, 1, "b", 10, 19), (1, 2, 2, "c", 0, 9), (1, 2, 3, "d", 10, 19), (2, 1, 0, "a", 0, 9), (3, 1, 0, "a", 0, 9), (3, 1, 1, None, 10, 19)]
+    words = [(1, 1, 0, "A"), (1, 1, 1, "b"), (1, 2, 2, "c"), (1, 2, 3, "x"), (2, 1, 0, "a"), (2, 1, 1, "more"), (3, 1, 0, "a"), (3, 1, 1, "b")]
+    spans = [(f"{d}-{p}", d, p, 5, 15) for d in (1, 2, 3) for p in (1, 2)]
+    t = spark.createDataFrame(tokens, "doc_id long, page int, position int, token string, first int, last int")
+    w = spark.createDataFrame(words, "doc_id long, page int, n int, raw string")
+    s = spark.createDataFrame(spans, "span_id string, doc_id long, page int, start int, end int")
+    assert sorted(map(tuple, phrases.words_for_spans(s, t, w).collect())) == [("1-1", 1, 1, 0), ("1-1", 1, 1, 1)]
