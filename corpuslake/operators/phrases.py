@@ -116,11 +116,12 @@ def attach_evidence(claims: DataFrame, citations: DataFrame, chunks: DataFrame,
     cited = claims.filter("supported").join(citations.select("turn_id", "chunk_id").distinct(), ["turn_id", "chunk_id"], "left_semi")
     of = chunks.select("chunk_id", "document_id", "extraction_id")
     sized = cited.join(of, "chunk_id").filter("document_id = claim_document AND extraction_id <=> claim_extraction").filter(F.length("quote") <= longest)
-    sized = sized.select("claim_id", "turn_id", "chunk_id", "quote", "claim", tokens(F.col("quote")).alias("q"))
+    sized = checkpointed(sized.select("claim_id", "turn_id", "chunk_id", "quote", "claim", tokens(F.col("quote")).alias("q")))
+    asked = lambda df, key: df.join(sized.select(key).distinct(), key, "left_semi")
     of_quotes = lambda text, doc: token_table(sized.select(F.struct(F.col("claim_id").alias("quote_id"), F.col(doc).alias("doc_id")).alias("k"), text), "k", text).select("k.*", "tokens")
     of_texts = lambda df, doc, text: token_table(df.select(F.col(doc).alias("doc_id"), text), "doc_id", text)
-    in_chunk = phrase_matches(of_quotes("quote", "chunk_id"), of_texts(chunks, "chunk_id", "content"))
-    in_draft = phrase_matches(of_quotes("claim", "turn_id"), of_texts(drafts, "turn_id", "draft"))
+    in_chunk = phrase_matches(of_quotes("quote", "chunk_id"), of_texts(asked(chunks, "chunk_id"), "chunk_id", "content"))
+    in_draft = phrase_matches(of_quotes("claim", "turn_id"), of_texts(asked(drafts, "turn_id"), "turn_id", "draft"))
     both = in_chunk.select("quote_id").distinct().join(in_draft.select("quote_id").distinct(), "quote_id").withColumnRenamed("quote_id", "claim_id")
     kept = sized.join(both, "claim_id", "left_semi").withColumn("mark", F.sha2(F.array_join("q", " "), 256))
     return kept.groupBy("turn_id", "chunk_id", "mark").agg(F.min("claim_id").alias("claim_id")).select("claim_id", "chunk_id")

@@ -38,3 +38,7 @@ def test_words_for_spans_where_pages_differ(spark):
     w = spark.createDataFrame(words, "doc_id long, page int, n int, raw string")
     s = spark.createDataFrame(spans, "span_id string, doc_id long, page int, start int, end int")
     assert sorted(map(tuple, phrases.words_for_spans(s, t, w).collect())) == [("1-1", 1, 1, 0), ("1-1", 1, 1, 1)]
+
+
+def test_j10_makes_chunks_once(spark):
+    assert "parquet" not in optimized(spark, "j10_attach_evidence")
