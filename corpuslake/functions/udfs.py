@@ -60,9 +60,10 @@ def embed(df: DataFrame, column: str, out: str = "embedding", embedder: Callable
     return df.withColumn(out, F.pandas_udf(batches, T.ArrayType(T.FloatType()))(tokens(F.col(column))))
 
 
-def matches(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
+def matches(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]], lines: bool = True) -> DataFrame:
     """The columns of ``df`` but ``text``, with a row for each match of the patterns (kind, pattern) in it: kind, literal, first, last
-    (half-open, in code points), label and label_at (of the group ``label``, else null), and line: the whole lines that the match stands on, trimmed.
+    (half-open, in code points), label and label_at (of the group ``label``, else null), and line: the whole lines that the match stands on, trimmed
+    (null without ``lines``: a copy for each match is much where a line is a whole text).
 
     Patterns are compiled once a task, and texts don't travel with their matches."""
     keep = [f for f in df.schema.fields if f.name != text]
@@ -72,8 +73,10 @@ def matches(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]]) -> Da
         for kind, rule in rules:
             named = "label" in rule.groupindex
             for m in rule.finditer(value):
-                since, until = value.rfind("\n", 0, m.start()) + 1, value.find("\n", m.end())
-                line = value[since : until if until >= 0 else len(value)].strip()
+                line = None
+                if lines:
+                    since, until = value.rfind("\n", 0, m.start()) + 1, value.find("\n", m.end())
+                    line = value[since : until if until >= 0 else len(value)].strip()
                 yield kind, m.group(0), m.start(), m.end(), m.group("label") if named else None, m.start("label") if named else None, line
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

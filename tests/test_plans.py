@@ -3,6 +3,7 @@
 from twins import DATA
 
 from corpuslake import plans
+from corpuslake.functions import udfs
 from corpuslake.operators import phrases
 from corpuslake.plans.views import Views
 
@@ -42,3 +43,10 @@ def test_words_for_spans_where_pages_differ(spark):
 
 def test_j10_makes_chunks_once(spark):
     assert "parquet" not in optimized(spark, "j10_attach_evidence")
+
+
+def test_matches_without_lines_copy_none(spark):
+    texts = spark.createDataFrame([(1, "a 1 b 22\n3")], "k int, text string")
+    got = [(r.literal, r.line) for r in udfs.matches(texts, "text", (("number", "[0-9]+"),), lines=False).collect()]
+    assert got == [("1", None), ("22", None), ("3", None)]
+    assert {r.line for r in udfs.matches(texts, "text", (("number", "[0-9]+"),)).collect()} == {"a 1 b 22", "3"}
