@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,6 +20,8 @@ BLOCK = 2048
 WIDE, SPAN = 4, 512
 #: Vectors of a group that angles are measured to, and the steps of an angle that part its cells.
 PIVOTS, STEP = 8, 0.1
+#: Bytes of vectors, about, in a wide block of ``similar_pairs``, which is what travels, and the scores computed at a time there.
+PAIRED, SCORES = 1 << 24, 1 << 21
 
 
 def _unit(df: DataFrame, column: str) -> DataFrame:
@@ -125,8 +128,8 @@ def _cells(rows: DataFrame, group: list[str], key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*group, key, "unit")), pa.array(list(made), pa.list_(pa.float64()))], [*group, key, "unit", "angles"])
 
     kinds = dict(rows.dtypes)
-    # One length of vectors at a time in a batch.
-    dealt = large.join(pivots, group).repartition(*group, F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("dims")
+    # One length of vectors at a time in a batch. Pivots are PIVOTS of more than BLOCK vectors of a group, few enough to go to all, and vectors stay where they are.
+    dealt = large.sortWithinPartitions("dims").join(F.broadcast(pivots), group)
     made = dealt.mapInArrow(_by_dims(angles), ", ".join(f"{c} {kinds[c]}" for c in (*group, key, "unit")) + ", angles array<double>")
     near = F.array_min("angles")
     cell = (F.array_position("angles", near) * 64 + F.floor(near / STEP)).alias("cell")
@@ -161,27 +164,64 @@ def block_pairs(cells: DataFrame, group: list[str], threshold: float) -> DataFra
     return met.select(*group, F.col("own").alias("low"), F.col("_own").alias("high"), (~far).alias("near"))
 
 
+def wide_pairs(cells: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """group, low, high, wide_low, wide_high: the pairs of blocks that may hold vectors at or over the threshold (``block_pairs``), and the wide blocks that they lie in.
+    A group's blocks in order make wide blocks of PAIRED bytes, or of one block if that has more."""
+    blocks = cells.groupBy(*group, "own").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
+    wide = F.floor(F.coalesce(before, F.lit(0)) * F.col("dims") * 8 / PAIRED)
+    placed = blocks.select(*group, "own", wide.alias("wide"))
+    pairs = block_pairs(cells, group, threshold).filter("near").drop("near")
+    for end in ("low", "high"):
+        pairs = pairs.join(placed.withColumnsRenamed({"own": end, "wide": f"wide_{end}"}), [*group, end])
+    return pairs
+
+
 def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
     """user_id, a, b, similarity: the pairs of one user's distinct vectors (by their least keys, a below b) at or over the threshold.
-    ``classes`` has the items that share a vector. Only blocks that may hold such pairs (``block_pairs``) meet."""
+    ``classes`` has the items that share a vector. Only blocks that may hold such pairs (``block_pairs``) are multiplied.
+
+    A task has a pair of wide blocks, so that a vector travels once for each wide block that it has to meet, however many blocks that holds. It multiplies
+    the blocks' pairs by and by and gives their rows away as they come."""
     reps = items.groupBy("user_id", "embedding").agg(F.min("key").alias("key"))
     group = ["dims", "user_id"]
-    cells = checkpointed(_cells(_unit(reps, "embedding"), group, "key"))
-    pairs = block_pairs(cells, group, threshold).filter("near").drop("near")
-    ends = pairs.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("own"))
-    dealt = cells.drop("angles").join(ends, [*group, "own"])
-
-    def close(t: pa.Table) -> pa.Table:
-        own, low = t["own"].to_numpy(), t["low"][0].as_py()
-        near = t.filter(pa.array(own == low))
-        far = near if t["high"][0].as_py() == low else t.filter(pa.array(own != low))
-        scores = _matrix(near["unit"]) @ _matrix(far["unit"]).T if near.num_rows and far.num_rows else np.empty((0, 0))
-        i, j = np.nonzero(scores >= threshold)
-        a, b = near["key"].take(i), far["key"].take(j)
-        above = pc.greater(a, b)
-        out = pa.table({"user_id": near["user_id"].take(i), "a": pc.if_else(above, b, a), "b": pc.if_else(above, a, b), "similarity": scores[i, j]})
-        # Within one block each pair is met from either side.
-        return out.filter(pc.less(a, b)) if far is near else out
-
+    units = checkpointed(_unit(reps, "embedding").drop("embedding"))
+    cells = checkpointed(_cells(units, group, "key"))
+    pairs = checkpointed(wide_pairs(cells, group, threshold))
+    at = [*group, "wide_low", "wide_high"]
+    ends = pairs.select(*at, F.explode(F.array("low", "high")).alias("own")).distinct()
+    dealt = cells.drop("angles").join(ends, [*group, "own"]).withColumn("highs", F.lit(None).cast("array<long>"))
+    highs = pairs.groupBy(*at, F.col("low").alias("own")).agg(F.sort_array(F.collect_list("high")).alias("highs"))
+    dealt = dealt.unionByName(highs, allowMissingColumns=True)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        lists = t.filter(pc.is_valid(t["highs"])).select(["own", "highs"]).to_pylist()
+        rows = t.filter(pc.is_null(t["highs"])).sort_by("own")
+        del t
+        own, units = rows["own"].to_numpy(), _matrix(rows["unit"])
+        keys, user = rows["key"].combine_chunks(), rows["user_id"].combine_chunks()
+        del rows
+        place = lambda block: (int(np.searchsorted(own, block)), int(np.searchsorted(own, block, "right")))
+        for x in lists:
+            runs = []
+            for since, until in map(place, x["highs"]):
+                if runs and runs[-1][1] == since:
+                    since = runs.pop()[0]
+                runs.append((since, until))
+            first, last = place(x["own"])
+            for since, until in runs:
+                step = max(1, SCORES // (until - since))
+                for start in range(first, last, step):
+                    scores = units[start : min(start + step, last)] @ units[since:until].T
+                    i, j = np.nonzero(scores >= threshold)
+                    similarity, i, j = scores[i, j], i + start, j + since
+                    a, b = keys.take(pa.array(i)), keys.take(pa.array(j))
+                    above = pc.greater(a, b)
+                    out = pa.RecordBatch.from_arrays([user.take(pa.array(i)), pc.if_else(above, b, a), pc.if_else(above, a, b), pa.array(similarity)], ["user_id", "a", "b", "similarity"])
+                    # Within one block each pair is met from either side.
+                    yield out.filter(pc.or_(pc.less(a, b), pa.array(own[i] != own[j])))
+
+    close.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     kinds = dict(items.dtypes)
-    return dealt.groupBy(*group, "low", "high").applyInArrow(close, f"user_id {kinds['user_id']}, a {kinds['key']}, b {kinds['key']}, similarity double")
+    return dealt.groupBy(*at).applyInArrow(close, f"user_id {kinds['user_id']}, a {kinds['key']}, b {kinds['key']}, similarity double")

@@ -143,3 +143,23 @@ def test_similar_pairs_of_a_large_user_meet_in_few_blocks(spark, monkeypatch):
     group = ["dims", "user_id"]
     pairs = vectors.block_pairs(vectors._cells(vectors._unit(items, "embedding"), group, "key"), group, 0.88).agg(F.count_if("near"), F.count("*")).first()
     assert pairs[0] < 0.6 * pairs[1]
+
+
+def test_vectors_travel_by_wide_blocks(spark, monkeypatch):
+    """Vectors without structure, of which no pair of blocks can be left out: copies of a vector are as many as its user's wide blocks, not as its blocks."""
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "PAIRED", 200 * 6 * 8)
+    monkeypatch.setattr(vectors, "SCORES", 700)
+    x = np.random.default_rng(5).normal(size=(600, 6))
+    items = spark.createDataFrame([(1 + (i % 40 == 0), i, v.tolist()) for i, v in enumerate(x)], "user_id long, key long, embedding array<double>")
+    user = np.arange(600) % 40 == 0
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.triu(unit @ unit.T >= 0.88, 1) & (user[:, None] == user)
+    got = [(r.a, r.b) for r in vectors.similar_pairs(items, 0.88).collect()]
+    assert sorted(got) == sorted(zip(*(k.tolist() for k in np.nonzero(near)))) and len(got) > 100
+    group = ["dims", "user_id"]
+    cells = vectors._cells(vectors._unit(items, "embedding"), group, "key")
+    pairs = vectors.wide_pairs(cells, group, 0.88).filter("user_id = 1")
+    either = pairs.select("*", F.explode(F.array("low", "high")).alias("own"))
+    copies = lambda *at: either.select("own", *at).distinct().groupBy("own").count().agg(F.max("count")).first()[0]
+    assert copies("wide_low", "wide_high") <= 3 < 20 < copies("low", "high")
