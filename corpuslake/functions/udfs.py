@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,32 +34,42 @@ def nfkc_casefold(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.filter(plain).withColumn(out, folded).unionByName(df.filter(~plain).withColumn(out, _fold(column)))
 
 
-def hashed_bag(width: int = 64) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    """The default embedder: unit vectors of token counts, each token hashed to a place."""
+def hashed_bag(width: int = 64, rows: int = 512) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """The default embedder: unit vectors of token counts, each token hashed to a place. Tokens stay in Arrow arrays, so many ``rows`` at a time, of which each distinct token is looked up once; the places last asked for are kept."""
     from hashlib import sha256
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def hashed(word: str) -> int:
+        return int.from_bytes(sha256(word.encode()).digest()[:4], "big") % width
+
+    def counted(lists: pa.Array, place: Callable[[str], int]) -> np.ndarray:
+        encoded = lists.flatten().dictionary_encode()
+        places = np.fromiter(map(place, encoded.dictionary.to_pylist()), dtype=np.int64)
+        at = pc.list_parent_indices(lists).to_numpy() * width + places[encoded.indices.to_numpy()]
+        return np.bincount(at, minlength=len(lists) * width).reshape(-1, width)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        place = lru_cache(maxsize=1 << 17)(hashed)
         for lists in batches:
-            out = []
-            for words in lists:
-                v = np.zeros(width)
-                for w in words if words is not None else ():
-                    v[int.from_bytes(sha256(w.encode()).digest()[:4], "big") % width] += 1
-                out.append((v / (np.linalg.norm(v) or 1)).astype(np.float32))
-            yield pd.Series(out)
+            out = np.zeros((len(lists), width), dtype=np.float32)
+            for start in range(0, len(lists), rows):
+                n = counted(lists.slice(start, rows), place).astype(float)
+                size = np.linalg.norm(n, axis=1, keepdims=True)
+                out[start : start + rows] = n / np.where(size > 0, size, 1)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, width, dtype=np.int32)), pa.array(out.ravel()))
 
     return run
 
 
 def embed(df: DataFrame, column: str, out: str = "embedding", embedder: Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | None = None) -> DataFrame:
-    """Vectors of a text column by any function from batches of token lists to batches of vectors."""
-    run = embedder or hashed_bag()
+    """Vectors of a text column by any function from batches of token lists to batches of vectors. It counts as costly: a later explode would
+    otherwise have Spark compute it once more, for a filter on its size."""
+    made, kind, run = (F.pandas_udf, pd.Series, embedder) if embedder else (F.arrow_udf, pa.Array, hashed_bag())
 
-    def batches(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def batches(lists):
         yield from run(lists)
 
-    batches.__annotations__ = {"lists": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(batches, T.ArrayType(T.FloatType()))(tokens(F.col(column))))
+    batches.__annotations__ = {"lists": Iterator[kind], "return": Iterator[kind]}
+    return df.withColumn(out, made(batches, T.ArrayType(T.FloatType())).asNondeterministic()(tokens(F.col(column))))
 
 
 def matches(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]], lines: bool = True) -> DataFrame:

@@ -185,3 +185,32 @@ def test_latin_1_is_folded_without_python(spark, monkeypatch):
     monkeypatch.setattr(udfs, "_fold", refused)
     plain = spark.createDataFrame([("Straße É",), ("ÀÖØÞ¿\nÑ",), (None,)], "t string")
     assert [r.f for r in udfs.nfkc_casefold(plain, "t", "f").collect()] == ["strasse é", "àöøþ¿\nñ", None]
+
+
+def test_an_embedder_runs_once_a_text(spark):
+    """Exploding the vectors had Spark embed each text a second time, for a filter on the vector's size."""
+    from hashlib import sha256
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["one two two", "", None, "Three-four o'clock one", *(f"w{i} w{i % 7} x" for i in range(40))]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for lists in batches:
+            seen.add(len(lists))
+            yield lists.map(lambda words: [1.0, float(len(words))])
+
+    got = udfs.embed(data, "text", embedder=counting).select("doc_id", F.posexplode("embedding").alias("place", "x")).filter("x <> 0").collect()
+    assert seen.value == len(texts) and (0, 1, 3.0) in map(tuple, got)
+    assert str(udfs.embed(data, "text").select(F.posexplode("embedding"))._jdf.queryExecution().optimizedPlan()).count("ArrowEvalPython") == 1
+    for row in udfs.embed(data, "text").collect():
+        want = np.zeros(64)
+        for word in (row.text or "").lower().split():
+            want[int.from_bytes(sha256(word.encode()).digest()[:4], "big") % 64] += 1
+        assert row.embedding == (want / (np.linalg.norm(want) or 1)).astype(np.float32).tolist()
+    some = pa.array([["a"], [], None, ["b", "a"], ["c"]])
+    batches = [list(udfs.hashed_bag(rows=n)(iter([some.slice(0, 3), some.slice(3)]))) for n in (1, 2, 512)]
+    assert batches[0] == batches[1] == batches[2] and [len(b) for b in batches[0]] == [3, 2]
