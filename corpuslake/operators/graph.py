@@ -216,28 +216,28 @@ def _innermost(spans: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
     """by, span_id, o (depth, provision_id, start): the deepest node that holds a span (span_id, _s, _e), of equally deep ones the first id.
 
     Nodes and spans of a group go by in order of their starts, and of each kind the node that began last is the only one that may still be open. Groups
-    where nodes of a kind overlap or have another kind, and spans without length, are joined with all nodes instead."""
+    where nodes of a kind overlap or have another kind, and spans without length, are joined with all nodes instead. Both are dealt out by group once, together:
+    a union of tables that are dealt out apart isn't dealt out itself, as each may have had its partitions merged in its own way."""
     step = F.coalesce(F.nullif(F.regexp_extract("provision_id", "([a-z]+):[^/]*$", 1), F.lit("")), F.lit("?"))
     # Both are read several times, and are narrow: what they are made from is worked out once.
-    every = checkpointed(nodes.select(*by, "provision_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna()).withColumn("step", step)
+    every = checkpointed(nodes.select(*by, "provision_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna())
     asked = checkpointed(spans.select(*by, "span_id", F.col("_s").cast("long").alias("_s"), F.col("_e").cast("long").alias("_e")).dropna())
-    after = Window.partitionBy(*by, "step").orderBy("start", "end")
-    overlaps = (F.lead("start").over(after) < F.col("end")) | (F.lead("start").over(after) == F.col("start"))
-    odd = every.withColumn("_odd", ~F.col("step").isin(*STEPS) | F.coalesce(overlaps, F.lit(False))).filter("_odd").select(*by).distinct()
-    (fine, odd_asked), (known, odd_known) = _apart(asked.filter("_e > _s"), by, odd), _apart(every, by, odd)
-    node = F.struct((-path_depth(F.col("provision_id"))).alias("up"), "provision_id", "start", "end").alias("node")
-    opens = known.select(*by, F.col("start").alias("at"), "step", node)
-    kind = opens.schema["node"].dataType
-    rows = fine.withColumns({"at": F.col("_s"), "step": F.lit(None).cast("string"), "node": F.lit(None).cast(kind)})
-    rows = rows.unionByName(opens.select("*", *(F.lit(None).cast(t).alias(c) for c, t in fine.dtypes if c not in by)))
-    so_far = Window.partitionBy(*by).orderBy("at", F.col("step").isNull()).rowsBetween(Window.unboundedPreceding, 0)  # nodes before the spans at their place
+    node = F.struct((-path_depth(F.col("provision_id"))).alias("up"), "provision_id", "start", "end")
+    opens = every.select(*by, F.col("start").alias("at"), F.col("end").alias("until"), step.alias("step"), node.alias("node"))
+    kinds = dict(asked.dtypes)
+    rows = opens.select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in ("span_id", "_s", "_e"))).unionByName(asked.withColumn("at", F.col("_s")), allowMissingColumns=True)
+    whole, is_node = Window.partitionBy(*by), F.col("step").isNotNull()
+    after = Window.partitionBy(*by, "step").orderBy("at", "until")
+    overlaps = (F.lead("at").over(after) < F.col("until")) | (F.lead("at").over(after) == F.col("at"))
+    dealt = rows.repartition(*by).withColumn("_odd", is_node & (~F.col("step").isin(*STEPS) | F.coalesce(overlaps, F.lit(False))))
+    so_far = whole.orderBy("at", ~is_node).rowsBetween(Window.unboundedPreceding, 0)  # nodes before the spans at their place
     last = [F.last(F.when(F.col("step") == s, F.col("node")), ignorenulls=True).over(so_far).alias(s) for s in STEPS]
     open_ = F.filter(F.array(*STEPS), lambda n: n["end"] >= F.col("_e"))
-    swept = rows.select("*", *last).filter("step IS NULL").select(*by, "span_id", F.array_min(open_).alias("o")).filter("o IS NOT NULL")
-    rest = asked.filter("_e <= _s").join(every.drop("step"), by)
-    rest = rest.unionByName(odd_asked.join(odd_known.drop("step"), by)).filter("start <= _s AND end >= _e")
-    joined = rest.groupBy(*by, "span_id").agg(F.min(F.struct((-path_depth(F.col("provision_id"))).alias("up"), "provision_id", "start", "end")).alias("o"))
-    return swept.unionByName(joined)
+    swept = dealt.withColumn("_odd", F.max("_odd").over(whole)).select("*", *last).filter("step IS NULL")
+    swept = checkpointed(swept.select(*by, "span_id", "_s", "_e", (F.col("_odd") | (F.col("_e") <= F.col("_s"))).alias("_rest"), F.array_min(open_).alias("o")))
+    rest = swept.filter("_rest").select(*by, "span_id", "_s", "_e").join(every, by).filter("start <= _s AND end >= _e")
+    joined = rest.groupBy(*by, "span_id").agg(F.min(node).alias("o"))
+    return swept.filter("NOT _rest AND o IS NOT NULL").select(*by, "span_id", "o").unionByName(joined)
 
 
 def nested_owner(spans: DataFrame, provisions: DataFrame, key: str = "document_id") -> DataFrame:
