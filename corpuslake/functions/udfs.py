@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,12 @@ def nfkc_casefold(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.filter(plain).withColumn(out, folded).unionByName(df.filter(~plain).withColumn(out, _fold(column)))
 
 
+def folded_text(c: Column) -> Column:
+    """As ``nfkc_casefold``, in a column: all rows go to Python, those of ``PLAIN`` characters without their text."""
+    plain = F.coalesce(c, F.lit("")).rlike(PLAIN)
+    return F.when(plain, F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))).otherwise(_fold(F.when(~plain, c)))
+
+
 def hashed_bag(width: int = 64, rows: int = 512) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     """The default embedder: unit vectors of token counts, each token hashed to a place. Tokens stay in Arrow arrays, so many ``rows`` at a time, of which each distinct token is looked up once; the places last asked for are kept."""
     from hashlib import sha256
@@ -108,6 +114,48 @@ def matches(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]], lines
     return df.mapInArrow(run, T.StructType([*keep, *(T.StructField(n, t) for n, t, _ in made)]))
 
 
+def run_places(tokens: Sequence[str], wanted: Sequence[Sequence[str]], seed: int = 8) -> Iterator[tuple[int, int]]:
+    """(which of ``wanted``, position) of each place where all tokens of a list of ``wanted`` stand in a row. Each is looked for by the rarest of its runs of ``seed`` tokens."""
+    known: dict[int, dict[tuple, list[int]]] = {}
+    for which, quote in enumerate(wanted):
+        width = min(seed, len(quote))
+        if not width or width > len(tokens):
+            continue
+        if width not in known:
+            at = known[width] = {}
+            for i, run in enumerate(zip(*(tokens[k:] for k in range(width)))):
+                at.setdefault(run, []).append(i)
+        at = known[width]
+        places, offset = min(((at.get(tuple(quote[i : i + width]), ()), i) for i in range(len(quote) - width + 1)), key=lambda x: len(x[0]))
+        for place in places:
+            if place >= offset and tokens[place - offset : place - offset + len(quote)] == quote:
+                yield which, place - offset
+
+
+_NEAREST = T.ArrayType(T.StructType([T.StructField("places", T.IntegerType()), T.StructField("page", T.IntegerType()), T.StructField("position", T.IntegerType())]))
+
+
+@F.arrow_udf(_NEAREST)
+def nearest_places(tokens: pa.Array, pages: pa.Array, wanted: pa.Array, since: pa.Array) -> pa.Array:
+    """For each list of ``wanted`` tokens of a row: how many places it has among ``tokens`` on the nearest page from ``since`` on, that page, and the first of them. ``pages``
+    are those that the tokens stand on, in order."""
+    kind = pa.list_(pa.struct([("places", pa.int32()), ("page", pa.int32()), ("position", pa.int32())]))
+    out = []
+    for start in range(0, len(tokens), 64):
+        for words, on, quotes, first in zip(*(a.slice(start, 64).to_pylist() for a in (tokens, pages, wanted, since))):
+            found = [{"places": 0, "page": None, "position": None} for _ in quotes or ()]
+            for which, position in run_places(words or [], quotes or []):
+                best, page = found[which], on[position]
+                if first[which] is None or page < first[which] or best["places"] and page > best["page"]:
+                    continue
+                if not best["places"] or page < best["page"]:
+                    best.update(places=1, page=page, position=position)
+                else:
+                    best.update(places=best["places"] + 1, position=min(best["position"], position))
+            out.append(found)
+    return pa.array(out, kind)
+
+
 class MatchTable:
     """Table function: kind, literal, first, last (half-open, in code points) of every match of the patterns (a map from kind to pattern) in a text;
     none in a null text. Patterns are compiled once a task."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.udfs import nfkc_casefold
+from corpuslake.functions.udfs import folded_text, nearest_places, nfkc_casefold
 from corpuslake.functions.values import tokens
 from corpuslake.sources.scratch import checkpointed
 
@@ -66,33 +66,62 @@ def page_tokens(words: DataFrame, key: str = "doc_id", folded: bool = True) -> D
     return each.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("page", "n", "at")) - 1)
 
 
+def word_lists(words: DataFrame, key: str = "doc_id", folded: bool = True) -> DataFrame:
+    """key, words, tokens: a document's words in order, and its tokens as in ``page_tokens``, each with its page, ``at`` (the place of its word in ``words``) and ``two``
+    (it goes on in the next word). Words are dealt out by document once."""
+    listed = words.repartition(key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page", "n", "block", "line", "raw", "x0", "y0", "x1", "y1"))).alias("words"))
+    # Arrays are met side by side: a column that a lambda looks up by place may be worked out again for every element.
+    changes = lambda w, x: (x["page"] != w["page"]) | (x["block"] != w["block"]) | (x["line"] != w["line"])
+    two = lambda w, x: F.coalesce(w["raw"].endswith("-") & changes(w, x), F.lit(False))
+    spelt = lambda w, x: F.when(two(w, x), F.concat(F.substr(w["raw"], F.lit(1), F.length(w["raw"]) - 1), x["raw"])).otherwise(w["raw"])
+    after = F.concat(F.slice("words", 2, F.size("words")), F.array(F.lit(None)))
+    each = F.zip_with("words", after, lambda w, x: F.struct(w["page"].alias("page"), two(w, x).alias("two"), F.replace(F.coalesce(spelt(w, x), F.lit("")), F.lit("\n"), F.lit(" ")).alias("text")))
+    placed = listed.withColumn("_each", each).withColumn("_goes_on", F.concat(F.array(F.lit(False)), F.slice("_each.two", 1, F.size("_each") - 1)))
+    kept = F.filter(F.transform(F.arrays_zip("_each", "_goes_on"), lambda z, i: F.struct(z["_each"]["page"].alias("page"), i.alias("at"), z["_each"]["two"].alias("two"), z["_each"]["text"].alias("text"), z["_goes_on"].alias("goes_on"))), lambda w: ~w["goes_on"])
+    lined = placed.select(key, "words", kept.alias("_kept")).withColumn("_text", F.array_join("_kept.text", "\n"))
+    # One column, not a union of folded and other rows: those are dealt out by document already.
+    spelt_so = F.split(folded_text(F.col("_text")) if folded else F.col("_text"), "\n", -1)
+    each = F.zip_with("_kept", spelt_so, lambda w, text: F.transform(tokens(text), lambda t: F.struct(w["page"].alias("page"), w["at"].alias("at"), w["two"].alias("two"), t.alias("token"))))
+    return lined.select(key, "words", F.flatten(each).alias("tokens"))
+
+
 def locate(quotes: DataFrame, words: DataFrame, pages: DataFrame, folded: bool = True) -> DataFrame:
     """quote_id, doc_id, status (matched, ambiguous, not_found), page, rectangles: where a quote stands in its document from start_page on. Only matches
-    on the nearest page count; more than one there are ambiguous. ``quotes``: quote_id, doc_id, start_page, tokens (``folded``: as in ``token_table``)."""
-    placed = page_tokens(words, folded=folded)
-    texts = placed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda x: x["token"]).alias("tokens"))
-    wanted = quotes.select("quote_id", "start_page", F.size("tokens").alias("length"))
-    met = phrase_matches(quotes.select("quote_id", "doc_id", "tokens"), texts).join(wanted, "quote_id")
-    starts = met.join(placed.select("doc_id", "position", "page"), ["doc_id", "position"]).filter("page >= start_page")
-    nearest = starts.withColumn("_p", F.min("page").over(Window.partitionBy("quote_id"))).filter("page = _p")
-    one = nearest.groupBy("quote_id", "doc_id").agg(F.count("*").alias("places"), F.min("page").alias("page"), F.min("position").alias("position"), F.min("length").alias("length"))
-    matched = one.filter("places = 1")
-    each = matched.select("quote_id", "doc_id", F.explode(F.sequence(F.col("position"), F.col("position") + F.col("length") - 1)).alias("position"))
-    span = each.join(placed.select("doc_id", "position", "n", "two", F.col("page").alias("_page")), ["doc_id", "position"])
-    both = span.select("quote_id", "doc_id", F.col("_page").alias("page"), F.explode(F.when(F.col("two"), F.array(F.col("n"), F.col("n") + 1)).otherwise(F.array("n"))).alias("n")).distinct()
-    boxes = line_rectangles(both.drop("page").join(words, ["doc_id", "n"]), pages, ["quote_id", "doc_id"])
-    listed = boxes.groupBy("quote_id").agg(F.array_sort(F.collect_list(F.struct("page", "block", "line", "x", "y", "width", "height"))).alias("rectangles"))
-    out = quotes.select("quote_id", "doc_id").join(one.select("quote_id", "places", "page"), "quote_id", "left").join(listed, "quote_id", "left")
-    status = F.when(F.col("places").isNull(), "not_found").when(F.col("places") > 1, "ambiguous").otherwise("matched")
-    return out.select("quote_id", "doc_id", status.alias("status"), F.when(F.col("places") == 1, F.col("page")).alias("page"), F.when(F.col("places") == 1, F.col("rectangles")).alias("rectangles"))
+    on the nearest page count; more than one there are ambiguous. ``quotes``: quote_id, doc_id, start_page, tokens (``folded``: as in ``token_table``).
+
+    Quotes, words and pages meet by document, each dealt out once; after that only the boxes of lines are."""
+    sizes = pages.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page", F.struct("width", "height")))).alias("sizes"))
+    asked = quotes.groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "start_page", "tokens")).alias("quotes"))
+    met = asked.join(word_lists(words, folded=folded), "doc_id", "left").join(sizes, "doc_id", "left")
+    found = met.withColumn("found", nearest_places(F.col("tokens.token"), F.col("tokens.page"), F.col("quotes.tokens"), F.col("quotes.start_page")))
+    boxed = lambda w: F.struct(*(w[c].alias(c) for c in ("page", "block", "line", "x0", "y0", "x1", "y1")), F.try_element_at("sizes", w["page"]).alias("size"))
+    word = lambda i: boxed(F.get("words", i))
+    of_token = lambda t: F.when(t["two"], F.array(word(t["at"]), word(t["at"] + 1))).otherwise(F.array(word(t["at"])))
+    under = lambda q, f: F.flatten(F.transform(F.slice("tokens", f["position"] + 1, F.size(q["tokens"])), of_token))
+    each = F.transform("quotes", lambda q, i: F.struct(q["quote_id"].alias("quote_id"), F.get("found", i)["places"].alias("places"), F.get("found", i)["page"].alias("page"), F.when(F.get("found", i)["places"] == 1, under(q, F.get("found", i))).alias("words")))
+    rows = found.select("doc_id", F.explode(each).alias("q")).select("doc_id", "q.quote_id", "q.places", F.col("q.page").alias("on"), F.explode_outer("q.words").alias("w"))
+    key = ["doc_id", "quote_id", "places", "on"]
+    boxes = _boxes(rows.select(*key, "w.*").withColumns({"w": F.col("size.width"), "h": F.col("size.height")}), [*key, "w", "h"])
+    shown = F.when(F.col("w").isNotNull(), F.struct("page", "block", "line", *(c.alias(n) for n, c in _shares().items())))
+    listed = boxes.groupBy(*key).agg(F.array_sort(F.collect_list(shown)).alias("rectangles"))
+    status = F.when(F.col("places") == 0, "not_found").when(F.col("places") > 1, "ambiguous").otherwise("matched")
+    return listed.select("quote_id", "doc_id", status.alias("status"), F.when(F.col("places") == 1, F.col("on")).alias("page"), F.when(F.size("rectangles") > 0, F.col("rectangles")).alias("rectangles"))
+
+
+def _boxes(words: DataFrame, key: list[str]) -> DataFrame:
+    return words.groupBy(*key, "page", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def _shares() -> dict[str, Column]:
+    """A box as shares of its page's width ``w`` and height ``h``."""
+    share = lambda v: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), 6)
+    return {"x": share(F.col("x0") / F.col("w")), "y": share(F.col("y0") / F.col("h")), "width": share((F.col("x1") - F.col("x0")) / F.col("w")), "height": share((F.col("y1") - F.col("y0")) / F.col("h"))}
 
 
 def line_rectangles(words: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     """key, page, block, line, x, y, width, height: the box around a line's words as shares of the page, 0 to 1, six places."""
-    lines = words.groupBy(*key, "page", "block", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    met = lines.join(pages.select("doc_id", "page", F.col("width").alias("w"), F.col("height").alias("h")), ["doc_id", "page"])
-    share = lambda v: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), 6)
-    return met.select(*key, "page", "block", "line", share(F.col("x0") / F.col("w")).alias("x"), share(F.col("y0") / F.col("h")).alias("y"), share((F.col("x1") - F.col("x0")) / F.col("w")).alias("width"), share((F.col("y1") - F.col("y0")) / F.col("h")).alias("height"))
+    met = _boxes(words, key).join(pages.select("doc_id", "page", F.col("width").alias("w"), F.col("height").alias("h")), ["doc_id", "page"])
+    return met.select(*key, "page", "block", "line", *(c.alias(n) for n, c in _shares().items()))
 
 
 def words_for_spans(spans: DataFrame, text_tokens: DataFrame, words: DataFrame) -> DataFrame:
