@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions.values import cosine, norm
+from corpuslake.functions.values import norm
 from corpuslake.sources.scratch import checkpointed
 
 #: Vectors in a block, about; a task holds one block of either side and their product.
@@ -85,17 +85,45 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", w
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of vectors: their places, the matrix of them in double precision, and their norms. Null vectors and those with null components are left out."""
+    flat = vectors.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False)
+    found = {}
+    for dims in np.unique(lengths[lengths > 0]).tolist():
+        places = np.flatnonzero(lengths == dims)
+        values = flat.take(pa.array(places)).flatten()
+        whole = ~pc.is_null(values).to_numpy(zero_copy_only=False).reshape(-1, dims).any(axis=1)
+        rows = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)[whole]
+        found[dims] = places[whole], rows, np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return found
+
+
 def cosines(items: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataFrame:
     """query_id, ``key``, similarity of every query (query_id, query_vec) with every item (``key``, embedding), null where either has no length.
 
-    Every block of queries meets every block of items in a task of its own, which holds those two blocks alone, whatever the tables' sizes."""
+    Every block of queries meets every block of items in a task of its own, which holds those two blocks and their product alone, whatever the tables' sizes."""
     left, item_blocks = _in_blocks(items.select(key, "embedding").withColumn("all", F.lit(0)), ["all"], key, "item_block")
     right, query_blocks = _in_blocks(queries.select("query_id", "query_vec").withColumn("all", F.lit(0)), ["all"], "query_id", "query_block")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = left.join(query_blocks, "all").select(key, "embedding", "item_block", to_all("query_blocks").alias("query_block"))
     right = right.join(item_blocks, "all").select("query_id", "query_vec", F.col("query_block").alias("_query_block"), to_all("item_blocks").alias("_item_block"))
-    met = left.join(right.hint("shuffle_hash"), (F.col("item_block") == F.col("_item_block")) & (F.col("query_block") == F.col("_query_block")))
-    return met.select("query_id", key, cosine(F.col("embedding"), F.col("query_vec")).alias("similarity"))
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        scores, known = np.zeros((b.num_rows, a.num_rows)), np.zeros((b.num_rows, a.num_rows), dtype=bool)
+        if a.num_rows and b.num_rows:
+            stored, asked = _by_length(a["embedding"]), _by_length(b["query_vec"])
+            for dims in stored.keys() & asked.keys():
+                (columns, x, of_x), (rows, y, of_y) = stored[dims], asked[dims]
+                sizes = np.outer(of_y, of_x)
+                known[np.ix_(rows, columns)] = sizes != 0
+                scores[np.ix_(rows, columns)] = (y @ x.T) / np.where(sizes != 0, sizes, 1)
+        asked_at, stored_at = np.repeat(np.arange(b.num_rows), a.num_rows), np.tile(np.arange(a.num_rows), b.num_rows)
+        return pa.table({"query_id": b["query_id"].take(pa.array(asked_at)), key: a[key].take(pa.array(stored_at)), "similarity": pa.array(scores.ravel(), mask=~known.ravel())})
+
+    kinds = dict(items.dtypes) | dict(queries.dtypes)
+    met = left.groupBy("item_block", "query_block").cogroup(right.groupBy("_item_block", "_query_block"))
+    return met.applyInArrow(product, f"query_id {kinds['query_id']}, {key} {kinds[key]}, similarity double")
 
 
 def classes(items: DataFrame, key: str = "key") -> DataFrame:

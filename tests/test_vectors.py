@@ -1,6 +1,7 @@
 """Vector queries do their whole jobs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from twins import DATA, connection, same
 
 from corpuslake import plans
@@ -60,3 +61,14 @@ def test_best_of_a_block():
     rows, columns, best = vectors._best_of(scores, 2, 10)
     assert list(zip(rows, columns, best)) == [(10, 1, 3.0), (10, 2, 3.0), (11, 2, 2.0), (11, 1, 0.5)]
     assert np.isnan(vectors._best_of(np.array([[np.nan, 1.0]]), 5, 0)[2]).tolist() == [False, True]
+
+
+def test_cosines_are_products_of_blocks(spark):
+    """Pairs are multiplied as matrices, not joined and worked out one by one; vectors of other lengths, without a length or with null components give null."""
+    stored = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [3.0, 4.0])]
+    items = spark.createDataFrame(stored, "key long, embedding array<double>")
+    made = cosines(items, items.select(F.col("key").alias("query_id"), F.col("embedding").alias("query_vec")), "key")
+    assert "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.key): r.similarity for r in made.collect()}
+    assert len(got) == 36
+    assert {k: round(s, 9) for k, s in got.items() if s is not None} == {(1, 1): 1.0, (1, 6): 0.6, (6, 1): 0.6, (6, 6): 1.0, (3, 3): 1.0}
