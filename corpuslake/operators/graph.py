@@ -110,10 +110,9 @@ def _joined(pages: DataFrame, key: str) -> DataFrame:
 
 
 def _offsets(pages: DataFrame, key: str) -> DataFrame:
-    """key, part, page_number, page_offset, page_length of the pages in their part's text."""
-    size = F.length("text")
-    upto = F.sum(size + 1).over(Window.partitionBy(key, "part").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0))
-    return pages.select(key, "part", "page_number", (upto - size - 1).alias("page_offset"), size.alias("page_length"))
+    """key, part, page_number, page_offset, page_length of the pages (key, part, page_number, page_length) in their part's text."""
+    upto = F.sum(F.col("page_length") + 1).over(Window.partitionBy(key, "part").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0))
+    return pages.select(key, "part", "page_number", (upto - F.col("page_length") - 1).alias("page_offset"), "page_length")
 
 
 def _page_range(spans: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,18 +127,22 @@ def provision_tree(pages: DataFrame, documents: DataFrame, key: str = "document_
 
     The body and the schedules are texts of their own, with offsets of their own. What is in a section has the section's pages. Documents without
     an opening page have no nodes."""
-    return _tree(*_parts(pages, key), documents, key)
+    texts, offsets = _parts(pages, documents, key)
+    return _with_text(_tree(texts, offsets, documents, key), texts, documents, key)
 
 
-def _parts(pages: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, offsets) of the body and the schedules of each document: ``_joined`` and ``_offsets``."""
-    grouped = checkpointed(pages.select(key, "page_number", "text").join(page_groups(pages, key), [key, "page_number"]))
-    return checkpointed(_joined(grouped, key)), checkpointed(_offsets(grouped, key))
+def _parts(pages: DataFrame, documents: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, part, act, text; offsets) of the body and the schedules of each document: texts are dealt out and kept once."""
+    listed = page_groups(pages, key, ["text"]).groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("pages"))
+    sizes = F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), F.length(p["text"]).alias("page_length")))
+    whole = listed.select(key, "part", F.array_join("pages.text", "\n").alias("text"), sizes.alias("sizes"))
+    made = checkpointed(whole.join(documents.select(key, F.col("act_number").alias("act")), key))
+    return made.select(key, "part", "act", "text"), checkpointed(_offsets(made.select(key, "part", F.inline("sizes")), key))
 
 
-def _tree(texts: DataFrame, offsets: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+def _tree(joined: DataFrame, offsets: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """The nodes of ``provision_tree`` without their texts."""
     of = documents.select(key, F.col("act_number").alias("act"), "act_title", "page_count")
-    joined = texts.join(of.select(key, "act"), key)
     body = _nodes(joined.filter("part = 'main'").select(key, "act", "text"), key).withColumn("part", F.lit("main"))
 
     found = matches(joined.filter("part = 'schedules'").withColumn("size", F.length("text")).select(key, "act", "size", "text"), "text", SCHEDULES)
@@ -158,18 +161,25 @@ def _tree(texts: DataFrame, offsets: DataFrame, documents: DataFrame, key: str)
     spans = tops.filter("kind <> 'section'").select(key, "part", "start", "end").unionByName(sections)
     ranges = _page_range(spans, offsets, [key, "part"]).select(key, "part", F.col("start").alias("section_at"), "page_start", "page_end")
     placed = nodes.join(ranges.dropDuplicates([key, "part", "section_at"]), [key, "part", "section_at"], "left")
-    whole = placed.join(joined.select(key, "part", F.col("text").alias("_all")), [key, "part"])
-    cut = F.substr("_all", F.col("start") + 1, F.col("end") - F.col("start"))
     first_page = offsets.groupBy(key, "part").agg(F.min("page_number").alias("_first"))
-    whole = whole.withColumn("text", cut).drop("_all").join(first_page, [key, "part"])
+    whole = placed.join(first_page, [key, "part"])
     whole = whole.withColumn("page_start", F.coalesce("page_start", "_first")).withColumn("page_end", F.coalesce("page_end", "_first"))
-    columns = [key, "provision_id", "kind", "label", "parent_id", "text", "start", "end", "page_start", "page_end", "part"]
+    columns = [key, "provision_id", "kind", "label", "parent_id", "start", "end", "page_start", "page_end", "part"]
     title = F.coalesce("act_title", F.lit(""))
-    acts = of.join(joined.filter("part = 'main'").select(key), key, "left_semi").select(key, F.concat(F.lit("act:"), "act").alias("provision_id"), F.lit("act").alias("kind"), F.concat(F.lit("Act "), "act").alias("label"), F.lit(None).cast("string").alias("parent_id"), title.alias("text"), F.lit(0).alias("start"), F.length(title).alias("end"), F.lit(1).alias("page_start"), F.col("page_count").alias("page_end"), F.lit("title").alias("part"))
+    acts = of.join(joined.filter("part = 'main'").select(key), key, "left_semi").select(key, F.concat(F.lit("act:"), "act").alias("provision_id"), F.lit("act").alias("kind"), F.concat(F.lit("Act "), "act").alias("label"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("start"), F.length(title).alias("end"), F.lit(1).alias("page_start"), F.col("page_count").alias("page_end"), F.lit("title").alias("part"))
     every = acts.unionByName(whole.select(*columns))
     return every.select("*", F.concat(F.col(key), F.lit("/provision:"), "provision_id").alias("version_id"))
 
 
+def _with_text(nodes: DataFrame, texts: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """``nodes`` with their texts, which hold one another: a text is met once a node, and only where it is asked for."""
+    titles = documents.select(key, F.coalesce("act_title", F.lit("")).alias("_title"))
+    met = nodes.join(texts.select(key, "part", F.col("text").alias("_all")), [key, "part"], "left").join(titles, key, "left")
+    text = F.when(F.col("part") == "title", F.col("_title")).otherwise(F.substr("_all", F.col("start") + 1, F.col("end") - F.col("start")))
+    columns = [key, "provision_id", "kind", "label", "parent_id", text.alias("text"), "start", "end", "page_start", "page_end", "part", "version_id"]
+    return met.select(*columns)
+
+
 def _section_spans(joined: DataFrame, key: str) -> DataFrame:
     """key, part, start, end of every section heading's span, repeated numbers included."""
     found = matches(joined.filter("part = 'main'").withColumn("size", F.length("text")).select(key, "part", "size", "text"), "text", HEADINGS[:1])
@@ -328,9 +338,9 @@ def build_graph(texts: DataFrame, key: str = "document_id", act: str = "act_numb
 def graph_of_pages(pages: DataFrame, documents: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(provisions, edges, unresolved, candidates) of documents given by their pages (``provision_tree``). Edges and candidates carry the version ids of their ends
     (null for targets of other acts) and evidence: the literal, its offsets in the source node, and the pages that it stands on."""
-    texts, offsets = _parts(pages, key)
+    texts, offsets = _parts(pages, documents, key)
     provisions = checkpointed(_tree(texts, offsets, documents, key))
-    judged = _candidates(provisions.filter("part <> 'title'"), texts, key)
+    judged = checkpointed(_candidates(provisions.filter("part <> 'title'"), texts, key))  # for their pages, and to be met with them
     spans = judged.select(key, "part", F.col("first").alias("start"), F.col("last").alias("end"))
     on = _page_range(spans, offsets, [key, "part"]).select(key, "part", F.col("start").alias("first"), F.col("end").alias("last"), F.sequence("page_start", "page_end").alias("_pages"))
     version = lambda c: F.concat(F.col(key), F.lit("/provision:"), c)
@@ -345,7 +355,7 @@ def graph_of_pages(pages: DataFrame, documents: DataFrame, key: str = "document_
     edges = edges.join(known, [key, "target_provision_id"], "left").withColumn("relationship", F.lit("explicit_reference"))
     edges = edges.withColumn("edge_id", edge_id(F.col("source_provision_id"), F.col("target_provision_id"), F.col("start_offset"), F.col("literal"))).dropDuplicates([key, "edge_id"])
     unresolved = candidates.filter("resolution = 'unresolved'").drop("target_provision_ids", "resolution").withColumn("reason", F.col("reason_code"))
-    return provisions, edges, unresolved, candidates
+    return _with_text(provisions, texts, documents, key), edges, unresolved, candidates
 
 
 def logical_keys(edges: DataFrame) -> DataFrame:

@@ -73,17 +73,18 @@ def scanned(pages: DataFrame, key: str = "document_id", text: str = "text", belo
     return summed.withColumn("scanned", F.col("characters") / F.greatest("pages", F.lit(1)) < below)
 
 
-def page_groups(pages: DataFrame, key: str = "document_id") -> DataFrame:
-    """key, page_number, part (main or schedules), from key, page_number, text. Documents without an opening page have no rows."""
-    # What an opening page, an appendix and a schedule's first page hold.
+def page_groups(pages: DataFrame, key: str = "document_id", keep: Sequence[str] = ()) -> DataFrame:
+    """key, page_number, part (main or schedules) and what is to be kept, from key, page_number, text. Documents without an opening page have no rows."""
+    # What an opening page, an appendix and a schedule's first page hold. Texts are read before pages are dealt out.
     here = lambda cond: F.min(F.when(cond, F.col("page_number"))).over(Window.partitionBy(key))
     opens = F.col("text").rlike(r"(?i)\bAn\s+Act\b") & F.col("text").rlike(r"(?im)^\s*1\.\s*(?=(?:\([0-9]+[A-Z]?\)|[A-Z]))")
     appendix = F.col("text").rlike(r"(?i)\b(?:LIST|TABLE)\s+OF\s+AMENDMENTS\b")
     schedule = F.col("text").rlike(r"(?im)^\s*(?:(?:FIRST|SECOND|THIRD|FOURTH|FIFTH)\s+)?SCHEDULES?\s*$")
-    step = pages.withColumn("_body", here(opens)).filter("_body IS NOT NULL AND page_number >= _body")
-    step = step.withColumn("_appendix", here(appendix)).filter("_appendix IS NULL OR page_number < _appendix")
-    step = step.withColumn("_schedule", here(schedule & (F.col("page_number") > F.col("_body"))))
-    return step.select(key, "page_number", F.when(F.col("page_number") < F.coalesce("_schedule", F.col("page_number") + 1), "main").otherwise("schedules").alias("part"))
+    step = pages.select(key, "page_number", *keep, opens.alias("_opens"), appendix.alias("_ends"), schedule.alias("_lists"))
+    step = step.withColumn("_body", here(F.col("_opens"))).filter("_body IS NOT NULL AND page_number >= _body")
+    step = step.withColumn("_appendix", here(F.col("_ends"))).filter("_appendix IS NULL OR page_number < _appendix")
+    step = step.withColumn("_schedule", here(F.col("_lists") & (F.col("page_number") > F.col("_body"))))
+    return step.select(key, "page_number", *keep, F.when(F.col("page_number") < F.coalesce("_schedule", F.col("page_number") + 1), "main").otherwise("schedules").alias("part"))
 
 
 def span_ends(starts: DataFrame, parent: Sequence[str], start: str = "start", parent_end: str = "parent_end") -> DataFrame:

@@ -4,7 +4,7 @@ from twins import DATA
 
 from corpuslake import plans
 from corpuslake.functions import udfs
-from corpuslake.operators import phrases
+from corpuslake.operators import graph, phrases, segment
 from corpuslake.plans.views import Views
 
 
@@ -50,3 +50,25 @@ def test_matches_without_lines_copy_none(spark):
     got = [(r.literal, r.line) for r in udfs.matches(texts, "text", (("number", "[0-9]+"),), lines=False).collect()]
     assert got == [("1", None), ("22", None), ("3", None)]
     assert {r.line for r in udfs.matches(texts, "text", (("number", "[0-9]+"),)).collect()} == {"a 1 b 22", "3"}
+
+
+def test_nodes_are_placed_without_their_texts(spark):
+    """Pages are dealt out once, and a document's text once for its nodes; what asks for no texts meets none."""
+    pages, documents = Views(spark, DATA).statutes
+    tree = graph.provision_tree(pages, documents)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr" in plan(tree) and "substr" not in plan(tree.drop("text"))
+    _, edges, unresolved, candidates = graph.graph_of_pages(pages, documents)
+    # References are kept once made: none of these goes back to texts.
+    assert all("MapInArrow" not in plan(t) for t in (edges, unresolved, candidates))
+    grouped = plan(segment.page_groups(pages, "document_id"))
+    assert not [line for line in grouped.splitlines() if "Window" in line and "text#" in line]
+
+
+def test_parts_of_statutes_are_dealt_out_once(spark, monkeypatch):
+    """Texts are shuffled by document alone: no page meets its group by a join."""
+    kept = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: kept.append(df) or df)
+    pages = spark.createDataFrame([("d", 1, "An Act\n1. Short title")], "document_id string, page_number int, text string")
+    graph._parts(pages, spark.createDataFrame([("d", "1")], "document_id string, act_number string"), "document_id")
+    assert kept[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(document_id") == 1
