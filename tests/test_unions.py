@@ -13,6 +13,6 @@ def no_broadcasts(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["t8_build_graph"])
+@pytest.mark.parametrize("name", ["t8_build_graph", "q2_validate_graph", "a23_decision_forms"])
 def test_query_equals_its_sql_without_broadcasts(no_broadcasts, name):
     same(plans.QUERIES[name](no_broadcasts, DATA).toPandas(), connection().sql(plans.ORACLE_SQL[name]).df())
