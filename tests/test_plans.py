@@ -66,9 +66,9 @@ def test_nodes_are_placed_without_their_texts(spark):
 
 
 def test_parts_of_statutes_are_dealt_out_once(spark, monkeypatch):
-    """Texts are shuffled by document alone: no page meets its group by a join."""
+    """Pages and documents are shuffled by document, once each: no page meets its group by a join."""
     kept = []
     monkeypatch.setattr(graph, "checkpointed", lambda df: kept.append(df) or df)
     pages = spark.createDataFrame([("d", 1, "An Act\n1. Short title")], "document_id string, page_number int, text string")
     graph._parts(pages, spark.createDataFrame([("d", "1")], "document_id string, act_number string"), "document_id")
-    assert kept[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(document_id") == 1
+    assert kept[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(document_id") == 2
